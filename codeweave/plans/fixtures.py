@@ -195,5 +195,5 @@ snapshot_new as (
  union all select item_id+1000000000, text from benchmark)"""
 
 
-def oracle_with(*ctes: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n"
+def oracle_with(*ctes: str, recursive: bool = False) -> str:
+    return ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n"
