@@ -141,7 +141,9 @@ def metadata(spark, d) -> DataFrame:
     s = lambda x: x.cast("string")
     return docs.select(
         "doc_id",
-        F.concat(F.lit("pkg"), s(i % 7), F.lit("/f"), s(i), F.lit(".py")).alias("file_path"),
+        F.concat(F.lit("pkg"), s(i % 7), F.lit("/f"), s(i),
+                 F.when(i % 4 == 1, F.lit(".yaml")).otherwise(F.lit(".py"))).alias("file_path"),
+        (i % 4 == 1).alias("is_config"),
         F.col("source").alias("git_repo"),
         F.element_at(F.array(F.lit("java"), F.lit("python"), F.lit("ruby")), (i % 3 + 1).cast("int")).alias("language"),
         F.when(i % 9 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("org."), F.col("lang"))).alias("package"),
@@ -158,7 +160,8 @@ def metadata(spark, d) -> DataFrame:
 
 
 SQL_METADATA = """metadata as (
- select doc_id, 'pkg'||(doc_id%7)||'/f'||doc_id||'.py' as file_path, source as git_repo,
+ select doc_id, 'pkg'||(doc_id%7)||'/f'||doc_id||case when doc_id%4=1 then '.yaml' else '.py' end as file_path,
+  doc_id%4=1 as is_config, source as git_repo,
   case doc_id%3 when 0 then 'java' when 1 then 'python' else 'ruby' end as language,
   case when doc_id%9=0 then null else 'org.'||lang end as package,
   case when doc_id%4=0 then '' else 'purpose '||(doc_id%10) end as purpose,
@@ -195,5 +198,15 @@ snapshot_new as (
  union all select item_id+1000000000, text from benchmark)"""
 
 
+def metadata_json_text(spark, d) -> DataFrame:
+    """Model-style answers: the metadata as JSON text, sometimes wrapped in prose."""
+    md = metadata(spark, d)
+    obj = F.to_json(F.struct("file_path", "git_repo", "package", "purpose", "imports", "classes",
+                             F.array(F.struct("method_name", "callees")).alias("methods")),
+                    {"ignoreNullFields": "false"})
+    txt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Here you go: "), obj, F.lit(" Thanks"))).otherwise(obj)
+    return md.select("doc_id", txt.alias("text"))
+
+
 def oracle_with(*ctes: str, recursive: bool = False) -> str:
     return ("with recursive " if recursive else "with ") + ",\n".join(ctes) + "\n"
