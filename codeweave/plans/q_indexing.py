@@ -1,3 +1,126 @@
-"""Registered queries."""
+"""Registered index-construction queries."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeweave.operators import communities as CM
+from codeweave.operators import indexing as IX
+from codeweave.plans import fixtures as X
+from codeweave.plans.registry import register
+
+CHUNK_SIZE, CHUNK_OVERLAP = 1200, 100
+_TOKS_SQL = ("case when regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') = '' then []::varchar[] "
+             "else string_split_regex(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), "
+             "'[ \\t\\n\\r\\f]+') end")
+
+
+@register("chunk_text", f"""
+with t as (select doc_id, {_TOKS_SQL} as toks from documents),
+n as (select doc_id, toks, len(toks) as n from t where len(toks) > 0),
+s as (select doc_id, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLAP} - 1, 0),
+                                                   {CHUNK_SIZE - CHUNK_OVERLAP})) as start_token from n)
+select doc_id, (row_number() over (partition by doc_id order by start_token) - 1)::int as chunk_index,
+       start_token::int as start_token,
+       len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
+       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ' ')) as chunk_md5
+from s""")
+def q_chunk_text(spark, d):
+    c = IX.chunk_text(X.table(spark, d, "documents"), "text", "doc_id", CHUNK_SIZE, CHUNK_OVERLAP)
+    return c.select("doc_id", "chunk_index", "start_token", "n_tokens", F.md5("text").alias("chunk_md5"))
+
+
+_MENTIONS_SQL = X.oracle_with(X.SQL_METADATA) + """,
+mentions as (
+ select file_path, file_path as name, 'module' as type from metadata
+ union all select file_path, package, 'package' from metadata where package is not null and package <> ''
+ union all select file_path, unnest(imports), 'dependency' from metadata
+ union all select file_path, unnest(classes), 'class' from metadata
+ union all select file_path, method_name, 'function' from metadata),
+ents as (select upper(trim(name)) as title, type, count(distinct file_path)::bigint as frequency
+         from mentions where name is not null and trim(name) <> '' group by 1, 2)
+"""
+
+
+@register("entities_structural", _MENTIONS_SQL + "select * from ents")
+def q_entities_structural(spark, d):
+    return IX.structural_entities(X.metadata(spark, d))
+
+
+@register("relationships_structural", _MENTIONS_SQL.rstrip() + """,
+rel as (
+ select file_path, file_path as s, unnest(imports) as t, 'IMPORTS' as type from metadata
+ union all select file_path, file_path, unnest(classes), 'USES' from metadata
+ union all select file_path, file_path, package, 'DEPENDS_ON' from metadata where package is not null and package <> ''
+ union all select file_path, unnest(callees), method_name, 'CALLS' from metadata),
+m as (select upper(trim(s)) as source, upper(trim(t)) as target, type, count(*)::bigint as weight,
+             count(distinct file_path)::bigint as n_files from rel group by 1, 2, 3)
+select * from m where source in (select title from ents) and target in (select title from ents)""")
+def q_relationships_structural(spark, d):
+    return IX.structural_relationships(X.metadata(spark, d))
+
+
+@register("href_edges", """
+with l as (select url as source, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as target from pages)
+select source, target, count(*)::bigint as weight from l where target <> '' group by 1, 2""")
+def q_href_edges(spark, d):
+    return IX.href_edges(X.table(spark, d, "pages"))
+
+
+@register("cooccurrence", """
+with p as (select doc_id, list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda x: lower(x)) as ph
+           from documents where lang = 'en'),
+e as (select doc_id, unnest(ph) as w, generate_subscripts(ph, 1) as i from p),
+pairs as (select a.doc_id, a.w as a, b.w as b from e a join e b on a.doc_id = b.doc_id and b.i - a.i between 1 and 2
+          where a.w <> b.w)
+select least(a, b) as phrase_a, greatest(a, b) as phrase_b, count(*)::bigint as weight,
+       count(distinct doc_id)::bigint as n_docs from pairs group by 1, 2""")
+def q_cooccurrence(spark, d):
+    docs = X.table(spark, d, "documents").where(F.col("lang") == "en")
+    return IX.cooccurrence(docs, "text", "doc_id", window=2)
+
+
+@register("description_summary", X.oracle_with(X.SQL_RELATIONSHIPS) + """,
+d as (select source, target, description, count(*) as c from relationships where description is not null
+      group by 1, 2, 3),
+r as (select *, row_number() over (partition by source, target order by c desc, description) as rk from d),
+g as (select source, target, sum(c)::bigint as n_mentions,
+             string_agg(description, ' | ' order by rk) filter (where rk <= 50) as s from r group by 1, 2)
+select source, target, n_mentions, array_to_string(list_slice(string_split(s, ' '), 1, 500), ' ') as summary from g""")
+def q_description_summary(spark, d):
+    return IX.description_summary(X.relationships(spark, d))
+
+
+@register("snapshot_diff", X.oracle_with(X.SQL_SNAPSHOTS) + """
+select coalesce(o.doc_key, n.doc_key) as doc_key,
+       case when o.doc_key is null then 'added' when n.doc_key is null then 'deleted'
+            when sha256(o.text) <> sha256(n.text) then 'changed' else 'same' end as status
+from snapshot_old o full outer join snapshot_new n on o.doc_key = n.doc_key""")
+def q_snapshot_diff(spark, d):
+    return IX.snapshot_diff(X.snapshot_old(spark, d), X.snapshot_new(spark, d))
+
+
+@register("incremental_units")
+def q_incremental_units(spark, d):
+    old = X.snapshot_old(spark, d)
+    new = X.snapshot_new(spark, d)
+    old_units = IX.chunk_text(old, "text", "doc_key", CHUNK_SIZE, CHUNK_OVERLAP)
+    diff = IX.snapshot_diff(old, new)
+    u = IX.incremental_units(old_units, new, diff, "doc_key", CHUNK_SIZE, CHUNK_OVERLAP)
+    return u.select("doc_key", "chunk_index", "n_tokens", F.md5("text").alias("chunk_md5"))
+
+
+@register("communities")
+def q_communities(spark, d):
+    return CM.hierarchical_communities(X.module_edges(spark, d), max_size=10)
+
+
+@register("reports")
+def q_reports(spark, d):
+    edges = X.module_edges(spark, d)
+    return CM.community_reports(CM.hierarchical_communities(edges, max_size=10), edges)
+
+
+@register("text_embedding")
+def q_text_embedding(spark, d):
+    return IX.text_embedding(X.table(spark, d, "documents"), num_features=256)
