@@ -1,3 +1,121 @@
-"""Registered queries."""
+"""Registered search queries: global (dynamic/static), migration report, vectors, local."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codeweave.operators import search as S
+from codeweave.plans import fixtures as X
+from codeweave.plans.registry import register
+
+QUESTION = S.MIGRATION_QUESTIONS[0]
+TOP_K = 5
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _reports_sql(terms: list[str], name: str = "reports") -> str:
+    tl = "[" + ", ".join(_q(t) for t in terms) + "]::varchar[]"
+    return f"""
+{name}_doc as (select source, lang,
+   len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: list_contains({tl}, w)))::bigint as hits,
+   len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))::bigint as words from documents),
+{name}_l1 as (select source, lang, sum(hits) as score, sum(words) as w from {name}_doc group by 1, 2),
+{name}_l0 as (select source, sum(score) as score, sum(w) as w from {name}_l1 group by 1),
+{name} as (
+ select source as community, 0 as level, null::varchar as parent, score::bigint as score,
+        least(w, {S.REPORT_MAX_TOKENS})::bigint as n_tokens from {name}_l0
+ union all
+ select source || '/' || lang, 1, source, score::bigint, least(w, {S.REPORT_MAX_TOKENS})::bigint from {name}_l1)"""
+
+
+def _ranked_sql(sel: str, name: str) -> str:
+    return f"""
+{name}_r as (select *, row_number() over (order by score desc, community) as rank from {sel}
+             where score > 0 and n_tokens > 0),
+{name} as (select *, sum(n_tokens) over (order by rank rows between unbounded preceding and current row) as used_tokens
+           from {name}_r)"""
+
+
+def _dynamic_sql(n: str) -> str:
+    return f"""
+{n}_rel as (select * from {n}_rep where score > 0 and level <= {S.COMMUNITY_LEVEL}),
+{n}_kids as (select * from {n}_rel where level = 1 and parent in (select community from {n}_rel where level = 0)),
+{n}_sel as (select * from {n}_rel where level = 0 and community not in (select parent from {n}_kids)
+            union all select * from {n}_kids)"""
+
+
+def _global_sql(question: str, n: str = "g") -> str:
+    return ",".join([_reports_sql(S.question_terms(question), f"{n}_rep"), _dynamic_sql(n),
+                     _ranked_sql(f"{n}_sel", n)])
+
+
+@register("global_search", "with " + _global_sql(QUESTION) + f"""
+select community, level, score, n_tokens, rank::int as rank, used_tokens::bigint as used_tokens
+from g where used_tokens <= {S.CONTEXT_BUDGET}""")
+def q_global_search(spark, d):
+    r = S.global_search(X.table(spark, d, "documents"), QUESTION, dynamic=True)
+    return r.select("community", "level", "score", "n_tokens", "rank", F.col("used_tokens").cast("bigint"))
+
+
+@register("global_search_static", "with " + _reports_sql(S.question_terms(QUESTION), "s_rep") + """,
+s_sel as (select * from s_rep where community not in (select parent from s_rep where parent is not null)),"""
+          + _ranked_sql("s_sel", "s") + f"""
+select community, level, score, n_tokens, rank::int as rank, used_tokens::bigint as used_tokens
+from s where used_tokens <= {S.CONTEXT_BUDGET}""")
+def q_global_search_static(spark, d):
+    r = S.global_search(X.table(spark, d, "documents"), QUESTION, dynamic=False)
+    return r.select("community", "level", "score", "n_tokens", "rank", F.col("used_tokens").cast("bigint"))
+
+
+def _migration_sql() -> str:
+    ctes, sels = [], []
+    for i, q in enumerate(S.MIGRATION_QUESTIONS):
+        n = f"q{i}"
+        ctes.append(_global_sql(q, n))
+        head = _q(f"### Question: {q}\n\n###Answer: ")
+        sels.append(f"""select {i} as question_no, {head} || coalesce(
+            (select string_agg(community || ' (' || score || ')', '; ' order by rank) from {n}
+             where used_tokens <= {S.CONTEXT_BUDGET}), 'No relevant reports.') || chr(10) || chr(10) as section""")
+    return "with " + ",".join(ctes) + "\n" + "\nunion all\n".join(sels)
+
+
+@register("migration_report", _migration_sql())
+def q_migration_report(spark, d):
+    return S.migration_report(X.table(spark, d, "documents"))
+
+
+_VEC_SQL = """
+with e as (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select label, i, avg(x) as m from e group by 1, 2),
+qn as (select label, sqrt(sum(m * m)) as nq from c group by 1),
+vn as (select vec_id, sqrt(sum(x * x)) as nv from e group by 1),
+dt as (select c.label, e.vec_id, sum(c.m * e.x) as d from c join e on c.i = e.i group by 1, 2),
+s as (select dt.label::bigint as query_id, dt.vec_id as id,
+             case when nv = 0 then 0 else d / (nq * nv) end as score
+      from dt join qn on dt.label = qn.label join vn on dt.vec_id = vn.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s),
+top as (select query_id, id, round(score, 6) as score, rank::int as rank from r where rank <= 5)
+"""
+
+
+@register("vector_topk", _VEC_SQL + "select * from top")
+def q_vector_topk(spark, d):
+    emb = X.table(spark, d, "embeddings")
+    return S.vector_topk(emb, S.label_centroids(emb), k=TOP_K)
+
+
+@register("local_search", _VEC_SQL + f""",
+u as (select doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))::bigint as n_tokens
+      from documents),
+j as (select top.*, u.n_tokens, sum(u.n_tokens) over (partition by query_id order by rank, id
+        rows between unbounded preceding and current row) as used_tokens from top join u on top.id = u.doc_id)
+select query_id, id, rank, n_tokens, used_tokens::bigint as used_tokens from j where used_tokens <= {S.CONTEXT_BUDGET}""")
+def q_local_search(spark, d):
+    emb = X.table(spark, d, "embeddings")
+    hits = S.vector_topk(emb, S.label_centroids(emb), k=TOP_K)
+    units = X.table(spark, d, "documents").select("doc_id", S.word_count("text").cast("bigint").alias("n_tokens"))
+    r = S.local_search(hits, units)
+    return r.select("query_id", "id", "rank", "n_tokens", F.col("used_tokens").cast("bigint"))
