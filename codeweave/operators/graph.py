@@ -30,7 +30,7 @@ def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
 
 
-def _persist(df: DataFrame, rnd: int = 0) -> DataFrame:
+def _persist(df: DataFrame) -> DataFrame:
     """Loop state is always materialised as a table: bounded plan, bounded lineage."""
     return cut_lineage(df)
 
@@ -64,55 +64,51 @@ def degree(edges: DataFrame) -> DataFrame:
 def propagate_min_label(nodes: DataFrame, arcs: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Label every node with the smallest node id that reaches it along ``arcs(src, dst)``.
 
-    Semi-naive: round r only pushes labels of nodes that improved in round r-1.
-    Returns ``(node, label)``.
+    Semi-naive: round r only pushes labels of nodes that improved in round r-1
+    (``changed`` flag).  One table is written per round.  Returns ``(node, label)``.
     """
-    lab = _persist(nodes.select("node", F.col("node").alias("label")), 0)
-    frontier, n_front = lab, lab.count()
+    lab = _persist(nodes.select("node", F.col("node").alias("label"), F.lit(True).alias("changed")))
+    n_front = lab.count()
     rnd = 0
     while n_front > 0 and (max_rounds is None or rnd < max_rounds):
         rnd += 1
-        f = _maybe_broadcast(frontier.select(F.col("node").alias("src"), F.col("label").alias("fl")), n_front)
-        cand = arcs.join(f, "src").groupBy(F.col("dst").alias("node")).agg(F.min("fl").alias("cl"))
-        improved = (cand.join(lab, "node").where(F.col("cl") < F.col("label"))
-                    .select("node", F.col("cl").alias("label")))
-        improved = _persist(improved, rnd)
-        n_front = improved.count()
-        if n_front == 0:
-            break
-        new_lab = (lab.join(improved.withColumnRenamed("label", "nl"), "node", "left")
-                   .select("node", F.coalesce("nl", "label").alias("label")))
-        lab, frontier = _persist(new_lab, rnd), improved
-    return lab
+        front = lab.where("changed").select(F.col("node").alias("src"), F.col("label").alias("fl"))
+        cand = arcs.join(_maybe_broadcast(front, n_front), "src").groupBy(F.col("dst").alias("node")) \
+            .agg(F.min("fl").alias("cl"))
+        lab = _persist(lab.join(cand, "node", "left").select(
+            "node", F.least("label", F.coalesce("cl", "label")).alias("label"),
+            F.coalesce(F.col("cl") < F.col("label"), F.lit(False)).alias("changed")))
+        n_front = lab.where("changed").count()
+    return lab.select("node", "label")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Weakly connected components: ``(node, component, component_size)``, component = min node id."""
     e = simple_edges(edges)
-    und = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    und = _persist(und, 0)
-    lab = propagate_min_label(nodes_of(e), und)
+    und = _persist(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    lab = propagate_min_label(nodes_of(und), und)
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
     return lab.join(sizes, "label").select("node", F.col("label").alias("component"), "component_size")
 
 
 # ------------------------------------------------------------------------ SCC
-def _trim(nodes: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _restrict(e_all: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends in ``nodes`` -- derived from materialised inputs, so no plan growth."""
+    return (e_all.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+            .join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
+
+def _trim(nodes: DataFrame, e_all: DataFrame) -> DataFrame:
     """Repeatedly drop nodes without an in-edge or an out-edge: they lie on no cycle."""
-    rnd = 0
     n_before = nodes.count()
     while True:
-        rnd += 1
-        has_in = e.select(F.col("dst").alias("node")).distinct()
-        has_out = e.select(F.col("src").alias("node")).distinct()
-        keep = _persist(nodes.join(has_in, "node", "left_semi").join(has_out, "node", "left_semi"), rnd)
-        n_after = keep.count()
-        e = (e.join(keep.select(F.col("node").alias("src")), "src", "left_semi")
-             .join(keep.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        e = _persist(e, rnd)
-        nodes = keep
+        e = _restrict(e_all, nodes)
+        has_in = e.select(F.col("dst").alias("node"))
+        has_out = e.select(F.col("src").alias("node"))
+        nodes = _persist(nodes.join(has_in, "node", "left_semi").join(has_out, "node", "left_semi"))
+        n_after = nodes.count()
         if n_after == n_before:
-            return nodes, e
+            return nodes
         n_before = n_after
 
 
@@ -123,43 +119,36 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     (the colouring SCC algorithm); each outer round removes at least one SCC
     per colour.  Trimmed nodes are singleton SCCs.
     """
-    e_all = _persist(simple_edges(edges), 0)
-    all_nodes = nodes_of(e_all)
-    active, e = _trim(all_nodes, e_all)
-    found = []
+    e_all = _persist(simple_edges(edges))
+    all_nodes = _persist(nodes_of(e_all))
+    active = _trim(all_nodes, e_all)
+    found = None
     n_active = active.count()
-    outer = 0
     while n_active > 0:
-        outer += 1
+        e = _restrict(e_all, active)
         color = propagate_min_label(active, e)
         csrc = color.select(F.col("node").alias("src"), F.col("label").alias("cs"))
         cdst = color.select(F.col("node").alias("dst"), F.col("label").alias("cd"))
         ec = _persist(e.join(csrc, "src").join(cdst, "dst").where(F.col("cs") == F.col("cd"))
-                      .select("src", "dst", F.col("cs").alias("scc")), outer)
-        visited = _persist(color.where(F.col("node") == F.col("label"))
-                           .select("node", F.col("label").alias("scc")), outer)
-        frontier, n_front = visited, visited.count()
-        rnd = 0
+                      .select("src", "dst", F.col("cs").alias("scc")))
+        vis = _persist(color.where(F.col("node") == F.col("label"))
+                       .select("node", F.col("label").alias("scc"), F.lit(0).alias("hop")))
+        n_front, rnd = vis.count(), 0
         while n_front > 0:
             rnd += 1
-            f = _maybe_broadcast(frontier.select(F.col("node").alias("dst"), "scc"), n_front)
-            nxt = (ec.join(f, ["dst", "scc"]).select(F.col("src").alias("node"), "scc").distinct()
-                   .join(visited.select("node"), "node", "left_anti"))
-            nxt = _persist(nxt, rnd)
-            n_front = nxt.count()
-            if n_front:
-                visited = _persist(visited.unionByName(nxt), rnd)
-                frontier = nxt
-        found.append(visited)
-        active = _persist(active.join(visited.select("node"), "node", "left_anti"), outer)
-        e = _persist(e.join(visited.select(F.col("node").alias("src")), "src", "left_anti")
-                     .join(visited.select(F.col("node").alias("dst")), "dst", "left_anti"), outer)
+            f = vis.where(F.col("hop") == rnd - 1).select(F.col("node").alias("dst"), "scc")
+            nxt = (ec.join(_maybe_broadcast(f, n_front), ["dst", "scc"])
+                   .select(F.col("src").alias("node"), "scc").distinct()
+                   .join(vis.select("node"), "node", "left_anti").withColumn("hop", F.lit(rnd)))
+            vis = _persist(vis.unionByName(nxt))
+            n_front = vis.where(F.col("hop") == rnd).count()
+        found = vis.select("node", "scc") if found is None else _persist(found.unionByName(vis.select("node", "scc")))
+        active = _persist(active.join(vis.select("node"), "node", "left_anti"))
         n_active = active.count()
-    assigned = found[0] if found else all_nodes.limit(0).select("node", F.col("node").alias("scc"))
-    for v in found[1:]:
-        assigned = assigned.unionByName(v)
-    singletons = all_nodes.join(assigned.select("node"), "node", "left_anti").select("node", F.col("node").alias("scc"))
-    scc = assigned.unionByName(singletons)
+    if found is None:
+        found = all_nodes.limit(0).select("node", F.col("node").alias("scc"))
+    singletons = all_nodes.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("scc"))
+    scc = found.unionByName(singletons)
     sizes = scc.groupBy("scc").agg(F.count(F.lit(1)).alias("scc_size"))
     loops = e_all.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"), F.lit(True).alias("self_loop"))
     return (scc.join(sizes, "scc").join(loops, "node", "left")
@@ -190,24 +179,21 @@ def short_cycles(edges: DataFrame) -> DataFrame:
 def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> DataFrame:
     """All modules that (transitively) depend on ``target``: ``(module, hop)``, min hop.
 
-    Reverse breadth-first frontier loop; ``left_anti`` against the visited set.
-    ``target`` itself is excluded (even when it sits on a cycle).
+    Reverse breadth-first frontier loop; ``left_anti`` against the visited set;
+    one table written per hop.  ``target`` itself is excluded (even on a cycle).
     """
-    e = _persist(simple_edges(edges), 0)
+    e = _persist(simple_edges(edges))
     spark = edges.sparkSession
-    visited = spark.createDataFrame([(target, 0)], "node string, hop int")
-    frontier, n_front, hop = visited, 1, 0
+    vis = spark.createDataFrame([(target, 0)], "node string, hop int")
+    n_front, hop = 1, 0
     while n_front > 0 and (max_hops is None or hop < max_hops):
         hop += 1
-        f = _maybe_broadcast(frontier.select(F.col("node").alias("dst")), n_front)
-        nxt = (e.join(f, "dst").select(F.col("src").alias("node")).distinct()
-               .join(visited.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
-        nxt = _persist(nxt, hop)
-        n_front = nxt.count()
-        if n_front:
-            visited = _persist(visited.unionByName(nxt), hop)
-            frontier = nxt
-    return visited.where(F.col("hop") > 0).select(F.col("node").alias("module"), "hop")
+        f = vis.where(F.col("hop") == hop - 1).select(F.col("node").alias("dst"))
+        nxt = (e.join(_maybe_broadcast(f, n_front), "dst").select(F.col("src").alias("node")).distinct()
+               .join(vis.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
+        vis = _persist(vis.unionByName(nxt))
+        n_front = vis.where(F.col("hop") == hop).count()
+    return vis.where(F.col("hop") > 0).select(F.col("node").alias("module"), "hop")
 
 
 def migration_waves(edges: DataFrame) -> DataFrame:
@@ -215,33 +201,30 @@ def migration_waves(edges: DataFrame) -> DataFrame:
 
     Cycles are collapsed to their SCC; wave 0 holds SCCs with no dependency on
     another SCC, wave k those whose dependencies all sit in waves < k (the
-    longest dependency chain below them).  Peeled with repeated anti-joins.
+    longest dependency chain below them).  Peeled with anti-joins; one table
+    (the growing wave assignment) is written per wave.
     """
-    scc = _persist(strongly_connected_components(edges).select("node", "scc"), 0)
+    scc = _persist(strongly_connected_components(edges).select("node", "scc"))
     e = simple_edges(edges)
-    ce = (e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
-          .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
-          .where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    ce = _persist(ce, 0)
-    remaining = _persist(scc.select(F.col("scc").alias("a")).distinct(), 0)
-    n_rem = remaining.count()
-    waves = []
+    ce = _persist(e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
+                  .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
+                  .where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    supers = _persist(scc.select(F.col("scc").alias("a")).distinct())
+    n_supers = supers.count()
+    n_rem = n_supers
+    assigned = None
     k = 0
     while n_rem > 0:
-        blocked = ce.join(remaining, "a", "left_semi").join(remaining.select(F.col("a").alias("b")), "b", "left_semi") \
-            .select("a").distinct()
-        wave = _persist(remaining.join(blocked, "a", "left_anti").withColumn("wave", F.lit(k)), k + 1)
-        n_wave = wave.count()
-        if n_wave == 0:
+        remaining = supers if assigned is None else supers.join(assigned.select("a"), "a", "left_anti")
+        blocked = ce.join(remaining.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        wave = remaining.join(blocked, "a", "left_anti").withColumn("wave", F.lit(k))
+        assigned = _persist(wave if assigned is None else assigned.unionByName(wave))
+        n_done = assigned.count()
+        if n_done == 0 or (k > 0 and assigned.where(F.col("wave") == k).isEmpty()):
             raise RuntimeError("condensation is not acyclic; SCC step failed")
-        waves.append(wave)
-        remaining = _persist(remaining.join(wave.select("a"), "a", "left_anti"), k + 1)
-        n_rem = remaining.count()
+        n_rem = n_supers - n_done
         k += 1
-    allw = waves[0]
-    for w in waves[1:]:
-        allw = allw.unionByName(w)
-    return scc.join(allw.select(F.col("a").alias("scc"), "wave"), "scc").select(
+    return scc.join(assigned.select(F.col("a").alias("scc"), "wave"), "scc").select(
         F.col("node").alias("module"), "scc", "wave")
 
 
