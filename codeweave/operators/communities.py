@@ -6,7 +6,7 @@ Our design (the original delegates to hierarchical Leiden):
 * level L+1 re-clusters every community of level L larger than ``max_size``
   with weighted label propagation restricted to intra-community edges
   (deterministic: heaviest neighbour label, ties to the smallest label, a
-  bounded number of synchronous rounds);
+  bounded number of semi-synchronous rounds);
 * a community that label propagation cannot split is divided into ordered
   buckets of ``max_size`` (nodes ranked by degree, then id) -- exact when the
   group is small, hash-spread into ``ceil(size / max_size)`` buckets when it is
@@ -45,18 +45,23 @@ def label_propagation(members: DataFrame, arcs: DataFrame, max_rounds: int = 10)
     a = cut_lineage(arcs.join(g_src, "src").join(g_dst, "dst").where(F.col("gs") == F.col("gd"))
                     .select("src", "dst", "w"))
     lab = cut_lineage(members.select("node", "grp", F.col("node").alias("label")))
-    for _ in range(max_rounds):
+    quiet = 0
+    for rnd in range(max_rounds):
         cand = (a.join(lab.select(F.col("node").alias("src"), "label"), "src")
                 .groupBy("dst", "label").agg(F.sum("w").alias("score")))
         # heaviest label, ties to the smallest: partial aggregates, skew-safe
         best = cand.groupBy(F.col("dst").alias("node")).agg(
             F.min_by("label", F.struct((-F.col("score")).alias("s"), F.col("label").alias("l"))).alias("nl"))
+        # semi-synchronous: alternating halves (by node hash) update, which stops
+        # the two-colour oscillation synchronous propagation has on bipartite parts
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == F.lit(rnd % 2)
         new = cut_lineage(lab.join(best, "node", "left")
                           .select("node", "grp", F.col("label").alias("old"),
-                                  F.coalesce("nl", "label").alias("label")))
+                                  F.when(turn, F.coalesce("nl", "label")).otherwise(F.col("label")).alias("label")))
         changed = new.where(F.col("old") != F.col("label")).count()
         lab = new.drop("old")
-        if changed == 0:
+        quiet = quiet + 1 if changed == 0 else 0
+        if quiet >= 2:                    # both halves had a turn without any change
             break
     return lab
 

@@ -57,17 +57,21 @@ def question_terms(question: str, min_len: int = 4) -> list[str]:
 
 
 def term_hits(text: str | Column, terms: list[str]) -> Column:
-    """Number of words of ``text`` (letter runs, lower-cased) that are question terms."""
+    """Number of words of ``text`` (maximal [a-z] runs after lower-casing) that are question terms.
+
+    One JVM regex count per row (no array of words is materialised).
+    """
     t = F.col(text) if isinstance(text, str) else text
-    words = F.split(F.lower(t), "[^a-z]+")
-    tl = F.array(*[F.lit(x) for x in terms]) if terms else F.array().cast("array<string>")
-    return F.aggregate(words, F.lit(0).cast("bigint"),
-                       lambda acc, w: acc + F.when(F.array_contains(tl, w), 1).otherwise(0))
+    if not terms:
+        return F.lit(0).cast("bigint")
+    pat = "(?<![a-z])(?:" + "|".join(sorted(terms, key=len, reverse=True)) + ")(?![a-z])"
+    return F.regexp_count(F.lower(t), F.lit(pat)).cast("bigint")
 
 
 def word_count(text: str | Column) -> Column:
+    """Whitespace-separated tokens (ASCII whitespace), counted by one regex scan."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.size(F.filter(F.split(t, "[ \t\n\r\f]+"), lambda w: w != ""))
+    return F.coalesce(F.regexp_count(t, F.lit("[^ \t\n\r\f]+")), F.lit(0)).cast("int")
 
 
 def document_reports(docs: DataFrame, terms: list[str]) -> DataFrame:
