@@ -100,7 +100,22 @@ def q_snapshot_diff(spark, d):
     return IX.snapshot_diff(X.snapshot_old(spark, d), X.snapshot_new(spark, d))
 
 
-@register("incremental_units")
+@register("incremental_units", X.oracle_with(X.SQL_SNAPSHOTS) + f""",
+diff as (select coalesce(o.doc_key, n.doc_key) as doc_key,
+          case when o.doc_key is null then 'added' when n.doc_key is null then 'deleted'
+               when sha256(o.text) <> sha256(n.text) then 'changed' else 'same' end as status
+         from snapshot_old o full outer join snapshot_new n on o.doc_key = n.doc_key),
+docs as (select doc_key, text from snapshot_old where doc_key in (select doc_key from diff where status = 'same')
+         union all
+         select doc_key, text from snapshot_new where doc_key in (select doc_key from diff where status in ('added', 'changed'))),
+t as (select doc_key, {_TOKS_SQL} as toks from docs),
+n as (select doc_key, toks, len(toks) as n from t where len(toks) > 0),
+s as (select doc_key, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLAP} - 1, 0),
+                                                   {CHUNK_SIZE - CHUNK_OVERLAP})) as start_token from n)
+select doc_key, (row_number() over (partition by doc_key order by start_token) - 1)::int as chunk_index,
+       len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
+       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ' ')) as chunk_md5
+from s""")
 def q_incremental_units(spark, d):
     old = X.snapshot_old(spark, d)
     new = X.snapshot_new(spark, d)
