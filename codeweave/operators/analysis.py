@@ -64,9 +64,14 @@ def dependency_layers(rel: DataFrame, n_edge: int = 5, n_middle: int = 10) -> Da
     deg = in_degree(rel)
     asc = [F.col("in_degree").asc(), F.col("module").asc()]
     desc = [F.col("in_degree").desc(), F.col("module").desc()]
-    leaf = deg.orderBy(*asc).limit(n_edge).withColumn("layer", F.lit("leaf_modules"))
-    middle = deg.orderBy(*asc).offset(n_edge).limit(n_middle).withColumn("layer", F.lit("intermediate_modules"))
-    top = deg.orderBy(*desc).limit(n_edge).withColumn("layer", F.lit("top_modules"))
+    # two bounded top-k's over one aggregate: the first n_edge+n_middle ascending
+    # (leaf + intermediate) and the last n_edge; the aggregate exchange is reused
+    head = deg.orderBy(*asc).limit(n_edge + n_middle).withColumn("_i", F.lit(None).cast("int"))
+    w_all = Window.orderBy(*asc)   # over <= n_edge + n_middle rows
+    head = head.withColumn("_i", F.row_number().over(w_all) - 1)
+    leaf = head.where(F.col("_i") < n_edge).withColumn("layer", F.lit("leaf_modules"))
+    middle = head.where(F.col("_i") >= n_edge).withColumn("layer", F.lit("intermediate_modules"))
+    top = deg.orderBy(*desc).limit(n_edge).withColumn("_i", F.lit(0)).withColumn("layer", F.lit("top_modules"))
     # the three slices are bounded (<= 20 rows): the window only orders within them
     w = Window.partitionBy("layer").orderBy(*asc)
     return (leaf.unionByName(middle).unionByName(top)

@@ -150,14 +150,11 @@ def cooccurrence(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     ``window`` pairs per phrase.
     """
     p = docs.select(id_col, phrases(text_col, pattern).alias("_p")).withColumn("_n", F.size("_p"))
-    pairs = []
-    for k in range(1, window + 1):
-        z = F.arrays_zip(F.slice("_p", 1, F.greatest(F.col("_n") - k, F.lit(0))).alias("a"),
+    # all offsets 1..window in one array, one explode: a single scan of the documents
+    zips = [F.arrays_zip(F.slice("_p", 1, F.greatest(F.col("_n") - k, F.lit(0))).alias("a"),
                          F.slice("_p", k + 1, F.greatest(F.col("_n") - k, F.lit(0))).alias("b"))
-        pairs.append(p.where(F.col("_n") > k).select(id_col, F.explode(z).alias("z")))
-    allp = pairs[0]
-    for q in pairs[1:]:
-        allp = allp.unionByName(q)
+            for k in range(1, window + 1)]
+    allp = p.where(F.col("_n") > 1).select(id_col, F.explode(F.flatten(F.array(*zips))).alias("z"))
     allp = allp.select(id_col, F.col("z.a").alias("a"), F.col("z.b").alias("b")).where(F.col("a") != F.col("b"))
     return allp.groupBy(F.least("a", "b").alias("phrase_a"), F.greatest("a", "b").alias("phrase_b")).agg(
         F.count(F.lit(1)).alias("weight"), F.countDistinct(id_col).alias("n_docs"))
