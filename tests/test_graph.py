@@ -95,3 +95,27 @@ def test_community_invariants(spark):
     assert set(m[m.level > 0].parent) <= parents
     rep = CM.community_reports(CM.hierarchical_communities(edf(spark, e), max_size=10), edf(spark, e)).toPandas()
     assert set(rep.community) == set(m.community)
+
+
+def test_long_chain_few_rounds(spark):
+    # a 64-node path plus a back edge: one SCC, one component; shortcuts keep rounds logarithmic
+    n = 64
+    e = [(f"v{i:03d}", f"v{i + 1:03d}") for i in range(n - 1)] + [(f"v{n - 1:03d}", "v000")]
+    import codeweave.operators.graph as GG
+    calls = []
+    orig = GG._persist
+
+    def counting(df):
+        calls.append(1)
+        return orig(df)
+    GG._persist = counting
+    try:
+        lab = GG.propagate_min_label(GG.nodes_of(GG.simple_edges(edf(spark, e))), GG.simple_edges(edf(spark, e)))
+        assert {r.label for r in lab.collect()} == {"v000"}
+        assert len(calls) < 16                     # ~log2(64) rounds, not 64
+    finally:
+        GG._persist = orig
+    got = {r.node: (r.scc, r.scc_size) for r in G.strongly_connected_components(edf(spark, e)).collect()}
+    assert set(got.values()) == {("v000", n)}
+    comp = {r.component for r in G.connected_components(edf(spark, e[:-1])).collect()}
+    assert comp == {"v000"}
