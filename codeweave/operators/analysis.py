@@ -111,13 +111,20 @@ def library_inventory(md: DataFrame) -> DataFrame:
     Grouping is a partial/final hash aggregate; one hot library is combined
     map-side before the shuffle.
     """
-    g = md.groupBy("library_name").agg(
-        F.array_join(F.array_sort(F.collect_set("library_version")), ",").alias("versions"),
-        F.countDistinct("library_version").alias("n_versions"),
+    # distinct values first: a library used by a third of all files contributes
+    # one row per version / vulnerability to the collect, not one per file
+    versions = md.select("library_name", "library_version").distinct().groupBy("library_name").agg(
+        F.array_join(F.array_sort(F.collect_list("library_version")), ",").alias("versions"),
+        F.count("library_version").alias("n_versions"))
+    vulns = (md.select("library_name", F.explode("vulnerabilities").alias("v")).distinct()
+             .groupBy("library_name").agg(F.array_join(F.array_sort(F.collect_list("v")), ",").alias("vulnerabilities")))
+    files = md.groupBy("library_name").agg(
         F.countDistinct("file_path").alias("n_files"),
-        F.count(F.when(F.size("vulnerabilities") > 0, F.lit(1))).alias("n_vulnerable_files"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vulnerabilities")))), ",").alias("vulnerabilities"),
-    )
+        F.count(F.when(F.size("vulnerabilities") > 0, F.lit(1))).alias("n_vulnerable_files"))
+    g = (files.join(versions, "library_name", "left").join(vulns, "library_name", "left")
+         .select("library_name", F.coalesce("versions", F.lit("")).alias("versions"),
+                 F.coalesce("n_versions", F.lit(0)).alias("n_versions"), "n_files", "n_vulnerable_files",
+                 F.coalesce("vulnerabilities", F.lit("")).alias("vulnerabilities")))
     return g.withColumn("version_conflict", F.col("n_versions") > 1)
 
 

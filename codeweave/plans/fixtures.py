@@ -87,8 +87,8 @@ def trade_edges(spark, d) -> DataFrame:
     cn = n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("source"))
     sn = n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("target"))
     j = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
-         .join(F.broadcast(cn), "c_nationkey").join(s, li.l_suppkey == s.s_suppkey)
-         .join(F.broadcast(sn), "s_nationkey"))
+         .join(cn, "c_nationkey").join(s, li.l_suppkey == s.s_suppkey)
+         .join(sn, "s_nationkey"))
     return j.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 

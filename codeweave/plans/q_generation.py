@@ -166,16 +166,17 @@ def q_annotated_text(spark, d):
 
 
 @register("target_path_winner", _passes_sql(M.MAX_FILE_BYTES) + """,
-t as (select doc_id, pass_seq, file_path,
+t as (select doc_id, git_repo, pass_seq, file_path,
         regexp_replace(file_path, '([^/])\\.[^./]+$', '\\1') || '.txt' as target_path
       from passes where reason is null),
-r as (select *, row_number() over (partition by target_path order by pass_seq desc, file_path desc, doc_id desc) as rn,
-             count(*) over (partition by target_path) as n_writers from t)
-select target_path, file_path, pass_seq, doc_id, n_writers::bigint as n_writers from r where rn = 1""")
+r as (select *, row_number() over (partition by git_repo, target_path
+                                   order by pass_seq desc, file_path desc, doc_id desc) as rn,
+             count(*) over (partition by git_repo, target_path) as n_writers from t)
+select git_repo, target_path, file_path, pass_seq, doc_id, n_writers::bigint as n_writers from r where rn = 1""")
 def q_target_path_winner(spark, d):
     s = GEN.annotated_text(GEN.select_passes(X.code_files(spark, d), LANGUAGES).withColumn("header", F.lit("")))
     w = GEN.target_path_winner(s, ["pass_seq", "file_path", "doc_id"])
-    return w.select("target_path", "file_path", "pass_seq", "doc_id", "n_writers")
+    return w.select("git_repo", "target_path", "file_path", "pass_seq", "doc_id", "n_writers")
 
 
 @register("reconcile_missing", X.oracle_with(X.SQL_CODE_FILES) + """
