@@ -216,12 +216,40 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                 out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": col[order]}))
             yield pd.concat(out, ignore_index=True)
 
-    cand = corpus.select(id_col, vec_col).mapInPandas(score, "query_id long, id long, score double")
+    id_t = corpus.schema[id_col].dataType.simpleString()
+    q_t = queries.schema[qid_col].dataType.simpleString()
+    cand = corpus.select(id_col, vec_col).mapInPandas(score, f"query_id {q_t}, id {id_t}, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
 
 
+def one_hop_context(hits: DataFrame, relationships: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
+    """R6 on a graph: top entities, then the relationships touching them, under a token budget.
+
+    ``hits(query_id, id=title, score, rank)``; returns context rows
+    ``(query_id, kind, rank, text, n_tokens, used_tokens)`` -- entities first in
+    rank order, then each entity's relationships by weight.  Only the hit set
+    (k per query) is joined, so the 1-hop fan-out is bounded by k x degree and
+    combined per query with a running sum.
+    """
+    ent = hits.select("query_id", F.lit("entity").alias("kind"), "rank", F.lit(0.0).alias("w"),
+                      F.col("id").cast("string").alias("text"))
+    src = hits.select("query_id", "rank", F.col("id").alias("source"))
+    dst = hits.select("query_id", "rank", F.col("id").alias("target"))
+    desc = F.concat_ws(" ", "source", F.coalesce("type", F.lit("")), "target")
+    r1 = relationships.join(src, "source").select("query_id", "rank", F.col("weight").cast("double").alias("w"),
+                                                    desc.alias("text"))
+    r2 = relationships.join(dst, "target").select("query_id", "rank", F.col("weight").cast("double").alias("w"),
+                                                    desc.alias("text"))
+    rel = r1.unionByName(r2).distinct().withColumn("kind", F.lit("relationship"))
+    ctx = ent.unionByName(rel).withColumn("n_tokens", word_count("text").cast("bigint"))
+    w = Window.partitionBy("query_id").orderBy(F.col("kind").asc(), F.col("rank").asc(), F.col("w").desc(),
+                                               F.col("text").asc())
+    ctx = ctx.withColumn("used_tokens", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ctx.where(F.col("used_tokens") <= budget).drop("w")
+
+
 def local_search(hits: DataFrame, units: DataFrame, budget: int = CONTEXT_BUDGET,
                  unit_key: str = "doc_id", token_col: str = "n_tokens") -> DataFrame:
     """Vector hits -> their text units -> running token budget per query."""

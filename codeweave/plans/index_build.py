@@ -129,6 +129,15 @@ class Index:
     def risk_rank(self, k: int = 20, ascending: bool = False) -> DataFrame:
         return G.risk_rank(self.relationships, k, ascending)
 
+    def local_search(self, question: str, k: int = 10, budget: int = S.CONTEXT_BUDGET) -> DataFrame:
+        """Hashed-TF similarity of the question to entity titles, top-k, 1-hop relationships."""
+        ents = self.tables["entities"].select(F.col("title").alias("doc_id"),
+                                              F.regexp_replace("title", "[^A-Za-z0-9]+", " ").alias("text"))
+        q = self.spark.createDataFrame([(0, question)], "doc_id long, text string")
+        qv = IX.text_embedding(q).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("query"))
+        hits = S.vector_topk(IX.text_embedding(ents), qv, k=k, id_col="doc_id", qid_col="query_id")
+        return S.one_hop_context(hits.where(F.col("score") > 0), self.relationships, budget)
+
     def global_search(self, question: str, dynamic: bool = True) -> DataFrame:
         """Map-reduce over community reports with the term scorer."""
         rep = self.tables["community_reports"]

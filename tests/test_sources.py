@@ -66,3 +66,5 @@ def test_end_to_end_index(spark, tmp_dir):
     assert IB.Index(spark, os.path.join(tmp_dir, "copy")).tables["entities"].count() == \
         idx.tables["entities"].count()
     assert idx.global_search("what purpose").columns[:2] == ["community", "level"]
+    ctx = idx.local_search("pkg init module", k=3).collect()
+    assert ctx and ctx[0].kind == "entity" and all(r.used_tokens <= 8000 for r in ctx)
