@@ -45,6 +45,30 @@ def nodes_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
 
 
+def encode_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dense ``long`` ids in name order: ``(ids(src, dst), dictionary(node, nid))``.
+
+    A range-partitioned sort then ``monotonically_increasing_id`` (partition
+    index in the high bits) gives ids that increase with the name, so "min id"
+    is "min name" and loop outputs decode to the same answers.  Loops then
+    shuffle 8-byte keys instead of strings; both tables are materialised once.
+    """
+    e = simple_edges(edges)
+    dic = _persist(nodes_of(e).orderBy("node").select("node", F.monotonically_increasing_id().alias("nid")))
+    ids = _persist(e.join(dic.select(F.col("node").alias("src"), F.col("nid").alias("s")), "src")
+                   .join(dic.select(F.col("node").alias("dst"), F.col("nid").alias("d")), "dst")
+                   .select(F.col("s").alias("src"), F.col("d").alias("dst")))
+    return ids, dic
+
+
+def decode_nodes(df: DataFrame, dic: DataFrame, cols: list[str]) -> DataFrame:
+    """Replace id columns by node names (one join per column against the dictionary)."""
+    for c in cols:
+        df = df.join(dic.select(F.col("nid").alias(c), F.col("node").alias(f"_{c}_name")), c) \
+            .drop(c).withColumnRenamed(f"_{c}_name", c)
+    return df
+
+
 # ------------------------------------------------------------------- degree
 def degree(edges: DataFrame) -> DataFrame:
     """In/out/total degree and weighted strength per node, one shuffle with map-side combine."""
@@ -94,11 +118,12 @@ def propagate_min_label(nodes: DataFrame, arcs: DataFrame, max_rounds: int | Non
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Weakly connected components: ``(node, component, component_size)``, component = min node id."""
-    e = simple_edges(edges)
+    e, dic = encode_nodes(edges)
     und = _persist(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    lab = propagate_min_label(nodes_of(und), und)
+    lab = propagate_min_label(dic.select(F.col("nid").alias("node")), und)
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
-    return lab.join(sizes, "label").select("node", F.col("label").alias("component"), "component_size")
+    out = lab.join(sizes, "label").select("node", F.col("label").alias("component"), "component_size")
+    return decode_nodes(out, dic, ["node", "component"]).select("node", "component", "component_size")
 
 
 # ------------------------------------------------------------------------ SCC
@@ -123,14 +148,19 @@ def _trim(nodes: DataFrame, e_all: DataFrame) -> DataFrame:
 
 
 def strongly_connected_components(edges: DataFrame) -> DataFrame:
-    """``(node, scc, scc_size, self_loop)`` for every node; ``scc`` = min node id of its SCC.
+    """``(node, scc, scc_size, self_loop)`` for every node; ``scc`` = min node name of its SCC.
 
     Trim, then forward colouring + backward reach inside each colour
     (the colouring SCC algorithm); each outer round removes at least one SCC
-    per colour.  Trimmed nodes are singleton SCCs.
+    per colour.  Trimmed nodes are singleton SCCs.  Runs on dense ids.
     """
-    e_all = _persist(simple_edges(edges))
-    all_nodes = _persist(nodes_of(e_all))
+    e_ids, dic = encode_nodes(edges)
+    out = _scc_ids(e_ids, dic.select(F.col("nid").alias("node")))
+    return decode_nodes(out, dic, ["node", "scc"]).select("node", "scc", "scc_size", "self_loop")
+
+
+def _scc_ids(e_all: DataFrame, all_nodes: DataFrame) -> DataFrame:
+    """SCC on already-distinct, already-materialised ``(src, dst)`` and ``(node)`` tables."""
     active = _trim(all_nodes, e_all)
     found = None
     n_active = active.count()
@@ -192,10 +222,10 @@ def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> Da
     Reverse breadth-first frontier loop; ``left_anti`` against the visited set;
     one table written per hop.  ``target`` itself is excluded (even on a cycle).
     """
-    e = _persist(simple_edges(edges))
-    spark = edges.sparkSession
-    vis = spark.createDataFrame([(target, 0)], "node string, hop int")
-    n_front, hop = 1, 0
+    e, dic = encode_nodes(edges)
+    start = dic.where(F.col("node") == F.lit(target)).select(F.col("nid").alias("node"), F.lit(0).alias("hop"))
+    vis = _persist(start)
+    n_front, hop = vis.count(), 0
     while n_front > 0 and (max_hops is None or hop < max_hops):
         hop += 1
         f = vis.where(F.col("hop") == hop - 1).select(F.col("node").alias("dst"))
@@ -203,7 +233,8 @@ def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> Da
                .join(vis.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)))
         vis = _persist(vis.unionByName(nxt))
         n_front = vis.where(F.col("hop") == hop).count()
-    return vis.where(F.col("hop") > 0).select(F.col("node").alias("module"), "hop")
+    out = vis.where(F.col("hop") > 0)
+    return decode_nodes(out, dic, ["node"]).select(F.col("node").alias("module"), "hop")
 
 
 def migration_waves(edges: DataFrame) -> DataFrame:
@@ -214,8 +245,8 @@ def migration_waves(edges: DataFrame) -> DataFrame:
     longest dependency chain below them).  Peeled with anti-joins; one table
     (the growing wave assignment) is written per wave.
     """
-    scc = _persist(strongly_connected_components(edges).select("node", "scc"))
-    e = simple_edges(edges)
+    e, dic = encode_nodes(edges)
+    scc = _persist(_scc_ids(e, dic.select(F.col("nid").alias("node"))).select("node", "scc"))
     ce = _persist(e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
                   .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
                   .where(F.col("a") != F.col("b")).select("a", "b").distinct())
@@ -234,8 +265,8 @@ def migration_waves(edges: DataFrame) -> DataFrame:
             raise RuntimeError("condensation is not acyclic; SCC step failed")
         n_rem = n_supers - n_done
         k += 1
-    return scc.join(assigned.select(F.col("a").alias("scc"), "wave"), "scc").select(
-        F.col("node").alias("module"), "scc", "wave")
+    out = scc.join(assigned.select(F.col("a").alias("scc"), "wave"), "scc").select("node", "scc", "wave")
+    return decode_nodes(out, dic, ["node", "scc"]).select(F.col("node").alias("module"), "scc", "wave")
 
 
 def risk_rank(edges: DataFrame, k: int = 20, ascending: bool = False) -> DataFrame:
