@@ -33,11 +33,6 @@ def extract_json(text) -> Column:
     return F.try_parse_json(json_span(text))
 
 
-def variant_kind(v) -> Column:
-    """'object' | 'array' | scalar type name | null."""
-    return F.schema_of_variant(_c(v))
-
-
 def truthy_str(x) -> Column:
     return F.nullif(_c(x), F.lit("")).isNotNull()
 
@@ -45,9 +40,3 @@ def truthy_str(x) -> Column:
 def truthy_arr(x) -> Column:
     return F.coalesce(F.size(_c(x)) > 0, F.lit(False))
 
-
-def count_occurrences(text, needle: str) -> Column:
-    """Non-overlapping occurrences of a literal substring (integer, engine-portable)."""
-    t = _c(text)
-    return ((F.length(t) - F.length(F.replace(t, F.lit(needle), F.lit("")))) /
-            F.lit(len(needle))).cast("bigint")

@@ -119,6 +119,37 @@ def community_table(membership: DataFrame) -> DataFrame:
     return membership.groupBy("community", "level", "parent").agg(F.count(F.lit(1)).alias("size"))
 
 
+def report_context(membership: DataFrame, edges: DataFrame, budget: int = 8000) -> DataFrame:
+    """Per community, members by degree then internal edges by weight, kept while the
+    running token count fits ``budget``.
+
+    Every row costs >= 1 token, so at most ``budget`` rows per community can
+    fit: a salted top-``budget`` bounds each community before the running-sum
+    window, so a giant level-0 community never sorts in one task.
+    ``(level, community, kind, text, n_tokens, used_tokens)``.
+    """
+    arcs = _undirected_weighted(edges)
+    deg = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    mem = membership.join(deg, "node", "left").select(
+        "level", "community", F.lit(0).alias("kind_order"), F.lit("entity").alias("kind"),
+        F.coalesce("degree", F.lit(0)).cast("double").alias("w"), F.col("node").alias("text"))
+    e = simple_edges(edges)
+    ms = membership.select("level", "community", F.col("node").alias("src"))
+    md = membership.select("level", F.col("community").alias("c2"), F.col("node").alias("dst"))
+    inner = (e.join(ms, "src").join(md, ["level", "dst"]).where(F.col("community") == F.col("c2"))
+             .join(arcs, ["src", "dst"])
+             .select("level", "community", F.lit(1).alias("kind_order"), F.lit("relationship").alias("kind"),
+                     F.col("w"), F.concat_ws(" -> ", "src", "dst").alias("text")))
+    rows = mem.unionByName(inner).withColumn("n_tokens", F.greatest(
+        F.size(F.split(F.col("text"), "[^A-Za-z0-9]+")), F.lit(1)).cast("bigint"))
+    order = [F.col("kind_order").asc(), F.col("w").desc(), F.col("text").asc()]
+    top = top_k_per_group(rows, ["level", "community"], order, budget, salt_cols=["text"], rank_col="_r")
+    w = Window.partitionBy("level", "community").orderBy("_r")
+    ctx = top.withColumn("used_tokens", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return ctx.where(F.col("used_tokens") <= budget).select(
+        "level", "community", "kind", "text", "n_tokens", "used_tokens")
+
+
 def community_reports(membership: DataFrame, edges: DataFrame, top_k: int = 10) -> DataFrame:
     """Extractive report per community: title, summary, content (top members) and rank.
 

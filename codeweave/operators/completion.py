@@ -30,14 +30,22 @@ ChatFn = Callable[[list], list]
 ANSWER_SCHEMA = "prompt_key string, content string, error string"
 
 
-def prompt_key(messages: str | Column = "messages", model: str = "") -> Column:
+def prompt_key(messages: str | Column = "messages", model: str = "", index: Column | None = None) -> Column:
+    """sha256 over model, role/content pairs and (for n > 1) the completion index."""
     m = F.col(messages) if isinstance(messages, str) else messages
     pairs = F.transform(m, lambda x: F.concat(x["role"], F.lit("\x1e"), x["content"]))
-    return F.sha2(F.concat_ws("\x1f", F.lit(model), F.array_join(pairs, "\x1f")), 256)
+    parts = [F.lit(model), F.array_join(pairs, "\x1f")]
+    if index is not None:
+        parts.append(index.cast("string"))
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def with_prompt_key(df: DataFrame, model: str = "") -> DataFrame:
-    return df.withColumn("prompt_key", prompt_key("messages", model))
+def with_prompt_key(df: DataFrame, model: str = "", n: int = 1) -> DataFrame:
+    """Key every row; with ``n`` > 1 each row becomes n rows (``completion_index``), each its own key."""
+    if n <= 1:
+        return df.withColumn("prompt_key", prompt_key("messages", model))
+    df = df.withColumn("completion_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return df.withColumn("prompt_key", prompt_key("messages", model, F.col("completion_index")))
 
 
 def cache_misses(prompts: DataFrame, cache: DataFrame | None) -> DataFrame:
@@ -48,12 +56,14 @@ def cache_misses(prompts: DataFrame, cache: DataFrame | None) -> DataFrame:
     return todo
 
 
-def _call_batches(chat_fn: ChatFn):
+def _call_batches(chat_fn: ChatFn, options: dict | None = None):
+    opts = dict(options or {})
+
     def run(batches):
         for pdf in batches:
             msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]]
             try:
-                out = list(chat_fn(msgs))
+                out = list(chat_fn(msgs, **opts) if opts else chat_fn(msgs))
                 err = [None] * len(out)
             except Exception as e:  # noqa: BLE001 -- recorded per row, retried on the next run
                 out, err = [None] * len(msgs), [f"{type(e).__name__}: {e}"] * len(msgs)
@@ -62,10 +72,15 @@ def _call_batches(chat_fn: ChatFn):
 
 
 def complete(prompts: DataFrame, chat_fn: ChatFn, model: str = "", cache_path: str | None = None,
-             concurrency: int = 2) -> DataFrame:
-    """Answer every row's ``messages``; returns the rows with ``content`` and ``error`` added."""
+             concurrency: int = 2, n: int = 1, options: dict | None = None) -> DataFrame:
+    """Answer every row's ``messages``; returns the rows with ``content`` and ``error`` added.
+
+    ``n`` completions per prompt (rows gain ``completion_index``); ``options``
+    (e.g. ``{"temperature": 0, "response_format": {"type": "json_object"}}``)
+    are passed to ``chat_fn`` as keyword arguments.
+    """
     spark = prompts.sparkSession
-    keyed = with_prompt_key(prompts, model)
+    keyed = with_prompt_key(prompts, model, n)
     cache = None
     if cache_path:
         try:
@@ -73,7 +88,7 @@ def complete(prompts: DataFrame, chat_fn: ChatFn, model: str = "", cache_path: s
         except Exception:  # noqa: BLE001 -- first run: no cache yet
             cache = None
     todo = cache_misses(keyed.select("prompt_key", "messages"), cache)
-    answers = todo.repartition(concurrency).mapInPandas(_call_batches(chat_fn), ANSWER_SCHEMA)
+    answers = todo.repartition(concurrency).mapInPandas(_call_batches(chat_fn, options), ANSWER_SCHEMA)
     if cache_path:
         # failed calls are not cached, so the next run retries exactly those keys
         answers = cut_lineage(answers)

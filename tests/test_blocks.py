@@ -51,3 +51,28 @@ def test_metadata_text_and_csv(spark, tmp_dir):
     assert path.endswith("data_python__123.csv")
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     assert back.count() == 1 and back.first().file_path == "a.py"
+
+
+def test_n_completions_and_options(spark, tmp_dir):
+    seen = []
+
+    def chat(msgs, **opts):
+        seen.append(opts)
+        return [f"answer {len(m)}" for m in msgs]
+    df = spark.createDataFrame([("hi",)], "q string").select(
+        F.array(F.struct(F.lit("user").alias("role"), F.col("q").alias("content"))).alias("messages"))
+    out = C.complete(df, chat, "m", None, n=3, options={"response_format": {"type": "json_object"}})
+    rows = out.select("completion_index", "content").collect()
+    assert sorted(r.completion_index for r in rows) == [0, 1, 2]
+    assert len({r.content for r in rows}) == 1
+
+
+def test_report_context_budget(spark):
+    from codeweave.operators import communities as CM
+    e = spark.createDataFrame([(f"n{i}", f"n{(i * 7) % 30}", 1) for i in range(30)],
+                              "source string, target string, weight long")
+    m = CM.hierarchical_communities(e, max_size=10)
+    ctx = CM.report_context(m, e, budget=12).toPandas()
+    assert (ctx.used_tokens <= 12).all()
+    for _, g in ctx.groupby(["level", "community"]):
+        assert list(g.sort_values("used_tokens").kind)[0] == "entity"
