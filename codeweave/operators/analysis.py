@@ -89,12 +89,18 @@ def root_modules(rel: DataFrame, entities: DataFrame) -> DataFrame:
 def dependency_report(rel: DataFrame, module_name: str, dependents_of: str = "database",
                       literal: bool = False) -> DataFrame:
     """Dependencies of a module, dependents of another, and the layers -- one tagged table."""
-    deps = find_dependencies(rel, module_name, literal).withColumn("section", F.lit("dependencies"))
-    dents = find_dependents(rel, dependents_of, literal).withColumn("section", F.lit("dependents"))
-    edges = deps.unionByName(dents).select(
-        "section", "from", "to", "type", "weight",
-        F.lit(None).cast("string").alias("module"), F.lit(None).cast("bigint").alias("in_degree"),
-        F.lit(None).cast("int").alias("pos"))
+    # both edge sections from one scan: a row matching both appears once per section
+    dep_c = (F.col("source").rlike(_pattern(module_name, literal))
+             & F.col("description").rlike("(?iu)" + IMPORT_OR_DEPEND))
+    dnt_c = (F.col("target").rlike(_pattern(dependents_of, literal))
+             & F.col("description").rlike("(?iu)" + IMPORT_OR_DEPEND))
+    tags = F.array_compact(F.array(F.when(dep_c, F.lit("dependencies")), F.when(dnt_c, F.lit("dependents"))))
+    weight = F.col("weight").cast("double") if "weight" in rel.columns else F.lit(1.0)
+    edges = (rel.where(dep_c | dnt_c)
+             .select(F.explode(tags).alias("section"), F.col("source").alias("from"), F.col("target").alias("to"),
+                     F.col("description").alias("type"), weight.alias("weight"),
+                     F.lit(None).cast("string").alias("module"), F.lit(None).cast("bigint").alias("in_degree"),
+                     F.lit(None).cast("int").alias("pos")))
     layers = dependency_layers(rel).select(
         F.col("layer").alias("section"), F.lit(None).cast("string").alias("from"),
         F.lit(None).cast("string").alias("to"), F.lit(None).cast("string").alias("type"),

@@ -59,20 +59,28 @@ def _norm_title(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
+def _pairs(items, kind: str, first=None):
+    """array<struct<a, b, type>> from an array column (``first`` fixed on the left when given)."""
+    if first is None:
+        return F.transform(F.coalesce(items, F.array().cast("array<string>")),
+                           lambda x: F.struct(x.alias("a"), F.lit(None).cast("string").alias("b"), F.lit(kind).alias("type")))
+    return F.transform(F.coalesce(items, F.array().cast("array<string>")),
+                       lambda x: F.struct(first.alias("a"), x.alias("b"), F.lit(kind).alias("type")))
+
+
+def _one(a, b, kind: str):
+    return F.array(F.struct(a.cast("string").alias("a"), b.cast("string").alias("b"), F.lit(kind).alias("type")))
+
+
 def structural_mentions(md: DataFrame) -> DataFrame:
-    """Entity mentions from typed metadata: one row per (file, name, type)."""
+    """Entity mentions from typed metadata: one row per (file, name, type) -- one scan, one explode."""
     fp = F.col("file_path")
-    parts = [
-        md.select(fp, fp.alias("name"), F.lit("module").alias("type")),
-        md.where(F.col("package").isNotNull() & (F.col("package") != ""))
-          .select(fp, F.col("package").alias("name"), F.lit("package").alias("type")),
-        md.select(fp, F.explode("imports").alias("name"), F.lit("dependency").alias("type")),
-        md.select(fp, F.explode("classes").alias("name"), F.lit("class").alias("type")),
-        md.select(fp, F.col("method_name").alias("name"), F.lit("function").alias("type")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    pkg = F.when(F.col("package").isNotNull() & (F.col("package") != ""), _one(F.col("package"), F.lit(None), "package")) \
+        .otherwise(F.array().cast("array<struct<a:string,b:string,type:string>>"))
+    items = F.concat(_one(fp, F.lit(None), "module"), pkg, _pairs(F.col("imports"), "dependency"),
+                     _pairs(F.col("classes"), "class"), _one(F.col("method_name"), F.lit(None), "function"))
+    ex = md.select(fp, F.explode(items).alias("m"))
+    out = ex.select(fp, F.col("m.a").alias("name"), F.col("m.type").alias("type"))
     return out.where(F.col("name").isNotNull() & (F.trim(F.col("name")) != ""))
 
 
@@ -88,22 +96,22 @@ def structural_relationships(md: DataFrame, callee_is_caller: bool = True) -> Da
 
     IMPORTS: file -> import; USES: file -> class; DEPENDS_ON: file -> package;
     CALLS: caller -> method (callee lists read as callers by default).
-    Edges whose endpoints are not entities are dropped (two semi-joins).
+    One explode per metadata row; edges whose endpoints are not entities are
+    dropped (two semi-joins against the merged entity titles).
     """
     fp = F.col("file_path")
-    calls = md.select(fp, F.explode("callees").alias("other"), "method_name")
-    src, dst = ("other", "method_name") if callee_is_caller else ("method_name", "other")
-    parts = [
-        md.select(fp, fp.alias("s"), F.explode("imports").alias("t"), F.lit("IMPORTS").alias("type")),
-        md.select(fp, fp.alias("s"), F.explode("classes").alias("t"), F.lit("USES").alias("type")),
-        md.where(F.col("package").isNotNull() & (F.col("package") != ""))
-          .select(fp, fp.alias("s"), F.col("package").alias("t"), F.lit("DEPENDS_ON").alias("type")),
-        calls.select(fp, F.col(src).alias("s"), F.col(dst).alias("t"), F.lit("CALLS").alias("type")),
-    ]
-    rel = parts[0]
-    for p in parts[1:]:
-        rel = rel.unionByName(p)
-    rel = rel.select(fp, _norm_title(F.col("s")).alias("source"), _norm_title(F.col("t")).alias("target"), "type")
+    pkg = F.when(F.col("package").isNotNull() & (F.col("package") != ""), _one(fp, F.col("package"), "DEPENDS_ON")) \
+        .otherwise(F.array().cast("array<struct<a:string,b:string,type:string>>"))
+    callees = F.coalesce(F.col("callees"), F.array().cast("array<string>"))
+    if callee_is_caller:
+        calls = F.transform(callees, lambda x: F.struct(x.alias("a"), F.col("method_name").alias("b"),
+                                                        F.lit("CALLS").alias("type")))
+    else:
+        calls = _pairs(callees, "CALLS", F.col("method_name"))
+    items = F.concat(_pairs(F.col("imports"), "IMPORTS", fp), _pairs(F.col("classes"), "USES", fp), pkg, calls)
+    rel = md.select(fp, F.explode(items).alias("r")).select(
+        fp, _norm_title(F.col("r.a")).alias("source"), _norm_title(F.col("r.b")).alias("target"),
+        F.col("r.type").alias("type"))
     merged = rel.groupBy("source", "target", "type").agg(
         F.count(F.lit(1)).alias("weight"), F.countDistinct("file_path").alias("n_files"))
     ent = structural_entities(md).select("title").distinct()

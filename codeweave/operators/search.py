@@ -153,12 +153,28 @@ def global_search(docs: DataFrame, question: str, dynamic: bool = True) -> DataF
 def migration_report(docs: DataFrame, questions: list[str] = MIGRATION_QUESTIONS) -> DataFrame:
     """One row per question -- ``(question_no, section)`` with the '### Question' format.
 
-    An empty answer is an error in the original; here it is the text
+    All questions are scored in one pass over the documents (one hit column per
+    question); each question then selects and reduces over the small report
+    table.  An empty answer is an error in the original; here it is the text
     'No relevant reports.' so the batch always returns all sections.
     """
+    term_sets = [question_terms(q) for q in questions]
+    per_doc = docs.select("source", "lang", word_count("text").alias("words"),
+                          *[term_hits("text", t).alias(f"h{i}") for i, t in enumerate(term_sets)])
+    sums = [F.sum(f"h{i}").alias(f"h{i}") for i in range(len(questions))]
+    l1 = per_doc.groupBy("source", "lang").agg(F.sum("words").alias("w"), *sums)
+    l0 = l1.groupBy("source").agg(F.sum("w").alias("w"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(questions))])
+    cap = F.least(F.col("w"), F.lit(REPORT_MAX_TOKENS)).cast("bigint")
+    r0 = l0.select(F.col("source").alias("community"), F.lit(0).alias("level"),
+                   F.lit(None).cast("string").alias("parent"), cap.alias("n_tokens"),
+                   *[f"h{i}" for i in range(len(questions))])
+    r1 = l1.select(F.concat_ws("/", "source", "lang").alias("community"), F.lit(1).alias("level"),
+                   F.col("source").alias("parent"), cap.alias("n_tokens"), *[f"h{i}" for i in range(len(questions))])
+    reports = r0.unionByName(r1)
     parts = []
     for i, q in enumerate(questions):
-        ans = answer_text(global_search(docs, q)).select(
+        rep = reports.select("community", "level", "parent", "n_tokens", F.col(f"h{i}").cast("bigint").alias("score"))
+        ans = answer_text(map_reduce(select_dynamic(rep))).select(
             F.lit(i).alias("question_no"),
             F.concat(F.lit(f"### Question: {q}\n\n###Answer: "),
                      F.coalesce(F.nullif(F.col("answer"), F.lit("")), F.lit("No relevant reports.")),
