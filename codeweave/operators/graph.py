@@ -45,24 +45,36 @@ def nodes_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
 
 
-def encode_nodes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dense ``long`` ids in name order: ``(ids(src, dst), dictionary(node, nid))``.
+ENCODE_MIN_NODES = 1_000_000
 
-    A range-partitioned sort then ``monotonically_increasing_id`` (partition
-    index in the high bits) gives ids that increase with the name, so "min id"
-    is "min name" and loop outputs decode to the same answers.  Loops then
-    shuffle 8-byte keys instead of strings; both tables are materialised once.
+
+def encode_nodes(edges: DataFrame, min_nodes: int | None = None):
+    """Distinct edges and nodes, on dense ``long`` ids once the graph is large.
+
+    Returns ``(edges(src, dst), nodes(node), dictionary or None)``.  Above
+    ``min_nodes`` nodes, a range-partitioned sort then
+    ``monotonically_increasing_id`` (partition index in the high bits) gives
+    ids that increase with the name, so "min id" is "min name" and loop results
+    decode to the same answers while every round shuffles 8-byte keys instead
+    of paths.  Below it, the sort and the two joins would cost more than they
+    save, so names are used as they are.
     """
-    e = simple_edges(edges)
-    dic = _persist(nodes_of(e).orderBy("node").select("node", F.monotonically_increasing_id().alias("nid")))
+    min_nodes = ENCODE_MIN_NODES if min_nodes is None else min_nodes
+    e = _persist(simple_edges(edges))
+    nodes = _persist(nodes_of(e))
+    if nodes.count() < min_nodes:
+        return e, nodes, None
+    dic = _persist(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("nid")))
     ids = _persist(e.join(dic.select(F.col("node").alias("src"), F.col("nid").alias("s")), "src")
                    .join(dic.select(F.col("node").alias("dst"), F.col("nid").alias("d")), "dst")
                    .select(F.col("s").alias("src"), F.col("d").alias("dst")))
-    return ids, dic
+    return ids, dic.select(F.col("nid").alias("node")), dic
 
 
-def decode_nodes(df: DataFrame, dic: DataFrame, cols: list[str]) -> DataFrame:
+def decode_nodes(df: DataFrame, dic: DataFrame | None, cols: list[str]) -> DataFrame:
     """Replace id columns by node names (one join per column against the dictionary)."""
+    if dic is None:
+        return df
     for c in cols:
         df = df.join(dic.select(F.col("nid").alias(c), F.col("node").alias(f"_{c}_name")), c) \
             .drop(c).withColumnRenamed(f"_{c}_name", c)
@@ -118,9 +130,9 @@ def propagate_min_label(nodes: DataFrame, arcs: DataFrame, max_rounds: int | Non
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Weakly connected components: ``(node, component, component_size)``, component = min node id."""
-    e, dic = encode_nodes(edges)
+    e, nodes, dic = encode_nodes(edges)
     und = _persist(e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    lab = propagate_min_label(dic.select(F.col("nid").alias("node")), und)
+    lab = propagate_min_label(nodes, und)
     sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("component_size"))
     out = lab.join(sizes, "label").select("node", F.col("label").alias("component"), "component_size")
     return decode_nodes(out, dic, ["node", "component"]).select("node", "component", "component_size")
@@ -154,8 +166,8 @@ def strongly_connected_components(edges: DataFrame) -> DataFrame:
     (the colouring SCC algorithm); each outer round removes at least one SCC
     per colour.  Trimmed nodes are singleton SCCs.  Runs on dense ids.
     """
-    e_ids, dic = encode_nodes(edges)
-    out = _scc_ids(e_ids, dic.select(F.col("nid").alias("node")))
+    e_ids, nodes, dic = encode_nodes(edges)
+    out = _scc_ids(e_ids, nodes)
     return decode_nodes(out, dic, ["node", "scc"]).select("node", "scc", "scc_size", "self_loop")
 
 
@@ -222,8 +234,9 @@ def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> Da
     Reverse breadth-first frontier loop; ``left_anti`` against the visited set;
     one table written per hop.  ``target`` itself is excluded (even on a cycle).
     """
-    e, dic = encode_nodes(edges)
-    start = dic.where(F.col("node") == F.lit(target)).select(F.col("nid").alias("node"), F.lit(0).alias("hop"))
+    e, _, dic = encode_nodes(edges)
+    start = (dic.where(F.col("node") == F.lit(target)).select(F.col("nid").alias("node")) if dic is not None
+             else e.sparkSession.createDataFrame([(target,)], "node string")).withColumn("hop", F.lit(0))
     vis = _persist(start)
     n_front, hop = vis.count(), 0
     while n_front > 0 and (max_hops is None or hop < max_hops):
@@ -245,8 +258,8 @@ def migration_waves(edges: DataFrame) -> DataFrame:
     longest dependency chain below them).  Peeled with anti-joins; one table
     (the growing wave assignment) is written per wave.
     """
-    e, dic = encode_nodes(edges)
-    scc = _persist(_scc_ids(e, dic.select(F.col("nid").alias("node"))).select("node", "scc"))
+    e, nodes, dic = encode_nodes(edges)
+    scc = _persist(_scc_ids(e, nodes).select("node", "scc"))
     ce = _persist(e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
                   .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
                   .where(F.col("a") != F.col("b")).select("a", "b").distinct())

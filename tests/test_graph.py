@@ -119,3 +119,21 @@ def test_long_chain_few_rounds(spark):
     assert set(got.values()) == {("v000", n)}
     comp = {r.component for r in G.connected_components(edf(spark, e[:-1])).collect()}
     assert comp == {"v000"}
+
+
+def test_dense_id_encoding_matches_names(spark):
+    import codeweave.operators.graph as GG
+    e = [("b", "c"), ("c", "b"), ("a", "b"), ("d", "d"), ("e", "a")]
+    old = GG.ENCODE_MIN_NODES
+    try:
+        GG.ENCODE_MIN_NODES = 0          # force the long-id path on a tiny graph
+        got = {r.node: (r.scc, r.scc_size) for r in GG.strongly_connected_components(edf(spark, e)).collect()}
+        comp = {r.node: r.component for r in GG.connected_components(edf(spark, e)).collect()}
+        imp = {r.module: r.hop for r in GG.impact_set(edf(spark, e), "b").collect()}
+        waves = {r.module: r.wave for r in GG.migration_waves(edf(spark, e)).collect()}
+    finally:
+        GG.ENCODE_MIN_NODES = old
+    assert got == {"a": ("a", 1), "b": ("b", 2), "c": ("b", 2), "d": ("d", 1), "e": ("e", 1)}
+    assert comp == {"a": "a", "b": "a", "c": "a", "e": "a", "d": "d"}
+    assert imp == {"c": 1, "a": 1, "e": 2}
+    assert waves["b"] == 0 and waves["a"] == 1 and waves["e"] == 2
