@@ -4,8 +4,9 @@ Our design (the original delegates to hierarchical Leiden):
 
 * level 0 = weakly connected components (exact; a community never spans two);
 * level L+1 re-clusters every community of level L larger than ``max_size``
-  with weighted label propagation restricted to intra-community edges
-  (deterministic: heaviest neighbour label, ties to the smallest label, a
+  with weighted, capacity-aware label propagation restricted to
+  intra-community edges (deterministic: heaviest eligible neighbour label,
+  ties to the smallest label, labels of full communities are not eligible, a
   bounded number of semi-synchronous rounds);
 * a community that label propagation cannot split is divided into ordered
   buckets of ``max_size`` (nodes ranked by degree, then id) -- exact when the
@@ -38,8 +39,15 @@ def _undirected_weighted(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("w"))
 
 
-def label_propagation(members: DataFrame, arcs: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """``members(node, grp)`` -> ``(node, grp, label)``; labels move only along same-group arcs."""
+def label_propagation(members: DataFrame, arcs: DataFrame, max_rounds: int = 10,
+                      cap: int | None = None) -> DataFrame:
+    """``members(node, grp)`` -> ``(node, grp, label)``; labels move only along same-group arcs.
+
+    With ``cap`` a node may adopt a neighbour's label only while that label's
+    community is smaller than ``cap`` (or the label is already its own), which
+    keeps propagation from flooding a whole component with one label; the
+    overshoot of simultaneous joins is split again at the next level.
+    """
     g_src = members.select(F.col("node").alias("src"), F.col("grp").alias("gs"))
     g_dst = members.select(F.col("node").alias("dst"), F.col("grp").alias("gd"))
     a = cut_lineage(arcs.join(g_src, "src").join(g_dst, "dst").where(F.col("gs") == F.col("gd"))
@@ -49,6 +57,12 @@ def label_propagation(members: DataFrame, arcs: DataFrame, max_rounds: int = 10)
     for rnd in range(max_rounds):
         cand = (a.join(lab.select(F.col("node").alias("src"), "label"), "src")
                 .groupBy("dst", "label").agg(F.sum("w").alias("score")))
+        if cap is not None:
+            sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("_sz"))
+            cur = lab.select(F.col("node").alias("dst"), F.col("label").alias("_cur"))
+            cand = (cand.join(sizes, "label").join(cur, "dst")
+                    .where((F.col("_sz") < cap) | (F.col("label") == F.col("_cur")))
+                    .select("dst", "label", "score"))
         # heaviest label, ties to the smallest: partial aggregates, skew-safe
         best = cand.groupBy(F.col("dst").alias("node")).agg(
             F.min_by("label", F.struct((-F.col("score")).alias("s"), F.col("label").alias("l"))).alias("nl"))
@@ -80,8 +94,8 @@ def _ordered_split(members: DataFrame, deg: DataFrame, max_size: int, level: int
     return out.select("node", "grp", F.concat(F.col("grp"), F.lit("."), F.col("_b").cast("string")).alias("label"))
 
 
-def hierarchical_communities(edges: DataFrame, max_size: int = 10, lpa_levels: int = 2,
-                             lpa_rounds: int = 10, max_levels: int = 12) -> DataFrame:
+def hierarchical_communities(edges: DataFrame, max_size: int = 10, lpa_levels: int = 1,
+                             lpa_rounds: int = 3, max_levels: int = 12) -> DataFrame:
     comps = connected_components(edges)
     level0 = comps.select(F.lit(0).alias("level"), F.concat(F.lit("0:"), F.col("component")).alias("community"),
                           F.lit(None).cast("string").alias("parent"), "node")
@@ -96,7 +110,7 @@ def hierarchical_communities(edges: DataFrame, max_size: int = 10, lpa_levels: i
         if members.isEmpty():
             break
         if lvl <= lpa_levels:
-            lab = label_propagation(members, arcs, lpa_rounds)
+            lab = label_propagation(members, arcs, lpa_rounds, cap=max_size)
             n_sub = lab.groupBy("grp").agg(F.countDistinct("label").alias("_k"))
             split_ok = n_sub.where(F.col("_k") > 1).select("grp")
             by_lpa = lab.join(split_ok, "grp", "left_semi")
