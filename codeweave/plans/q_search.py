@@ -104,7 +104,8 @@ top as (select query_id, id, round(score, 6) as score, rank::int as rank from r
 @register("vector_topk", _VEC_SQL + "select * from top")
 def q_vector_topk(spark, d):
     emb = X.table(spark, d, "embeddings")
-    return S.vector_topk(emb, S.label_centroids(emb), k=TOP_K)
+    top = S.vector_topk(emb, S.label_centroids(emb), k=TOP_K)
+    return top.select(F.col("query_id").cast("bigint").alias("query_id"), "id", "score", "rank")
 
 
 @register("local_search", _VEC_SQL + f""",
@@ -118,4 +119,5 @@ def q_local_search(spark, d):
     hits = S.vector_topk(emb, S.label_centroids(emb), k=TOP_K)
     units = X.table(spark, d, "documents").select("doc_id", S.word_count("text").cast("bigint").alias("n_tokens"))
     r = S.local_search(hits, units)
-    return r.select("query_id", "id", "rank", "n_tokens", F.col("used_tokens").cast("bigint"))
+    return r.select(F.col("query_id").cast("bigint").alias("query_id"), "id", "rank", "n_tokens",
+                    F.col("used_tokens").cast("bigint"))
