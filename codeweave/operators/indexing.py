@@ -48,10 +48,14 @@ def chunk_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     step = size - overlap
     toks = df.select(id_col, tokens(text_col).alias("_t")).withColumn("_n", F.size("_t"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - overlap - 1, F.lit(0)), F.lit(step))
-    ex = toks.where(F.col("_n") > 0).select(id_col, "_t", "_n", F.posexplode(starts).alias("chunk_index", "start_token"))
-    piece = F.slice("_t", F.col("start_token") + 1, size)
-    return ex.select(id_col, F.col("chunk_index").cast("int"), F.col("start_token").cast("int"),
-                     F.size(piece).cast("int").alias("n_tokens"), F.array_join(piece, " ").alias("text"))
+    # build every chunk inside the row, then explode only the chunks: each output
+    # row carries its own text, never a copy of the whole token array
+    chunks = F.transform(starts, lambda st: F.struct(
+        st.alias("start_token"), F.size(F.slice("_t", st + 1, size)).alias("n_tokens"),
+        F.array_join(F.slice("_t", st + 1, size), " ").alias("text")))
+    ex = toks.where(F.col("_n") > 0).select(id_col, F.posexplode(chunks).alias("chunk_index", "c"))
+    return ex.select(id_col, F.col("chunk_index").cast("int"), F.col("c.start_token").cast("int").alias("start_token"),
+                     F.col("c.n_tokens").cast("int").alias("n_tokens"), F.col("c.text").alias("text"))
 
 
 # ----------------------------------------------------------------- I2, I6
