@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe, decontaminate, langid, toxicity, urls
+from codeweave.llm import bpe, decontaminate, langid, licences, pii, toxicity, urls
 from codeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, found="kinds").withColumn("n_entities", F.size("kinds").cast("long"))
