@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe, decontaminate, langid, licences, pii, toxicity, urls
+from codeweave.llm import bpe, decontaminate, htmltext, langid, licences, pii, toxicity, urls
 from codeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,8 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.replace_entities(docs, found="kinds").withColumn("n_entities", F.size("kinds").cast("long"))
+
+
+@query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
