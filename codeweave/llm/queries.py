@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe, decontaminate, htmltext, langid, licences, pii, toxicity, urls
+from codeweave.llm import bpe, decontaminate, htmltext, jaccard, langid, licences, pii, toxicity, urls
 from codeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,11 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_jaccard_join"] = jaccard.oracle()
