@@ -14,11 +14,11 @@ with ``v = 1`` is signed by its subset, one with ``v = 2`` also by its one-delet
 neighbourhood.  ``scheme`` picks ``m`` and the number of twos by cost (signatures
 written), keeping segments of at least ``LEAST`` shingles where it can.
 
-*Slack.*  Allocations add up to ``H + 1 + slack``.  A set may therefore leave out
-signatures that are shared by more than ``HOT`` classes (those of empty segments
-are always counted so) as long as the allocations of the segments they come from
-don't exceed the slack: a partner must then agree with it on another one.  Texts that
-share a passage stop meeting; near copies, which share nearly all, still do.
+*Slack.*  Allocations add up to ``H + 1 + gaps + slack``.  A set may leave out the
+signatures of empty segments while their allocations don't exceed ``gaps``, and
+signatures that are shared by more than ``HOT`` classes while those don't exceed
+``slack``: a partner must then agree with it on another one.  Texts that share a
+passage stop meeting; near copies, which share nearly all, still do.
 
 *Verification.*  Candidates are verified exactly on the sets of the whole texts.
 Within a signature all members are compared with the least one, so a group of
@@ -27,10 +27,13 @@ signature that are in different components are left: they are compared with
 further members in turn, or all at once as soon as they are few (at most
 ``DIRECT`` a class).  No link between classes is lost to the components.
 
+Signatures are flat rows ``(key, class)`` of 16 bytes; they are computed again
+where they are used twice, which costs less than to keep them.
+
 Cases: null and wordless texts have an empty set and link with nothing; texts of
-fewer than ``k`` words have one shingle; rows with one id are one document (each
-keeps its own size); rows without an id get the component of the documents with
-their set, else null; empty tables give empty results; other columns aren't read.
+fewer than ``k`` words have one shingle; rows of one id are judged apart; rows
+without an id belong to the documents with their set, else they are alone (their
+component is null); empty tables give empty results; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -47,10 +50,10 @@ from pyspark.sql import functions as F
 
 from codeweave.llm.common import components, free_name, materialise
 
-LEAST = 4
+LEAST = 3
 HOT = 64
 DIRECT = 20
-WIDTH = 3  # a band spans a factor of (den/num) ** WIDTH
+BAND = 1.3  # largest size of a band over its smallest
 CACHE_WORDS = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -94,7 +97,8 @@ class Scheme:
     most: int  # largest
     segments: int
     twos: int  # the first segments, with allocation 2
-    slack: int
+    gaps: int  # allocation of empty segments that may be left out
+    slack: int  # allocation of hot segments that may be left out
 
 
 def difference(size: int, num: int, den: int) -> int:
@@ -103,40 +107,34 @@ def difference(size: int, num: int, den: int) -> int:
 
 
 def scheme(least: int, most: int, num: int, den: int) -> Scheme:
-    """Cheapest allocation of the band's segments."""
+    """Cheapest allocation of the band.
+
+    Ones cost a signature each, twos one more for each shingle; so there are as many
+    ones as leave segments of ``LEAST`` shingles, and twos make up the rest.
+    """
     need = difference(most, num, den) + 1
-    slack = 1 + need // 4
-    best = None
-    for twos in range(0, need + slack + 1):
-        m = need + slack - twos
-        if m < max(twos, 1):
-            break
-        t = least / m
-        cost = (m - twos) + twos * (1 + most / m)
-        rank = (max(0.0, LEAST - t), cost)  # thin segments only if nothing else is left
-        if best is None or rank < best[0]:
-            best = (rank, Scheme(least, most, m, twos, slack))
-        if t >= LEAST:
-            break
-    return best[1]
+    gaps, slack = 1 + need // 12, need // 8
+    total = need + gaps + slack
+    m = max(-(-total // 2), min(total, least // LEAST))
+    return Scheme(least, most, m, total - m, gaps, slack)
 
 
 @cache
 def schemes(num: int, den: int) -> tuple[Scheme, ...]:
-    """Bands of all sizes that can differ at all; smaller sets must be equal."""
+    """Bands of all sizes that can differ at all (fewer than 128); smaller sets must be equal."""
     out, least = [], 1
     while difference(least, num, den) == 0:
         least += 1
     while least < 2**40:
-        most = max(least, int(least * (den / num) ** WIDTH))
+        most = max(least, int(least * BAND))
         out.append(scheme(least, most, num, den))
         least = most + 1
     return tuple(out)
 
 
-def signatures(u: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For each scheme the set signs for: (slack left << 8 | scheme, keys, allocation << 32 | segment)."""
-    out, n = [], len(u)
+def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
+    """All signatures of a set; the lowest 7 bits of a signature are its scheme."""
+    out, n = [np.empty(0, np.int64)], len(u)
     for j, s in enumerate(schemes(num, den)):
         if n > s.most:
             continue
@@ -146,56 +144,76 @@ def signatures(u: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray,
         v = _mix(u ^ salt)
         seg = ((v >> np.uint64(32)) * np.uint64(s.segments) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
-        v, sorted_seg = _mix(v * _M[2])[order], seg[order]
+        v, seg = _mix(v * _M[2])[order], seg[order]
         size = np.bincount(seg, minlength=s.segments)
         upto = np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])
         ends = np.cumsum(size)
         total = upto[ends] - upto[ends - size]
-        of = np.arange(s.segments, dtype=np.int64)
-        deleted = sorted_seg < s.twos
-        where = np.concatenate([of, sorted_seg[deleted]])
-        content = np.concatenate([total, (total[sorted_seg] - v)[deleted]])
-        empty = np.concatenate([size == 0, (size[sorted_seg] == 1)[deleted]])
-        alloc = np.where(where < s.twos, 2, 1)
-        cost = int(alloc[empty][np.unique(where[empty], return_index=True)[1]].sum()) if empty.any() else 0
-        slack = s.slack
-        if cost <= slack:
-            where, content, alloc = where[~empty], content[~empty], alloc[~empty]
-            slack -= cost
+        near = seg < s.twos  # shingles whose deletion is signed
+        where = np.concatenate([np.arange(s.segments), seg[near]])
+        content = np.concatenate([total, total[seg[near]] - v[near]])
+        empty = np.concatenate([size == 0, size[seg[near]] == 1])
+        if empty.any():
+            gone = np.unique(where[empty])
+            if len(gone) + int((gone < s.twos).sum()) <= s.gaps:
+                where, content = where[~empty], content[~empty]
         keys = _mix((content ^ _mix(where.astype(np.uint64) + salt)) * _M[0])
-        out.append((min(slack, 2**20) << 8 | j, keys.view(np.int64), alloc << 32 | where))
-    return out
+        out.append((keys & ~np.uint64(127) | np.uint64(j)).view(np.int64))
+    return np.concatenate(out)
 
 
-def _signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(id, n_shingles, digest, signed)``: one scan, Python per batch, no shuffle."""
-    item = pa.struct([("meta", pa.int64()), ("keys", pa.list_(pa.int64())), ("segs", pa.list_(pa.int64()))])
+def _class(u: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63
 
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """``(id, n_shingles, digest, class)`` of every row; digest and class are null for the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ns, digests, signed = [], [], []
-            for t in b.column(1).to_pylist():
-                u = shingle_set(t, k)
-                ns.append(len(u))
-                digests.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
-                signed.append([{"meta": m, "keys": x, "segs": s} for m, x, s in signatures(u, num, den)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(signed, pa.list_(item))],
-                                             names=["id", "n_shingles", "digest", "signed"])
+            sets = ((len(u), xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None, _class(u) if len(u) else None)
+                    for u in (shingle_set(t.as_py(), k) for t in b.column(1)))
+            n, digest, cls = zip(*sets) if len(b) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64())],
+                                             names=["id", "n_shingles", "digest", "class"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, "
-                                "signed array<struct<meta bigint, keys array<bigint>, segs array<bigint>>>")
+    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint")
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(key, class)`` of all sets, once a class and Arrow batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[int] = set()
+            keys, cls, size = [], [], 0
+            for t in b.column(0):
+                u = shingle_set(t.as_py(), k)
+                c = _class(u)
+                if not len(u) or c in seen:
+                    continue
+                seen.add(c)
+                g = signatures(u, num, den)
+                keys.append(g)
+                cls.append(np.full(len(g), c))
+                size += len(g)
+                if size >= 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cls))], names=["key", "class"])
+                    keys, cls, size = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(cls))], names=["key", "class"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, class bigint")
 
 
 # -------------------------------------------------------------- verification
 def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets have Jaccard num/den or more; ``docs(id, text)``."""
-    d1 = docs.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    d2 = docs.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(d1, "a").join(d2, "b").select("a", "b", "ta", "tb")
+    """``(a, b)`` of those ``pairs(a, b, ia, ib)`` whose documents ``ia`` and ``ib`` of ``docs(id, text)`` link."""
+    t1 = docs.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
+    t2 = docs.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
+    both = pairs.join(t1, "ia").join(t2, "ib").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, second = None, None
+        last, second = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
             for ta, tb in zip(batch.column(2), batch.column(3)):  # one text at a time
@@ -205,24 +223,25 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
                 first = shingle_set(ta.as_py(), k)
                 same = len(np.intersect1d(first, second, assume_unique=True))
                 keep.append(same > 0 and den * same >= num * (len(first) + len(second) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(run, "a bigint, b bigint")
 
 
 # ------------------------------------------------------------------ the join
-def _shared(classes: DataFrame) -> DataFrame:
-    """``(key, rep)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
-    rows = classes.select("rep", F.explode_outer("signed").alias("x")).where("x is not null") \
-        .select("rep", "x.meta", F.explode_outer(F.arrays_zip("x.keys", "x.segs")).alias("y")) \
-        .select(F.col("y.keys").alias("key"), "rep", "meta", F.col("y.segs").alias("seg"))
-    count = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(rows.join(count, "key").select("key", "rep", "meta", "seg", (F.col("n") > HOT).alias("hot")))
-    spent = shared.where("hot").select("rep", "meta", "seg").distinct().groupBy("rep", "meta") \
-        .agg(F.sum(F.shiftright("seg", 32)).alias("spent")).where(F.col("spent") <= F.shiftright("meta", 8)) \
-        .select("rep", "meta", F.lit(True).alias("free"))
-    return materialise(shared.join(spent, ["rep", "meta"], "left").where("not hot or free is null").select("key", "rep").distinct())
+def _shared(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(key, class)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
+    rows = _keys(docs, k, num, den)
+    both = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    shared = materialise(rows.join(both, "key").distinct())
+    hot = shared.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    rules = docs.sparkSession.createDataFrame(
+        [(j, 2 if s.twos else 1, s.slack) for j, s in enumerate(schemes(num, den))], "scheme int, cost int, slack long")
+    j = F.col("key").bitwiseAND(F.lit(127)).cast("int").alias("scheme")
+    h = materialise(shared.join(hot, "key").select("key", "class", j))
+    free = h.join(F.broadcast(rules), "scheme").groupBy("class", "scheme", "slack").agg(F.sum("cost").alias("spent")) \
+        .where("spent <= slack").select("class", "scheme")
+    return materialise(shared.join(h.join(free, ["class", "scheme"]).select("key", "class"), ["key", "class"], "left_anti"))
 
 
 def _fresh(pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
@@ -230,68 +249,75 @@ def _fresh(pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
     return materialise(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
 
 
-def class_links(classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(node, root)`` of the classes ``(rep, signed)`` that are linked with another one."""
-    member = _shared(classes)
-    n_classes = classes.count()
-    least = member.groupBy("key").agg(F.min("rep").alias("b"))
-    checked = _fresh(member.withColumnRenamed("rep", "a").join(least, "key").select("a", "b"), None)
-    links = materialise(verify(checked, docs, k, num, den))
-    used = least.select("key", F.col("b").alias("rep"))
+def class_links(member: DataFrame, n_classes: int, check) -> DataFrame:
+    """``(node, root)`` of the classes that are linked with another one.
+
+    ``member(key, class)`` are the shared signatures; ``check`` returns those of its pairs ``(a, b)`` that link.
+    """
+    member = member.withColumnRenamed("class", "a")
+    least = member.groupBy("key").agg(F.min("a").alias("b"))
+    checked = _fresh(member.join(least, "key").select("a", "b"), None)
+    links = materialise(check(checked))
+    used = least
     while True:
         roots = components(links)
-        m = member.join(roots.withColumnsRenamed({"node": "rep", "root": "r"}), "rep", "left") \
-            .select("key", "rep", F.coalesce("r", "rep").alias("root"))
-        open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+        m = member.join(roots.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").select("key", "a", F.coalesce("r", "a").alias("root"))
+        open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
         m = materialise(m.join(open_keys.select("key"), "key"))
         per = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key") \
             .agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("x"))
         left = per.agg(F.sum("x")).first()[0] or 0  # twice the pairs in different components
         if left == 0:
             return roots
+        other = m.select("key", F.col("a").alias("b"), F.col("root").alias("other"))
         if left <= 2 * DIRECT * max(n_classes, 1000):
-            o = m.select("key", F.col("rep").alias("b"), F.col("root").alias("other"))
-            todo = _fresh(m.withColumnRenamed("rep", "a").join(o, "key").where("a > b and root <> other").select("a", "b"), checked)
-            more = materialise(verify(todo, docs, k, num, den))
-            return components(links.unionByName(more))
-        pivot = m.select("key", "rep").join(used, ["key", "rep"], "left_anti").groupBy("key").agg(F.min("rep").alias("b"))
-        o = m.select("key", F.col("rep").alias("b"), F.col("root").alias("other"))
-        p = materialise(pivot.join(o, ["key", "b"]))
+            todo = _fresh(m.join(other, "key").where("a > b and root <> other").select("a", "b"), checked)
+            return components(links.unionByName(materialise(check(todo))))
+        pivot = m.select("key", F.col("a").alias("b")).join(used, ["key", "b"], "left_anti").groupBy("key").agg(F.min("b").alias("b"))
+        p = materialise(pivot.join(other, ["key", "b"]))
         if not p.limit(1).count():
             return roots
-        todo = _fresh(m.withColumnRenamed("rep", "a").join(p, "key").where("root <> other").select("a", "b"), checked)
+        todo = _fresh(m.join(p, "key").where("root <> other").select("a", "b"), checked)
         checked = materialise(checked.unionByName(todo))
-        used = materialise(used.unionByName(p.select("key", F.col("b").alias("rep"))))
-        links = materialise(links.unionByName(verify(todo, docs, k, num, den)))
+        used = materialise(used.unionByName(p.select("key", "b")))
+        links = materialise(links.unionByName(check(todo)))
 
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``(id_col, n_shingles, component_id)``, the smallest id reachable by links."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(_signed(d, k, num, den))
-    classes = signed.where("digest is not null and id is not null").groupBy("digest") \
-        .agg(F.min("id").alias("rep"), F.first("signed").alias("signed"))
-    of = signed.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    roots = class_links(classes, d.where("id is not null"), k, num, den)
-    # rows that share an id join their classes
-    twice = signed.where("id is not null").join(of, "digest").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
-    if twice.limit(1).count():
-        t = signed.join(of, "digest").join(twice.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(t))
-    labels = of.join(roots, of.rep == roots.node, "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("id", "n_shingles", "digest").join(labels, "digest", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (all columns) of one document of each component: the one with the smallest id.
-
-    Rows without an id are kept; of several rows with one id all are kept or none.
+    sets = materialise(_sets(d, k))
+    # a class is a digest; its 64-bit number stands for it in keys and pairs
+    classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class").agg(F.min("id").alias("rep")))
+    reps = classes.groupBy("class").agg(F.min("rep").alias("rep"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        by_a = pairs.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ia")), "a")
+        both = by_a.join(reps.select(F.col("class").alias("b"), F.col("rep").alias("ib")), "b")
+        return verify(both, d, k, num, den)
+
+    roots = class_links(_shared(d.where("id is not null"), k, num, den), classes.count(), check)
+    labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
+    least = labels.groupBy("root").agg(F.min("rep").alias("component"))
+    of = labels.join(least, "root").select("digest", "component")
+    return sets.join(of, "digest", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) of one document of each component, the one with the smallest id.
+
+    Rows without an id stay; of several rows with one id one stays.
     """
     c = join_components(docs, k, num, den, id_col, text_col)
     node = free_name(docs, "dropped")
     gone = materialise(c.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(node)).distinct())
-    return docs.join(gone, docs[id_col] == gone[node], "left_anti")
+    out = docs.join(gone, docs[id_col] == gone[node], "left_anti")
+    twice = materialise(c.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(node)).count().where("count > 1").select(node))
+    if not twice.limit(1).count():
+        return out
+    # ids that are given twice: one of their rows stays
+    again = out.join(twice, out[id_col] == twice[node], "left_semi").dropDuplicates([id_col])
+    return out.join(twice, out[id_col] == twice[node], "left_anti").unionByName(again)
 
 
 def oracle(k: int = 3, num: int = 90, den: int = 100) -> str:
