@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe, decontaminate, htmltext, jaccard, langid, licences, pii, toxicity, urls
+from codeweave.llm import bpe, decontaminate, htmltext, jaccard, langid, lattice, licences, pii, toxicity, urls
 from codeweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_jaccard_join"] = jaccard.oracle()
+
+
+@query
+def op6_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op6_lattice_near_dups"] = lattice.ORACLE
