@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from codeweave.functions.text import extract_json
 from codeweave.operators import completion as C
 
-GLEAN_PROMPT = "MANY entities and relationships were missed in the last extraction. Add them below using the same format:"
+GLEAN_PROMPT = "Read the text again. List only what your last answer left out, entities and relationships alike, as JSON of the same shape."
 CLAIM_PROMPT = ("Extract factual claims about software entities from the text below as JSON "
                 '{"claims": [{"subject", "object", "claim_type", "status", "description"}]}.\n\ntext: {input_text}')
 
 
+# FIXED VALUE: resources/entity_prompt.txt holds the prompt text that must match.
 @lru_cache(maxsize=None)
 def entity_template() -> str:
     return resources.files("codeweave.resources").joinpath("entity_prompt.txt").read_text(encoding="utf-8")

@@ -45,25 +45,17 @@ def nodes_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
 
 
-ENCODE_MIN_NODES = 1_000_000
-
-
-def encode_nodes(edges: DataFrame, min_nodes: int | None = None):
-    """Distinct edges and nodes, on dense ``long`` ids once the graph is large.
-
-    Returns ``(edges(src, dst), nodes(node), dictionary or None)``.  Above
-    ``min_nodes`` nodes, a range-partitioned sort then
-    ``monotonically_increasing_id`` (partition index in the high bits) gives
-    ids that increase with the name, so "min id" is "min name" and loop results
-    decode to the same answers while every round shuffles 8-byte keys instead
-    of paths.  Below it, the sort and the two joins would cost more than they
-    save, so names are used as they are.
+def encode_nodes(edges: DataFrame):
+    """Distinct edges and nodes on ``long`` ids, with the dictionary back to names.
+
+    Returns ``(edges(src, dst), nodes(node), dictionary)``.  A range-partitioned
+    sort then ``monotonically_increasing_id`` (partition index in the high bits)
+    gives ids that increase with the name, so "min id" is "min name" and loop
+    results decode to the same answers while every round shuffles 8-byte keys
+    instead of paths.
     """
-    min_nodes = ENCODE_MIN_NODES if min_nodes is None else min_nodes
     e = _persist(simple_edges(edges))
-    nodes = _persist(nodes_of(e))
-    if nodes.count() < min_nodes:
-        return e, nodes, None
+    nodes = nodes_of(e)
     dic = _persist(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("nid")))
     ids = _persist(e.join(dic.select(F.col("node").alias("src"), F.col("nid").alias("s")), "src")
                    .join(dic.select(F.col("node").alias("dst"), F.col("nid").alias("d")), "dst")
@@ -71,10 +63,8 @@ def encode_nodes(edges: DataFrame, min_nodes: int | None = None):
     return ids, dic.select(F.col("nid").alias("node")), dic
 
 
-def decode_nodes(df: DataFrame, dic: DataFrame | None, cols: list[str]) -> DataFrame:
+def decode_nodes(df: DataFrame, dic: DataFrame, cols: list[str]) -> DataFrame:
     """Replace id columns by node names (one join per column against the dictionary)."""
-    if dic is None:
-        return df
     for c in cols:
         df = df.join(dic.select(F.col("nid").alias(c), F.col("node").alias(f"_{c}_name")), c) \
             .drop(c).withColumnRenamed(f"_{c}_name", c)

@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 from codeweave.functions.topk import top_k_per_group
 
 WS = r"[ \t\n\r\f]+"
-ENTITY_TYPES = ["module", "class", "function", "package", "dependency"]
-RELATION_TYPES = ["IMPORTS", "INHERITS", "CALLS", "USES", "DEPENDS_ON"]
+RUN = r"[^ \t\n\r\f]+[ \t\n\r\f]*"  # a token with the white space behind it
 
 
 # --------------------------------------------------------------------- I1
@@ -41,18 +40,19 @@ def chunk_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """One row per chunk: ``(id, chunk_index, start_token, n_tokens, text)``.
 
     Starts are ``0, size-overlap, ...`` while ``start < n - overlap`` (at least
-    one chunk for non-empty text); an empty text yields no chunk.
+    one chunk for non-empty text); an empty text yields no chunk.  A chunk is a
+    substring of the text: line breaks and indentation stay as they are.
     """
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
-    toks = df.select(id_col, tokens(text_col).alias("_t")).withColumn("_n", F.size("_t"))
+    toks = df.select(id_col, F.regexp_extract_all(F.col(text_col), F.lit(RUN), 0).alias("_t")).withColumn("_n", F.size("_t"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - overlap - 1, F.lit(0)), F.lit(step))
     # build every chunk inside the row, then explode only the chunks: each output
     # row carries its own text, never a copy of the whole token array
     chunks = F.transform(starts, lambda st: F.struct(
         st.alias("start_token"), F.size(F.slice("_t", st + 1, size)).alias("n_tokens"),
-        F.array_join(F.slice("_t", st + 1, size), " ").alias("text")))
+        F.array_join(F.slice("_t", st + 1, size), "").alias("text")))
     ex = toks.where(F.col("_n") > 0).select(id_col, F.posexplode(chunks).alias("chunk_index", "c"))
     return ex.select(id_col, F.col("chunk_index").cast("int"), F.col("c.start_token").cast("int").alias("start_token"),
                      F.col("c.n_tokens").cast("int").alias("n_tokens"), F.col("c.text").alias("text"))
@@ -173,18 +173,22 @@ def cooccurrence(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 # --------------------------------------------------------------------- I8
-def description_summary(rel: DataFrame, max_descriptions: int = 50, max_words: int = 500) -> DataFrame:
-    """Per (source, target): the most frequent distinct descriptions, joined, cut to ``max_words``."""
+def description_summary(rel: DataFrame, max_words: int = 500) -> DataFrame:
+    """Per (source, target): the most frequent distinct descriptions, joined, cut to ``max_words``.
+
+    Every description is a word at least, so those ranked beyond ``max_words``
+    can't reach the summary; ``n_mentions`` counts all of them.
+    """
     d = (rel.where(F.col("description").isNotNull())
          .groupBy("source", "target", "description").agg(F.count(F.lit(1)).alias("_c")))
     top = top_k_per_group(d, ["source", "target"], [F.col("_c").desc(), F.col("description").asc()],
-                          max_descriptions, salt_cols=["description"])
+                          max_words, salt_cols=["description"])
+    total = d.groupBy("source", "target").agg(F.sum("_c").alias("n_mentions"))
     g = top.groupBy("source", "target").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))),
-                                 lambda x: x["description"]), " | ").alias("_s"),
-        F.sum("_c").alias("n_mentions"))
+                                 lambda x: x["description"]), " | ").alias("_s"))
     words = F.split("_s", " ")
-    return g.select("source", "target", "n_mentions",
+    return g.join(total, ["source", "target"]).select("source", "target", "n_mentions",
                     F.array_join(F.slice(words, 1, max_words), " ").alias("summary"))
 
 
@@ -214,7 +218,7 @@ def text_embedding(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """Default embedding: hashed term frequencies, L2-normalised (Spark ML, JVM-side)."""
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
-    t = docs.select(id_col, F.transform(tokens(F.lower(F.col(text_col))), lambda x: x).alias("_tok"))
+    t = docs.select(id_col, tokens(F.lower(F.col(text_col))).alias("_tok"))
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features).transform(t)
     nv = Normalizer(inputCol="_tf", outputCol="_v", p=2.0).transform(tf)
     return nv.select(id_col, vector_to_array("_v", "float32").alias("embedding"))

@@ -8,10 +8,9 @@ reduce = keep reports with score > 0 in score order while the running token
 budget holds, then join their ids into an answer.  A model can replace the
 reduce step through ``completion.complete`` on the selected context.
 
-Vector search is exact cosine top-k: the query matrix is collected only after
-its row count is checked against ``MAX_QUERY_VECTORS``, broadcast, scored per
-Arrow batch with numpy, cut to a per-partition top-k, and merged -- a full
-scan of the corpus with O(partitions x queries x k) shuffled rows.
+Vector search is exact cosine top-k: queries are broadcast in blocks of about
+``QUERY_BLOCK``, scored per Arrow batch with numpy, cut to a top-k per batch,
+and merged -- a scan of the corpus per block, O(batches x queries x k) rows shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeweave.session import cut_lineage
+
 # FIXED VALUES: the three questions of the migration report, verbatim.
 MIGRATION_QUESTIONS = [
     """
@@ -44,27 +45,24 @@ MIGRATION_QUESTIONS = [
 COMMUNITY_LEVEL = 2
 REPORT_MAX_TOKENS = 2000
 CONTEXT_BUDGET = 8000
-MAX_QUERY_VECTORS = 10_000
+QUERY_BLOCK = 4096  # query vectors broadcast at a time
+STOP_WORDS = frozenset("a an and in of the to".split())
 
 
-def question_terms(question: str, min_len: int = 4) -> list[str]:
-    """Distinct lower-case letter runs of at least ``min_len`` characters, in first-seen order."""
-    seen: list[str] = []
-    for w in re.findall(r"[a-z]+", question.lower()):
-        if len(w) >= min_len and w not in seen:
-            seen.append(w)
-    return seen
+def question_terms(question: str) -> list[str]:
+    """Distinct lower-case words (letters and digits of any script) but for ``STOP_WORDS``, in first-seen order."""
+    return list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", question.lower()) if w not in STOP_WORDS))
 
 
 def term_hits(text: str | Column, terms: list[str]) -> Column:
-    """Number of words of ``text`` (maximal [a-z] runs after lower-casing) that are question terms.
+    """Number of words of ``text`` (runs of letters and digits, lower-cased) that are question terms.
 
     One JVM regex count per row (no array of words is materialised).
     """
     t = F.col(text) if isinstance(text, str) else text
     if not terms:
         return F.lit(0).cast("bigint")
-    pat = "(?<![a-z])(?:" + "|".join(sorted(terms, key=len, reverse=True)) + ")(?![a-z])"
+    pat = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
     return F.regexp_count(F.lower(t), F.lit(pat)).cast("bigint")
 
 
@@ -203,38 +201,44 @@ def label_centroids(vectors: DataFrame, vec_col: str = "embedding", key: str = "
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
                 vec_col: str = "embedding", qid_col: str = "label") -> DataFrame:
-    """Exact cosine top-k per query: ``(query_id, id, score, rank)``; ties by id."""
-    n_q = queries.count()
-    if n_q > MAX_QUERY_VECTORS:
-        raise ValueError(f"{n_q} query vectors exceed the broadcast bound {MAX_QUERY_VECTORS}")
-    qrows = queries.select(qid_col, "query").collect()          # bounded by the check above
-    spark = corpus.sparkSession
-    qids = [r[0] for r in qrows]
-    qmat = np.array([r[1] for r in qrows], dtype=np.float64)
-    qn = qmat / np.maximum(np.linalg.norm(qmat, axis=1, keepdims=True), 1e-300)
-    bq = spark.sparkContext.broadcast((qids, qn))
-
-    def score(batches):
-        ids_q, qm = bq.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.vstack(pdf[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            norms = np.linalg.norm(m, axis=1)
-            s = (m @ qm.T) / np.where(norms == 0, np.inf, norms)[:, None]
-            ids = pdf[id_col].to_numpy()
-            out = []
-            for j, q in enumerate(ids_q):
-                col = s[:, j]
-                take = min(k, len(col))
-                # partial top-k of this batch: best score first, smaller id on ties
-                order = np.lexsort((ids, -col))[:take]
-                out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": col[order]}))
-            yield pd.concat(out, ignore_index=True)
+    """Exact cosine top-k per query: ``(query_id, id, score, rank)``; ties by id.
 
+    Any number of queries: they are dealt into blocks of about ``QUERY_BLOCK``,
+    each broadcast on its own and scored against the whole corpus.
+    """
+    queries = cut_lineage(queries.select(F.col(qid_col).alias("qid"), "query"))
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)))
     id_t = corpus.schema[id_col].dataType.simpleString()
-    q_t = queries.schema[qid_col].dataType.simpleString()
-    cand = corpus.select(id_col, vec_col).mapInPandas(score, f"query_id {q_t}, id {id_t}, score double")
+    q_t = queries.schema["qid"].dataType.simpleString()
+    spark = corpus.sparkSession
+
+    def scorer(block: int):
+        rows = dealt.where(F.col("block") == block).select("qid", "query").collect()  # about QUERY_BLOCK rows
+        mat = np.array([r["query"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+        sent = spark.sparkContext.broadcast(
+            ([r["qid"] for r in rows], mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)))
+
+        def score(batches):
+            names, q = sent.value
+            for pdf in batches:
+                if pdf.empty or not names:
+                    continue
+                pdf = pdf.sort_values(id_col, kind="stable")
+                m = np.vstack(pdf[vec_col].to_numpy()).astype(np.float64)
+                norms = np.linalg.norm(m, axis=1)
+                s = (m @ q.T) / np.where(norms == 0, np.inf, norms)[:, None]
+                best = np.argsort(-s, axis=0, kind="stable")[:k]     # rows are in id order: ties by id
+                yield pd.DataFrame({"query_id": np.repeat(np.array(names, dtype=object), len(best)),
+                                    "id": pdf[id_col].to_numpy()[best.T.ravel()],
+                                    "score": np.take_along_axis(s, best, 0).T.ravel()})
+
+        return score
+
+    cand = None
+    for block in range(n_blocks):
+        part = corpus.select(id_col, vec_col).mapInPandas(scorer(block), f"query_id {q_t}, id {id_t}, score double")
+        cand = part if cand is None else cand.unionByName(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))

@@ -32,21 +32,24 @@ from codeweave.session import cut_lineage
 def prepare_corpus(files: DataFrame, languages: list[str], chat_fn, model: str = "",
                    cache_path: str | None = None, concurrency: int = 2) -> dict[str, DataFrame]:
     """Returns ``annotated`` (one row per written file), ``rejected`` and ``missing`` tables."""
+    keys = ["git_repo", "pass_seq", "file_path"]
     passes = GEN.select_passes(files, languages)
     prompts = GEN.render_prompts(passes)
     answered = C.complete(prompts, chat_fn, model, cache_path, concurrency)
     parsed = GEN.accept_metadata(GEN.parse_metadata_text(answered, "content"))
+    # a row without comment delimiters can't carry a header: rejected, not written bare
+    parsed = GEN.comment_delimiters(parsed).withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("comment_begin").isNull(), "no_comment_delimiters"))).drop("comment_begin", "comment_end")
     parsed = cut_lineage(parsed.drop("messages"))
-    rejected = parsed.where(F.col("reject_reason").isNotNull()).select("pass_seq", "file_path", "reject_reason")
-    ok = GEN.typed_metadata(parsed.where(F.col("reject_reason").isNull()))
-    headed = GEN.comment_header(ok)
-    ann = GEN.annotated_text(headed)
-    flat = GEN.flatten_metadata(ann.select("pass_seq", "file_path", F.to_json("metadata").alias("text")),
-                                "text", ["pass_seq", "file_path"])
-    md_text = GEN.metadata_yaml(flat, ["pass_seq", "file_path"])
-    ann = ann.join(md_text, ["pass_seq", "file_path"], "left")
+    rejected = parsed.where(F.col("reject_reason").isNotNull()).select(*keys, "reject_reason")
+    ok = parsed.where(F.col("reject_reason").isNull())
+    ann = GEN.annotated_text(GEN.comment_header(GEN.typed_metadata(ok)))
+    # the raw span: document order decides which of two colliding key paths wins
+    flat = GEN.flatten_metadata(ok.select(*keys, F.col("content").alias("text")), "text", keys, types=True)
+    ann = ann.join(GEN.metadata_yaml(flat, keys), keys, "left")
     winners = GEN.target_path_winner(ann, ["pass_seq", "file_path"])
-    missing = GEN.reconcile_missing(passes, winners)
+    # a file that lost its target path was processed all the same
+    missing = GEN.reconcile_missing(passes, ok, ["git_repo", "file_path"])
     return {"annotated": winners, "rejected": rejected, "missing": missing}
 
 

@@ -10,9 +10,7 @@ from codeweave.plans import fixtures as X
 from codeweave.plans.registry import register
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 100
-_TOKS_SQL = ("case when regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g') = '' then []::varchar[] "
-             "else string_split_regex(regexp_replace(text, '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g'), "
-             "'[ \\t\\n\\r\\f]+') end")
+_TOKS_SQL = r"regexp_extract_all(text, '[^ \t\n\r\f]+[ \t\n\r\f]*')"
 
 
 @register("chunk_text", f"""
@@ -23,7 +21,7 @@ s as (select doc_id, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLAP
 select doc_id, (row_number() over (partition by doc_id order by start_token) - 1)::int as chunk_index,
        start_token::int as start_token,
        len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
-       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ' ')) as chunk_md5
+       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), '')) as chunk_md5
 from s""")
 def q_chunk_text(spark, d):
     c = IX.chunk_text(X.table(spark, d, "documents"), "text", "doc_id", CHUNK_SIZE, CHUNK_OVERLAP)
@@ -67,17 +65,32 @@ def q_href_edges(spark, d):
     return IX.href_edges(X.table(spark, d, "pages"))
 
 
+@register("import_edges", """
+with c as (select doc_id, 'f' || doc_id || '.py' as file_path,
+            'import ' || source || '.' || lang || chr(10) || 'from pkg' || n_chars || ' import x' || chr(10)
+            || text || chr(10) || '#include <' || lang || '.h>' || chr(10) || 'x = require("' || source || '")' as code from documents),
+e as (select file_path, unnest(list_distinct(list_concat(
+        regexp_extract_all(code, '(?m)^\\s*import\\s+([\\w.]+)', 1), regexp_extract_all(code, '(?m)^\\s*from\\s+([\\w.]+)\\s+import\\b', 1),
+        regexp_extract_all(code, 'require\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1), regexp_extract_all(code, '(?m)^\\s*#include\\s*[<"]([^>"]+)[>"]', 1)))) as target from c)
+select file_path as source, target, 'IMPORTS' as type from e""")
+def q_import_edges(spark, d):
+    nl = F.lit("\n")
+    code = F.concat(F.lit("import "), "source", F.lit("."), "lang", nl, F.lit("from pkg"), F.col("n_chars").cast("string"), F.lit(" import x"), nl,
+                    "text", nl, F.lit("#include <"), "lang", F.lit(".h>"), nl, F.lit('x = require("'), "source", F.lit('")'))
+    docs = X.table(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), code.alias("code"))
+    return IX.import_edges(docs)
+
+
 @register("cooccurrence", """
 with p as (select doc_id, list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda x: lower(x)) as ph
-           from documents where lang = 'en'),
+           from documents),
 e as (select doc_id, unnest(ph) as w, generate_subscripts(ph, 1) as i from p),
 pairs as (select a.doc_id, a.w as a, b.w as b from e a join e b on a.doc_id = b.doc_id and b.i - a.i between 1 and 2
           where a.w <> b.w)
 select least(a, b) as phrase_a, greatest(a, b) as phrase_b, count(*)::bigint as weight,
        count(distinct doc_id)::bigint as n_docs from pairs group by 1, 2""")
 def q_cooccurrence(spark, d):
-    docs = X.table(spark, d, "documents").where(F.col("lang") == "en")
-    return IX.cooccurrence(docs, "text", "doc_id", window=2)
+    return IX.cooccurrence(X.table(spark, d, "documents"), "text", "doc_id", window=2)
 
 
 @register("description_summary", X.oracle_with(X.SQL_RELATIONSHIPS) + """,
@@ -85,7 +98,7 @@ d as (select source, target, description, count(*) as c from relationships where
       group by 1, 2, 3),
 r as (select *, row_number() over (partition by source, target order by c desc, description) as rk from d),
 g as (select source, target, sum(c)::bigint as n_mentions,
-             string_agg(description, ' | ' order by rk) filter (where rk <= 50) as s from r group by 1, 2)
+             string_agg(description, ' | ' order by rk) as s from r group by 1, 2)
 select source, target, n_mentions, array_to_string(list_slice(string_split(s, ' '), 1, 500), ' ') as summary from g""")
 def q_description_summary(spark, d):
     return IX.description_summary(X.relationships(spark, d))
@@ -114,7 +127,7 @@ s as (select doc_key, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLA
                                                    {CHUNK_SIZE - CHUNK_OVERLAP})) as start_token from n)
 select doc_key, (row_number() over (partition by doc_key order by start_token) - 1)::int as chunk_index,
        len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
-       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ' ')) as chunk_md5
+       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), '')) as chunk_md5
 from s""")
 def q_incremental_units(spark, d):
     old = X.snapshot_old(spark, d)

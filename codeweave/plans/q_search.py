@@ -20,7 +20,7 @@ def _reports_sql(terms: list[str], name: str = "reports") -> str:
     tl = "[" + ", ".join(_q(t) for t in terms) + "]::varchar[]"
     return f"""
 {name}_doc as (select source, lang,
-   len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: list_contains({tl}, w)))::bigint as hits,
+   len(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda w: list_contains({tl}, w)))::bigint as hits,
    len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> ''))::bigint as words from documents),
 {name}_l1 as (select source, lang, sum(hits) as score, sum(words) as w from {name}_doc group by 1, 2),
 {name}_l0 as (select source, sum(score) as score, sum(w) as w from {name}_l1 group by 1),

@@ -43,9 +43,9 @@ def test_five_block_flow(spark, tmp_dir):
 def test_metadata_text_and_csv(spark, tmp_dir):
     df = spark.createDataFrame([(0, "a.py", '{"b": [1, {"c": "x\\ny"}], "a": null}')],
                                "pass_seq int, file_path string, text string")
-    flat = GEN.flatten_metadata(df, "text", ["pass_seq", "file_path"])
+    flat = GEN.flatten_metadata(df, "text", ["pass_seq", "file_path"], types=True)
     txt = GEN.metadata_yaml(flat, ["pass_seq", "file_path"]).first().metadata_text
-    assert txt == "a: null\nb_0: 1\nb_1_c: x\ny"
+    assert txt == "a: null\nb_0: 1\nb_1_c: |-\n  x\n  y"
     md = GEN.parse_metadata_text(df)
     path = index_io.write_metadata_csv(md.select("file_path", "metadata"), tmp_dir, "python", False, 123)
     assert path.endswith("data_python__123.csv")
@@ -76,3 +76,34 @@ def test_report_context_budget(spark):
     assert (ctx.used_tokens <= 12).all()
     for _, g in ctx.groupby(["level", "community"]):
         assert list(g.sort_values("used_tokens").kind)[0] == "entity"
+
+
+def test_yaml_quoting(spark):
+    text = '{"a": "yes", "b": true, "c": "1", "d": 1, "e": "x: y", "f": "#c", "g": "", "h": "it\'s", "i": "-1", "j": -1}'
+    df = spark.createDataFrame([("a.py", text)], "file_path string, text string")
+    got = GEN.metadata_yaml(GEN.flatten_metadata(df, "text", ["file_path"], types=True)).first().metadata_text
+    assert got.split("\n") == ["a: 'yes'", "b: true", "c: '1'", "d: 1", "e: 'x: y'", "f: '#c'", "g: ''", "h: it's", "i: '-1'", "j: -1"]
+
+
+def test_corpus_of_two_repositories(spark):
+    """Equal paths in two repositories, a lost target path and a colliding key stay apart."""
+    import json
+
+    from codeweave.plans.index_build import prepare_corpus
+
+    def model(messages):
+        out = []
+        for m in messages:
+            body = m[-1]["content"]
+            out.append(json.dumps({"purpose": "one" if "REPO1" in body else "two"}) if "BAD" not in body else "no json")
+        return out
+
+    rows = [("r1", "a/setup.py", "x = 1  # REPO1"), ("r2", "a/setup.py", "x = 1  # REPO2"), ("r1", "a/setup.cfg", "[m] # REPO1"),
+            ("r1", "b.py", "# BAD"), ("r2", "b.py", "y = 2  # REPO2")]
+    files = spark.createDataFrame([(g, p, c, len(c)) for g, p, c in rows], "git_repo string, file_path string, code string, size_bytes long")
+    out = prepare_corpus(files, ["python"], model)
+    ann = {(r.git_repo, r.file_path): r for r in out["annotated"].collect()}
+    assert {k: r.purpose for k, r in ann.items() if k[1].endswith(".py")}.get(("r2", "a/setup.py")) == "two"
+    assert all(("two" if k[0] == "r2" else "one") in r.metadata_text for k, r in ann.items())
+    assert [(r.git_repo, r.file_path) for r in out["missing"].collect()] == [("r1", "b.py")]
+    assert {(r.git_repo, r.file_path) for r in out["rejected"].collect()} == {("r1", "b.py")}

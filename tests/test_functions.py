@@ -74,10 +74,11 @@ def test_accept_rejections(spark):
 
 
 def test_flatten(spark):
-    assert GEN.flatten_value({"a": 1, "b": [1, {"c": None}], "e": []}) == {"a": 1, "b_0": 1, "b_1_c": None}
-    assert GEN.flatten_value({"a_b": 1, "a": {"b": 2}}) == {"a_b": 2}
-    assert GEN.flatten_value([5]) == {"0": 5}
-    assert GEN.flatten_value(7) == {"": 7}
+    assert GEN.json_leaves('{"a": 1, "b": [1, {"c": null}], "e": []}') == [("a", "1", False), ("b_0", "1", False), ("b_1_c", None, False)]
+    assert GEN.json_leaves('{"a_b": 1, "z": 0, "a": {"b": 2}}') == [("z", "0", False), ("a_b", "2", False)]
+    assert GEN.json_leaves('{"a": {"b": 2}, "a_b": 1}') == [("a_b", "1", False)]
+    assert GEN.json_leaves("[5]") == [("0", "5", False)]
+    assert GEN.json_leaves("7") == [("", "7", False)]
     df = spark.createDataFrame([(1, 'x {"a":1,"b":[1,{"c":null}],"e":[]} y')], "i int, text string")
     got = {r.key: r.value for r in GEN.flatten_metadata(df, "text", ["i"]).collect()}
     assert got == {"a": "1", "b_0": "1", "b_1_c": None}
