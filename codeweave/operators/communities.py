@@ -1,21 +1,23 @@
-"""Hierarchical, size-capped communities and extractive community reports.
-
-Our design (the original delegates to hierarchical Leiden):
-
-* level 0 = weakly connected components (exact; a community never spans two);
-* level L+1 re-clusters every community of level L larger than ``max_size``
-  with weighted, capacity-aware label propagation restricted to
-  intra-community edges (deterministic: heaviest eligible neighbour label,
-  ties to the smallest label, labels of full communities are not eligible, a
-  bounded number of semi-synchronous rounds);
-* a community that label propagation cannot split is divided into ordered
-  buckets of ``max_size`` (nodes ranked by degree, then id) -- exact when the
-  group is small, hash-spread into ``ceil(size / max_size)`` buckets when it is
-  huge, so no group ever sorts in one task; oversized buckets split again at
-  the next level, which makes the loop terminate with every leaf <= max_size.
-
-Output ``(level, community, parent, node)``: each node appears exactly once
-per level it reaches; levels below 0 only hold pieces of oversized parents.
+"""Hierarchical communities with small connected leaves, and extractive reports.
+
+Our design (the original delegates to hierarchical Leiden), bottom-up and the
+same at every size:
+
+* leaves: clusters start as single nodes.  In a round every cluster points at its
+  heaviest neighbour (by summed edge weight, ties by a symmetric hash of the pair)
+  among those it can join without exceeding ``max_size``; two that point at each
+  other merge.  The heaviest eligible pair always does, so rounds go on until no
+  pair is eligible: a fixpoint, with no limit on rounds.
+* above them every cluster joins its heaviest neighbour, whatever the sizes; what
+  hangs together becomes a cluster of the next level (at least two each, so the
+  levels are logarithmic), until only the connected components are left.
+
+Clusters are connected by construction.  Levels count from the top: level 0 are
+the components, and a community of more than ``max_size`` nodes has its pieces one
+level below it (levels at which a community would not split are left out).
+
+Output ``(level, community, parent, node)``: a node appears once per level down to
+its leaf; ``community`` is the level and its smallest node.
 """
 
 from __future__ import annotations
@@ -25,11 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeweave.functions.topk import top_k_per_group
-from codeweave.operators.graph import connected_components, simple_edges
+from codeweave.operators.graph import connected_components, encode_nodes, propagate_min_label, simple_edges
 from codeweave.session import cut_lineage
 
-EXACT_SPLIT_ROWS = 100_000
-
 
 def _undirected_weighted(edges: DataFrame) -> DataFrame:
     w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
@@ -39,92 +39,110 @@ def _undirected_weighted(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("w"))
 
 
-def label_propagation(members: DataFrame, arcs: DataFrame, max_rounds: int = 10,
-                      cap: int | None = None) -> DataFrame:
-    """``members(node, grp)`` -> ``(node, grp, label)``; labels move only along same-group arcs.
-
-    With ``cap`` a node may adopt a neighbour's label only while that label's
-    community is smaller than ``cap`` (or the label is already its own), which
-    keeps propagation from flooding a whole component with one label; the
-    overshoot of simultaneous joins is split again at the next level.
-    """
-    g_src = members.select(F.col("node").alias("src"), F.col("grp").alias("gs"))
-    g_dst = members.select(F.col("node").alias("dst"), F.col("grp").alias("gd"))
-    a = cut_lineage(arcs.join(g_src, "src").join(g_dst, "dst").where(F.col("gs") == F.col("gd"))
-                    .select("src", "dst", "w"))
-    lab = cut_lineage(members.select("node", "grp", F.col("node").alias("label")))
-    quiet = 0
-    for rnd in range(max_rounds):
-        cand = (a.join(lab.select(F.col("node").alias("src"), "label"), "src")
-                .groupBy("dst", "label").agg(F.sum("w").alias("score")))
-        if cap is not None:
-            sizes = lab.groupBy("label").agg(F.count(F.lit(1)).alias("_sz"))
-            cur = lab.select(F.col("node").alias("dst"), F.col("label").alias("_cur"))
-            cand = (cand.join(sizes, "label").join(cur, "dst")
-                    .where((F.col("_sz") < cap) | (F.col("label") == F.col("_cur")))
-                    .select("dst", "label", "score"))
-        # heaviest label, ties to the smallest: partial aggregates, skew-safe
-        best = cand.groupBy(F.col("dst").alias("node")).agg(
-            F.min_by("label", F.struct((-F.col("score")).alias("s"), F.col("label").alias("l"))).alias("nl"))
-        # semi-synchronous: alternating halves (by node hash) update, which stops
-        # the two-colour oscillation synchronous propagation has on bipartite parts
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == F.lit(rnd % 2)
-        new = cut_lineage(lab.join(best, "node", "left")
-                          .select("node", "grp", F.col("label").alias("old"),
-                                  F.when(turn, F.coalesce("nl", "label")).otherwise(F.col("label")).alias("label")))
-        changed = new.where(F.col("old") != F.col("label")).count()
-        lab = new.drop("old")
-        quiet = quiet + 1 if changed == 0 else 0
-        if quiet >= 2:                    # both halves had a turn without any change
-            break
-    return lab
-
-
-def _ordered_split(members: DataFrame, deg: DataFrame, max_size: int, level: int) -> DataFrame:
-    """Split each group into buckets of ``max_size`` by (degree desc, node)."""
-    m = members.join(deg, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    sizes = m.groupBy("grp").agg(F.count(F.lit(1)).alias("_gs"))
-    m = m.join(sizes, "grp")
-    small = m.where(F.col("_gs") <= EXACT_SPLIT_ROWS)
-    w = Window.partitionBy("grp").orderBy(F.col("degree").desc(), F.col("node").asc())
-    exact = small.withColumn("_b", F.floor((F.row_number().over(w) - 1) / max_size))
-    big = m.where(F.col("_gs") > EXACT_SPLIT_ROWS)
-    hashed = big.withColumn("_b", F.pmod(F.xxhash64("node", F.lit(level)), F.ceil(F.col("_gs") / max_size)))
-    out = exact.unionByName(hashed)
-    return out.select("node", "grp", F.concat(F.col("grp"), F.lit("."), F.col("_b").cast("string")).alias("label"))
-
-
-def hierarchical_communities(edges: DataFrame, max_size: int = 10, lpa_levels: int = 1,
-                             lpa_rounds: int = 3, max_levels: int = 12) -> DataFrame:
-    comps = connected_components(edges)
-    level0 = comps.select(F.lit(0).alias("level"), F.concat(F.lit("0:"), F.col("component")).alias("community"),
-                          F.lit(None).cast("string").alias("parent"), "node")
-    levels = [cut_lineage(level0)]
-    arcs = cut_lineage(_undirected_weighted(edges))
-    deg = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    for lvl in range(1, max_levels + 1):
-        prev = levels[-1]
-        sizes = prev.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
-        big = sizes.where(F.col("size") > max_size).select("community")
-        members = prev.join(big, "community", "left_semi").select("node", F.col("community").alias("grp"))
-        if members.isEmpty():
+def _heaviest(pairs: DataFrame) -> DataFrame:
+    """``(u, v)``: the heaviest neighbour of every ``u`` in ``pairs(u, v, w)`` (both directions present)."""
+    lo, hi = F.least("u", "v"), F.greatest("u", "v")
+    return pairs.groupBy("u").agg(F.max_by("v", F.struct("w", F.xxhash64(lo, hi), lo, hi)).alias("v"))
+
+
+def _contracted(arcs: DataFrame, of: DataFrame) -> DataFrame:
+    """``(u, v, w)`` between different clusters of ``of(node, c)``, weights summed."""
+    return (arcs.join(of.select(F.col("node").alias("src"), F.col("c").alias("u")), "src")
+            .join(of.select(F.col("node").alias("dst"), F.col("c").alias("v")), "dst")
+            .where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")))
+
+
+def _leaves(nodes: DataFrame, arcs: DataFrame, max_size: int) -> DataFrame:
+    """``(node, c)``: connected clusters of up to ``max_size`` nodes, merged until none can."""
+    of = nodes.select("node", F.col("node").alias("c"))
+    live = cut_lineage(arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w",
+                                   F.lit(1).alias("nu"), F.lit(1).alias("nv")).where(F.lit(max_size >= 2)))
+    while True:
+        best = cut_lineage(_heaviest(live))
+        back = best.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        merged = cut_lineage(best.join(back, ["u", "v"]).where("u < v").join(live.select("u", "v", "nu", "nv"), ["u", "v"])
+                             .select(F.col("u").alias("to"), F.col("v").alias("from"), (F.col("nu") + F.col("nv")).alias("n")))
+        if merged.isEmpty():
+            return of
+        # old cluster -> its new name and size (both ends of a merge get the new size)
+        new = cut_lineage(merged.select(F.col("from").alias("c"), "to", "n").unionByName(merged.select(F.col("to").alias("c"), "to", "n")))
+        of = cut_lineage(of.join(new.select("c", "to"), "c", "left").select("node", F.coalesce("to", "c").alias("c")))
+        u = new.select(F.col("c").alias("u"), F.col("to").alias("tu"), F.col("n").alias("mu"))
+        v = new.select(F.col("c").alias("v"), F.col("to").alias("tv"), F.col("n").alias("mv"))
+        live = live.join(u, "u", "left").join(v, "v", "left").select(
+            F.coalesce("tu", "u").alias("u"), F.coalesce("tv", "v").alias("v"), "w",
+            F.coalesce("mu", "nu").alias("nu"), F.coalesce("mv", "nv").alias("nv"))
+        # sizes only grow, so pairs that are too large now stay so
+        live = cut_lineage(live.where((F.col("u") != F.col("v")) & (F.col("nu") + F.col("nv") <= max_size))
+                           .groupBy("u", "v", "nu", "nv").agg(F.sum("w").alias("w")))
+
+
+def hierarchical_communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
+    _, nodes, names = encode_nodes(edges)
+    w = _undirected_weighted(edges)
+    ids = names.select(F.col("node").alias("name"), "nid")
+    arcs = cut_lineage(w.join(ids.select(F.col("name").alias("src"), F.col("nid").alias("s")), "src")
+                       .join(ids.select(F.col("name").alias("dst"), F.col("nid").alias("d")), "dst")
+                       .select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"))
+    of = _leaves(nodes, arcs, max_size)
+    path = cut_lineage(of.select("node", F.array("c").alias("path")))   # clusters, from the leaf up
+    while True:
+        between = cut_lineage(_contracted(arcs, path.select("node", F.element_at("path", -1).alias("c"))))
+        if between.isEmpty():
             break
-        if lvl <= lpa_levels:
-            lab = label_propagation(members, arcs, lpa_rounds, cap=max_size)
-            n_sub = lab.groupBy("grp").agg(F.countDistinct("label").alias("_k"))
-            split_ok = n_sub.where(F.col("_k") > 1).select("grp")
-            by_lpa = lab.join(split_ok, "grp", "left_semi")
-            stuck = members.join(split_ok, "grp", "left_anti")
-            lab = by_lpa.unionByName(_ordered_split(stuck, deg, max_size, lvl))
-        else:
-            lab = _ordered_split(members, deg, max_size, lvl)
-        cur = lab.select(F.lit(lvl).alias("level"),
-                         F.concat(F.lit(f"{lvl}:"), F.col("label")).alias("community"),
-                         F.col("grp").alias("parent"), "node")
-        levels.append(cut_lineage(cur))
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
+        best = cut_lineage(_heaviest(between))
+        links = best.select(F.col("u").alias("src"), F.col("v").alias("dst")) \
+            .unionByName(best.select(F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
+        up = propagate_min_label(best.select(F.col("u").alias("node")), cut_lineage(links))
+        top = F.element_at("path", -1)
+        path = cut_lineage(path.withColumn("c", top).join(up.select(F.col("node").alias("c"), "label"), "c", "left")
+                           .select("node", F.concat("path", F.array(F.coalesce("label", "c"))).alias("path")))
+    # name clusters by their smallest node, and know their sizes, level by level
+    flat = path.select("node", F.posexplode(F.reverse("path")).alias("depth", "c"))
+    info = flat.groupBy("depth", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
+    rows = flat.join(info, ["depth", "c"]).groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("depth", "size", "least"))).alias("p"))    # one entry a level: logarithmic
+    # nested clusters of one size are one; pieces of a small enough community aren't wanted
+    kept = F.filter("p", lambda x, i: (i == 0) | (
+        (x["size"] < F.get("p", i - 1)["size"]) & (F.get("p", i - 1)["size"] > max_size)))
+    rows = rows.select("node", kept.alias("p")).select("node", "p", F.posexplode("p").alias("level", "x"))
+    rows = rows.select("node", "level", F.col("x.least").alias("least"),
+                       F.when(F.col("level") > 0, F.get("p", F.col("level") - 1)["least"]).alias("above"))
+    least = names.select(F.col("nid").alias("least"), F.col("node").alias("least_name"))
+    above = names.select(F.col("nid").alias("above"), F.col("node").alias("above_name"))
+    level = F.col("level").cast("string")
+    return cut_lineage(
+        rows.join(names.select(F.col("nid").alias("node"), F.col("node").alias("name")), "node").join(least, "least").join(above, "above", "left")
+        .select("level", F.concat(level, F.lit(":"), "least_name").alias("community"),
+                F.when(F.col("level") > 0, F.concat((F.col("level") - 1).cast("string"), F.lit(":"), "above_name")).alias("parent"),
+                F.col("name").alias("node")))
+
+
+def community_invariants(membership: DataFrame, edges: DataFrame, max_size: int = 10) -> DataFrame:
+    """``(measure, n)``: what must hold of a hierarchy, as counts."""
+    sizes = membership.groupBy("level", "community").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("parent").alias("parents"))
+    has_pieces = membership.where("parent is not null").select(F.col("parent").alias("community")).distinct()
+    leaf = sizes.join(has_pieces, "community", "left_anti")
+    # components inside communities: nodes named by community, edges only within
+    e = simple_edges(edges)
+    ms = membership.select("level", "community", F.col("node").alias("src"))
+    md = membership.select("level", F.col("community").alias("c2"), F.col("node").alias("dst"))
+    at = e.join(ms, "src").join(md, ["level", "dst"]).where(F.col("community") == F.col("c2"))
+    named = at.select(F.concat_ws("\x1f", "community", "src").alias("source"), F.concat_ws("\x1f", "community", "dst").alias("target"))
+    comp = connected_components(named)
+    parts = comp.select(F.substring_index("component", "\x1f", 1).alias("community"), "component", "component_size").distinct() \
+        .groupBy("community").agg(F.max("component_size").alias("largest"))
+    split = sizes.where("size > 1").join(parts, "community", "left").where(F.coalesce("largest", F.lit(0)) < F.col("size"))
+    once = membership.groupBy("level", "node").agg(F.count(F.lit(1)).alias("n"))
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
+
+    out = one("nodes_at_level_0", membership.where("level = 0"))
+    for name, df in (("communities_at_level_0", sizes.where("level = 0")), ("oversized_leaves", leaf.where(F.col("size") > max_size)),
+                     ("disconnected_communities", split), ("ambiguous_parents", sizes.where("parents > 1")),
+                     ("orphans", sizes.where("level > 0 and parents = 0")), ("nodes_twice_at_a_level", once.where("n > 1"))):
+        out = out.unionByName(one(name, df))
     return out
 
 

@@ -4,7 +4,7 @@
                       -> headers -> annotated texts (+ metadata texts), one writer
                       per target path.
 ``build_index``     : corpus + metadata -> text units, entities, relationships,
-                      communities, community reports (the five index tables).
+                      communities, community reports, membership (the index tables).
 ``Index``           : the analysis API over a written index (dependencies,
                       dependents, cycles, layers, impact, waves, risk, search).
 
@@ -71,7 +71,7 @@ def metadata_rows(annotated: DataFrame) -> DataFrame:
 
 def build_index(corpus: DataFrame, md_rows: DataFrame, chunk_size: int = 1200, chunk_overlap: int = 100,
                 max_cluster_size: int = 10) -> dict[str, DataFrame]:
-    """Five index tables from the corpus ``(id, path, text)`` and typed metadata rows."""
+    """Index tables from the corpus ``(id, path, text)`` and typed metadata rows."""
     units = IX.chunk_text(corpus, "text", "id", chunk_size, chunk_overlap).select(
         F.sha2(F.concat_ws(":", "id", F.col("chunk_index").cast("string")), 256).alias("id"),
         F.col("id").alias("document_id"), "chunk_index", "text", "n_tokens")
@@ -85,7 +85,7 @@ def build_index(corpus: DataFrame, md_rows: DataFrame, chunk_size: int = 1200, c
     communities = CM.community_table(membership)
     reports = CM.community_reports(membership, rels)
     return {"entities": entities, "relationships": rels, "text_units": units,
-            "communities": communities, "community_reports": reports}
+            "communities": communities, "community_reports": reports, "membership": membership}
 
 
 class Index:

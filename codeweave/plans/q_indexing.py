@@ -138,15 +138,49 @@ def q_incremental_units(spark, d):
     return u.select("doc_key", "chunk_index", "n_tokens", F.md5("text").alias("chunk_md5"))
 
 
+_MEMBERSHIP: dict = {}
+
+
+def _membership(spark, d):
+    """Communities of the module graph, built once per application and input folder: a table under the checkpoint folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MEMBERSHIP:
+        _MEMBERSHIP[key] = CM.hierarchical_communities(X.module_edges(spark, d), max_size=10)
+    return _MEMBERSHIP[key]
+
+
 @register("communities")
 def q_communities(spark, d):
-    return CM.hierarchical_communities(X.module_edges(spark, d), max_size=10)
+    return _membership(spark, d)
+
+
+# level 0 against a depth-bounded (64) min-label recursion, exact while the diameter is below it
+_LEVEL0_SQL = X.oracle_with(X.SQL_MODULE_EDGES, recursive=True).rstrip() + """,
+u as (select source as a, target as b from module_edges union select target, source from module_edges),
+n as (select distinct a as node from u),
+lab(node, label, it) as (select node, node, 0 from n
+   union all select u.b, min(l.label), max(l.it) + 1 from lab l join u on l.node = u.a where l.it < 64 group by u.b),
+comp as (select node, min(label) as component from lab group by node)
+"""
+
+
+@register("communities_level0", _LEVEL0_SQL + """
+select '0:' || component as community, node from comp""")
+def q_communities_level0(spark, d):
+    return _membership(spark, d).where("level = 0").select("community", "node")
+
+
+@register("community_invariants", _LEVEL0_SQL + """
+select 'nodes_at_level_0' as measure, count(*)::bigint as n from comp
+union all select 'communities_at_level_0', count(distinct component)::bigint from comp
+union all select unnest(['oversized_leaves', 'disconnected_communities', 'ambiguous_parents', 'orphans', 'nodes_twice_at_a_level']), 0::bigint""")
+def q_community_invariants(spark, d):
+    return CM.community_invariants(_membership(spark, d), X.module_edges(spark, d))
 
 
 @register("reports")
 def q_reports(spark, d):
-    edges = X.module_edges(spark, d)
-    return CM.community_reports(CM.hierarchical_communities(edges, max_size=10), edges)
+    return CM.community_reports(_membership(spark, d), X.module_edges(spark, d))
 
 
 @register("text_embedding")

@@ -1,7 +1,7 @@
 """Index tables on shared storage: load (S7, S8), write (K4, K5), export/import (K6),
 plus the run outputs of corpus preparation (K1-K3) and the corpus view (S9).
 
-An index is five parquet folders under ``{root}/output/``.  Reads are lazy,
+An index is six parquet folders (the sixth, ``membership``, holds node -> community) under ``{root}/output/``.  Reads are lazy,
 so a question that touches two columns of ``relationships`` scans two columns.
 """
 
@@ -12,7 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INDEX_TABLES = ["entities", "relationships", "text_units", "communities", "community_reports"]
+INDEX_TABLES = ["entities", "relationships", "text_units", "communities", "community_reports", "membership"]
 
 
 def _out(root: str, name: str) -> str:
@@ -28,7 +28,7 @@ def write_index(tables: dict[str, DataFrame], root: str, mode: str = "overwrite"
 
 
 def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The five tables as lazy DataFrames, also registered as temp views."""
+    """The tables as lazy DataFrames, also registered as temp views."""
     out = {}
     for name in INDEX_TABLES:
         df = spark.read.parquet(_out(root, name))
@@ -38,7 +38,7 @@ def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def export_index(spark: SparkSession, src_root: str, dst_root: str) -> None:
-    """K6: copy an index (read -> check -> write); the reader needs all five tables."""
+    """K6: copy an index (read -> check -> write); the reader needs all tables."""
     tables = load_index(spark, src_root)
     write_index(tables, dst_root)
     check = load_index(spark, dst_root)

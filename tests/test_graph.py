@@ -93,6 +93,9 @@ def test_community_invariants(spark):
     assert deepest.groupby(["level", "community"]).size().max() <= 10
     parents = set(m.community)
     assert set(m[m.level > 0].parent) <= parents
+    counts = {r.measure: r.n for r in CM.community_invariants(CM.hierarchical_communities(edf(spark, e), 10), edf(spark, e)).collect()}
+    assert counts.pop("nodes_at_level_0") == len(nodes) and counts.pop("communities_at_level_0") == 2
+    assert set(counts.values()) == {0}
     rep = CM.community_reports(CM.hierarchical_communities(edf(spark, e), max_size=10), edf(spark, e)).toPandas()
     assert set(rep.community) == set(m.community)
 
