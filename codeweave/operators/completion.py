@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeweave.session import cut_lineage
+from codeweave.session import cut_lineage, read_if_there
 
 ChatFn = Callable[[list], list]
 ANSWER_SCHEMA = "prompt_key string, content string, error string"
@@ -56,39 +56,52 @@ def cache_misses(prompts: DataFrame, cache: DataFrame | None) -> DataFrame:
     return todo
 
 
-def _call_batches(chat_fn: ChatFn, options: dict | None = None):
+def _call_batches(chat_fn: ChatFn, options: dict | None = None, attempts: int = 3):
+    """A batch is asked at once; if that fails, or the answers don't number the prompts, each
+    prompt is asked alone up to ``attempts`` times, so only its own failure marks it."""
     opts = dict(options or {})
 
+    def ask(msgs: list) -> list:
+        out = list(chat_fn(msgs, **opts))
+        if len(out) != len(msgs):
+            raise ValueError(f"{len(out)} answers to {len(msgs)} prompts")
+        return out
+
+    def alone(msg: list) -> tuple:
+        for _ in range(attempts):
+            try:
+                return ask([msg])[0], None
+            except Exception as e:  # noqa: BLE001 -- recorded per row, retried on the next run
+                error = f"{type(e).__name__}: {e}"
+        return None, error
+
     def run(batches):
         for pdf in batches:
             msgs = [[{"role": m["role"], "content": m["content"]} for m in row] for row in pdf["messages"]]
             try:
-                out = list(chat_fn(msgs, **opts) if opts else chat_fn(msgs))
-                err = [None] * len(out)
-            except Exception as e:  # noqa: BLE001 -- recorded per row, retried on the next run
-                out, err = [None] * len(msgs), [f"{type(e).__name__}: {e}"] * len(msgs)
+                out, err = ask(msgs), [None] * len(msgs)
+            except Exception:  # noqa: BLE001 -- asked one by one
+                both = [alone(m) for m in msgs]
+                out, err = [x for x, _ in both], [e for _, e in both]
             yield pd.DataFrame({"prompt_key": pdf["prompt_key"], "content": out, "error": err})
     return run
 
 
 def complete(prompts: DataFrame, chat_fn: ChatFn, model: str = "", cache_path: str | None = None,
-             concurrency: int = 2, n: int = 1, options: dict | None = None) -> DataFrame:
+             concurrency: int | None = None, n: int = 1, options: dict | None = None, attempts: int = 3) -> DataFrame:
     """Answer every row's ``messages``; returns the rows with ``content`` and ``error`` added.
 
     ``n`` completions per prompt (rows gain ``completion_index``); ``options``
     (e.g. ``{"temperature": 0, "response_format": {"type": "json_object"}}``)
-    are passed to ``chat_fn`` as keyword arguments.
+    are passed to ``chat_fn`` as keyword arguments.  ``concurrency`` is the number of
+    tasks that call the model (what its endpoint bears; default: the cluster's cores).
     """
     spark = prompts.sparkSession
     keyed = with_prompt_key(prompts, model, n)
-    cache = None
-    if cache_path:
-        try:
-            cache = spark.read.parquet(cache_path)
-        except Exception:  # noqa: BLE001 -- first run: no cache yet
-            cache = None
+    cache = read_if_there(spark, cache_path) if cache_path else None
+    concurrency = concurrency or spark.sparkContext.defaultParallelism
     todo = cache_misses(keyed.select("prompt_key", "messages"), cache)
-    answers = todo.repartition(concurrency).mapInPandas(_call_batches(chat_fn, options), ANSWER_SCHEMA)
+    answers = todo.repartition(concurrency).mapInPandas(_call_batches(chat_fn, options, attempts), ANSWER_SCHEMA)
     if cache_path:
         # failed calls are not cached, so the next run retries exactly those keys
         answers = cut_lineage(answers)

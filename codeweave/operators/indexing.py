@@ -52,7 +52,7 @@ def chunk_text(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     # row carries its own text, never a copy of the whole token array
     chunks = F.transform(starts, lambda st: F.struct(
         st.alias("start_token"), F.size(F.slice("_t", st + 1, size)).alias("n_tokens"),
-        F.array_join(F.slice("_t", st + 1, size), "").alias("text")))
+        F.regexp_replace(F.array_join(F.slice("_t", st + 1, size), ""), WS + "$", "").alias("text")))
     ex = toks.where(F.col("_n") > 0).select(id_col, F.posexplode(chunks).alias("chunk_index", "c"))
     return ex.select(id_col, F.col("chunk_index").cast("int"), F.col("c.start_token").cast("int").alias("start_token"),
                      F.col("c.n_tokens").cast("int").alias("n_tokens"), F.col("c.text").alias("text"))

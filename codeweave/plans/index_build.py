@@ -30,7 +30,7 @@ from codeweave.session import cut_lineage
 
 
 def prepare_corpus(files: DataFrame, languages: list[str], chat_fn, model: str = "",
-                   cache_path: str | None = None, concurrency: int = 2) -> dict[str, DataFrame]:
+                   cache_path: str | None = None, concurrency: int | None = None) -> dict[str, DataFrame]:
     """Returns ``annotated`` (one row per written file), ``rejected`` and ``missing`` tables."""
     keys = ["git_repo", "pass_seq", "file_path"]
     passes = GEN.select_passes(files, languages)

@@ -21,7 +21,7 @@ s as (select doc_id, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLAP
 select doc_id, (row_number() over (partition by doc_id order by start_token) - 1)::int as chunk_index,
        start_token::int as start_token,
        len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
-       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), '')) as chunk_md5
+       md5(regexp_replace(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ''), '[ \\t\\n\\r\\f]+$', '')) as chunk_md5
 from s""")
 def q_chunk_text(spark, d):
     c = IX.chunk_text(X.table(spark, d, "documents"), "text", "doc_id", CHUNK_SIZE, CHUNK_OVERLAP)
@@ -127,7 +127,7 @@ s as (select doc_key, toks, unnest(generate_series(0, greatest(n - {CHUNK_OVERLA
                                                    {CHUNK_SIZE - CHUNK_OVERLAP})) as start_token from n)
 select doc_key, (row_number() over (partition by doc_key order by start_token) - 1)::int as chunk_index,
        len(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}))::int as n_tokens,
-       md5(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), '')) as chunk_md5
+       md5(regexp_replace(array_to_string(list_slice(toks, start_token + 1, start_token + {CHUNK_SIZE}), ''), '[ \\t\\n\\r\\f]+$', '')) as chunk_md5
 from s""")
 def q_incremental_units(spark, d):
     old = X.snapshot_old(spark, d)

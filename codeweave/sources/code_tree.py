@@ -3,17 +3,19 @@
 Why not ``binaryFile``: Spark's file sources silently skip names starting with
 ``_`` or ``.`` (``__init__.py``, ``.github/...``), which a code scan must keep.
 
-Distribution: the driver lists only the top level of the root; every
-top-level folder (plus one group for the root's own files) becomes an input
-partition whose task walks *its* subtree, prunes excluded folders during the
-walk, skips oversized files by ``stat`` before reading (they are emitted with
-null content so they can be reported), and reads the rest as bytes.  Decoding
-and newline normalisation happen JVM-side afterwards.  Symlinked folders are
-not followed.  The tree must sit on storage every executor can read.
+Distribution: the driver lists only the upper ``split_depth`` levels of folders;
+each folder at that depth is an input partition whose task walks its subtree, and
+files above it are dealt in groups.  Tasks prune excluded folders during the walk,
+skip other extensions by name and oversized files by ``stat`` before reading (the
+latter are emitted with null content so they can be reported), and read the rest
+as bytes.  Decoding and newline normalisation happen JVM-side afterwards.  Links to
+files are read, links to folders aren't followed, at every level.  Files that may
+not be read or are gone by then are skipped; any other I/O error fails the task.
+The tree must sit on storage every executor can read.
 
 Options: ``path`` (root), ``git_repo``, ``prune`` (comma list of folder names),
-``max_bytes`` (default 200000), ``group_files`` (files per partition for the
-root group).
+``extensions`` (comma list, default all), ``max_bytes`` (default 200000),
+``split_depth`` (default 3), ``group_files`` (files per partition above it).
 """
 
 from __future__ import annotations
@@ -41,32 +43,42 @@ class CodeTreeReader(DataSourceReader):
         self.prune = {p for p in (options.get("prune") or "").split(",") if p}
         self.max_bytes = int(options.get("max_bytes", 200_000))
         self.group = int(options.get("group_files", 1000))
+        self.depth = int(options.get("split_depth", 3))
+        self.extensions = {x for x in (options.get("extensions") or "").split(",") if x}
+
+    def _wanted(self, name: str) -> bool:
+        return not self.extensions or os.path.splitext(name)[1] in self.extensions
 
     def partitions(self):
-        parts = []
-        top_files = []
-        for entry in sorted(os.scandir(self.root), key=lambda e: e.name):
-            if entry.is_dir(follow_symlinks=False):
-                if entry.name not in self.prune:
-                    parts.append(_TreePart(entry.name))
-            elif entry.is_file(follow_symlinks=False):
-                top_files.append(entry.name)
-        for i in range(0, len(top_files), self.group):
-            parts.append(_TreePart(None, top_files[i:i + self.group]))
+        parts, files = [], []
+        level = [""]
+        for depth in range(self.depth + 1):
+            below = []
+            for folder in level:
+                if depth == self.depth:
+                    parts.append(_TreePart(folder))
+                    continue
+                for entry in sorted(os.scandir(os.path.join(self.root, folder)), key=lambda e: e.name):
+                    rel = f"{folder}/{entry.name}" if folder else entry.name
+                    if entry.is_dir(follow_symlinks=False):
+                        if entry.name not in self.prune:
+                            below.append(rel)
+                    elif entry.is_file() and self._wanted(entry.name):
+                        files.append(rel)
+            level = below
+        for i in range(0, len(files), self.group):
+            parts.append(_TreePart(None, files[i:i + self.group]))
         return parts or [_TreePart(None, [])]
 
     def _emit(self, rel_path: str):
         abs_path = os.path.join(self.root, rel_path)
         try:
             size = os.path.getsize(abs_path)
-        except OSError:
-            return None
-        if size > self.max_bytes:
-            return (self.repo, rel_path, size, None)
-        try:
+            if size > self.max_bytes:
+                return (self.repo, rel_path, size, None)
             with open(abs_path, "rb") as f:
                 return (self.repo, rel_path, size, f.read())
-        except (PermissionError, OSError):
+        except (PermissionError, FileNotFoundError):
             return None
 
     def read(self, partition: _TreePart):
@@ -79,7 +91,7 @@ class CodeTreeReader(DataSourceReader):
         base = os.path.join(self.root, partition.rel_dir)
         for cur, dirs, files in os.walk(base):
             dirs[:] = sorted(d for d in dirs if d not in self.prune)
-            for name in sorted(files):
+            for name in sorted(filter(self._wanted, files)):
                 rel = os.path.relpath(os.path.join(cur, name), self.root).replace(os.sep, "/")
                 row = self._emit(rel)
                 if row is not None:
@@ -112,8 +124,10 @@ def read_code_tree(spark, root: str, git_repo: str = "", languages: list[str] |
     from codeweave.functions import mappings as M
     register(spark)
     prune: set[str] = set()
+    extensions: set[str] = set()
     if languages:
+        extensions = {x for _, _, _, exts, _ in M.pass_plan(languages) for x in exts}
         sets = [set(M.excluded_dirs(lang)) for lang in languages]
         prune = set.intersection(*sets)
     return (spark.read.format("codetree").option("path", root).option("git_repo", git_repo)
-            .option("prune", ",".join(sorted(prune))).option("max_bytes", str(max_bytes)).load())
+            .option("prune", ",".join(sorted(prune))).option("extensions", ",".join(sorted(extensions))).option("max_bytes", str(max_bytes)).load())

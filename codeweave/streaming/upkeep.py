@@ -3,15 +3,16 @@
 ``readStream`` watches a drop folder of parquet files ``(doc_key, text[, deleted])``;
 each micro-batch is applied by ``foreachBatch``:
 
-* the batch is reduced to one row per key (a tombstone wins within a batch);
-* a ``snapshot_diff`` against the current snapshot classifies keys as
+* the batch is reduced to one row per key: the highest ``seq``, then a tombstone, then
+  the greatest text;
+* a ``snapshot_diff`` against the snapshot of *earlier epochs* classifies keys as
   added / changed / same / deleted -- only for keys in the batch (semi-join);
 * added/changed documents are re-chunked; the new snapshot rows and units are
   appended to append-only logs partitioned by ``epoch``.
 
 Writes use dynamic partition overwrite of ``epoch=<id>``, so a replayed epoch
-(after a failure) rewrites the same partition: exactly-once state even with
-at-least-once batch execution.  The current state is "latest epoch per key"
+(after a failure anywhere in the batch) compares with the same earlier epochs and
+rewrites the same partitions: exactly-once state even with at-least-once batches.  The current state is "latest epoch per key"
 (a partial/final ``max_by`` aggregate, skew-safe), never a driver-side merge.
 """
 
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave.operators import indexing as IX
+from codeweave.session import read_if_there
 
-DROP_SCHEMA = "doc_key bigint, text string, deleted boolean"
+DROP_SCHEMA = "doc_key bigint, text string, deleted boolean, seq bigint"
 
 
 def _latest(log: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -31,11 +33,13 @@ def _latest(log: DataFrame, key: str = "doc_key") -> DataFrame:
     return agg.select(key, "_r.*")
 
 
-def current_snapshot(spark: SparkSession, state_dir: str) -> DataFrame:
-    try:
-        log = spark.read.parquet(f"{state_dir}/snapshot")
-    except Exception:  # noqa: BLE001 -- no state yet
+def current_snapshot(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
+    """Live documents; with ``before``, as of the epochs below it."""
+    log = read_if_there(spark, f"{state_dir}/snapshot")
+    if log is None:
         return spark.createDataFrame([], "doc_key bigint, text string")
+    if before is not None:
+        log = log.where(F.col("epoch") < before)
     return _latest(log).where(~F.col("deleted")).select("doc_key", "text")
 
 
@@ -51,10 +55,10 @@ def apply_batch(state_dir: str, chunk_size: int = 1200, chunk_overlap: int = 100
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         b = (batch.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-             .groupBy("doc_key").agg(F.max_by(F.struct("deleted", "text"), F.col("deleted").cast("int"))
-                                     .alias("_r"))
+             .groupBy("doc_key").agg(F.max_by(F.struct("deleted", "text"), F.struct(
+                 F.coalesce("seq", F.lit(-1)), "deleted", F.coalesce("text", F.lit("")))).alias("_r"))
              .select("doc_key", "_r.deleted", "_r.text"))
-        cur = current_snapshot(spark, state_dir).join(b.select("doc_key"), "doc_key", "left_semi")
+        cur = current_snapshot(spark, state_dir, epoch_id).join(b.select("doc_key"), "doc_key", "left_semi")
         diff = IX.snapshot_diff(cur, b.where(~F.col("deleted")).select("doc_key", "text"))
         tomb = b.where(F.col("deleted")).select("doc_key")
         status = (diff.join(tomb, "doc_key", "left_anti")

@@ -68,3 +68,20 @@ def test_end_to_end_index(spark, tmp_dir):
     assert idx.global_search("what purpose").columns[:2] == ["community", "level"]
     ctx = idx.local_search("pkg init module", k=3).collect()
     assert ctx and ctx[0].kind == "entity" and all(r.used_tokens <= 8000 for r in ctx)
+
+
+def test_code_tree_links_and_depth(spark, tmp_dir):
+    make_tree(tmp_dir)
+    deep = os.path.join(tmp_dir, "a/b/c/d/e")
+    os.makedirs(deep)
+    with open(os.path.join(deep, "deep.py"), "w", encoding="utf-8") as f:
+        f.write("import os\n")
+    os.symlink(os.path.join(tmp_dir, "top.py"), os.path.join(tmp_dir, "link.py"))
+    os.symlink(os.path.join(tmp_dir, "top.py"), os.path.join(deep, "link.py"))
+    os.symlink(deep, os.path.join(tmp_dir, "linked"))
+    for depth in ("1", "3"):
+        code_tree.register(spark)
+        got = {r.file_path for r in spark.read.format("codetree").option("path", tmp_dir).option("split_depth", depth)
+               .option("extensions", ".py").load().collect()}
+        assert {"link.py", "a/b/c/d/e/link.py", "a/b/c/d/e/deep.py", "top.py", "pkg/__init__.py"} <= got
+        assert "pkg/setup.cfg" not in got and not any(p.startswith("linked") for p in got)
