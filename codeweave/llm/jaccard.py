@@ -21,11 +21,14 @@ signatures that are shared by more than ``HOT`` classes while those don't exceed
 passage stop meeting; near copies, which share nearly all, still do.
 
 *Verification.*  Candidates are verified exactly on the sets of the whole texts.
-Within a signature all members are compared with the least one, so a group of
-near copies costs a line, not all pairs.  Components follow, and only pairs of a
-signature that are in different components are left: they are compared with
-further members in turn, or all at once as soon as they are few (at most
-``DIRECT`` a class).  No link between classes is lost to the components.
+First all members of a signature are compared with one of them, the one that
+shares most signatures with others, so a group of near copies costs a line, not
+all pairs.  Components follow.  Signatures whose members are still in different
+components are then verified within: their members are dealt into blocks of
+``BLOCK_ROWS``, each pair of blocks a group of its own that counts all common
+shingles at once by matrix products and gives only the edges of a spanning
+forest.  So no pairs are written, no link is lost to the components, and no task
+holds more than two blocks.
 
 Signatures are flat rows ``(key, class)`` of 16 bytes; they are computed again
 where they are used twice, which costs less than to keep them.
@@ -52,7 +55,8 @@ from codeweave.llm.common import components, free_name, materialise
 
 LEAST = 3
 HOT = 64
-DIRECT = 20
+BLOCK_ROWS = 512
+COLUMNS = 4096  # shingles counted at a time
 BAND = 1.3  # largest size of a band over its smallest
 CACHE_WORDS = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -232,8 +236,11 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Dat
 def _shared(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(key, class)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
     rows = _keys(docs, k, num, den)
-    both = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-    shared = materialise(rows.join(both, "key").distinct())
+    # a key and a number shuffle as ten bytes or so; copies, which count here too, go with distinct()
+    often = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
+    some = materialise(rows.join(often, "key").distinct())
+    both = some.groupBy("key").count().where(F.col("count") > 1).select("key")
+    shared = materialise(some.join(both, "key"))
     hot = shared.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     rules = docs.sparkSession.createDataFrame(
         [(j, 2 if s.twos else 1, s.slack) for j, s in enumerate(schemes(num, den))], "scheme int, cost int, slack long")
@@ -244,43 +251,119 @@ def _shared(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return materialise(shared.join(h.join(free, ["class", "scheme"]).select("key", "class"), ["key", "class"], "left_anti"))
 
 
-def _fresh(pairs: DataFrame, checked: DataFrame | None) -> DataFrame:
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    return materialise(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"))
+def _links_within(sets: list[np.ndarray], root: np.ndarray, apart: np.ndarray | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) that link and have different roots (of different blocks, if given): a spanning forest of them."""
+    n = len(sets)
+    size = np.array([len(u) for u in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count[col] > 1
+    _, col = np.unique(col[often], return_inverse=True)
+    row = row[often]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    common = np.zeros((n, n), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        lo, hi = np.searchsorted(col, [at, at + COLUMNS])
+        m = np.zeros((n, COLUMNS), np.float32)
+        m[row[lo:hi], col[lo:hi] - at] = 1
+        common += m @ m.T
+    a, b = np.nonzero((den * common >= num * (size[:, None] + size - common)) & (common > 0))
+    keep = (a < b) & (root[a] != root[b])
+    if apart is not None:
+        keep &= apart[a] != apart[b]
+    a, b = a[keep], b[keep]
+    tree = np.arange(n)
+    while True:  # labels of the forest
+        low = np.minimum(tree[a], tree[b])
+        new = tree.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == tree).all():
+            break
+        tree = new
+    on = np.nonzero(tree != np.arange(n))[0]
+    return on, tree[on]
+
+
+def verify_within(members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` that link different roots of a key of ``members(key, a, root, id)``; ``docs(id, text)``."""
+    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    v = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    v = v.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("id", "key", "a", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = v.join(docs.select("id", "text"), "id").select("key", "i", "j", "a", "root", "block", "text") \
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, group = None, []
 
+        def finish() -> pa.RecordBatch | None:
+            if len(group) < 2 or len({g[1] for g in group}) < 2:
+                return None
+            a = np.array([g[0] for g in group])
+            x, y = _links_within([g[3] for g in group], np.array([g[1] for g in group]),
+                                 np.array([g[2] for g in group]) if now[1] != now[2] else None, num, den)
+            return pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y])], names=["a", "b"]) if len(x) else None
 
-def class_links(member: DataFrame, n_classes: int, check) -> DataFrame:
+        for b in batches:
+            key, i, j, a, root, block = (b.column(c).to_pylist() for c in range(6))
+            for r in range(b.num_rows):
+                if (key[r], i[r], j[r]) != now:
+                    out = finish()
+                    if out is not None:
+                        yield out
+                    now, group = (key[r], i[r], j[r]), []
+                group.append((a[r], root[r], block[r], shingle_set(b.column(6)[r].as_py(), k)))
+        out = finish()
+        if out is not None:
+            yield out
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _groups(rest: DataFrame) -> DataFrame:
+    """``(key, a, root)`` to verify within, so that few texts need be sent.
+
+    Signatures of one group of near copies have much the same members.  Members that
+    hang together by signatures are verified in one group if that sends fewer texts
+    (members times blocks) than signature by signature; either way all members of a
+    signature meet.
+    """
+    least = rest.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n"))
+    whole = components(rest.join(least, "key").select("a", "b"))
+    of_key = least.join(whole, least["b"] == whole["node"]).select("key", F.col("root").alias("whole"), "n")
+    cost = F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS))
+    apart = of_key.groupBy("whole").agg(cost.alias("apart"))
+    together = whole.groupBy(F.col("root").alias("whole")).agg(F.count(F.lit(1)).alias("n")) \
+        .select("whole", (F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS)).alias("together"))
+    choice = materialise(of_key.join(apart, "whole").join(together, "whole")
+                         .select("key", F.when(F.col("together") <= F.col("apart"), F.col("whole")).otherwise(F.col("key")).alias("group")))
+    return rest.join(choice, "key").select(F.col("group").alias("key"), "a", "root").distinct()
+
+
+def class_links(member: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(node, root)`` of the classes that are linked with another one.
 
-    ``member(key, class)`` are the shared signatures; ``check`` returns those of its pairs ``(a, b)`` that link.
+    ``member(key, class)`` are the shared signatures, ``reps(class, rep)`` a document of every class.
     """
     member = member.withColumnRenamed("class", "a")
-    least = member.groupBy("key").agg(F.min("a").alias("b"))
-    checked = _fresh(member.join(least, "key").select("a", "b"), None)
-    links = materialise(check(checked))
-    used = least
-    while True:
-        roots = components(links)
-        m = member.join(roots.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").select("key", "a", F.coalesce("r", "a").alias("root"))
-        open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        m = materialise(m.join(open_keys.select("key"), "key"))
-        per = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key") \
-            .agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("x"))
-        left = per.agg(F.sum("x")).first()[0] or 0  # twice the pairs in different components
-        if left == 0:
-            return roots
-        other = m.select("key", F.col("a").alias("b"), F.col("root").alias("other"))
-        if left <= 2 * DIRECT * max(n_classes, 1000):
-            todo = _fresh(m.join(other, "key").where("a > b and root <> other").select("a", "b"), checked)
-            return components(links.unionByName(materialise(check(todo))))
-        pivot = m.select("key", F.col("a").alias("b")).join(used, ["key", "b"], "left_anti").groupBy("key").agg(F.min("b").alias("b"))
-        p = materialise(pivot.join(other, ["key", "b"]))
-        if not p.limit(1).count():
-            return roots
-        todo = _fresh(m.join(p, "key").where("root <> other").select("a", "b"), checked)
-        checked = materialise(checked.unionByName(todo))
-        used = materialise(used.unionByName(p.select("key", "b")))
-        links = materialise(links.unionByName(check(todo)))
+    n = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = materialise(member.join(n, "key").groupBy("a").agg(F.sum("n").alias("w")))
+    middle = member.join(weight, "a").groupBy("key").agg(F.max_by("a", F.struct("w", "a")).alias("b"))
+    pairs = member.join(middle, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ia")), "a") \
+        .join(reps.select(F.col("class").alias("b"), F.col("rep").alias("ib")), "b")
+    links = materialise(verify(materialise(pairs), docs, k, num, den))
+    roots = components(links)
+    m = member.join(roots.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").select("key", "a", F.coalesce("r", "a").alias("root"))
+    # the one in the middle has been compared with all others
+    m = materialise(m.join(middle.withColumnRenamed("b", "a"), ["key", "a"], "left_anti"))
+    open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = materialise(m.join(open_keys, "key"))
+    rest = _groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id")), "a")
+    more = materialise(verify_within(materialise(rest), docs, k, num, den))
+    return components(links.unionByName(more))
 
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,14 +372,8 @@ def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     sets = materialise(_sets(d, k))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
     classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class").agg(F.min("id").alias("rep")))
-    reps = classes.groupBy("class").agg(F.min("rep").alias("rep"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        by_a = pairs.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ia")), "a")
-        both = by_a.join(reps.select(F.col("class").alias("b"), F.col("rep").alias("ib")), "b")
-        return verify(both, d, k, num, den)
-
-    roots = class_links(_shared(d.where("id is not null"), k, num, den), classes.count(), check)
+    reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep")))
+    roots = class_links(_shared(d.where("id is not null"), k, num, den), reps, d, k, num, den)
     labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component"))
     of = labels.join(least, "root").select("digest", "component")

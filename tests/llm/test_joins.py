@@ -95,9 +95,9 @@ def _near_copies(rng, n_base, lengths, copies, edits):
     return out
 
 
-@pytest.mark.parametrize("k,num,den,direct", [(3, 90, 100, 20), (5, 80, 100, 20), (3, 80, 100, 0)])
-def test_jaccard_brute(spark, monkeypatch, k, num, den, direct):
-    monkeypatch.setattr(jaccard, "DIRECT", direct)  # 0: one further member of a signature a round
+@pytest.mark.parametrize("k,num,den,block", [(3, 90, 100, 512), (5, 80, 100, 512), (3, 80, 100, 2)])
+def test_jaccard_brute(spark, monkeypatch, k, num, den, block):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", block)  # 2: many pairs of blocks
     rng = random.Random(k * num)
     texts = _near_copies(rng, 30, [1, 2, 5, 9, 12, 30, 80, 300], [0, 1, 3, 8], 4) + ["", None, "  ", "same text here", "same text here"]
     rng.shuffle(texts)
@@ -122,6 +122,7 @@ def test_jaccard_signatures_always_meet():
 
 def test_jaccard_hot_passage_and_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
     rng = random.Random(8)
     passage = " ".join(f"p{i}" for i in range(60))
     docs = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(25))) for i in range(60)]
