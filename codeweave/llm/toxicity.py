@@ -4,14 +4,16 @@ A lexicon of insults is kept as a trie.  Its intersection with Levenshtein
 automata of distance ``MAX_EDITS`` is one deterministic automaton, built as words
 need it: a state is the set of (trie node, edits so far) that a word's letters
 can have reached.  A word ends in an accepting state if it is a term (or, for
-terms of ``FUZZY_MIN`` letters and more, one edit away from one).  Around every
-hit a context window decides between abuse and quotation: quotation marks that
+terms of ``FUZZY_MIN`` letters and more, one edit away from one and not among the
+words of their own in ``NEIGHBOURS``).  Around every hit a context window decides between abuse and quotation: quotation marks that
 enclose it, or a word of reporting or naming shortly before it.
 
-A document's counts of exact abuse, misspelled abuse and quoted terms, each
-discretised (``CAPS``), are the features of a logistic regression.  It is fitted
-to *all* labelled training rows through one aggregation to at most 36 cells, with
-a Gaussian prior, so it is defined without labels too.
+A document's abuse and its quoted terms are the features of a logistic regression.
+Abuse is the count of exact terms (up to its cap) and, with ``FUZZY_SHARE`` each,
+all misspelled ones; they share a weight, so misspellings count even if the labelled
+rows hold none.  It is fitted to *all* labelled training rows through one
+aggregation to a few cells (counts of misspelled terms in powers of two, each cell
+with its mean count), with a Gaussian prior, so it is defined without labels too.
 
 Cases: null and empty texts have no hits and get the score of the intercept;
 labels that are null don't train; several labels of one document count as toxic
@@ -41,6 +43,20 @@ LEXICON = (
     "arschloch", "vollidiot", "dummkopf", "schlampe", "missgeburt", "connard", "salope", "enculé", "imbécile",
     "gilipollas", "estúpido", "imbécil", "cabrón", "pendejo",
 )
+#: Words of their own one edit away from a term (English, German, French, Spanish, and the tables' invented prose).
+NEIGHBOURS = frozenset((
+    "idiom idioms boron moran morn moro mormon mormons morton moroni crown crowns blown flown clow lover lovers lower lowers "
+    "laser lasers loner loners closer closers looser poser posers loper luser hoser moser lose loses losen löser leser loyer "
+    "oser doser scam scud scrum scut sum cum slum swum crash brash thrash rash tash tras trask apathetic bustard dastard "
+    "reward rewarded regard regarded petard retarde retarder retardé retardo retarda fifth filch firth tilth verein termin "
+    "vermis garage ditch pitch witch hitch fitch mitch titch itch aitch batch botch butch birch where whole whose whorl whorf "
+    "shore chore wore hore slit slot slat smut glut slug slur salut shut saut blut flut scut duck luck tuck suck buck muck "
+    "puck ruck yuck huck zuck cuck funk ducking tucking sucking bucking mucking rucking shot ship shin shim shiv shia shat "
+    "sit hit spit suit skit snit whit chit shift shirt smit sait soit seit aunt hunt bunt punt runt cut cult cant count curt "
+    "cent cont cuit cuna sunt banker tanker ranker canker hanker wander walker winker anker wacker wanken wanner perk werk "
+    "merk berk kerk jerky creed creek creel cree creepy break wreak creak regenerate degenerated ignorent galope salopp "
+    "schlappe "
+    "oron ount shst shnt whor whre whorer whored whores whoren whorea whorhe whoure whorre whonre").split())
 #: Words that announce a quotation or a mention.
 REPORTING = frozenset((
     "said", "says", "say", "called", "calls", "calling", "wrote", "writes", "quoted", "quote", "quotes", "word",
@@ -48,13 +64,15 @@ REPORTING = frozenset((
 ))
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ('"', '"'), ("‘", "’"))
 MAX_EDITS = 1
-FUZZY_MIN = 6
+FUZZY_MIN = 4
 WINDOW_WORDS = 6
 WINDOW_CHARS = 80
-CAPS = (3, 2, 2)
-#: Prior of the weights: intercept, exact abuse, misspelled abuse, quoted.
-PRIOR_MEAN = (-2.5, 3.0, 1.0, 0.0)
-PRIOR_SD = (3.0, 2.0, 1.0, 1.0)
+CAPS = (3, None, 2)
+#: What a misspelled term counts towards abuse.
+FUZZY_SHARE = 0.75
+#: Prior of the weights: intercept, abuse, quoted.
+PRIOR_MEAN = (-2.5, 3.0, 0.0)
+PRIOR_SD = (3.0, 2.0, 1.0)
 THRESHOLD = 0.3
 CACHE_WORDS = 500_000
 NO_HIT, EXACT, FUZZY = 0, 1, 2
@@ -137,7 +155,9 @@ class _Seen(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = hit = self.automaton.match(word.decode("utf-8", "replace").lower())
+        w = word.decode("utf-8", "replace").lower()
+        hit = self.automaton.match(w)
+        self[word] = hit = NO_HIT if hit == FUZZY and w in NEIGHBOURS else hit
         return hit
 
 
@@ -157,7 +177,7 @@ def _quoted(text: str, start: int, end: int) -> bool:
 
 
 def features(texts: list[str | None]) -> list[tuple[int, int, int]]:
-    """(exact abuse, misspelled abuse, quoted) of every whole text, each up to its cap."""
+    """(exact abuse, misspelled abuse, quoted) of every whole text, each up to its cap if it has one."""
     if not _SEEN:
         _SEEN.append(_Seen(Automaton()))
     seen, out = _SEEN[0], []
@@ -173,7 +193,7 @@ def features(texts: list[str | None]) -> list[tuple[int, int, int]]:
             w = m.group().encode("utf-8", "replace").lower()
             if w in forms:
                 n[2 if _quoted(text, *m.span()) else seen[w] - 1] += 1
-        out.append(tuple(min(x, cap) for x, cap in zip(n, CAPS)))
+        out.append(tuple(x if cap is None else min(x, cap) for x, cap in zip(n, CAPS)))
     return out
 
 
@@ -192,19 +212,18 @@ class Model:
     weights: tuple[float, ...]
 
     def score(self, feats: Column) -> Column:
-        b, *ws = self.weights
-        z = F.lit(b)
-        for w, name in zip(ws, ("abuse", "misspelled", "quoted")):
-            z = z + F.lit(w) * F.log1p(feats[name].cast("double"))
+        b, abuse, quoted = self.weights
+        z = F.lit(b) + F.lit(abuse) * F.log1p(feats["abuse"] + F.lit(FUZZY_SHARE) * feats["misspelled"]) \
+            + F.lit(quoted) * F.log1p(feats["quoted"].cast("double"))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit_cells(cells: list[tuple[tuple[int, int, int], int, int]]) -> Model:
+def fit_cells(cells: list[tuple[tuple[int, float, int], int, int]]) -> Model:
     """Logistic regression on (features, rows, toxic rows) with a Gaussian prior, by Newton steps."""
     mean, precision = np.array(PRIOR_MEAN), 1 / np.square(PRIOR_SD)
     if not cells:
         return Model(PRIOR_MEAN)
-    x = np.array([[1.0, *np.log1p(c[0])] for c in cells])
+    x = np.array([[1.0, np.log1p(a + FUZZY_SHARE * m), np.log1p(q)] for (a, m, q), _, _ in cells])
     n, y = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
     w = mean.copy()
 
@@ -234,9 +253,10 @@ def fit(feats: DataFrame, labels: DataFrame) -> Model:
     """From ``feats(doc_id, f)`` and ``labels(doc_id, toxic)``: one join of small rows, one aggregation."""
     lab = train_rows(labels).where("toxic is not null and doc_id is not null") \
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    cells = feats.select("doc_id", "f").join(lab, "doc_id").groupBy("f.abuse", "f.misspelled", "f.quoted") \
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y")).collect()  # at most 36 rows
-    return fit_cells(sorted(((r[0], r[1], r[2]), r["n"], r["y"]) for r in cells))
+    cells = feats.select("doc_id", "f").join(lab, "doc_id") \
+        .groupBy("f.abuse", F.length(F.bin("f.misspelled")).alias("bits"), F.col("f.misspelled") > 0, "f.quoted") \
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y"), F.sum("f.misspelled").alias("m")).collect()  # at most 12 x 32 rows
+    return fit_cells(sorted(((r["abuse"], r["m"] / r["n"], r["quoted"]), r["n"], r["y"]) for r in cells))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -135,6 +135,20 @@ def test_quotation_and_abuse():
     assert f == [(3, 0, 0), (0, 0, 1), (0, 1, 0), (0, 0, 0), (0, 0, 0), (2, 0, 0)]
 
 
+def test_misspelled_abuse_counts_whole(spark):
+    f = toxicity.features(["you mooron", "idi0t sh1t scvm clwn l0ser", "mooron " * 200, 'He said "mooron" once.',
+                           "Verein idiom crash where whole count Blut seit reward garage", "oron ount whor shat"])
+    assert f == [(0, 1, 0), (0, 5, 0), (0, 200, 0), (0, 0, 1), (0, 0, 0), (0, 0, 0)]
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").select(*c) for t, c in
+                    (("documents", ("doc_id", "text")), ("labels", ("doc_id", "toxic"))))
+    bad = spark.createDataFrame([(-1, "you mooron"), (-2, "a stuppid and pathetik text"), (-3, "idi0t " * 200), (-4, "the verein of 1900")], docs.schema)
+    got = {r["doc_id"]: r for r in toxicity.score_documents(docs.union(bad), labels).where("doc_id < 0").collect()}
+    assert [got[i]["predicted"] for i in (-1, -2, -3, -4)] == [1, 1, 1, 0]
+    assert got[-3]["score"] > got[-2]["score"] > got[-1]["score"]
+    none = toxicity.drop_toxic(bad, labels.limit(0))  # the prior alone
+    assert [r["doc_id"] for r in none.collect()] == [-4]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(docs, labels)
