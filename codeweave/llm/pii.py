@@ -7,8 +7,9 @@ and a canonical form (an address in lower case, the digits of a number, a name's
 family part), so all mentions of an entity, in any document and any notation, get
 one surrogate (coreference).
 
-A surrogate is drawn from SHA-256 of the key, kind, canonical form and attempt,
-and written in the notation of the mention: separators and letter case stay,
+A surrogate is drawn from the canonical form alone, by SHA-256 of the key, kind,
+canonical form and attempt. Then it is written in the notation of the mention, from
+which its canonical form can be read again: separators and letter case stay,
 digits replace digits, letters replace letters, card numbers keep whether their
 check digit is right, a phone number keeps its country code, an IPv4 address
 stays one, names keep gender (by title) and script.
@@ -50,6 +51,8 @@ PATTERNS = (
     ("name", rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}) \p{{Lu}}[\p{{Ll}}'\-]+(?: \p{{Lu}}[\p{{Ll}}\-]+)?(?!\p{{L}})"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
+#: Country codes of one and two digits; all others have three.
+COUNTRY_CODES = ("^[+][17]", "^[+](2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
 #: Given names by gender and script; family names are built of syllables.
 GIVEN = {
     ("f", "latin"): "Ada Anna Clara Diana Elena Emma Greta Ida Ines Julia Laura Lena Maria Marta Nina Olga Paula Rosa Sara Vera".split(),
@@ -89,12 +92,18 @@ def _kind(m: str) -> str:
 
 def _canonical(kind: str, m: str) -> str:
     """A name stands for its family name; gender and script are part of the form."""
-    return f"""case {kind} when 'email' then lower({m}) when 'ipv4' then {m} when 'secret' then lower({m})
+    return f"""case {kind} when 'email' then {_lower(m)} when 'ipv4' then {m} when 'secret' then lower({m})
         when 'name' then concat({_gender(m)}, {_script(m)}, lower(substring_index({m}, ' ', -1)))
         when 'iban' then upper(replace({m}, ' ', ''))
+        when 'phone' then regexp_replace({m}, '[^0-9+]', '')
         else regexp_replace({m}, '[^0-9]', '') end"""
 
 
+def _lower(m: str) -> str:
+    """Lower case, one character for each, wherever it stands."""
+    return f"translate(lower(translate({m}, 'İ', 'i')), 'ς', 'σ')"
+
+
 def _gender(m: str) -> str:
     return f"if({m} rlike '^(?:{'|'.join(t.replace('.', '[.]') for t in sorted(_TITLES_M, key=len, reverse=True))}) ', 'm', 'f')"
 
@@ -123,15 +132,15 @@ def _same_shape(m: str, d: str) -> str:
         else c end), '')"""
 
 
-def _hexadecimal(m: str, d: str) -> str:
-    lower = f"substring({d}, 1, length({m}))"
-    return f"if({m} rlike '[a-f]', {lower}, upper({lower}))"
+def _cased(m: str, s: str) -> str:
+    """``s`` with capitals where ``m`` has them."""
+    return f"""array_join(transform(split({m}, ''), (c, i) -> if(c = lower(c), substring({s}, i + 1, 1), upper(substring({s}, i + 1, 1)))), '')"""
 
 
-def _digits_into(m: str, digits: str) -> str:
-    """``digits`` in the places that hold the digits of ``m``."""
-    return f"""aggregate(split({m}, ''), struct('' as s, 1 as k), (acc, c) -> if(c rlike '[0-9]',
-        struct(concat(acc.s, substring({digits}, acc.k, 1)) as s, acc.k + 1 as k),
+def _into(m: str, chars: str, places: str = "[0-9]") -> str:
+    """``chars`` in the places that hold the digits (or other ``places``) of ``m``."""
+    return f"""aggregate(split({m}, ''), struct('' as s, 1 as k), (acc, c) -> if(c rlike '{places}',
+        struct(concat(acc.s, substring({chars}, acc.k, 1)) as s, acc.k + 1 as k),
         struct(concat(acc.s, c) as s, acc.k as k)), acc -> acc.s)"""
 
 
@@ -156,39 +165,54 @@ def _ipv4(d: str) -> str:
     return "concat_ws('.', " + ", ".join(f"string({_nth(d, str(k), n)} + {a})" for k, (n, a) in enumerate([(223, 1), (256, 0), (256, 0), (254, 1)])) + ")"
 
 
-def _email(m: str, d: str) -> str:
+def _email(canon: str, d: str) -> str:
     """The local part keeps its shape; the host is one of a domain kept for examples."""
-    host = f"concat('m', substring({d}, 101, 12), '.example.net')"
-    return f"concat({_same_shape(f'''substring_index({m}, '@', 1)''', d)}, '@', if({m} = upper({m}), upper({host}), {host}))"
+    local = f"substring_index({canon}, '@', 1)"
+    return f"concat({_same_shape(local, d)}, '@m', substring({d}, 101, 12), '.example.net')"
 
 
-def _name(m: str, d: str, attempt: str) -> str:
-    def pick(words, i: str) -> str:
-        return f"element_at({_array(words)}, 1 + {_nth(d, i, len(words))})"
-
+def _family(canon: str, d: str, attempt: str) -> str:
+    """The surrogate of a family name, with gender and script before it."""
     def family(script: str) -> str:
-        return f"initcap(array_join(transform(sequence(1, 3 + {attempt}), i -> {pick(SYLLABLES[script], '7 * i')}), ''))"
+        syllable = f"element_at({_array(SYLLABLES[script])}, 1 + {_nth(d, '7 * i', len(SYLLABLES[script]))})"
+        return f"array_join(transform(sequence(1, 3 + {attempt}), i -> {syllable}), '')"
+
+    return f"concat(substring({canon}, 1, 2), if(substring({canon}, 2, 1) = 'c', {family('cyrillic')}, {family('latin')}))"
 
+
+def _name(m: str, family: str) -> str:
     given_d = _digest("'given'", f"lower(split({m}, ' ')[1])", "0")
 
     def given(script: str) -> str:
         return f"if({_gender(m)} = 'f', " + ", ".join(
             f"element_at({_array(GIVEN[g, script])}, 1 + {_nth(given_d, '5', len(GIVEN[g, script]))})" for g in "fm") + ")"
 
-    full = [f"concat_ws(' ', substring_index({m}, ' ', 1), if(size(split({m}, ' ')) > 2, {given(s)}, null), {family(s)})" for s in ("cyrillic", "latin")]
-    return f"if({_script(m)} = 'c', {full[0]}, {full[1]})"
+    any_given = f"if({_script(m)} = 'c', {given('cyrillic')}, {given('latin')})"
+    return f"concat_ws(' ', substring_index({m}, ' ', 1), if(size(split({m}, ' ')) > 2, {any_given}, null), initcap(substring({family}, 3)))"
+
+
+def _drawn(kind: str, canon: str, d: str, attempt: str) -> str:
+    """SQL: the canonical form of an entity's surrogate."""
+    skip = f"if({canon} like '+%', case when {canon} rlike '{COUNTRY_CODES[0]}' then 2 when {canon} rlike '{COUNTRY_CODES[1]}' then 3 else 4 end, 0)"
+    return f"""case {kind} when 'email' then {_email(canon, d)} when 'ipv4' then {_ipv4(d)}
+        when 'secret' then if({canon} rlike '^[0-9a-f]+$', substring({d}, 1, length({canon})), {_same_shape(canon, d)})
+        when 'iban' then concat(substring({canon}, 1, 2), {_same_shape(f"substring({canon}, 3)", d)})
+        when 'phone' then {_number(canon, d, skip)}
+        when 'card' then {_card(canon, d)}
+        when 'name' then {_family(canon, d, attempt)}
+        else {_number(canon, d)} end"""
 
 
-def _surrogate(m: str, kind: str, canon: str, d: str, attempt: str) -> str:
-    """SQL: the surrogate of mention ``m`` in its notation."""
-    country = f"if({m} like '+%', greatest(1, length(regexp_extract({m}, '^[+]([0-9]{{1,3}})[^0-9]', 1))), 0)"
-    return f"""case {kind} when 'email' then {_email(m, d)} when 'ipv4' then {_ipv4(d)}
-        when 'secret' then if({m} rlike '^[0-9A-Fa-f]+$', {_hexadecimal(m, d)}, {_same_shape(m, d)})
-        when 'iban' then concat(substring({m}, 1, 2), {_same_shape(f"substring({m}, 3)", d)})
-        when 'phone' then {_digits_into(m, _number(canon, d, country))}
-        when 'card' then {_digits_into(m, _card(canon, d))}
-        when 'name' then {_name(m, d, attempt)}
-        else {_digits_into(m, _number(canon, d))} end"""
+def _written(m: str, kind: str, s: str) -> str:
+    """SQL: the surrogate of canonical form ``s`` in the notation of mention ``m``."""
+    host = f"substring_index({s}, '@', -1)"
+    return f"""case {kind} when 'email' then concat({_cased(f"substring_index({m}, '@', 1)", s)}, '@', if({m} = upper({m}), upper({host}), {host}))
+        when 'ipv4' then {s}
+        when 'secret' then if({m} rlike '^[0-9A-Fa-f]+$', if({m} rlike '[a-f]', {s}, upper({s})), {_cased(m, s)})
+        when 'iban' then {_into(m, s, '[0-9A-Z]')}
+        when 'phone' then {_into(m, s, '[0-9+]')}
+        when 'name' then {_name(m, s)}
+        else {_into(m, s)} end"""
 
 
 def surrogates(array: str, attempt: str) -> str:
@@ -196,22 +220,22 @@ def surrogates(array: str, attempt: str) -> str:
     x = f"transform({array}, m -> struct(m as m, {_kind('m')} as k))"
     x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_canonical('x.k', 'x.m')} as c, {attempt} as a))"
     x = f"transform({x}, x -> struct(x.m as m, x.k as k, x.c as c, x.a as a, {_digest('x.k', 'x.c', 'x.a')} as d))"
-    return f"transform({x}, x -> {_surrogate('x.m', 'x.k', 'x.c', 'x.d', 'x.a')})"
+    x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_drawn('x.k', 'x.c', 'x.d', 'x.a')} as s))"
+    return f"transform({x}, x -> {_written('x.m', 'x.k', 'x.s')})"
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(kind, canon, m)``: distinct entities of all documents, each with its least mention."""
+    """``(kind, canon)``: distinct entities of all documents."""
     m = docs.select(F.explode_outer(F.expr(mentions(f"`{text}`"))).alias("m")).where("m is not null") \
         .groupBy("m").agg(F.lit(1).alias("one"))
     return m.select(F.expr(_kind("m")).alias("kind"), "m").select("kind", F.expr(_canonical("kind", "m")).alias("canon"), "m") \
-        .groupBy("kind", "canon").agg(F.min("m").alias("m"))
+        .select("kind", "canon").distinct()
 
 
 def _reduced(df: DataFrame) -> DataFrame:
     """Adds ``sur``, the canonical form of each entity's surrogate at its attempt."""
     d = df.withColumn("d", F.expr(_digest("kind", "canon", "attempt")))
-    d = d.withColumn("s", F.expr(_surrogate("m", "kind", "canon", "d", "attempt")))
-    return d.withColumn("sur", F.expr(_canonical("kind", "s"))).drop("s", "d")
+    return d.withColumn("sur", F.expr(_drawn("kind", "canon", "d", "attempt"))).drop("d")
 
 
 def attempts(ents: DataFrame) -> DataFrame | None:
@@ -222,11 +246,11 @@ def attempts(ents: DataFrame) -> DataFrame | None:
         first = state.groupBy("kind", "sur").agg(F.min("canon").alias("winner"))
         lost = state.join(first, ["kind", "sur"]).join(real, ["kind", "sur"], "left") \
             .withColumn("lost", (F.col("canon") != F.col("winner")) | F.coalesce("real", F.lit(False)))
-        lost = materialise(lost.select("kind", "canon", "m", "attempt", "sur", "lost"))
+        lost = materialise(lost.select("kind", "canon", "attempt", "sur", "lost"))
         if not lost.where("lost").limit(1).count():
             break
-        again = _reduced(lost.where("lost").select("kind", "canon", "m", (F.col("attempt") + 1).alias("attempt")))
-        state = materialise(lost.where("not lost").select("kind", "canon", "m", "attempt", "sur").unionByName(again))
+        again = _reduced(lost.where("lost").select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
+        state = materialise(lost.where("not lost").select("kind", "canon", "attempt", "sur").unionByName(again))
     drawn = state.where("attempt > 0").select("kind", "canon", "attempt")
     return drawn if drawn.limit(1).count() else None
 

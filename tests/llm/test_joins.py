@@ -270,6 +270,37 @@ def test_pii_surrogates(spark):
     assert pii.replace_entities(df).collect() == out.drop("kinds").collect()  # keyed, so repeatable
 
 
+def _replaced(spark, *texts):
+    rows = pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+@pytest.mark.parametrize("a, b, same, kept", [
+    ("+49 30 1234567", "+49301234567", "[^0-9+]", "+49"), ("+1 (212) 555-1234", "+12125551234", "[^0-9+]", "+1"),
+    ("+351 21 123 4567", "+351211234567", "[^0-9+]", "+351"),
+    ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", " ", "DE"), ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", " ", "GB"),
+    ("4111 1111 1111 1111", "4111111111111111", "[ -]", ""), ("Anna.Bell@x.com", "anna.bell@X.COM", None, ""),
+    ("24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF", None, "")])
+def test_pii_two_notations_one_surrogate(spark, a, b, same, kept):
+    x, y = _replaced(spark, f"at {a} .", f"at {b} .")
+    x, y = x[3:-2], y[3:-2]
+    shape = [re.sub("[0-9a-zA-Z]", "x", z) for z in (x, y)]
+    if same:
+        assert re.sub(same, "", x) == re.sub(same, "", y) != re.sub(same, "", a) and x.startswith(kept) and y.startswith(kept)
+        assert shape == [re.sub("[0-9a-zA-Z]", "x", z) for z in (a, b)]
+    else:
+        assert x.lower() == y.lower() != a.lower()
+
+
+def test_pii_checked_in_every_notation(spark):
+    free = _replaced(spark, "at +49 30 1234567 .")[0][3:-2]
+    real = free.replace(" ", "")  # the surrogate is a real number, but in another notation
+    x, y, z = _replaced(spark, "at +49 30 1234567 .", "at +49301234567 .", f"at {real} .")
+    assert x.replace(" ", "") == y.replace(" ", "") not in (free.replace(" ", ""), z.replace(" ", ""))
+    a, b = _replaced(spark, "at +212 555 1234 .", "at (212) 555-1234 .")
+    assert a.startswith("at +212 ") and re.sub(r"\D", "", a) != re.sub(r"\D", "", b)  # not one number
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_ipv4", lambda d: f"concat('9.9.9.', string({pii._nth(d, '3', 60)}))")  # 60 surrogates only
     ips = [f"1.2.{a}.{b}" for a, b in product(range(5), range(5))] + ["9.9.9.7", "9.9.9.8"]  # two of them real
