@@ -53,6 +53,13 @@ PATTERNS = (
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: Country codes of one and two digits; all others have three.
 COUNTRY_CODES = ("^[+][17]", "^[+](2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])")
+#: Letters of addresses by script, in lower case where there is one and without any that changes with its place; Latin for all others.
+ALPHABETS = {
+    "Cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "Greek": "αβγδεζηθικλμνοπρτυφχψω", "Armenian": "աբգդեզէըթժիլխծկհձ",
+    "Hebrew": "אבגדהוזחטילמנסעפקרשת", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Devanagari": "कखगघचछजझटठडढणतथदधनपफबभमयरलवशसह",
+    "Thai": "กขคงจฉชซดตถทนบปผพฟมยรลวสหอ", "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조", "Hiragana": "あいうえおかきくけこさしすせそたちつてと",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテト", "Han": "一丁七万三上下中丸主久之九也二云五井人今",
+}
 #: Given names by gender and script; family names are built of syllables.
 GIVEN = {
     ("f", "latin"): "Ada Anna Clara Diana Elena Emma Greta Ida Ines Julia Laura Lena Maria Marta Nina Olga Paula Rosa Sara Vera".split(),
@@ -123,12 +130,23 @@ def _nth(d: str, i: str, n: int) -> str:
     return f"int(conv(substring({d}, 1 + 2 * pmod({i}, 63), 3), 16, 10) % {n})"
 
 
+def _other(c: str, d: str, alphabet: str) -> str:
+    """A character of ``alphabet`` that isn't ``c``, from place ``i`` of the digest."""
+    n = len(alphabet)
+    return f"substring('{alphabet}', 1 + (instr('{alphabet}', {c}) + {_nth(d, 'i', n - 1)}) % {n}, 1)"
+
+
 def _same_shape(m: str, d: str) -> str:
-    """Digits for digits and letters for letters of the same case, all else kept."""
+    """Digits for digits and letters for letters of the same script and case, all else kept; no letter or digit stays."""
+    scripts = " ".join(f"when c rlike '[\\\\p{{Is{s}}}&&\\\\p{{L}}]' then {_other('c', d, a)}" for s, a in ALPHABETS.items())
     return f"""array_join(transform(split({m}, ''), (c, i) -> case
-        when c rlike '[0-9]' then substring('0123456789', 1 + {_nth(d, 'i', 10)}, 1)
-        when c rlike '[a-zß-öø-ÿ]' then substring('abcdefghijklmnopqrstuvwxyz', 1 + {_nth(d, 'i', 26)}, 1)
-        when c rlike '[A-ZÀ-Ý]' then substring('{UPPER}', 1 + {_nth(d, 'i', 26)}, 1)
+        when c between 'a' and 'z' then {_other('c', d, UPPER.lower())}
+        when c between '0' and '9' then {_other('c', d, '0123456789')}
+        when c between 'A' and 'Z' then {_other('c', d, UPPER)}
+        when c < '\\u0080' then c
+        when c rlike '\\\\p{{N}}' then {_other('c', d, '0123456789')}
+        {scripts}
+        when c rlike '\\\\p{{L}}' then {_other('c', d, UPPER.lower())}
         else c end), '')"""
 
 

@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 from itertools import product
 
 import numpy as np
@@ -301,6 +302,23 @@ def test_pii_checked_in_every_notation(spark):
     assert a.startswith("at +212 ") and re.sub(r"\D", "", a) != re.sub(r"\D", "", b)  # not one number
 
 
+@pytest.mark.parametrize("local, script", [("иван.петров", "CYRILLIC"), ("Νίκος_Σ", "GREEK"), ("łukasz.šimek", "LATIN"), ("ŁUKASZ", "LATIN"), ("Иван", "CYRILLIC"),
+                                           ("王小明", "CJK"), ("दध٣٤", None), ("a", "LATIN"), ("İzmir7", "LATIN"), ("ǅ", "LATIN"), ("ჯონ", "LATIN"), ("x²½", None)])
+def test_pii_no_letter_of_an_address_stays(spark, local, script):
+    for x, y in zip(*[iter(_replaced(spark, f"at {local}@example.ru .", f"at {local.lower()}@EXAMPLE.ru ."))] * 2):
+        got = x[3:].split("@")[0]
+        assert len(got) == len(local) and x.split("@")[1].endswith(".example.net .")
+        for a, b in zip(local, got):
+            if a.isalnum():
+                assert a.lower() != b.lower() and b.isalnum()
+                assert a.isalpha() <= b.isalpha() and (a.isupper() <= b.isupper()) and (a.islower() <= (not b.isupper()))
+                assert not (script and a.isalpha()) or unicodedata.name(b).startswith(script)
+            else:
+                assert a == b
+        if len(local.lower()) == len(local):
+            assert x.lower() == y.lower()  # one surrogate
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_ipv4", lambda d: f"concat('9.9.9.', string({pii._nth(d, '3', 60)}))")  # 60 surrogates only
     ips = [f"1.2.{a}.{b}" for a, b in product(range(5), range(5))] + ["9.9.9.7", "9.9.9.8"]  # two of them real
