@@ -4,7 +4,8 @@ One pattern finds e-mail addresses, phone numbers, IPv4 addresses, card numbers,
 IBANs, social security numbers, secrets (long hexadecimal strings and access
 keys) and titled personal names.  Each mention is reduced to its entity, a kind
 and a canonical form (an address in lower case, the digits of a number, a name's
-family part), so all mentions of an entity, in any document and any notation, get
+family part; a given name with its family name is an entity of its own, ``given``), so all
+mentions of an entity, in any document and any notation, get
 one surrogate (coreference).
 
 A surrogate is drawn from the canonical form alone, by SHA-256 of the key, kind,
@@ -198,15 +199,24 @@ def _family(canon: str, d: str, attempt: str) -> str:
     return f"concat(substring({canon}, 1, 2), if(substring({canon}, 2, 1) = 'c', {family('cyrillic')}, {family('latin')}))"
 
 
-def _name(m: str, family: str) -> str:
-    given_d = _digest("'given'", f"lower(split({m}, ' ')[1])", "0")
+def _given_canonical(m: str, canon: str) -> str:
+    """The entity of a full name, a bare family name has none (null)."""
+    return f"if(size(split({m}, ' ')) > 2, concat({canon}, ' ', lower(split({m}, ' ')[1])), null)"
 
-    def given(script: str) -> str:
-        return f"if({_gender(m)} = 'f', " + ", ".join(
-            f"element_at({_array(GIVEN[g, script])}, 1 + {_nth(given_d, '5', len(GIVEN[g, script]))})" for g in "fm") + ")"
 
-    any_given = f"if({_script(m)} = 'c', {given('cyrillic')}, {given('latin')})"
-    return f"concat_ws(' ', substring_index({m}, ' ', 1), if(size(split({m}, ' ')) > 2, {any_given}, null), initcap(substring({family}, 3)))"
+def _given(canon: str, d: str, attempt: str) -> str:
+    """Another given name for the bearers of a family name: a common one, with a syllable more by each attempt."""
+    def given(gender: str, script: str) -> str:
+        syllable = f"element_at({_array(SYLLABLES[script])}, 1 + {_nth(d, '7 * i', len(SYLLABLES[script]))})"
+        first = f"lower(element_at({_array(GIVEN[gender, script])}, 1 + {_nth(d, '5', len(GIVEN[gender, script]))}))"
+        return f"concat({first}, array_join(transform(slice(sequence(0, {attempt}), 2, {attempt}), i -> {syllable}), ''))"
+
+    by = " ".join(f"when {canon} like '{g}{x[0]}%' then {given(g, x)}" for g, x in GIVEN)
+    return f"concat(substring_index({canon}, ' ', 1), ' ', case {by} end)"
+
+
+def _name(m: str, family: str, given: str) -> str:
+    return f"concat_ws(' ', substring_index({m}, ' ', 1), initcap(substring_index({given}, ' ', -1)), initcap(substring({family}, 3)))"
 
 
 def _drawn(kind: str, canon: str, d: str, attempt: str) -> str:
@@ -218,36 +228,48 @@ def _drawn(kind: str, canon: str, d: str, attempt: str) -> str:
         when 'phone' then {_number(canon, d, skip)}
         when 'card' then {_card(canon, d)}
         when 'name' then {_family(canon, d, attempt)}
+        when 'given' then {_given(canon, d, attempt)}
         else {_number(canon, d)} end"""
 
 
-def _written(m: str, kind: str, s: str) -> str:
-    """SQL: the surrogate of canonical form ``s`` in the notation of mention ``m``."""
+def _written(m: str, kind: str, s: str, given: str) -> str:
+    """SQL: the surrogate of canonical form ``s`` in the notation of mention ``m``; ``given``: that of a full name, or null."""
     host = f"substring_index({s}, '@', -1)"
     return f"""case {kind} when 'email' then concat({_cased(f"substring_index({m}, '@', 1)", s)}, '@', if({m} = upper({m}), upper({host}), {host}))
         when 'ipv4' then {s}
         when 'secret' then if({m} rlike '^[0-9A-Fa-f]+$', if({m} rlike '[a-f]', {s}, upper({s})), {_cased(m, s)})
         when 'iban' then {_into(m, s, '[0-9A-Z]')}
         when 'phone' then {_into(m, s, '[0-9+]')}
-        when 'name' then {_name(m, s)}
+        when 'name' then {_name(m, s, given)}
         else {_into(m, s)} end"""
 
 
-def surrogates(array: str, attempt: str) -> str:
-    """SQL: the surrogates of an array of mentions; ``attempt`` may use the mention ``x.m``."""
+def surrogates(array: str, attempts: str | None = None) -> str:
+    """SQL: the surrogates of an array of mentions; ``attempts``: a map from kind, blank and mention."""
+    def attempt(kind: str) -> str:
+        return f"coalesce(try_element_at({attempts}, concat({kind}, ' ', x.m)), 0)" if attempts else "0"
+
     x = f"transform({array}, m -> struct(m as m, {_kind('m')} as k))"
-    x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_canonical('x.k', 'x.m')} as c, {attempt} as a))"
-    x = f"transform({x}, x -> struct(x.m as m, x.k as k, x.c as c, x.a as a, {_digest('x.k', 'x.c', 'x.a')} as d))"
-    x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_drawn('x.k', 'x.c', 'x.d', 'x.a')} as s))"
-    return f"transform({x}, x -> {_written('x.m', 'x.k', 'x.s')})"
+    x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_canonical('x.k', 'x.m')} as c, {attempt('x.k')} as a))"
+    x = f"""transform({x}, x -> struct(x.m as m, x.k as k, x.c as c, x.a as a, {_digest('x.k', 'x.c', 'x.a')} as d,
+        if(x.k = 'name', {_given_canonical('x.m', 'x.c')}, null) as gc, if(x.k = 'name', {attempt("'given'")}, 0) as ga))"""
+    given = f"element_at(transform(array({_digest(_q('given'), 'x.gc', 'x.ga')}), gd -> {_given('x.gc', 'gd', 'x.ga')}), 1)"
+    x = f"transform({x}, x -> struct(x.m as m, x.k as k, {_drawn('x.k', 'x.c', 'x.d', 'x.a')} as s, if(x.gc is null, null, {given}) as g))"
+    return f"transform({x}, x -> {_written('x.m', 'x.k', 'x.s', 'x.g')})"
+
+
+def _entities(ms: DataFrame, *cols: str) -> DataFrame:
+    """``(*cols, kind, canon, m)`` of the mentions ``ms(*cols, m)``; a full name is two entities."""
+    x = ms.select(*cols, F.expr(_kind("m")).alias("kind"), "m").select(*cols, "kind", F.expr(_canonical("kind", "m")).alias("canon"), "m")
+    x = x.withColumn("full", F.expr(f"if(kind = 'name', {_given_canonical('m', 'canon')}, null)"))
+    return x.select(*cols, "m", F.expr("inline(if(full is null, array(struct(kind, canon)), array(struct(kind, canon), struct('given' as kind, full as canon))))"))
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(kind, canon)``: distinct entities of all documents."""
     m = docs.select(F.explode_outer(F.expr(mentions(f"`{text}`"))).alias("m")).where("m is not null") \
         .groupBy("m").agg(F.lit(1).alias("one"))
-    return m.select(F.expr(_kind("m")).alias("kind"), "m").select("kind", F.expr(_canonical("kind", "m")).alias("canon"), "m") \
-        .select("kind", "canon").distinct()
+    return _entities(m).select("kind", "canon").distinct()
 
 
 def _reduced(df: DataFrame) -> DataFrame:
@@ -280,18 +302,17 @@ def replace_entities(docs: DataFrame, text: str = "text", found: str | None = No
     t, m, a = (free_name(docs, x) for x in ("pii_text", "pii_mentions", "pii_attempts"))
     d = docs.withColumn(m, F.expr(mentions(f"`{text}`")))
     if again is None:
-        sur = F.expr(surrogates(f"`{m}`", "0"))
+        sur = F.expr(surrogates(f"`{m}`"))
     else:  # a map of the few entities of this row that drew again
         h = free_name(docs, "pii_hash")
         key = F.xxhash64(docs[text])
         each = docs.select(key.alias(h), F.explode_outer(F.expr(mentions(f"`{text}`"))).alias("m")).where("m is not null").distinct()
-        each = each.select(h, F.expr(_kind("m")).alias("kind"), "m").select(h, "kind", F.expr(_canonical("kind", "m")).alias("canon"), "m")
-        maps = materialise(each.join(again, ["kind", "canon"]).groupBy(h).agg(
-            F.map_from_entries(F.collect_set(F.struct("m", "attempt"))).alias(a)))
+        maps = materialise(_entities(each, h).join(again, ["kind", "canon"]).groupBy(h).agg(
+            F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "m"), "attempt"))).alias(a)))
         if maps.count() <= BROADCAST_MAPS:
             maps = F.broadcast(maps)
         d = d.withColumn(h, F.xxhash64(text)).join(maps, h, "left").drop(h)
-        sur = F.expr(surrogates(f"`{m}`", f"coalesce(try_element_at(`{a}`, x.m), 0)"))
+        sur = F.expr(surrogates(f"`{m}`", f"`{a}`"))
     pieces = F.split(F.col(text), PATTERN, -1)
     merged = F.array_join(F.zip_with(pieces, F.concat(sur, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
     d = d.withColumn(t, F.when(F.size(m) > 0, merged).otherwise(F.col(text)))

@@ -319,6 +319,19 @@ def test_pii_no_letter_of_an_address_stays(spark, local, script):
             assert x.lower() == y.lower()  # one surrogate
 
 
+def test_pii_given_names_are_apart(spark):
+    given = [a + b for a in "Adam Alan Boris Carl Emil Tom".split() for b in ("", "a", "o", "us", "in", "el", "ke", "ka", "mo", "ta")]  # more than are listed
+    texts = [f"Mr. {g} Smith" for g in given] + ["Mr. Smith", "Herr Adam Smith", "Mrs. Adam Smith", "господин Иван Петров", "господин Пётр Петров", "Mr. Adam Jones"]
+    got = _replaced(spark, *texts)
+    full = [x.split() for x in got[:len(given)]]
+    assert len({x[1] for x in full}) == len(given) and not {x[1] for x in full} & set(given)
+    assert {x[2] for x in full} == {got[len(given)].split()[1]}  # one family, also without a given name
+    more = [x.split() for x in got[len(given) + 1:]]
+    assert more[0][1:] == full[0][1:] and more[1][2] != full[0][2]
+    assert more[2][2] == more[3][2] and more[2][1] != more[3][1] and re.fullmatch("[А-ЯЁ][а-яё]+", more[2][1])
+    assert more[4][2] != full[0][2]
+
+
 def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_ipv4", lambda d: f"concat('9.9.9.', string({pii._nth(d, '3', 60)}))")  # 60 surrogates only
     ips = [f"1.2.{a}.{b}" for a, b in product(range(5), range(5))] + ["9.9.9.7", "9.9.9.8"]  # two of them real
