@@ -44,6 +44,8 @@ BROADCAST_BRANCHES = 100_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+#: Of these only the start tag is skipped where there is no end tag.
+SOFT_RAW = frozenset(("noscript", "template", "svg", "math"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr img".split())
 #: Elements that end an open paragraph or their own kind.
@@ -87,6 +89,7 @@ def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False):
     outside: list[str] = []
     buffer: list[str] = []
     places: list[tuple[str, str, str]] = []
+    unclosed: set[str] = set()  # of SOFT_RAW, without an end tag from here on
 
     def flush() -> None:
         if buffer:
@@ -137,8 +140,16 @@ def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False):
             while len(stack) > 1 and stack[-1].tag in SELF_CLOSING[tag]:
                 close(len(stack) - 1)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if tag in ("svg", "math") and m[0].endswith("/>"):
+                continue
+            if tag not in unclosed:
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in SOFT_RAW:
+                    unclosed.add(tag)
+                else:
+                    at = len(page)
             continue
         attrs = m[3] or m[6] or ""
         names = _names(attrs)

@@ -23,6 +23,12 @@ def test_broken_markup_never_fails(page):
     assert isinstance(htmltext.parse(page, stats=True), list)
 
 
+@pytest.mark.parametrize("tag", ['<svg class="icon"/>', "<math/>", '<svg class="icon">', "<noscript>", "<template>", "<math>", "<svg/><svg>no</svg>"])
+def test_text_after_self_closing_and_unclosed(tag):
+    assert htmltext.parse(f"<article><p>one</p>{tag}<p>two</p></article>") == "one two"
+    assert htmltext.parse("<article><p>one</p><svg>no</svg><noscript>no</noscript><p>two</p></article>") == "one two"
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html
