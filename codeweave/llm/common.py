@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.session import cut_lineage
+from codeweave.session import checkpoint_dir, cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Runs of ASCII that is neither a digit nor a lower-case letter part the words.
@@ -24,6 +25,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under the session's shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/codeweave-files/{uuid.uuid4().hex}"
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character kept (``lower`` is right for pure ASCII)."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)) \

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweave.llm import bpe, decontaminate, htmltext, jaccard, langid, lattice, licences, pii, toxicity, urls
-from codeweave.llm.common import table
+from codeweave.llm import bpe, decontaminate, htmltext, jaccard, langid, lattice, lexical, licences, merkle, pii, tokenfiles, toxicity, urls
+from codeweave.llm.common import materialise, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,3 +82,26 @@ def op6_lattice_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op6_lattice_near_dups"] = lattice.ORACLE
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_merkle_manifest"] = merkle.ORACLE
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(materialise(lexical.index(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_lexical_search"] = lexical.ORACLE
+
+
+@query
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.digests(tokenfiles.read_tokens(spark, path)).withColumnRenamed("doc", "doc_id")
