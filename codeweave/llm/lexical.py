@@ -73,10 +73,10 @@ def _shard(number: int, ids: list, words: list[list[bytes]], kind: pa.DataType)
         pa.array([ids] + [None] * (n - 1), pa.list_(kind))], names=["shard", "term", "n", "words", "docs", "counts", "ids"])
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(shard, term, n, words, docs, counts, ids)``: posting rows, and header rows (``term`` is null).
 
-    A posting row has the number of documents ``n``, their places in the shard and counts;
+    The index is a table under the checkpoint folder.  A posting row has the number of documents ``n``, their places in the shard and counts;
     a header row has the number of documents with a term, all their ``words``, the lengths
     (in ``counts``) and ids.
     """
@@ -90,7 +90,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             id_type = b.column(0).type
             for i, t in zip(b.column(0), b.column(1)):
                 w = (t.as_py() or "").encode("utf-8", "replace").translate(_TERMS).split()
-                if words and (size + len(w) > SHARD_WORDS or len(words) == SHARD_ROWS):
+                if words and (size + len(w) > shard_words or len(words) == SHARD_ROWS):
                     yield _shard(first + number, ids, words, id_type)
                     number, ids, words, size = number + 1, [], [], 0
                 ids.append(i.as_py())
@@ -99,7 +99,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if words:
             yield _shard(first + number, ids, words, id_type)
 
-    return d.mapInArrow(run, f"shard bigint, term string, n bigint, words bigint, docs binary, counts binary, ids array<{kind}>")
+    # written once: numbers of shards hold for one evaluation
+    return materialise(d.mapInArrow(run, f"shard bigint, term string, n bigint, words bigint, docs binary, counts binary, ids array<{kind}>"))
 
 
 # -------------------------------------------------------------------- search
