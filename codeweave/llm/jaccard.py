@@ -11,8 +11,14 @@ universe of shingles into ``m`` segments and give segment ``i`` an allocation
 ``v_i`` shingles.  Sizes are cut into bands (``U`` is the band's largest size), and
 a set signs for its own band and for those above it that it can reach.  A segment
 with ``v = 1`` is signed by its subset, one with ``v = 2`` also by its one-deletion
-neighbourhood.  ``scheme`` picks ``m`` and the number of twos by cost (signatures
-written), keeping segments of at least ``LEAST`` shingles where it can.
+neighbourhood.
+
+*Allocation by cost.*  Small segments make ``v = 1`` enough nearly everywhere, but unlike
+sets then share more signatures.  The cost of ``m`` segments is the signatures that a
+set of the band writes plus the candidates they bring: segments times the chance that
+all shingles of one are shared.  That chance is measured: ``shared_share`` counts, for a
+part of the shingle universe (one in ``PROBE`` of all shingles of all sets), how many of
+a set's shingles other sets hold.
 
 *Slack.*  Allocations add up to ``H + 1 + gaps + slack``.  A set may leave out the
 signatures of empty segments while their allocations don't exceed ``gaps``, and
@@ -20,21 +26,25 @@ signatures that are shared by more than ``HOT`` classes while those don't exceed
 ``slack``: a partner must then agree with it on another one.  Texts that share a
 passage stop meeting; near copies, which share nearly all, still do.
 
-*Verification.*  Candidates are verified exactly on the sets of the whole texts.
+*Verification.*  A class has a sketch of ``64 * SKETCH`` bits, the parities of its
+shingles by hash.  The sketches of two sets differ in at most as many bits as the sets in
+shingles, so candidates whose sizes or sketches are too far apart go at once and
+nothing is lost.  The others are verified exactly on the sets of the whole texts.
 First all members of a signature are compared with one of them, the one that
 shares most signatures with others, so a group of near copies costs a line, not
-all pairs.  Components follow.  Signatures whose members are still in different
-components are then verified within: their members are dealt into blocks of
-``BLOCK_ROWS``, each pair of blocks a group of its own that counts all common
-shingles at once by matrix products and gives only the edges of a spanning
-forest.  So no pairs are written, no link is lost to the components, and no task
-holds more than two blocks.
+all pairs.  Components follow.  Of signatures whose members are still in different
+components, those members stay that are near one of another component by size and
+sketch; they are dealt into blocks of ``BLOCK_ROWS``, each pair of blocks a group of its
+own that counts all common shingles at once by matrix products and gives only the
+edges of a spanning forest.  So no pairs are written, no link is lost to the
+components, and no task holds more than two blocks.  Only texts that are to be verified
+are shuffled.
 
 Signatures are flat rows ``(key, class)`` of 16 bytes; they are computed again
 where they are used twice, which costs less than to keep them.
 
 Cases: null and wordless texts have an empty set and link with nothing; texts of
-fewer than ``k`` words have one shingle; rows of one id are judged apart; rows
+fewer than ``k`` words have one shingle; rows of one id are judged apart, by the digest of their set; rows
 without an id belong to the documents with their set, else they are alone (their
 component is null); empty tables give empty results; other columns aren't read.
 """
@@ -46,18 +56,23 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeweave.llm.common import components, free_name, materialise
 
-LEAST = 3
 HOT = 64
 BLOCK_ROWS = 512
 COLUMNS = 4096  # shingles counted at a time
-BAND = 1.3  # largest size of a band over its smallest
+BAND = 1.6  # largest size of a band over its smallest
+SKETCH = 8  # longs
+PROBE = 1024
+SEGMENTS_OF = (1, 2, 3, 4, 6)  # sizes of segments that are looked at
+CANDIDATE = 20.0  # cost of a candidate over that of a signature
+MAP_BITS = 23  # of the bitmap of ids whose texts are needed
 CACHE_WORDS = 500_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -110,36 +125,39 @@ def difference(size: int, num: int, den: int) -> int:
     return 2 * size * (den - num) // (den + num)
 
 
-def scheme(least: int, most: int, num: int, den: int) -> Scheme:
-    """Cheapest allocation of the band.
-
-    Ones cost a signature each, twos one more for each shingle; so there are as many
-    ones as leave segments of ``LEAST`` shingles, and twos make up the rest.
-    """
+def scheme(least: int, most: int, num: int, den: int, shared: float) -> Scheme:
+    """Cheapest allocation of the band: ones cost a signature each, twos one more for each shingle of the segment."""
     need = difference(most, num, den) + 1
-    gaps, slack = 1 + need // 12, need // 8
+    gaps, slack = 1 + need // 12, need // 12
     total = need + gaps + slack
-    m = max(-(-total // 2), min(total, least // LEAST))
-    return Scheme(least, most, m, total - m, gaps, slack)
+    typical = (least * most) ** 0.5
+    best = None
+    for of in SEGMENTS_OF:
+        m = max(-(-total // 2), min(total, least // of))
+        twos, per = total - m, typical / m
+        cost = m + twos * per + CANDIDATE * (m * shared ** per + twos * per * shared ** max(per - 1, 0))
+        if best is None or cost < best[0]:
+            best = cost, Scheme(least, most, m, twos, gaps, slack)
+    return best[1]
 
 
 @cache
-def schemes(num: int, den: int) -> tuple[Scheme, ...]:
+def schemes(num: int, den: int, shared: float = 0.05) -> tuple[Scheme, ...]:
     """Bands of all sizes that can differ at all (fewer than 128); smaller sets must be equal."""
     out, least = [], 1
     while difference(least, num, den) == 0:
         least += 1
     while least < 2**40:
         most = max(least, int(least * BAND))
-        out.append(scheme(least, most, num, den))
+        out.append(scheme(least, most, num, den, shared))
         least = most + 1
     return tuple(out)
 
 
-def signatures(u: np.ndarray, num: int, den: int) -> np.ndarray:
+def signatures(u: np.ndarray, num: int, den: int, shared: float = 0.05) -> np.ndarray:
     """All signatures of a set; the lowest 7 bits of a signature are its scheme."""
     out, n = [np.empty(0, np.int64)], len(u)
-    for j, s in enumerate(schemes(num, den)):
+    for j, s in enumerate(schemes(num, den, shared)):
         if n > s.most:
             continue
         if den * n < num * s.least:  # too small for any set of this band
@@ -170,21 +188,48 @@ def _class(u: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63
 
 
+def sketch(u: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash: ``SKETCH`` longs."""
+    bits = np.bincount((_mix(u * _M[1]) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+_LONGS = [f"s{i}" for i in range(SKETCH)]
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(id, n_shingles, digest, class)`` of every row; digest and class are null for the empty set."""
+    """``(id, n_shingles, digest, class, s0, ..., probe)`` of every row; all but the first two are null for the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = ((len(u), xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None, _class(u) if len(u) else None)
-                    for u in (shingle_set(t.as_py(), k) for t in b.column(1)))
-            n, digest, cls = zip(*sets) if len(b) else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64())],
-                                             names=["id", "n_shingles", "digest", "class"])
+            n, digest, cls, longs, probe = [], [], [], [], []
+            for t in b.column(1):
+                u = shingle_set(t.as_py(), k)
+                n.append(len(u))
+                digest.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
+                cls.append(_class(u) if len(u) else None)
+                longs.append(sketch(u))
+                probe.append(u[_mix(u) % np.uint64(PROBE) == 0].view(np.int64))
+            s = np.array(longs).reshape(len(n), SKETCH)
+            upto = np.concatenate([[0], np.cumsum([len(x) for x in probe])]).astype(np.int32)
+            probes = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64()),
+                                              *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)], probes],
+                                             names=["id", "n_shingles", "digest", "class", *_LONGS, "probe"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint")
+    longs = ", ".join(f"{c} bigint" for c in _LONGS)
+    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint, {longs}, probe array<bigint>")
 
 
-def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def shared_share(sets: DataFrame) -> float:
+    """The share of shingle places (of distinct sets) whose shingle another set holds, rounded to 0.01."""
+    held = sets.where("class is not null and size(probe) > 0").select("class", F.explode("probe").alias("p")).distinct() \
+        .groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    total, common = held.agg(F.sum("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))).first()
+    return min(0.5, max(0.01, round((common or 0) / total, 2))) if total else 0.01
+
+
+def _keys(docs: DataFrame, k: int, num: int, den: int, shared: float) -> DataFrame:
     """``(key, class)`` of all sets, once a class and Arrow batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +241,7 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 if not len(u) or c in seen:
                     continue
                 seen.add(c)
-                g = signatures(u, num, den)
+                g = signatures(u, num, den, shared)
                 keys.append(g)
                 cls.append(np.full(len(g), c))
                 size += len(g)
@@ -210,32 +255,66 @@ def _keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 # -------------------------------------------------------------- verification
-def verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(a, b)`` of those ``pairs(a, b, ia, ib)`` whose documents ``ia`` and ``ib`` of ``docs(id, text)`` link."""
-    t1 = docs.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
-    t2 = docs.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
+def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
+    """Sizes and sketches of ``a`` and ``b`` (prefixes of columns) don't rule out a link."""
+    na, nb = F.col(f"{a}_n"), F.col(f"{b}_n")
+    apart = sum((F.bit_count(F.col(f"{a}_{c}").bitwiseXOR(F.col(f"{b}_{c}"))).cast("long") for c in _LONGS), F.lit(0).cast("long"))
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (apart * (den + num) <= (na + nb) * (den - num))
+
+
+def _prefixed(reps: DataFrame, p: str) -> DataFrame:
+    return reps.select(F.col("class").alias(p), F.col("rep").alias(f"i{p}"), F.col("n_shingles").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in _LONGS])
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, text)`` of the rows of ``docs`` whose id is in ``wanted(id)``, written once.
+
+    A bitmap of fixed size over hashes of the ids keeps most other texts out of the shuffle.
+    """
+    wanted = materialise(wanted.distinct())
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
+    words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - MAP_BITS}) & 63 as int))")).alias("bits"))
+    bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    for r in words.collect():  # one bitmap of 2 ** MAP_BITS bits
+        bitmap[r["word"]] = np.uint64(r["bits"] % 2**64)
+
+    def held(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in places:
+            p = p.to_numpy()
+            yield pd.Series((bitmap[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    held.__annotations__ = {"places": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    some = docs.where("id is not null").select("id", "text").where(F.pandas_udf(held, "boolean")(place))
+    return materialise(some.join(wanted, "id", "left_semi"))
+
+
+def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(a, b)`` of those ``pairs(a, b, ia, ib)`` of classes that link; their texts are among those of ``ia`` and ``ib`` in ``texts(id, text)``."""
+    t1 = texts.select(F.col("id").alias("ia"), F.col("text").alias("ta"))
+    t2 = texts.select(F.col("id").alias("ib"), F.col("text").alias("tb"))
     both = pairs.join(t1, "ia").join(t2, "ib").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, second = None, np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3)):  # one text at a time
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):  # one text at a time
                 tb = tb.as_py()
                 if tb != last:
                     last, second = tb, shingle_set(tb, k)
                 first = shingle_set(ta.as_py(), k)
                 same = len(np.intersect1d(first, second, assume_unique=True))
-                keep.append(same > 0 and den * same >= num * (len(first) + len(second) - same))
+                # an id may have several texts: only those of the classes count
+                keep.append(same > 0 and den * same >= num * (len(first) + len(second) - same) and _class(first) == a and _class(second) == b)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
 # ------------------------------------------------------------------ the join
-def _shared(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _shared(docs: DataFrame, k: int, num: int, den: int, share: float) -> DataFrame:
     """``(key, class)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
-    rows = _keys(docs, k, num, den)
+    rows = _keys(docs, k, num, den, share)
     # a key and a number shuffle as ten bytes or so; copies, which count here too, go with distinct()
     often = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
     some = materialise(rows.join(often, "key").distinct())
@@ -243,7 +322,7 @@ def _shared(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared = materialise(some.join(both, "key"))
     hot = shared.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     rules = docs.sparkSession.createDataFrame(
-        [(j, 2 if s.twos else 1, s.slack) for j, s in enumerate(schemes(num, den))], "scheme int, cost int, slack long")
+        [(j, 2 if s.twos else 1, s.slack) for j, s in enumerate(schemes(num, den, share))], "scheme int, cost int, slack long")
     j = F.col("key").bitwiseAND(F.lit(127)).cast("int").alias("scheme")
     h = materialise(shared.join(hot, "key").select("key", "class", j))
     free = h.join(F.broadcast(rules), "scheme").groupBy("class", "scheme", "slack").agg(F.sum("cost").alias("spent")) \
@@ -286,38 +365,61 @@ def _links_within(sets: list[np.ndarray], root: np.ndarray, apart: np.ndarray |
     return on, tree[on]
 
 
-def verify_within(members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges ``(a, b)`` that link different roots of a key of ``members(key, a, root, id)``; ``docs(id, text)``."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` of a key in blocks, a row for each pair ``(i, j)`` of blocks that a member's block is in."""
     size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     v = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    v = v.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("id", "key", "a", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = v.join(docs.select("id", "text"), "id").select("key", "i", "j", "a", "root", "block", "text") \
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return v.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, i, j) and the other columns of its rows, of batches sorted by key, i, j."""
+    now, group = None, []
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns))):
+            if row[:3] != now:
+                if group:
+                    yield now, group
+                now, group = row[:3], []
+            group.append(row[3:])
+    if group:
+        yield now, group
+
+
+def near_members(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``(key, a, root)`` of ``members(key, a, root, n, s0, ...)`` that are near one of another root in their key by size and sketch."""
+    rows = _dealt(members).select("key", "i", "j", "a", "root", "block", "n", *_LONGS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
+        for now, group in _groups_of(batches):
+            v = np.array(group, np.int64)
+            a, root, block, n, s = v[:, 0], v[:, 1], v[:, 2], v[:, 3], v[:, 4:].view(np.uint64)
+            apart = sum(np.bitwise_count(s[:, None, c] ^ s[None, :, c]).astype(np.int64) for c in range(SKETCH))
+            near = (root[:, None] != root) & (apart * (den + num) <= (n[:, None] + n) * (den - num)) \
+                & (den * np.minimum(n[:, None], n) >= num * np.maximum(n[:, None], n))
+            on = near.any(axis=1)
+            if on.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), now[0], np.int64)), pa.array(a[on]), pa.array(root[on])], names=["key", "a", "root"])
 
-        def finish() -> pa.RecordBatch | None:
-            if len(group) < 2 or len({g[1] for g in group}) < 2:
-                return None
-            a = np.array([g[0] for g in group])
-            x, y = _links_within([g[3] for g in group], np.array([g[1] for g in group]),
-                                 np.array([g[2] for g in group]) if now[1] != now[2] else None, num, den)
-            return pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y])], names=["a", "b"]) if len(x) else None
+    return rows.mapInArrow(run, "key bigint, a bigint, root bigint").distinct()
 
-        for b in batches:
-            key, i, j, a, root, block = (b.column(c).to_pylist() for c in range(6))
-            for r in range(b.num_rows):
-                if (key[r], i[r], j[r]) != now:
-                    out = finish()
-                    if out is not None:
-                        yield out
-                    now, group = (key[r], i[r], j[r]), []
-                group.append((a[r], root[r], block[r], shingle_set(b.column(6)[r].as_py(), k)))
-        out = finish()
-        if out is not None:
-            yield out
+
+def verify_within(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` that link different roots of a key of ``members(key, a, root, id)``; ``texts(id, text)``."""
+    v = _dealt(members).select("id", "key", "i", "j", "a", "root", "block")
+    rows = v.join(texts, "id").select("key", "i", "j", "a", "root", "block", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, group in _groups_of(batches):
+            sets = [(a, root, block, u) for a, root, block, t in group for u in [shingle_set(t, k)] if _class(u) == a]
+            if len({g[1] for g in sets}) < 2:
+                continue
+            a = np.array([g[0] for g in sets])
+            x, y = _links_within([g[3] for g in sets], np.array([g[1] for g in sets]),
+                                 np.array([g[2] for g in sets]) if now[1] != now[2] else None, num, den)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(a[x]), pa.array(a[y])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
@@ -325,18 +427,18 @@ def verify_within(members: DataFrame, docs: DataFrame, k: int, num: int, den: in
 def _groups(rest: DataFrame) -> DataFrame:
     """``(key, a, root)`` to verify within, so that few texts need be sent.
 
-    Signatures of one group of near copies have much the same members.  Members that
-    hang together by signatures are verified in one group if that sends fewer texts
-    (members times blocks) than signature by signature; either way all members of a
-    signature meet.
+    Signatures of one group of near copies have much the same members.  Roots that hang
+    together by signatures are verified in one group if that sends fewer texts (members
+    times blocks) than signature by signature; either way all members of a signature
+    meet.  Links are between a signature's roots and the least one, not between members.
     """
-    least = rest.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n"))
-    whole = components(rest.join(least, "key").select("a", "b"))
-    of_key = least.join(whole, least["b"] == whole["node"]).select("key", F.col("root").alias("whole"), "n")
+    least = materialise(rest.groupBy("key").agg(F.min("root").alias("b"), F.count(F.lit(1)).alias("n")))
+    whole = components(rest.join(least, "key").select(F.col("root").alias("a"), "b").distinct())
+    of_key = least.join(whole.withColumnRenamed("root", "whole"), least["b"] == whole["node"]).select("key", "whole", "n")
     cost = F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS))
     apart = of_key.groupBy("whole").agg(cost.alias("apart"))
-    together = whole.groupBy(F.col("root").alias("whole")).agg(F.count(F.lit(1)).alias("n")) \
-        .select("whole", (F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS)).alias("together"))
+    together = rest.select("a", "root").distinct().join(whole.withColumnRenamed("root", "whole"), F.col("root") == F.col("node")) \
+        .groupBy("whole").agg(F.count(F.lit(1)).alias("n")).select("whole", (F.col("n") * F.ceil(F.col("n") / BLOCK_ROWS)).alias("together"))
     choice = materialise(of_key.join(apart, "whole").join(together, "whole")
                          .select("key", F.when(F.col("together") <= F.col("apart"), F.col("whole")).otherwise(F.col("key")).alias("group")))
     return rest.join(choice, "key").select(F.col("group").alias("key"), "a", "root").distinct()
@@ -345,56 +447,79 @@ def _groups(rest: DataFrame) -> DataFrame:
 def class_links(member: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(node, root)`` of the classes that are linked with another one.
 
-    ``member(key, class)`` are the shared signatures, ``reps(class, rep)`` a document of every class.
+    ``member(key, class)`` are the shared signatures, ``reps(class, rep, n_shingles, s0, ...)`` a document of every class.
     """
     member = member.withColumnRenamed("class", "a")
     n = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = materialise(member.join(n, "key").groupBy("a").agg(F.sum("n").alias("w")))
     middle = member.join(weight, "a").groupBy("key").agg(F.max_by("a", F.struct("w", "a")).alias("b"))
-    pairs = member.join(middle, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("ia")), "a") \
-        .join(reps.select(F.col("class").alias("b"), F.col("rep").alias("ib")), "b")
-    links = materialise(verify(materialise(pairs), docs, k, num, den))
+    pairs = materialise(member.join(middle, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = materialise(pairs.join(_prefixed(reps, "a"), "a").join(_prefixed(reps, "b"), "b").where(_near(num, den)).select("a", "b", "ia", "ib"))
+    texts = texts_of(docs, pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id"))))
+    links = materialise(verify(pairs, texts, k, num, den))
     roots = components(links)
     m = member.join(roots.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").select("key", "a", F.coalesce("r", "a").alias("root"))
     # the one in the middle has been compared with all others
     m = materialise(m.join(middle.withColumnRenamed("b", "a"), ["key", "a"], "left_anti"))
     open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(m.join(open_keys, "key"))
-    rest = _groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id")), "a")
-    more = materialise(verify_within(materialise(rest), docs, k, num, den))
+    rest = m.join(open_keys, "key").join(reps.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), *_LONGS), "a")
+    rest = materialise(near_members(rest, num, den))
+    rest = materialise(_groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id")), "a"))
+    more = materialise(verify_within(rest, texts_of(docs, rest.select("id")), k, num, den))
     return components(links.unionByName(more))
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``(id_col, n_shingles, component_id)``, the smallest id reachable by links."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _labelled(d: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(id, n_shingles, digest, component)`` of every row of ``d(id, text)``."""
     sets = materialise(_sets(d, k))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
-    classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class").agg(F.min("id").alias("rep")))
-    reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep")))
-    roots = class_links(_shared(d.where("id is not null"), k, num, den), reps, d, k, num, den)
+    classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class")
+                          .agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
+    reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
+    member = _shared(d.where("id is not null"), k, num, den, shared_share(sets))
+    roots = class_links(member, reps, d, k, num, den)
     labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component"))
     of = labels.join(least, "root").select("digest", "component")
-    return sets.join(of, "digest", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    return sets.join(of, "digest", "left").select("id", "n_shingles", "digest", F.coalesce("component", "id").alias("component"))
+
+
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``(id_col, n_shingles, component_id)``, the smallest id reachable by links."""
+    out = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` (all columns) of one document of each component, the one with the smallest id.
 
-    Rows without an id stay; of several rows with one id one stays.
+    Rows without an id stay.  A document is an id and a set: of several rows with one id those
+    with texts of their own stay, one row each; of near copies with one id the one with the
+    least digest stays, of rows without words one.
     """
-    c = join_components(docs, k, num, den, id_col, text_col)
-    node = free_name(docs, "dropped")
-    gone = materialise(c.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(node)).distinct())
-    out = docs.join(gone, docs[id_col] == gone[node], "left_anti")
-    twice = materialise(c.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(node)).count().where("count > 1").select(node))
+    rows = materialise(_labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den).where("id is not null"))
+    node, mark = free_name(docs, "dropped"), free_name(docs, "set_digest")
+    twice = materialise(rows.groupBy("id").count().where("count > 1").select(F.col("id").alias(node)))
+    gone = rows.where("id <> component").select(F.col("id").alias(node)).join(twice, node, "left_anti")
+    out = docs.join(materialise(gone), docs[id_col] == F.col(node), "left_anti")
     if not twice.limit(1).count():
         return out
-    # ids that are given twice: one of their rows stays
-    again = out.join(twice, out[id_col] == twice[node], "left_semi").dropDuplicates([id_col])
-    return out.join(twice, out[id_col] == twice[node], "left_anti").unionByName(again)
+
+    # ids that are given twice: one row of each set that is the first of its component
+    def digests(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None for u in (shingle_set(t, k) for t in s)], dtype=object)
+
+    digests.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    first = rows.join(twice, rows["id"] == twice[node], "left_semi").where("id = component") \
+        .groupBy("component", F.col("digest").isNull().alias("bare")).agg(F.min("id").alias("keep"), F.min("digest").alias("d"))
+    # near copies of one id: classes of one component have one least digest; sets of other components are first in theirs
+    first = materialise(first.select(F.col("keep").alias(node), F.coalesce("d", F.lit(b"")).alias("d")))
+    some = docs.join(twice, docs[id_col] == twice[node], "left_semi") \
+        .withColumn(mark, F.coalesce(F.pandas_udf(digests, "binary")(F.col(text_col)), F.lit(b"")))
+    some = some.dropDuplicates([id_col, mark])
+    return out.join(twice, out[id_col] == twice[node], "left_anti") \
+        .unionByName(some.join(first, (some[id_col] == first[node]) & (some[mark] == first["d"]), "left_semi").drop(mark))
 
 
 def oracle(k: int = 3, num: int = 90, den: int = 100) -> str:

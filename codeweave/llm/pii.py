@@ -42,7 +42,8 @@ _TITLES_F = ("Mrs.", "Mrs", "Ms.", "Ms", "Miss", "Frau", "Mme", "Señora", "го
 _TITLE = "|".join(x.replace(".", r"\.") for x in sorted(_TITLES_M + _TITLES_F, key=len, reverse=True))
 #: The kinds, in the order in which they are tried at a place.
 PATTERNS = (
-    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
+     r"(?:(?:\.[A-Za-z0-9\-]++)++(?<=\.[A-Za-z]{2,63})|(?:\.[A-Za-z0-9\-]+){0,126}\.[A-Za-z]{2,})"),  # without recursion on long hosts
     ("secret", r"(?<![\p{L}\p{N}])(?:(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|pat)[\-_][A-Za-z0-9]{20,64})(?![\p{L}\p{N}])"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("phone", r"(?<![\p{L}\p{N}])\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)"),

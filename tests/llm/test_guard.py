@@ -9,7 +9,9 @@ COLLECTS = {
     "htmltext.py": 1,  # BROADCAST_BRANCHES + 1
     "langid.py": 2,  # MAX_LANGUAGES; SLOTS
     "licences.py": 1,  # words of the fixed vocabulary
-    "toxicity.py": 1,  # cells of capped features
+    "lexical.py": 1,  # terms of a block of queries (BLOCK_TERMS)
+    "tokenfiles.py": 1,  # one row a file
+    "toxicity.py": 3,  # stems and words (CANDIDATES each); cells of powers of two
 }
 
 
