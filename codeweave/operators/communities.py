@@ -1,19 +1,23 @@
-"""Hierarchical communities with small connected leaves, and extractive reports.
-
-Our design (the original delegates to hierarchical Leiden), bottom-up and the
-same at every size:
-
-* leaves: clusters start as single nodes.  In a round every cluster points at its
-  heaviest neighbour (by summed edge weight, ties by a symmetric hash of the pair)
-  among those it can join without exceeding ``max_size``; two that point at each
-  other merge.  The heaviest eligible pair always does, so rounds go on until no
-  pair is eligible: a fixpoint, with no limit on rounds.
-* above them every cluster joins its heaviest neighbour, whatever the sizes; what
-  hangs together becomes a cluster of the next level (at least two each, so the
-  levels are logarithmic), until only the connected components are left.
-
-Clusters are connected by construction.  Levels count from the top: level 0 are
-the components, and a community of more than ``max_size`` nodes has its pieces one
+"""Hierarchical communities by modularity with small leaves, and extractive reports.
+
+Our design (the original delegates to hierarchical Leiden), bottom-up:
+
+* *Local moves.*  Every node starts as a cluster.  In a round one random class of the
+  nodes looks at the clusters next to them and moves where modularity gains most, if it
+  gains.  A round that lowered the modularity of the whole graph (neighbours moved at
+  once) is taken back, and classes become half as large; so modularity never falls, and
+  rounds end when they stop gaining.
+* *Leaves* come from moves with a size cap: a cluster admits its best candidates while it
+  holds at most ``max_size`` nodes.
+* *Refinement.*  What does not hang together within a cluster is split off.
+* *Neighbours of a full cluster.*  A node that is left alone (its hub's cluster is full)
+  goes with others whose heaviest neighbour is the same node, ``max_size`` at most
+  together: modules used or using the same thing.
+* Above the leaves the graph is contracted and the same moves go on without a cap, level by
+  level, until a level gains next to nothing: the last partition is level 1.  Level 0 are the connected
+  components.
+
+Levels count from the top; a community of more than ``max_size`` nodes has its pieces one
 level below it (levels at which a community would not split are left out).
 
 Output ``(level, community, parent, node)``: a node appears once per level down to
@@ -26,10 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeweave.functions.ranks import running_sums
 from codeweave.functions.topk import top_k_per_group
 from codeweave.operators.graph import connected_components, encode_nodes, propagate_min_label, simple_edges
 from codeweave.session import cut_lineage
 
+MAX_ROUNDS = 24  # of local moves; they end earlier when modularity stops gaining
+MAX_CLASSES = 8
+LEAST_GAIN = 0.02  # of the modularity reached, in a round; two smaller gains in a row end the rounds
+
 
 def _undirected_weighted(edges: DataFrame) -> DataFrame:
     w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
@@ -39,64 +48,114 @@ def _undirected_weighted(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("w"))
 
 
-def _heaviest(pairs: DataFrame) -> DataFrame:
-    """``(u, v)``: the heaviest neighbour of every ``u`` in ``pairs(u, v, w)`` (both directions present)."""
-    lo, hi = F.least("u", "v"), F.greatest("u", "v")
-    return pairs.groupBy("u").agg(F.max_by("v", F.struct("w", F.xxhash64(lo, hi), lo, hi)).alias("v"))
+def _local_moves(nodes: DataFrame, arcs: DataFrame, m2: float, inner: float, cap: int | None = None) -> tuple[DataFrame, float]:
+    """``(node, c)``: clusters after local moves, and their modularity.
 
+    ``nodes(node, k, n)`` have strength and size, ``arcs(src, dst, w)`` go both ways without
+    loops, ``m2`` is the weight of all arcs of the graph and ``inner`` of those already inside nodes.
+    """
+    state = cut_lineage(nodes.select("node", "k", "n", F.col("node").alias("c")))
+    best = kept = None
+    classes, quiet = 2, 0
+    for rnd in range(MAX_ROUNDS):
+        near = arcs.join(state.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst") \
+            .groupBy(F.col("src").alias("node"), "d").agg(F.sum("w").alias("w"))
+        table = cut_lineage(near.join(state, "node"))   # (node, d, w, k, n, c)
+        sums = state.groupBy("c").agg(F.sum("k").alias("big"), F.sum("n").alias("size"))
+        parts = table.where("c = d").agg(F.sum("w").alias("x")).unionByName(sums.agg((-F.sum(F.col("big") * F.col("big")) / m2).alias("x")))
+        q = (inner + (parts.agg(F.sum("x")).first()[0] or 0.0)) / m2
+        if kept is not None and q < best - 1e-12:
+            classes *= 2
+            if classes > MAX_CLASSES:
+                break
+        else:
+            quiet = 0 if best is None or q > best + LEAST_GAIN * abs(q) else quiet + 1
+            best, kept = q, (state, table, sums)
+            if quiet == 2:
+                break
+        state, table, sums = kept
+        mine = table.where(F.pmod(F.xxhash64("node", F.lit(rnd)), F.lit(classes)) == 0)
+        there = sums.select(F.col("c").alias("d"), F.col("big").alias("big_d"), "size")
+        own = sums.select("c", F.col("big").alias("big_c"))
+        gain = F.col("w") - F.col("k") * F.col("big_d") / m2
+        open_ = F.lit(True) if cap is None else F.col("n") + F.col("size") <= cap
+        look = mine.join(there, "d").join(own, "c").groupBy("node", "k", "n", "c", "big_c").agg(
+            F.sum(F.when(F.col("c") == F.col("d"), F.col("w")).otherwise(0.0)).alias("stay"),
+            F.max(F.when((F.col("c") != F.col("d")) & open_, F.struct(gain.alias("gain"), (-F.col("d")).alias("to"), "size"))).alias("go"))
+        better = F.col("go.gain") - (F.col("stay") - F.col("k") * (F.col("big_c") - F.col("k")) / m2)
+        moves = look.where(better > 1e-9).select("node", (-F.col("go.to")).alias("to"), better.alias("better"), F.col("go.size").alias("size"))
+        if cap is not None:  # all nodes count one: a cluster admits the best while it has room
+            moves = top_k_per_group(moves, ["to"], [F.desc("better"), F.asc("node")], cap, salt_cols=["node"]).where(F.col("rank") <= cap - F.col("size"))
+        state = cut_lineage(state.join(moves.select("node", "to"), "node", "left").select("node", "k", "n", F.coalesce("to", "c").alias("c")))
+    return kept[0].select("node", "c"), best
 
-def _contracted(arcs: DataFrame, of: DataFrame) -> DataFrame:
-    """``(u, v, w)`` between different clusters of ``of(node, c)``, weights summed."""
-    return (arcs.join(of.select(F.col("node").alias("src"), F.col("c").alias("u")), "src")
-            .join(of.select(F.col("node").alias("dst"), F.col("c").alias("v")), "dst")
-            .where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")))
 
+def _hanging(nodes: DataFrame, arcs: DataFrame, of: DataFrame) -> DataFrame:
+    """``(node, c)``: clusters of ``of(node, c)`` split into what hangs together; ``c`` is the smallest node."""
+    inside = cut_lineage(arcs.join(of.select(F.col("node").alias("src"), F.col("c").alias("a")), "src")
+                         .join(of.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").select("src", "dst"))
+    return propagate_min_label(nodes, inside).withColumnRenamed("label", "c")
 
-def _leaves(nodes: DataFrame, arcs: DataFrame, max_size: int) -> DataFrame:
-    """``(node, c)``: connected clusters of up to ``max_size`` nodes, merged until none can."""
-    of = nodes.select("node", F.col("node").alias("c"))
-    live = cut_lineage(arcs.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w",
-                                   F.lit(1).alias("nu"), F.lit(1).alias("nv")).where(F.lit(max_size >= 2)))
-    while True:
-        best = cut_lineage(_heaviest(live))
-        back = best.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        merged = cut_lineage(best.join(back, ["u", "v"]).where("u < v").join(live.select("u", "v", "nu", "nv"), ["u", "v"])
-                             .select(F.col("u").alias("to"), F.col("v").alias("from"), (F.col("nu") + F.col("nv")).alias("n")))
-        if merged.isEmpty():
-            return of
-        # old cluster -> its new name and size (both ends of a merge get the new size)
-        new = cut_lineage(merged.select(F.col("from").alias("c"), "to", "n").unionByName(merged.select(F.col("to").alias("c"), "to", "n")))
-        of = cut_lineage(of.join(new.select("c", "to"), "c", "left").select("node", F.coalesce("to", "c").alias("c")))
-        u = new.select(F.col("c").alias("u"), F.col("to").alias("tu"), F.col("n").alias("mu"))
-        v = new.select(F.col("c").alias("v"), F.col("to").alias("tv"), F.col("n").alias("mv"))
-        live = live.join(u, "u", "left").join(v, "v", "left").select(
-            F.coalesce("tu", "u").alias("u"), F.coalesce("tv", "v").alias("v"), "w",
-            F.coalesce("mu", "nu").alias("nu"), F.coalesce("mv", "nv").alias("nv"))
-        # sizes only grow, so pairs that are too large now stay so
-        live = cut_lineage(live.where((F.col("u") != F.col("v")) & (F.col("nu") + F.col("nv") <= max_size))
-                           .groupBy("u", "v", "nu", "nv").agg(F.sum("w").alias("w")))
 
+def _beside_hubs(arcs: DataFrame, of: DataFrame, max_size: int) -> DataFrame:
+    """``of`` with lone nodes put together by their heaviest neighbour, ``max_size`` at most."""
+    lone = of.join(of.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("c"), "c", "left_semi").select("node")
+    hub = arcs.join(lone.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("src").alias("node")) \
+        .agg(F.max_by("dst", F.struct("w", -F.col("dst"))).alias("hub"))
+    dealt = running_sums(hub, ["hub"], ["node"]).withColumn("part", F.expr(f"before div {max_size}"))
+    first = dealt.groupBy("hub", "part").agg(F.min("node").alias("to"))
+    return of.join(dealt.join(first, ["hub", "part"]).select("node", "to"), "node", "left").select("node", F.coalesce("to", "c").alias("c"))
 
-def hierarchical_communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
-    _, nodes, names = encode_nodes(edges)
-    w = _undirected_weighted(edges)
-    ids = names.select(F.col("node").alias("name"), "nid")
-    arcs = cut_lineage(w.join(ids.select(F.col("name").alias("src"), F.col("nid").alias("s")), "src")
-                       .join(ids.select(F.col("name").alias("dst"), F.col("nid").alias("d")), "dst")
+
+def _contracted(nodes: DataFrame, arcs: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters as nodes, and the arcs between them with summed weights."""
+    up = nodes.join(of, "node").groupBy(F.col("c").alias("node")).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    between = arcs.join(of.select(F.col("node").alias("src"), F.col("c").alias("a")), "src") \
+        .join(of.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a <> b") \
+        .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+    return cut_lineage(up), cut_lineage(between)
+
+
+def _weighted_ids(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``nodes(node, k, n)``, ``arcs(src, dst, w)`` on ids, and the names."""
+    _, ids, names = encode_nodes(edges)
+    of = names.select(F.col("node").alias("name"), "nid")
+    arcs = cut_lineage(_undirected_weighted(edges).join(of.select(F.col("name").alias("src"), F.col("nid").alias("s")), "src")
+                       .join(of.select(F.col("name").alias("dst"), F.col("nid").alias("d")), "dst")
                        .select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"))
-    of = _leaves(nodes, arcs, max_size)
-    path = cut_lineage(of.select("node", F.array("c").alias("path")))   # clusters, from the leaf up
-    while True:
-        between = cut_lineage(_contracted(arcs, path.select("node", F.element_at("path", -1).alias("c"))))
-        if between.isEmpty():
+    k = arcs.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    nodes = cut_lineage(ids.join(k, "node", "left").select("node", F.coalesce("k", F.lit(0.0)).alias("k"), F.lit(1).cast("long").alias("n")))
+    return nodes, arcs, names
+
+
+def top_level(edges: DataFrame) -> DataFrame:
+    """``(community, node)`` of level 0, the components, without the levels below."""
+    return connected_components(edges).select(F.concat(F.lit("0:"), "component").alias("community"), "node")
+
+
+def hierarchical_communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
+    edges = cut_lineage(edges.select("source", "target", *[c for c in ("weight",) if c in edges.columns]))
+    nodes, arcs, names = _weighted_ids(edges)
+    m2 = arcs.agg(F.sum("w")).first()[0] or 1.0
+    of = nodes.select("node", F.col("node").alias("c"))
+    if max_size > 1:
+        of = cut_lineage(_hanging(nodes, arcs, _local_moves(nodes, arcs, m2, 0.0, cap=max_size)[0]))
+        of = cut_lineage(_beside_hubs(arcs, of, max_size))
+    path = of.select("node", F.array("c").alias("path"))   # clusters, from the leaf up
+    up, between = _contracted(nodes, arcs, of)
+    reached = None
+    while not between.isEmpty():
+        left = between.agg(F.sum("w")).first()[0]
+        moved, q = _local_moves(up, between, m2, m2 - left)
+        of = cut_lineage(_hanging(up, between, moved))
+        path = path.join(of.withColumnRenamed("node", "top"), F.element_at("path", -1) == F.col("top")).select("node", F.concat("path", F.array("c")).alias("path"))
+        if of.where("node <> c").isEmpty() or (reached is not None and q < reached + LEAST_GAIN * abs(q)):
             break
-        best = cut_lineage(_heaviest(between))
-        links = best.select(F.col("u").alias("src"), F.col("v").alias("dst")) \
-            .unionByName(best.select(F.col("v").alias("src"), F.col("u").alias("dst"))).distinct()
-        up = propagate_min_label(best.select(F.col("u").alias("node")), cut_lineage(links))
-        top = F.element_at("path", -1)
-        path = cut_lineage(path.withColumn("c", top).join(up.select(F.col("node").alias("c"), "label"), "c", "left")
-                           .select("node", F.concat("path", F.array(F.coalesce("label", "c"))).alias("path")))
+        reached = q
+        up, between = _contracted(up, between, of)
+    up, between = _contracted(up, between, of) if not between.isEmpty() else (up, between)
+    whole = propagate_min_label(up, between).withColumnRenamed("node", "top")   # components
+    path = cut_lineage(path.join(whole, F.element_at("path", -1) == F.col("top")).select("node", F.concat("path", F.array("label")).alias("path")))
     # name clusters by their smallest node, and know their sizes, level by level
     flat = path.select("node", F.posexplode(F.reverse("path")).alias("depth", "c"))
     info = flat.groupBy("depth", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least"))
@@ -118,32 +177,83 @@ def hierarchical_communities(edges: DataFrame, max_size: int = 10) -> DataFrame:
                 F.col("name").alias("node")))
 
 
+def modularity(edges: DataFrame, partition: DataFrame) -> float:
+    """Weighted modularity of ``partition(node, community)`` over the undirected graph of ``edges``."""
+    arcs = cut_lineage(_undirected_weighted(edges))
+    m2 = arcs.agg(F.sum("w")).first()[0] or 1.0
+    at = arcs.join(partition.select(F.col("node").alias("src"), F.col("community").alias("a")), "src") \
+        .join(partition.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst")
+    by = at.groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+    return by.agg(F.sum(F.col("inside") / m2 - F.col("k") * F.col("k") / m2 ** 2)).first()[0] or 0.0
+
+
+def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """``(node, community)`` by weighted label propagation: the plain method to compare with."""
+    arcs = cut_lineage(_undirected_weighted(edges))
+    lab = arcs.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("community"))
+    for r in range(rounds):  # one half of the nodes a round, else neighbours swap labels for ever
+        votes = arcs.join(lab.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("node").agg(F.max_by("community", F.struct("w", F.xxhash64("community"))).alias("to"))
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+        lab = cut_lineage(lab.join(best, "node", "left").select("node", F.when(turn, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
+    return lab
+
+
+def leaf_communities(membership: DataFrame) -> DataFrame:
+    """``(node, community)``: the deepest community of every node."""
+    return membership.groupBy("node").agg(F.max_by("community", "level").alias("community"))
+
+
+def partition_at(membership: DataFrame, level: int) -> DataFrame:
+    """``(node, community)``: the community at ``level``, or the deepest one above it."""
+    return leaf_communities(membership.where(F.col("level") <= level))
+
+
 def community_invariants(membership: DataFrame, edges: DataFrame, max_size: int = 10) -> DataFrame:
-    """``(measure, n)``: what must hold of a hierarchy, as counts."""
+    """``(measure, n)``: what must hold of a hierarchy, as counts.
+
+    A community hangs together if its leaves, taken as units, do; a leaf hangs together by
+    its edges or is a set of neighbours of one node.
+    """
     sizes = membership.groupBy("level", "community").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("parent").alias("parents"))
-    has_pieces = membership.where("parent is not null").select(F.col("parent").alias("community")).distinct()
-    leaf = sizes.join(has_pieces, "community", "left_anti")
-    # components inside communities: nodes named by community, edges only within
-    e = simple_edges(edges)
+    leaves = cut_lineage(leaf_communities(membership).withColumnRenamed("community", "leaf"))
+    leaf = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    e = cut_lineage(simple_edges(edges).where("src <> dst"))
+    # a leaf's edges, and for each outer node how many of the leaf it touches
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    at = both.join(leaves.select(F.col("node").alias("src"), "leaf"), "src")
+    common = at.groupBy("leaf", "dst").agg(F.count(F.lit(1)).alias("n")).groupBy("leaf").agg(F.max("n").alias("most"))
+    inner = at.join(leaves.select(F.col("node").alias("dst"), F.col("leaf").alias("l2")), "dst").where("leaf = l2") \
+        .select(F.concat_ws("\x1f", "leaf", "src").alias("source"), F.concat_ws("\x1f", "leaf", "dst").alias("target"))
+    parts = connected_components(inner).select(F.substring_index("component", "\x1f", 1).alias("leaf"), "component_size") \
+        .groupBy("leaf").agg(F.max("component_size").alias("largest"))
+    loose = leaf.where("size > 1").join(common, "leaf", "left").join(parts, "leaf", "left") \
+        .where((F.coalesce("most", F.lit(0)) < F.col("size")) & (F.coalesce("largest", F.lit(0)) < F.col("size")))
+    # components inside communities, leaves as units: nodes named by community, edges only within
+    unit = leaves.join(leaf.select("leaf", "first"), "leaf").select(F.col("first").alias("src"), F.col("node").alias("dst")).where("src <> dst")
     ms = membership.select("level", "community", F.col("node").alias("src"))
     md = membership.select("level", F.col("community").alias("c2"), F.col("node").alias("dst"))
-    at = e.join(ms, "src").join(md, ["level", "dst"]).where(F.col("community") == F.col("c2"))
-    named = at.select(F.concat_ws("\x1f", "community", "src").alias("source"), F.concat_ws("\x1f", "community", "dst").alias("target"))
-    comp = connected_components(named)
-    parts = comp.select(F.substring_index("component", "\x1f", 1).alias("community"), "component", "component_size").distinct() \
+    within = e.unionByName(unit).join(ms, "src").join(md, ["level", "dst"]).where(F.col("community") == F.col("c2"))
+    named = within.select(F.concat_ws("\x1f", "community", "src").alias("source"), F.concat_ws("\x1f", "community", "dst").alias("target"))
+    comp = connected_components(named).select(F.substring_index("component", "\x1f", 1).alias("community"), "component_size") \
         .groupBy("community").agg(F.max("component_size").alias("largest"))
-    split = sizes.where("size > 1").join(parts, "community", "left").where(F.coalesce("largest", F.lit(0)) < F.col("size"))
+    split = sizes.where("size > 1").join(comp, "community", "left").where(F.coalesce("largest", F.lit(0)) < F.col("size"))
     once = membership.groupBy("level", "node").agg(F.count(F.lit(1)).alias("n"))
+    plain = modularity(edges, label_propagation(edges))
+    ours = modularity(edges, partition_at(membership, 1))
 
     def one(name: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("measure"), "n")
 
     out = one("nodes_at_level_0", membership.where("level = 0"))
     for name, df in (("communities_at_level_0", sizes.where("level = 0")), ("oversized_leaves", leaf.where(F.col("size") > max_size)),
-                     ("disconnected_communities", split), ("ambiguous_parents", sizes.where("parents > 1")),
+                     ("disconnected_communities", split), ("leaves_without_common_neighbour", loose), ("ambiguous_parents", sizes.where("parents > 1")),
                      ("orphans", sizes.where("level > 0 and parents = 0")), ("nodes_twice_at_a_level", once.where("n > 1"))):
         out = out.unionByName(one(name, df))
-    return out
+    alone = leaf.agg((5 * F.count_if(F.col("size") == 1) > F.count(F.lit(1))).cast("long").alias("n"))
+    out = out.unionByName(alone.select(F.lit("singletons_over_a_fifth").alias("measure"), "n"))
+    low = membership.sparkSession.createDataFrame([("modularity_not_above_label_propagation", int(ours <= plain))], "measure string, n long")
+    return out.unionByName(low)
 
 
 def community_table(membership: DataFrame) -> DataFrame:

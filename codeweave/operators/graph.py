@@ -217,6 +217,55 @@ def short_cycles(edges: DataFrame) -> DataFrame:
     return loops.unionByName(mutual)
 
 
+def shortest_cycles(edges: DataFrame) -> DataFrame:
+    """One shortest cycle of every strongly connected component: ``(scc, length, cycle)``.
+
+    ``cycle`` lists its nodes from the smallest one on; of all shortest cycles of a component
+    it is the first in the order of these lists.  A breadth-first search runs from every node
+    ``s`` of the components at once, over nodes above ``s`` alone (a cycle is found from its
+    smallest node); a component leaves as soon as it closes, so the pairs ``(s, node)``
+    reach no farther than its shortest cycle.  The cycle is then walked forward by the
+    distances back to its start, a step a round.
+    """
+    e, nodes, dic = encode_nodes(edges)
+    scc = _scc_ids(e, nodes).where("scc_size > 1 or self_loop").select("node", "scc")
+    scc = _persist(scc)
+    inner = _persist(e.join(scc.select(F.col("node").alias("src"), "scc"), "src")
+                     .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("other")), "dst").where("scc = other").select("src", "dst", "scc"))
+    found = _persist(inner.where("src = dst").groupBy("scc").agg(F.min("src").alias("s"), F.lit(1).alias("length")))
+    alive = _persist(inner.join(found.select("scc"), "scc", "left_anti"))
+    front = _persist(alive.where("dst > src").select(F.col("src").alias("s"), F.col("dst").alias("node"), "scc"))
+    seen, length = front, 1
+    while not front.isEmpty():
+        length += 1
+        step = front.select("s", F.col("node").alias("src"), "scc").join(alive, ["src", "scc"])
+        closed = _persist(step.where("dst = s").groupBy("scc").agg(F.min("s").alias("s"), F.lit(length).alias("length")))
+        found = _persist(found.unionByName(closed))
+        alive = _persist(alive.join(closed.select("scc"), "scc", "left_anti"))
+        front = _persist(step.where("dst > s").select("s", F.col("dst").alias("node"), "scc").distinct()
+                         .join(closed.select("scc"), "scc", "left_anti").join(seen, ["s", "node"], "left_anti"))
+        seen = _persist(seen.join(closed.select("scc"), "scc", "left_anti").unionByName(front))
+    longest = found.agg(F.max("length")).first()[0] or 0
+    # distances back to the start, within the found components
+    ring = _persist(inner.join(found, "scc").where("src >= s and dst >= s"))
+    dist = back = _persist(found.select("scc", F.col("s").alias("node"), F.lit(0).alias("d")))
+    for d in range(1, longest):
+        back = _persist(ring.where(F.col("length") > d).join(back.select("scc", F.col("node").alias("dst")), ["scc", "dst"]).select("scc", F.col("src").alias("node")).distinct()
+                        .join(dist.select("scc", "node"), ["scc", "node"], "left_anti").withColumn("d", F.lit(d)))
+        dist = _persist(dist.unionByName(back))
+    walk = _persist(found.select("scc", "s", "length", F.col("s").alias("at"), F.array("s").alias("path")))
+    for left in range(longest - 1, 0, -1):
+        on = walk.where(F.col("length") - F.size("path") == left)
+        step = on.join(ring.select("scc", F.col("src").alias("at"), F.col("dst").alias("next")), ["scc", "at"]) \
+            .join(dist.where(F.col("d") == left).select("scc", F.col("node").alias("next")), ["scc", "next"]) \
+            .groupBy("scc", "s", "length", "path").agg(F.min("next").alias("at"))
+        walk = _persist(walk.where(F.col("length") - F.size("path") != left)
+                        .unionByName(step.select("scc", "s", "length", "at", F.concat("path", F.array("at")).alias("path"))))
+    places = walk.select("scc", "length", F.posexplode("path").alias("i", "node"))
+    named = decode_nodes(places, dic, ["node", "scc"])
+    return named.groupBy("scc", "length").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "node"))), lambda x: x["node"]).alias("cycle"))
+
+
 # -------------------------------------------------------------- reachability
 def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> DataFrame:
     """All modules that (transitively) depend on ``target``: ``(module, hop)``, min hop.
@@ -240,38 +289,106 @@ def impact_set(edges: DataFrame, target: str, max_hops: int | None = None) -> Da
     return decode_nodes(out, dic, ["node"]).select(F.col("node").alias("module"), "hop")
 
 
+def _longest_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(a, wave)``: the longest chain below every node of an acyclic graph ``edges(a, b)`` over ``nodes(a)``.
+
+    ``wave(a)`` is the greatest of ``wave(b) + 1``.  In a round
+
+    * nodes with a single open dependency are contracted: each is ``max(base, wave(b) + w)``,
+      such functions compose, and pointer doubling takes all of a chain to its end at once;
+    * nodes without open dependencies are final; they are passed on to those above.
+
+    Only what is still open is rewritten, so a chain of n nodes takes about log n steps, and
+    the contracted nodes are filled in from the end, round by round backwards.
+    """
+    left = _persist(nodes.select("a", F.lit(0).cast("long").alias("base")))
+    open_ = _persist(edges.select("a", "b", F.lit(1).cast("long").alias("w")))
+    final, chains = None, []
+    while True:
+        n = open_.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"), F.max("w").alias("w"))
+        state = _persist(left.join(n, "a", "left"))
+        done = state.where("n is null").select("a", F.col("base").alias("wave"))
+        final = _persist(done if final is None else final.unionByName(done))
+        if open_.isEmpty():
+            break
+        jump = _persist(state.where("n = 1").select("a", F.col("b").alias("to"), "base", "w"))
+        while True:
+            nxt = jump.select(F.col("a").alias("to"), F.col("to").alias("to2"), F.col("base").alias("base2"), F.col("w").alias("w2"))
+            moved = _persist(jump.join(nxt, "to", "left"))
+            if moved.where("to2 is not null").isEmpty():
+                break
+            jump = _persist(moved.select("a", F.coalesce("to2", "to").alias("to"), F.greatest("base", F.coalesce(F.col("base2") + F.col("w"), "base")).alias("base"),
+                                         (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")))
+        chains.append(jump)
+        # what is above sees the ends of chains, and final nodes as bases
+        ends = jump.select(F.col("a").alias("b"), "to", F.col("base").alias("cb"), F.col("w").alias("cw"))
+        rest = _persist(open_.join(jump.select("a"), "a", "left_anti").join(ends, "b", "left").select(
+            "a", F.coalesce("to", "b").alias("b"), (F.col("w") + F.coalesce("cw", F.lit(0))).alias("w"), (F.col("cb") + F.col("w")).alias("base")))
+        below = rest.join(done.withColumnRenamed("a", "b"), "b", "left")
+        below = _persist(below.select("a", "b", "w", F.greatest(F.coalesce("base", F.lit(0)), F.coalesce(F.col("wave") + F.col("w"), F.lit(0))).alias("base"),
+                                      F.col("wave").isNotNull().alias("final")))
+        raised = below.groupBy("a").agg(F.max("base").alias("raised"))
+        left = _persist(state.where("n > 1").select("a", "base").join(raised, "a", "left")
+                        .select("a", F.greatest("base", F.coalesce("raised", "base")).alias("base")))
+        open_ = _persist(below.where("not final").groupBy("a", "b").agg(F.max("w").alias("w")))
+    for c in reversed(chains):
+        ends = final.select(F.col("a").alias("to"), "wave")
+        final = _persist(final.unionByName(c.join(ends, "to").select("a", F.greatest("base", F.col("wave") + F.col("w")).alias("wave"))))
+    return final
+
+
+def _condensed(e: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``scc(node, scc, scc_size)`` and the distinct edges ``(a, b)`` between components."""
+    scc = _persist(_scc_ids(e, nodes).select("node", "scc", "scc_size"))
+    ce = _persist(e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
+                  .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
+                  .where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    return scc, ce
+
+
 def migration_waves(edges: DataFrame) -> DataFrame:
     """Order modules so that dependencies migrate first: ``(module, scc, wave)``.
 
     Cycles are collapsed to their SCC; wave 0 holds SCCs with no dependency on
     another SCC, wave k those whose dependencies all sit in waves < k (the
-    longest dependency chain below them).  Peeled with anti-joins; one table
-    (the growing wave assignment) is written per wave.
+    longest dependency chain below them).
     """
     e, nodes, dic = encode_nodes(edges)
-    scc = _persist(_scc_ids(e, nodes).select("node", "scc"))
-    ce = _persist(e.join(scc.select(F.col("node").alias("src"), F.col("scc").alias("a")), "src")
-                  .join(scc.select(F.col("node").alias("dst"), F.col("scc").alias("b")), "dst")
-                  .where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    supers = _persist(scc.select(F.col("scc").alias("a")).distinct())
-    n_supers = supers.count()
-    n_rem = n_supers
-    assigned = None
-    k = 0
-    while n_rem > 0:
-        remaining = supers if assigned is None else supers.join(assigned.select("a"), "a", "left_anti")
-        blocked = ce.join(remaining.select(F.col("a").alias("b")), "b", "left_semi").select("a")
-        wave = remaining.join(blocked, "a", "left_anti").withColumn("wave", F.lit(k))
-        assigned = _persist(wave if assigned is None else assigned.unionByName(wave))
-        n_done = assigned.count()
-        if n_done == 0 or (k > 0 and assigned.where(F.col("wave") == k).isEmpty()):
-            raise RuntimeError("condensation is not acyclic; SCC step failed")
-        n_rem = n_supers - n_done
-        k += 1
-    out = scc.join(assigned.select(F.col("a").alias("scc"), "wave"), "scc").select("node", "scc", "wave")
+    scc, ce = _condensed(e, nodes)
+    waves = _longest_chains(scc.select(F.col("scc").alias("a")).distinct(), ce)
+    out = scc.join(waves.select(F.col("a").alias("scc"), F.col("wave").cast("int").alias("wave")), "scc").select("node", "scc", "wave")
     return decode_nodes(out, dic, ["node", "scc"]).select(F.col("node").alias("module"), "scc", "wave")
 
 
+#: Sketch size of reach estimates: 2 ** 14 registers, a standard error of 0.8 %.
+REACH_LG_K = 14
+
+
+def reach_sizes(edges: DataFrame) -> DataFrame:
+    """``(module, reach)``: about how many other modules depend on a module, directly or not.
+
+    A component's sketch holds its members and all that its dependents' sketches hold, so
+    each edge of the condensation merges one sketch; components go in the order of the
+    longest chain above them.  Standard error 0.8 % (exact for small sets).
+    """
+    e, nodes, dic = encode_nodes(edges)
+    scc, ce = _condensed(e, nodes)
+    up = _persist(_longest_chains(scc.select(F.col("scc").alias("a")).distinct(), ce.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    rounds = up.agg(F.max("wave")).first()[0]
+    own = _persist(scc.groupBy("scc").agg(F.hll_sketch_agg("node", F.lit(REACH_LG_K)).alias("s")).join(up.withColumnRenamed("a", "scc"), "scc"))
+    done = None
+    for k in range((rounds if rounds is not None else -1) + 1):
+        mine = own.where(F.col("wave") == k).select("scc", "s")
+        if done is not None:
+            above = ce.join(mine.select(F.col("scc").alias("b")), "b", "left_semi").join(done.withColumnRenamed("scc", "a"), "a").select(F.col("b").alias("scc"), "s")
+            mine = mine.unionByName(above).groupBy("scc").agg(F.hll_union_agg("s").alias("s"))
+        done = _persist(mine if done is None else done.unionByName(mine))
+    if done is None:
+        return dic.select(F.col("node").alias("module"), F.lit(0).cast("long").alias("reach"))
+    size = done.select("scc", (F.hll_sketch_estimate("s") - 1).alias("reach"))
+    return decode_nodes(scc.join(size, "scc").select("node", "reach"), dic, ["node"]).select(F.col("node").alias("module"), "reach")
+
+
 def risk_rank(edges: DataFrame, k: int = 20, ascending: bool = False) -> DataFrame:
     """Refactoring risk: fan-in, fan-out, strength and cycle membership -> integer score.
 

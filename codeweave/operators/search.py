@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeweave.operators import completion as C
+from codeweave.operators import report_index as RI
 from codeweave.session import cut_lineage
 
 # FIXED VALUES: the three questions of the migration report, verbatim.
@@ -184,6 +186,56 @@ def migration_report(docs: DataFrame, questions: list[str] = MIGRATION_QUESTIONS
     return out
 
 
+def scored_reports(tables: dict[str, DataFrame], terms: list[str]) -> DataFrame:
+    """``(community, level, parent, title, summary, n_tokens, score)`` of the reports that hold a term, from the index tables."""
+    rep = tables["community_reports"]
+    rep = rep.select("community", "level", "title", "summary", "full_content", word_count(RI.report_text(rep)).cast("bigint").alias("n_tokens"))
+    parents = tables["communities"].select("community", "parent")
+    return RI.scores(tables, terms).join(rep, "community").join(parents, "community", "left")
+
+
+def search_reports(tables: dict[str, DataFrame], question: str, dynamic: bool = True, budget: int = CONTEXT_BUDGET) -> DataFrame:
+    """R1-R3 over community reports: BM25 scores, selection by level, the best ones within the token budget.
+
+    ``(community, level, parent, title, summary, full_content, n_tokens, score, rank, used_tokens)``;
+    tokens are those of the reports' own texts.
+    """
+    terms = question_terms(question)
+    if dynamic:
+        sel = select_dynamic(scored_reports(tables, terms))
+    else:  # the deepest reports up to the level, whatever their score; the score decides afterwards
+        kept = select_static(tables["communities"].select("community", "level", "parent")).select("community")
+        sel = scored_reports(tables, terms).join(kept, "community", "left_semi")
+    return map_reduce(sel, budget)
+
+
+def answer_from_reports(found: DataFrame) -> DataFrame:
+    """The reduce step without a model: title and summary of each selected report, best first (one row)."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "title", "score", "summary")))  # within the token budget
+    return found.agg(F.array_join(F.transform(rows, lambda x: F.concat(
+        x["title"], F.lit(" ("), x["score"].cast("string"), F.lit("): "), x["summary"])), "\n").alias("answer"))
+
+
+def answer_by_model(found: DataFrame, question: str, chat_fn, model: str = "", cache_path: str | None = None) -> DataFrame:
+    """The reduce step with a model: one prompt of the selected reports in order; ``(question, content)``."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "full_content")))
+    context = found.agg(F.array_join(F.transform(rows, lambda x: x["full_content"]), "\n\n").alias("context"))
+    text = F.concat(F.lit("Reports:\n\n"), F.col("context"), F.lit(f"\n\nQuestion: {question}\nAnswer from the reports alone, in several paragraphs."))
+    prompts = context.select(F.lit(question).alias("question"), F.array(F.struct(F.lit("user").alias("role"), text.alias("content"))).alias("messages"))
+    return C.complete(prompts, chat_fn, model, cache_path).select("question", "content")
+
+
+def index_migration_report(tables: dict[str, DataFrame], questions: list[str] = MIGRATION_QUESTIONS, dynamic: bool = True) -> DataFrame:
+    """R4 over community reports: ``(question_no, section)``, a row a question."""
+    out = None
+    for i, q in enumerate(questions):
+        answer = answer_from_reports(search_reports(tables, q, dynamic))
+        part = answer.select(F.lit(i).alias("question_no"), F.concat(
+            F.lit(f"### Question: {q}\n\n###Answer: "), F.coalesce(F.nullif(F.col("answer"), F.lit("")), F.lit("No relevant reports.")), F.lit("\n\n")).alias("section"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def report_text(sections: DataFrame) -> str:
     """The assembled report: sections in question order (three short rows)."""
     rows = sections.orderBy("question_no").select("section").collect()

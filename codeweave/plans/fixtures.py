@@ -99,6 +99,62 @@ SQL_TRADE_EDGES = """trade_edges as (
  join nation sn on s_nationkey=sn.n_nationkey group by 1, 2)"""
 
 
+# --------------------------------------------------------- dialogue graphs
+def dialogue_steps(spark, d) -> DataFrame:
+    """Turns of conversations, three nodes each at most: many components, cycles of three where there are four turns or more."""
+    t = table(spark, d, "conversations").select("conv_id", "turn")
+    nxt = t.select("conv_id", (F.col("turn") - 1).alias("turn"))
+
+    def node(turn):
+        return F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), (turn % 3).cast("string"))
+
+    return t.join(nxt, ["conv_id", "turn"]).select(node(F.col("turn")).alias("source"), node(F.col("turn") + 1).alias("target")).distinct()
+
+
+def dialogue_edges(spark, d) -> DataFrame:
+    """The steps, and an edge from each conversation to the one of half its number: one component, deep and with many cycles."""
+    ids = table(spark, d, "conversations").select("conv_id").distinct()
+    up = ids.where("conv_id > 0").select("conv_id", F.expr("conv_id div 2").alias("half")).join(ids.withColumnRenamed("conv_id", "half"), "half")
+    start = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"), F.lit(".0"))
+    return dialogue_steps(spark, d).unionByName(up.select(start("conv_id").alias("source"), start("half").alias("target")))
+
+
+SQL_DIALOGUE_STEPS = """dialogue_steps as (
+ select distinct 'c'||a.conv_id||'.'||(a.turn%3) as source, 'c'||b.conv_id||'.'||(b.turn%3) as target
+ from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"""
+
+SQL_DIALOGUE_EDGES = SQL_DIALOGUE_STEPS + """,
+dialogue_edges as (
+ select source, target from dialogue_steps union all
+ select distinct 'c'||conv_id||'.0', 'c'||(conv_id//2)||'.0' from conversations
+ where conv_id > 0 and conv_id//2 in (select conv_id from conversations))"""
+
+
+# ------------------------------------------------------------ order graph
+def order_edges(spark, d) -> DataFrame:
+    """Customers and their orders: a component a customer."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.concat("c_name", F.lit(" in "), F.lower("c_mktsegment")).alias("source"),
+                    F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" "), F.lower("o_orderpriority"), F.lit(" status "), "o_orderstatus").alias("target"))
+
+
+SQL_ORDER_EDGES = """order_edges as (
+ select c_name||' in '||lower(c_mktsegment) as source, 'order '||o_orderkey||' '||lower(o_orderpriority)||' status '||o_orderstatus as target
+ from orders join customer on o_custkey = c_custkey)"""
+
+#: Reports of the order graph's components, as ``communities.community_reports`` words them.
+SQL_ORDER_REPORTS = SQL_ORDER_EDGES + """,
+order_nodes as (select source as c, source as node, count(*) as degree from order_edges group by 1
+                union all select source, target, 1 from order_edges),
+order_members as (select *, row_number() over (partition by c order by degree desc, node) as rk from order_nodes),
+order_reports as (
+ select '0:' || c as community, c as title, count(*)::bigint as size, (count(*) - 1)::bigint as n_edges,
+        'Community 0:' || c || ' of ' || count(*) || ' entities around ' || c || ' with ' || (count(*) - 1) || ' internal relationships.' as summary,
+        '# ' || c || chr(10) || chr(10) || 'Key entities:' || chr(10)
+        || string_agg(node || ' (degree ' || degree || ')', chr(10) order by rk) filter (where rk <= 10) as full_content
+ from order_members group by c)"""
+
+
 # ------------------------------------------------------- index relationships
 def relationships(spark, d) -> DataFrame:
     """Index-style relationships: part name -> supplier name, with descriptions."""

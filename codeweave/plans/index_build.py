@@ -24,6 +24,7 @@ from codeweave.operators import completion as C
 from codeweave.operators import generation as GEN
 from codeweave.operators import graph as G
 from codeweave.operators import indexing as IX
+from codeweave.operators import report_index as RI
 from codeweave.operators import search as S
 from codeweave.sources import index_io as IO
 from codeweave.session import cut_lineage
@@ -69,9 +70,20 @@ def metadata_rows(annotated: DataFrame) -> DataFrame:
         F.coalesce(F.try_variant_get("m", "$.callees", "array<string>"), empty).alias("callees"))
 
 
+def library_rows(annotated: DataFrame) -> DataFrame:
+    """``(file_path, library_name, library_version, deprecated, vulnerabilities)`` of configuration files."""
+    entries = annotated.select("file_path", F.explode(F.try_variant_get("metadata", "$.methods", "array<variant>")).alias("m"))
+    return entries.select(
+        "file_path", F.try_variant_get("m", "$.library_name", "string").alias("library_name"),
+        F.try_variant_get("m", "$.library_version", "string").alias("library_version"),
+        F.coalesce(F.try_variant_get("m", "$.deprecated", "boolean"), F.lit(False)).alias("deprecated"),
+        F.coalesce(F.try_variant_get("m", "$.vulnerabilities", "array<string>"), F.array().cast("array<string>")).alias("vulnerabilities")) \
+        .where("library_name is not null")
+
+
 def build_index(corpus: DataFrame, md_rows: DataFrame, chunk_size: int = 1200, chunk_overlap: int = 100,
-                max_cluster_size: int = 10) -> dict[str, DataFrame]:
-    """Index tables from the corpus ``(id, path, text)`` and typed metadata rows."""
+                max_cluster_size: int = 10, libraries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Index tables from the corpus ``(id, path, text)``, typed metadata rows and, if given, library rows."""
     units = IX.chunk_text(corpus, "text", "id", chunk_size, chunk_overlap).select(
         F.sha2(F.concat_ws(":", "id", F.col("chunk_index").cast("string")), 256).alias("id"),
         F.col("id").alias("document_id"), "chunk_index", "text", "n_tokens")
@@ -83,9 +95,11 @@ def build_index(corpus: DataFrame, md_rows: DataFrame, chunk_size: int = 1200, c
     entities = entities.join(deg, "title", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     membership = CM.hierarchical_communities(rels, max_size=max_cluster_size)
     communities = CM.community_table(membership)
-    reports = CM.community_reports(membership, rels)
-    return {"entities": entities, "relationships": rels, "text_units": units,
-            "communities": communities, "community_reports": reports, "membership": membership}
+    reports = cut_lineage(CM.community_reports(membership, rels))
+    methods = md_rows.where("method_name is not null").select("file_path", "method_name", "callees")
+    out = {"entities": entities, "relationships": rels, "text_units": units, "communities": communities,
+           "community_reports": reports, "membership": membership, "methods": methods, **RI.build(reports)}
+    return out if libraries is None else out | {"libraries": libraries}
 
 
 class Index:
@@ -114,6 +128,13 @@ class Index:
     def short_cycles(self) -> DataFrame:
         return G.short_cycles(self.relationships)
 
+    def cycle_list(self) -> DataFrame:
+        """Q3: one shortest cycle of every strongly connected component, as a list of modules."""
+        return G.shortest_cycles(self.relationships)
+
+    def reach_sizes(self) -> DataFrame:
+        return G.reach_sizes(self.relationships)
+
     def dependency_layers(self) -> DataFrame:
         return A.dependency_layers(self.relationships)
 
@@ -141,15 +162,28 @@ class Index:
         hits = S.vector_topk(IX.text_embedding(ents), qv, k=k, id_col="doc_id", qid_col="query_id")
         return S.one_hop_context(hits.where(F.col("score") > 0), self.relationships, budget)
 
-    def global_search(self, question: str, dynamic: bool = True) -> DataFrame:
-        """Map-reduce over community reports with the term scorer."""
-        rep = self.tables["community_reports"]
-        terms = S.question_terms(question)
-        scored = rep.select("community", "level", F.col("title"),
-                            S.term_hits(F.concat_ws(" ", "summary", "full_content"), terms).alias("score"),
-                            F.least(S.word_count("full_content"), F.lit(S.REPORT_MAX_TOKENS)).cast("bigint")
-                            .alias("n_tokens"))
-        parents = self.tables["communities"].select("community", "parent")
-        scored = scored.join(parents, "community", "left")
-        sel = S.select_dynamic(scored) if dynamic else S.select_static(scored)
-        return S.map_reduce(sel)
+    def global_search(self, question: str, dynamic: bool = True, budget: int = S.CONTEXT_BUDGET) -> DataFrame:
+        """BM25 over the community reports, selected by level and token budget."""
+        return S.search_reports(self.search_tables, question, dynamic, budget)
+
+    def ask(self, question: str, chat_fn, model: str = "", dynamic: bool = True) -> DataFrame:
+        """Global search whose reduce step is a model's answer."""
+        return S.answer_by_model(self.global_search(question, dynamic), question, chat_fn, model)
+
+    def migration_report(self, questions: list[str] = S.MIGRATION_QUESTIONS) -> DataFrame:
+        """The fixed questions over the community reports, one section each."""
+        return S.index_migration_report(self.search_tables, questions)
+
+    def library_inventory(self) -> DataFrame:
+        return A.library_inventory(self.tables["libraries"])
+
+    def call_graph(self, callee_is_caller: bool = True) -> DataFrame:
+        return A.call_graph(self.tables["methods"], callee_is_caller)
+
+    @property
+    def search_tables(self) -> dict[str, DataFrame]:
+        """The tables with the report index, which an index of older make lacks and gets here."""
+        if RI.TABLES[0] not in self.tables:
+            made = RI.build(self.tables["community_reports"])
+            self.tables |= {name: cut_lineage(df) for name, df in made.items()}
+        return self.tables

@@ -102,3 +102,55 @@ select *, (fan_in + 1) * (fan_out + 1) * scc_size as risk_score from m
 order by risk_score desc, strength desc, module limit 20""")
 def q_risk_rank(spark, d):
     return G.risk_rank(X.module_edges(spark, d), k=20)
+
+
+_DIALOGUE = X.oracle_with(X.SQL_DIALOGUE_EDGES, recursive=True).rstrip() + """,
+e as (select distinct source as a, target as b from dialogue_edges),
+nodes as (select a as node from e union select b from e),
+""" + _SCC[_SCC.index("reach(a, b)"):]
+
+
+@register("cycles_list", _DIALOGUE + """,
+inner_e as (select e.a, e.b, x.scc from e join scc_all x on x.node = e.a join scc_all y on y.node = e.b where x.scc = y.scc),
+p(scc, s, v, path, len) as (
+  select scc, a, b, [a], 1 from inner_e where b >= a
+  union all
+  select p.scc, p.s, i.b, list_append(p.path, p.v), p.len + 1 from p join inner_e i on i.a = p.v
+  where p.v <> p.s and p.len < 6 and (i.b = p.s or (i.b > p.s and not list_contains(p.path, i.b)))),
+c as (select scc, path, len from p where v = s),
+m as (select scc, min(len) as len from c group by scc)
+select scc, len::int as length, min(path) as cycle from c join m using (scc, len) group by scc, len""")
+def q_cycles_list(spark, d):
+    return G.shortest_cycles(X.dialogue_edges(spark, d))
+
+
+@register("waves_deep", _DIALOGUE + """,
+ce as (select distinct sa.scc as a, sb.scc as b from e
+       join scc_all sa on e.a = sa.node join scc_all sb on e.b = sb.node where sa.scc <> sb.scc),
+paths(start, cur, len) as (select distinct scc, scc, 0 from scc_all
+                           union select p.start, ce.b, p.len + 1 from paths p join ce on ce.a = p.cur),
+waves as (select start as scc, max(len) as wave from paths group by start)
+select s.node as module, s.scc, w.wave::int as wave from scc_all s join waves w using (scc)""")
+def q_waves_deep(spark, d):
+    return G.migration_waves(X.dialogue_edges(spark, d))
+
+
+@register("impact_deep", _DIALOGUE + """,
+walk(node, hop) as (select 'c0.0', 0 union select e.a, w.hop + 1 from walk w join e on e.b = w.node where w.hop < 64)
+select node as module, min(hop)::int as hop from walk where node <> 'c0.0' group by node""")
+def q_impact_deep(spark, d):
+    return G.impact_set(X.dialogue_edges(spark, d), "c0.0")
+
+
+@register("components_many", X.oracle_with(X.SQL_DIALOGUE_STEPS, recursive=True) + """,
+u as (select source as a, target as b from dialogue_steps union select target, source from dialogue_steps),
+reach(a, b) as (select a, a from u union select r.a, u.b from reach r join u on r.b = u.a),
+comp as (select a as node, min(b) as component from reach group by a)
+select node, component, (count(*) over (partition by component))::bigint as component_size from comp""")
+def q_components_many(spark, d):
+    return G.connected_components(X.dialogue_steps(spark, d))
+
+
+@register("reach_estimate")
+def q_reach_estimate(spark, d):
+    return G.reach_sizes(X.module_edges(spark, d))

@@ -138,15 +138,9 @@ def q_incremental_units(spark, d):
     return u.select("doc_key", "chunk_index", "n_tokens", F.md5("text").alias("chunk_md5"))
 
 
-_MEMBERSHIP: dict = {}
-
-
 def _membership(spark, d):
-    """Communities of the module graph, built once per application and input folder: a table under the checkpoint folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _MEMBERSHIP:
-        _MEMBERSHIP[key] = CM.hierarchical_communities(X.module_edges(spark, d), max_size=10)
-    return _MEMBERSHIP[key]
+    """Communities of the module graph."""
+    return CM.hierarchical_communities(X.module_edges(spark, d), max_size=10)
 
 
 @register("communities")
@@ -167,13 +161,14 @@ comp as (select node, min(label) as component from lab group by node)
 @register("communities_level0", _LEVEL0_SQL + """
 select '0:' || component as community, node from comp""")
 def q_communities_level0(spark, d):
-    return _membership(spark, d).where("level = 0").select("community", "node")
+    return CM.top_level(X.module_edges(spark, d))
 
 
 @register("community_invariants", _LEVEL0_SQL + """
 select 'nodes_at_level_0' as measure, count(*)::bigint as n from comp
 union all select 'communities_at_level_0', count(distinct component)::bigint from comp
-union all select unnest(['oversized_leaves', 'disconnected_communities', 'ambiguous_parents', 'orphans', 'nodes_twice_at_a_level']), 0::bigint""")
+union all select unnest(['oversized_leaves', 'disconnected_communities', 'leaves_without_common_neighbour', 'ambiguous_parents', 'orphans',
+  'nodes_twice_at_a_level', 'singletons_over_a_fifth', 'modularity_not_above_label_propagation']), 0::bigint""")
 def q_community_invariants(spark, d):
     return CM.community_invariants(_membership(spark, d), X.module_edges(spark, d))
 

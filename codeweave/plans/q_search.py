@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codeweave.operators import communities as CM
+from codeweave.operators import graph as G
+from codeweave.operators import report_index as RI
 from codeweave.operators import search as S
 from codeweave.plans import fixtures as X
 from codeweave.plans.registry import register
+from codeweave.session import cut_lineage
 
 QUESTION = S.MIGRATION_QUESTIONS[0]
 TOP_K = 5
@@ -121,3 +125,69 @@ def q_local_search(spark, d):
     r = S.local_search(hits, units)
     return r.select(F.col("query_id").cast("bigint").alias("query_id"), "id", "rank", "n_tokens",
                     F.col("used_tokens").cast("bigint"))
+
+
+# ------------------------------------------- search over community reports
+REPORT_QUESTION = "Which customers in machinery have urgent orders that are still open (status O), and how many relationships do they have?"
+
+
+def _order_index(spark, d) -> dict:
+    """Reports of the order graph's components (level 0) with their search tables."""
+    edges = X.order_edges(spark, d)
+    comp = G.connected_components(edges)
+    members = cut_lineage(comp.select(F.lit(0).alias("level"), F.concat(F.lit("0:"), "component").alias("community"),
+                                      F.lit(None).cast("string").alias("parent"), "node"))
+    reports = cut_lineage(CM.community_reports(members, edges))
+    return {"community_reports": reports, "communities": CM.community_table(members),
+            **{name: cut_lineage(t) for name, t in RI.build(reports).items()}}
+
+
+def _bm25_sql(terms: list[str], n: str = "b") -> str:
+    tl = "[" + ", ".join(_q(t) for t in terms) + "]::varchar[]"
+    return f"""
+{n}_w as (select community, list_filter(string_split_regex(lower(summary || ' ' || full_content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') as words from order_reports),
+{n}_c as (select count(*)::bigint as n, sum(len(words))::bigint as total from {n}_w),
+{n}_t as (select community, len, term, count(*)::bigint as tf from (select community, len(words)::bigint as len, unnest(words) as term from {n}_w) group by all),
+{n}_d as (select term, floor(1000 * ln(1 + (n::double - count(*) + 0.5) / (count(*) + 0.5)))::bigint as w from {n}_t, {n}_c
+          where list_contains({tl}, term) group by term, n),
+{n} as (select community, sum(w * ((2200000000 * tf) // (1000 * tf + 300 + (900 * len * n) // total)))::bigint as score
+        from {n}_t join {n}_d using (term), {n}_c group by community having score > 0)"""
+
+
+@register("report_topk", X.oracle_with(X.SQL_ORDER_REPORTS).rstrip() + "," + _bm25_sql(S.question_terms(REPORT_QUESTION)) + """
+select community, score from b order by score desc, community limit 25""")
+def q_report_topk(spark, d):
+    return RI.top_reports(_order_index(spark, d), S.question_terms(REPORT_QUESTION), 25)
+
+
+_REPORT_WORDS = "len(list_filter(string_split_regex(summary || ' ' || full_content, '[ \t\n\r\f]+'), lambda w: w <> ''))::bigint"
+
+
+def _report_search_sql(question: str, n: str) -> str:
+    return _bm25_sql(S.question_terms(question), n + "b") + f""",
+{n}_s as (select community, title, summary, score, {_REPORT_WORDS} as n_tokens from {n}b join order_reports using (community)),
+{n}_r as (select *, row_number() over (order by score desc, community) as rank from {n}_s),
+{n} as (select *, sum(n_tokens) over (order by rank rows between unbounded preceding and current row) as used_tokens from {n}_r)"""
+
+
+@register("report_search", X.oracle_with(X.SQL_ORDER_REPORTS).rstrip() + "," + _report_search_sql(REPORT_QUESTION, "g") + f"""
+select community, title, score, n_tokens, rank::int as rank, used_tokens::bigint as used_tokens from g where used_tokens <= {S.CONTEXT_BUDGET}""")
+def q_report_search(spark, d):
+    r = S.search_reports(_order_index(spark, d), REPORT_QUESTION)
+    return r.select("community", "title", "score", "n_tokens", "rank", F.col("used_tokens").cast("bigint"))
+
+
+_ORDER_QUESTIONS = [REPORT_QUESTION, "Which orders of the building segment are low?", "Is there any vulnerability?"]
+
+
+def _report_questions_sql() -> str:
+    ctes = [_report_search_sql(q, f"q{i}") for i, q in enumerate(_ORDER_QUESTIONS)]
+    rows = [f"""select {i} as question_no, {_q(f"### Question: {q}{chr(10) * 2}###Answer: ")} || coalesce(
+      (select string_agg(title || ' (' || score || '): ' || summary, chr(10) order by rank) from q{i} where used_tokens <= {S.CONTEXT_BUDGET}),
+      'No relevant reports.') || chr(10) || chr(10) as section""" for i, q in enumerate(_ORDER_QUESTIONS)]
+    return X.oracle_with(X.SQL_ORDER_REPORTS).rstrip() + "," + ",".join(ctes) + "\n" + "\nunion all\n".join(rows)
+
+
+@register("report_questions", _report_questions_sql())
+def q_report_questions(spark, d):
+    return S.index_migration_report(_order_index(spark, d), _ORDER_QUESTIONS)

@@ -1,50 +1,98 @@
 """Index tables on shared storage: load (S7, S8), write (K4, K5), export/import (K6),
 plus the run outputs of corpus preparation (K1-K3) and the corpus view (S9).
 
-An index is six parquet folders (the sixth, ``membership``, holds node -> community) under ``{root}/output/``.  Reads are lazy,
-so a question that touches two columns of ``relationships`` scans two columns.
+An index is a folder of parquet tables under ``{root}/runs/`` (``INDEX_TABLES``, and those of ``MORE_TABLES`` that were
+made), named by the last row of ``{root}/manifest``.  Reads are lazy, so a question that touches two columns of ``relationships`` scans two columns.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeweave.session import read_if_there
+
 INDEX_TABLES = ["entities", "relationships", "text_units", "communities", "community_reports", "membership"]
+#: Tables that an index may have besides: what search and inventory read.
+MORE_TABLES = ["report_postings", "report_terms", "report_corpus", "methods", "libraries"]
+
+
+#: Columns that a table must have to be published.
+REQUIRED = {
+    "entities": {"title", "type"}, "relationships": {"source", "target", "description", "weight"},
+    "text_units": {"id", "document_id", "text"}, "communities": {"community", "level", "parent"},
+    "community_reports": {"community", "level", "title", "summary", "full_content"}, "membership": {"level", "community", "node"},
+    "report_postings": {"term", "block", "best", "docs"}, "report_terms": {"term", "df"}, "report_corpus": {"n", "words"},
+    "methods": {"file_path", "method_name", "callees"}, "libraries": {"file_path", "library_name", "library_version"},
+}
+
 
+def _check(name: str, df: DataFrame) -> None:
+    lacking = sorted(REQUIRED[name] - set(df.columns))
+    if lacking:
+        raise ValueError(f"index table {name} lacks columns {lacking}")
 
-def _out(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/output/{name}"
 
+def current_run(spark: SparkSession, root: str) -> tuple[int, str, list[str]] | None:
+    """(version, run, tables) of the index that readers see; None if nothing is published."""
+    m = read_if_there(spark, f"{root.rstrip('/')}/manifest")
+    last = m.orderBy(F.desc("version"), F.desc("run")).first() if m is not None else None
+    return (last["version"], last["run"], list(last["tables"])) if last else None
 
-def write_index(tables: dict[str, DataFrame], root: str, mode: str = "overwrite") -> None:
+
+def write_index(tables: dict[str, DataFrame], root: str) -> int:
+    """K4: write all tables to a folder of their own, check them, then publish them at once.
+
+    Publishing adds one row (one file) to the manifest, whose highest version is the index.
+    If anything fails before, readers go on with the index of before and
+    never see the unfinished folder.  Returns the version.
+    """
     missing = sorted(set(INDEX_TABLES) - set(tables))
     if missing:
         raise ValueError(f"index is missing tables {missing}")
-    for name in INDEX_TABLES:
-        tables[name].write.mode(mode).parquet(_out(root, name))
-
-
-def load_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables as lazy DataFrames, also registered as temp views."""
+    root, run = root.rstrip("/"), uuid.uuid4().hex
+    names = [n for n in [*INDEX_TABLES, *MORE_TABLES] if n in tables]
+    for name in names:
+        _check(name, tables[name])
+        tables[name].write.parquet(f"{root}/runs/{run}/{name}")
+    spark = tables[names[0]].sparkSession
+    for name in names:
+        written = spark.read.parquet(f"{root}/runs/{run}/{name}")
+        if [(c, t) for c, t in written.dtypes] != [(c, t) for c, t in tables[name].dtypes]:
+            raise ValueError(f"index table {name} reads back with another schema")
+    before = current_run(spark, root)
+    version = before[0] + 1 if before else 1
+    spark.createDataFrame([(version, run, names)], "version long, run string, tables array<string>").coalesce(1) \
+        .write.mode("append").parquet(f"{root}/manifest")
+    return version
+
+
+def load_index(spark: SparkSession, root: str, views: bool = False, version: int | None = None) -> dict[str, DataFrame]:
+    """The published tables as lazy DataFrames, checked; ``views`` also registers them as temp views."""
+    found = current_run(spark, root)
+    if found is None:
+        raise ValueError(f"no index is published under {root}")
+    if version is not None and version != found[0]:
+        row = spark.read.parquet(f"{root.rstrip('/')}/manifest").where(F.col("version") == version).first()
+        if row is None:
+            raise ValueError(f"index version {version} is not published under {root}")
+        found = (version, row["run"], list(row["tables"]))
     out = {}
-    for name in INDEX_TABLES:
-        df = spark.read.parquet(_out(root, name))
-        df.createOrReplaceTempView(name)
+    for name in found[2]:
+        df = spark.read.parquet(f"{root.rstrip('/')}/runs/{found[1]}/{name}")
+        _check(name, df)
+        if views:
+            df.createOrReplaceTempView(name)
         out[name] = df
     return out
 
 
 def export_index(spark: SparkSession, src_root: str, dst_root: str) -> None:
-    """K6: copy an index (read -> check -> write); the reader needs all tables."""
-    tables = load_index(spark, src_root)
-    write_index(tables, dst_root)
-    check = load_index(spark, dst_root)
-    for name in INDEX_TABLES:
-        if check[name].schema != tables[name].schema:
-            raise ValueError(f"schema mismatch after export of {name}")
+    """K6: copy the published index (read, check, write, check, publish)."""
+    write_index(load_index(spark, src_root), dst_root)
 
 
 import_index = export_index

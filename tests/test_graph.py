@@ -135,3 +135,95 @@ def test_dense_id_encoding_matches_names(spark):
     assert comp == {"a": "a", "b": "a", "c": "a", "e": "a", "d": "d"}
     assert imp == {"c": 1, "a": 1, "e": 2}
     assert waves["b"] == 0 and waves["a"] == 1 and waves["e"] == 2
+
+
+def brute_cycles(edges):
+    """The shortest cycle of every component, first in order, from its smallest node."""
+    scc = brute_scc(edges)
+    adj = {}
+    for a, b in edges:
+        adj.setdefault(a, set()).add(b)
+    best = {}
+
+    def walk(path):
+        for n in sorted(adj.get(path[-1], ())):
+            if n == path[0]:
+                c = scc[n][0]
+                best[c] = min(best.get(c, (99, [])), (len(path), list(path)))
+            elif n > path[0] and n not in path and len(path) < best.get(scc[path[0]][0], (99,))[0]:
+                walk([*path, n])
+
+    for n in sorted(adj):
+        walk([n])
+    return {(c, k, tuple(p)) for c, (k, p) in best.items()}
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=16))
+def test_shortest_cycles_match_brute_force(spark, raw):
+    edges = sorted({(f"n{a}", f"n{b}") for a, b in raw})
+    got = {(r.scc, r.length, tuple(r.cycle)) for r in G.shortest_cycles(edf(spark, edges)).collect()}
+    assert got == brute_cycles(edges)
+
+
+def test_shortest_cycles_cases(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    two = [("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("a2", "a4"), ("a4", "a1"), ("s", "s"), ("s", "t"), ("t", "s"), ("t", "u")]
+    got = {(r.scc, r.length, tuple(r.cycle)) for r in G.shortest_cycles(edf(spark, ring + two)).collect()}
+    assert got == {("r0", 9, tuple(f"r{i}" for i in range(9))), ("a1", 3, ("a1", "a2", "a3")), ("s", 1, ("s",))}
+    assert G.shortest_cycles(edf(spark, [("a", "b"), ("b", "c")])).count() == 0
+    assert G.shortest_cycles(edf(spark, [])).count() == 0
+
+
+def chains(edges):
+    below = {}
+    for a, b in edges:
+        below.setdefault(a, set()).add(b)
+        below.setdefault(b, set())
+    wave = {}
+
+    def of(n):
+        if n not in wave:
+            wave[n] = max((of(x) + 1 for x in below[n]), default=0)
+        return wave[n]
+
+    for n in sorted(below):
+        of(n)
+    return wave
+
+
+def test_waves_of_long_chains(spark, monkeypatch):
+    """A chain of 10,000 modules takes a few dozen state tables, with side branches and rejoining paths."""
+    n = 10_000
+    edges = [(f"m{i:05d}", f"m{i - 1:05d}") for i in range(1, n)]
+    tables = []
+    persist = G._persist
+    monkeypatch.setattr(G, "_persist", lambda df: tables.append(1) or persist(df))
+    nodes = spark.range(n).withColumnRenamed("id", "a")
+    got = G._longest_chains(nodes, spark.range(1, n).selectExpr("id as a", "id - 1 as b"))
+    assert got.where("a = wave").count() == n and len(tables) < 60
+    side = edges[:40] + [("m00040", "m00010"), ("x", "m00025"), ("x", "m00039"), ("y", "x"), ("y", "m00001"), ("m00005", "z"), ("z", "w"), ("w", "v")]
+    got = {r.module: r.wave for r in G.migration_waves(edf(spark, side)).collect()}
+    assert got == chains(side)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), min_size=1, max_size=30))
+def test_waves_are_longest_chains(spark, raw):
+    edges = sorted({(f"n{max(a, b):02d}", f"n{min(a, b):02d}") for a, b in raw if a != b})
+    assert {r.module: r.wave for r in G.migration_waves(edf(spark, edges)).collect()} == chains(edges)
+
+
+def test_reach_sizes(spark):
+    """Within 5 % of the exact number of dependents; exact for small sets."""
+    from codeweave.plans import fixtures as X
+    edges = [(f"a{i}", "hub") for i in range(30)] + [("hub", "low"), ("low", "hub"), ("low", "end")]
+    got = {r.module: r.reach for r in G.reach_sizes(edf(spark, edges)).collect()}
+    assert got["a0"] == 0 and got["hub"] == got["low"] == 31 and got["end"] == 32
+    graph = X.module_edges(spark, "/root/testdata/sf0.01")
+    pairs = [(r.target, r.source) for r in graph.collect()]
+    exact = {n: len(s - {n}) for n, s in reach_sets({x for p in pairs for x in p}, pairs).items()}
+    got = {r.module: r.reach for r in G.reach_sizes(graph).collect()}
+    assert got.keys() == exact.keys() and max(exact.values()) > 1000
+    assert all(abs(got[n] - k) <= 0.05 * k for n, k in exact.items())
+    assert G.reach_sizes(edf(spark, [])).count() == 0
