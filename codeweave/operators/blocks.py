@@ -48,7 +48,7 @@ def _chat(df, cfg):
     src = cfg.get("input_cols", "messages")
     _need(df, src)
     d = df.withColumnRenamed(src, "messages") if src != "messages" else df
-    out = C.complete(d, cfg["chat_fn"], cfg.get("model", ""), cfg.get("cache_path"), cfg.get("concurrency", 2))
+    out = C.complete(d, cfg["chat_fn"], cfg.get("model", ""), cfg.get("cache_path"), cfg.get("concurrency"))
     return out.withColumnRenamed("content", cfg.get("output_cols", "content"))
 
 

@@ -26,7 +26,7 @@ its leaf; ``community`` is the level and its smallest node.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -292,6 +292,72 @@ def report_context(membership: DataFrame, edges: DataFrame, budget: int = 8000)
         "level", "community", "kind", "text", "n_tokens", "used_tokens")
 
 
+#: Tokens kept free for the line that stands for communities that don't fit.
+REST_TOKENS = 12
+
+
+def _tokens_of(text) -> Column:
+    return F.greatest(F.size(F.split(text, "[^A-Za-z0-9]+")), F.lit(1)).cast("bigint")
+
+
+def nested_context(membership: DataFrame, edges: DataFrame, reports: DataFrame, budget: int = 8000) -> DataFrame:
+    """I12 with child reports: ``(level, community, kind, child, text, n_tokens, used_tokens)`` of every community.
+
+    A context holds the community's entities and relationships.  Where they exceed
+    ``budget``, children are replaced by the summaries of their reports, those first that
+    save most, until the rest fits: what lies inside a replaced child goes, relationships
+    between children stay.  If all children are replaced and it is still too much, rows
+    are kept in order (reports of large children, entities by degree, relationships by
+    weight) while they fit, and one line counts the children that don't.  So no context
+    exceeds the budget and every child is in it.  Which children are replaced, and what
+    fits, come from running sums that spread a large community over many tasks.
+    """
+    arcs = _undirected_weighted(edges)
+    deg = arcs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    m = cut_lineage(membership.select("level", "community", "parent", "node"))
+    child = m.where("parent is not null").select(F.col("parent").alias("community"), "node", F.col("community").alias("child"))
+    ent = m.join(child, ["community", "node"], "left").join(deg, "node", "left").select(
+        "level", "community", F.lit("entity").alias("kind"), "child", F.lit(None).cast("string").alias("child2"),
+        F.coalesce("degree", F.lit(0)).cast("double").alias("w"), F.col("node").alias("text"))
+    side = m.join(child, ["community", "node"], "left").select("level", "community", "node", "child")
+    s1 = side.select("level", "community", F.col("node").alias("src"), "child")
+    s2 = side.select("level", F.col("community").alias("c2"), F.col("node").alias("dst"), F.col("child").alias("child2"))
+    rel = simple_edges(edges).where("src <> dst").join(s1, "src").join(s2, ["level", "dst"]).where("community = c2").join(arcs, ["src", "dst"]).select(
+        "level", "community", F.lit("relationship").alias("kind"), "child", "child2", "w", F.concat_ws(" -> ", "src", "dst").alias("text"))
+    rows = cut_lineage(ent.unionByName(rel).withColumn("n_tokens", _tokens_of(F.col("text"))))
+    raw = cut_lineage(rows.groupBy("level", "community").agg(F.sum("n_tokens").alias("raw"), F.count_if(F.col("kind") == "entity").alias("size")))
+    # children of communities that are too large, and what their reports save
+    over = raw.where(F.col("raw") > budget).select("community", F.col("raw").alias("whole"))
+    kids = m.where("parent is not null").select(F.col("community").alias("child"), F.col("parent").alias("community")).distinct() \
+        .join(over, "community").join(raw.select(F.col("community").alias("child"), "raw", "size"), "child") \
+        .join(reports.select(F.col("community").alias("child"), F.col("summary").alias("text")), "child") \
+        .withColumn("n_tokens", _tokens_of(F.col("text"))).withColumn("saves", F.col("raw") - F.col("n_tokens"))
+    kids = kids.where("saves > 0").withColumn("order", -F.col("saves"))
+    chosen = cut_lineage(running_sums(kids, ["community"], ["order", "child"], "saves", before="saved")
+                         .where(F.col("saved") < F.col("whole") - budget))
+    left = raw.join(chosen.groupBy("community").agg(F.sum("saves").alias("saved")), "community", "left") \
+        .select("level", "community", (F.col("raw") - F.coalesce("saved", F.lit(0))).alias("left"))
+    gone = chosen.select("community", "child", F.lit(True).alias("gone"))
+    inside = (F.col("kind") == "entity") | F.col("child").eqNullSafe(F.col("child2"))
+    kept = rows.join(gone, ["community", "child"], "left").where(~(inside & F.coalesce("gone", F.lit(False)))).drop("gone", "child2")
+    told = chosen.join(raw.select("level", "community"), "community").select(
+        "community", "child", "level", F.lit("report").alias("kind"), F.col("raw").cast("double").alias("w"), "text", "n_tokens")
+    rank = F.when(F.col("kind") == "report", 0).when(F.col("kind") == "entity", 1).otherwise(2)
+    all_rows = kept.unionByName(told).withColumns({"rank": rank, "order": -F.col("w")})
+    summed = running_sums(all_rows, ["level", "community"], ["rank", "order", "text"], "n_tokens", before="used")
+    room = F.when(F.col("left") > budget, budget - REST_TOKENS).otherwise(budget)
+    out = cut_lineage(summed.join(left, ["level", "community"]).where(F.col("used") + F.col("n_tokens") <= room)
+                      .select("level", "community", "kind", "child", "text", "n_tokens", (F.col("used") + F.col("n_tokens")).alias("used_tokens")))
+    shown = out.where("kind = 'report'").select("community", "child")
+    missing = chosen.join(shown, ["community", "child"], "left_anti").groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("entities"))
+    last = out.groupBy("level", "community").agg(F.max("used_tokens").alias("last"))
+    rest = raw.select("level", "community").join(missing, "community").join(last, ["level", "community"], "left").select(
+        "level", "community", F.lit("rest").alias("kind"), F.lit(None).cast("string").alias("child"),
+        F.concat(F.lit("and "), F.col("n").cast("string"), F.lit(" more communities of "), F.col("entities").cast("string"), F.lit(" entities")).alias("text"),
+        F.coalesce("last", F.lit(0)).alias("last")).withColumn("n_tokens", _tokens_of(F.col("text")))
+    return out.unionByName(rest.select("level", "community", "kind", "child", "text", "n_tokens", (F.col("last") + F.col("n_tokens")).alias("used_tokens")))
+
+
 def community_reports(membership: DataFrame, edges: DataFrame, top_k: int = 10) -> DataFrame:
     """Extractive report per community: title, summary, content (top members) and rank.
 

@@ -71,7 +71,7 @@ def _relationships(rows: DataFrame, unit_col: str) -> DataFrame:
 
 
 def model_extraction(units: DataFrame, chat_fn, model: str = "", cache_path: str | None = None,
-                     gleanings: int = 1, concurrency: int = 2, unit_col: str = "id",
+                     gleanings: int = 1, concurrency: int | None = None, unit_col: str = "id",
                      text_col: str = "text") -> dict[str, DataFrame]:
     """Returns ``mentions``, ``entities``, ``relationships`` (merged) from model answers."""
     tmpl = entity_template()
@@ -105,7 +105,7 @@ def model_extraction(units: DataFrame, chat_fn, model: str = "", cache_path: str
 
 
 def extract_claims(units: DataFrame, chat_fn, model: str = "", cache_path: str | None = None,
-                   concurrency: int = 2, unit_col: str = "id", text_col: str = "text") -> DataFrame:
+                   concurrency: int | None = None, unit_col: str = "id", text_col: str = "text") -> DataFrame:
     """I15 (off by default in the original): claims/covariates per text unit."""
     asked = units.select(unit_col, F.array(_msg("user", _user(CLAIM_PROMPT, text_col))).alias("messages"))
     ans = C.complete(asked, chat_fn, model, cache_path, concurrency)

@@ -95,13 +95,12 @@ def structural_entities(md: DataFrame) -> DataFrame:
         F.countDistinct("file_path").alias("frequency"))
 
 
-def structural_relationships(md: DataFrame, callee_is_caller: bool = True) -> DataFrame:
-    """Merged relationships ``(source, target, type, weight, n_files)`` from metadata.
+def structural_relations(md: DataFrame, callee_is_caller: bool = True) -> DataFrame:
+    """Relationship mentions ``(file_path, source, target, type)`` from metadata, one row each.
 
     IMPORTS: file -> import; USES: file -> class; DEPENDS_ON: file -> package;
     CALLS: caller -> method (callee lists read as callers by default).
-    One explode per metadata row; edges whose endpoints are not entities are
-    dropped (two semi-joins against the merged entity titles).
+    One explode per metadata row.
     """
     fp = F.col("file_path")
     pkg = F.when(F.col("package").isNotNull() & (F.col("package") != ""), _one(fp, F.col("package"), "DEPENDS_ON")) \
@@ -113,10 +112,17 @@ def structural_relationships(md: DataFrame, callee_is_caller: bool = True) -> Da
     else:
         calls = _pairs(callees, "CALLS", F.col("method_name"))
     items = F.concat(_pairs(F.col("imports"), "IMPORTS", fp), _pairs(F.col("classes"), "USES", fp), pkg, calls)
-    rel = md.select(fp, F.explode(items).alias("r")).select(
+    return md.select(fp, F.explode(items).alias("r")).select(
         fp, _norm_title(F.col("r.a")).alias("source"), _norm_title(F.col("r.b")).alias("target"),
         F.col("r.type").alias("type"))
-    merged = rel.groupBy("source", "target", "type").agg(
+
+
+def structural_relationships(md: DataFrame, callee_is_caller: bool = True) -> DataFrame:
+    """Merged relationships ``(source, target, type, weight, n_files)`` from metadata.
+
+    Edges whose endpoints are not entities are dropped (two semi-joins against the merged entity titles).
+    """
+    merged = structural_relations(md, callee_is_caller).groupBy("source", "target", "type").agg(
         F.count(F.lit(1)).alias("weight"), F.countDistinct("file_path").alias("n_files"))
     ent = structural_entities(md).select("title").distinct()
     return (merged.join(ent.select(F.col("title").alias("source")), "source", "left_semi")

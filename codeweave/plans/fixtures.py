@@ -254,6 +254,31 @@ snapshot_new as (
  union all select item_id+1000000000, text from benchmark)"""
 
 
+def metadata_next(spark, d) -> DataFrame:
+    """Metadata after edits: files of toxic-labelled documents deleted, low-quality ones edited, one file a benchmark item added."""
+    md = metadata(spark, d).select("doc_id", "file_path", "package", "imports", "classes", "method_name", "callees")
+    lab = table(spark, d, "labels").select("doc_id", "quality", "toxic")
+    bad = F.col("quality") == 0
+    kept = md.join(lab, "doc_id", "left").where(F.coalesce("toxic", F.lit(0)) == 0).select(
+        "file_path", F.when(bad, F.lit("org.edited")).otherwise(F.col("package")).alias("package"),
+        F.when(bad, F.array(F.concat(F.lit("lib"), (F.col("doc_id") % 7).cast("string")))).otherwise(F.col("imports")).alias("imports"),
+        "classes", "method_name", "callees")
+    s = F.col("item_id").cast("string")
+    added = table(spark, d, "benchmark").select(
+        F.concat(F.lit("bench/b"), s, F.lit(".py")).alias("file_path"), F.lit("org.bench").alias("package"), F.array(F.lit("lib0")).alias("imports"),
+        F.array(F.concat(F.lit("B"), s)).alias("classes"), F.concat(F.lit("mb"), s).alias("method_name"), F.array(F.lit("m1")).alias("callees"))
+    return kept.unionByName(added)
+
+
+SQL_METADATA_NEXT = SQL_METADATA.replace("metadata as (", "metadata_before as (", 1) + """,
+metadata as (
+ select file_path, case when quality=0 then 'org.edited' else package end as package,
+        case when quality=0 then ['lib'||(m.doc_id%7)] else imports end as imports, classes, method_name, callees
+ from metadata_before m left join labels l on m.doc_id=l.doc_id where coalesce(l.toxic,0)=0
+ union all
+ select 'bench/b'||item_id||'.py', 'org.bench', ['lib0'], ['B'||item_id], 'mb'||item_id, ['m1'] from benchmark)"""
+
+
 def metadata_json_text(spark, d) -> DataFrame:
     """Model-style answers: the metadata as JSON text, sometimes wrapped in prose."""
     md = metadata(spark, d)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeweave.operators import communities as CM
+from codeweave.operators import delta_graph as DG
 from codeweave.operators import indexing as IX
 from codeweave.plans import fixtures as X
 from codeweave.plans.registry import register
+from codeweave.session import cut_lineage
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 100
 _TOKS_SQL = r"regexp_extract_all(text, '[^ \t\n\r\f]+[ \t\n\r\f]*')"
@@ -28,7 +30,7 @@ def q_chunk_text(spark, d):
     return c.select("doc_id", "chunk_index", "start_token", "n_tokens", F.md5("text").alias("chunk_md5"))
 
 
-_MENTIONS_SQL = X.oracle_with(X.SQL_METADATA) + """,
+_MENTIONS_BODY = """,
 mentions as (
  select file_path, file_path as name, 'module' as type from metadata
  union all select file_path, package, 'package' from metadata where package is not null and package <> ''
@@ -38,6 +40,17 @@ mentions as (
 ents as (select upper(trim(name)) as title, type, count(distinct file_path)::bigint as frequency
          from mentions where name is not null and trim(name) <> '' group by 1, 2)
 """
+_MENTIONS_SQL = X.oracle_with(X.SQL_METADATA) + _MENTIONS_BODY
+_RELATIONS_BODY = """,
+rel as (
+ select file_path, file_path as s, unnest(imports) as t, 'IMPORTS' as type from metadata
+ union all select file_path, file_path, unnest(classes), 'USES' from metadata
+ union all select file_path, file_path, package, 'DEPENDS_ON' from metadata where package is not null and package <> ''
+ union all select file_path, unnest(callees), method_name, 'CALLS' from metadata),
+m as (select upper(trim(s)) as source, upper(trim(t)) as target, type, count(*)::bigint as weight,
+             count(distinct file_path)::bigint as n_files from rel group by 1, 2, 3),
+rels as (select * from m where source in (select title from ents) and target in (select title from ents))
+"""
 
 
 @register("entities_structural", _MENTIONS_SQL + "select * from ents")
@@ -45,15 +58,7 @@ def q_entities_structural(spark, d):
     return IX.structural_entities(X.metadata(spark, d))
 
 
-@register("relationships_structural", _MENTIONS_SQL.rstrip() + """,
-rel as (
- select file_path, file_path as s, unnest(imports) as t, 'IMPORTS' as type from metadata
- union all select file_path, file_path, unnest(classes), 'USES' from metadata
- union all select file_path, file_path, package, 'DEPENDS_ON' from metadata where package is not null and package <> ''
- union all select file_path, unnest(callees), method_name, 'CALLS' from metadata),
-m as (select upper(trim(s)) as source, upper(trim(t)) as target, type, count(*)::bigint as weight,
-             count(distinct file_path)::bigint as n_files from rel group by 1, 2, 3)
-select * from m where source in (select title from ents) and target in (select title from ents)""")
+@register("relationships_structural", _MENTIONS_SQL.rstrip() + _RELATIONS_BODY + "select * from rels")
 def q_relationships_structural(spark, d):
     return IX.structural_relationships(X.metadata(spark, d))
 
@@ -178,6 +183,75 @@ def q_reports(spark, d):
     return CM.community_reports(_membership(spark, d), X.module_edges(spark, d))
 
 
+# the index's graph after a batch of edits, kept up by signed counts, against a full rebuild
+@register("graph_upkeep", X.oracle_with(X.SQL_METADATA_NEXT) + _MENTIONS_BODY.rstrip() + _RELATIONS_BODY.rstrip() + """,
+deg as (select node, count(*)::bigint as degree from (select source as node from rels union all select target from rels) group by 1)
+select 'entity' as kind, title as a, null::varchar as b, type, frequency as files, 0::bigint as weight, coalesce(degree, 0)::bigint as degree
+from ents left join deg on node = title
+union all select 'relationship', source, target, type, n_files, weight, null from rels""")
+def q_graph_upkeep(spark, d):
+    before, after = X.metadata(spark, d), X.metadata_next(spark, d)
+    counts = cut_lineage(DG.counts_of(before))
+    degrees = cut_lineage(DG.degrees(counts))
+    old, new = DG.changed_rows(before, after)
+    delta = cut_lineage(DG.signed(old, new))
+    now = cut_lineage(DG.add(counts, delta))
+    deg = DG.refresh_degrees(degrees, now, delta)
+    ents, rels = DG.entities(now), DG.relationships(now)
+    e = ents.join(deg, ents["title"] == deg["node"], "left").select(
+        F.lit("entity").alias("kind"), F.col("title").alias("a"), F.lit(None).cast("string").alias("b"), "type",
+        F.col("frequency").alias("files"), F.lit(0).cast("bigint").alias("weight"), F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+    return e.unionByName(rels.select(F.lit("relationship").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "type",
+                                     F.col("n_files").alias("files"), "weight", F.lit(None).cast("bigint").alias("degree")))
+
+
+def _segments(spark, d):
+    """Customers with their orders as communities below their market segments."""
+    e = X.order_edges(spark, d)
+    both = e.select("source", F.col("source").alias("node")).unionByName(e.select("source", F.col("target").alias("node"))).distinct()
+    top = F.concat(F.lit("0:"), F.substring_index("source", " in ", -1))
+    own = F.concat(F.lit("1:"), "source")
+    none = F.lit(None).cast("string")
+    return both.select(F.lit(0).alias("level"), top.alias("community"), none.alias("parent"), "node").unionByName(
+        both.select(F.lit(1).alias("level"), own.alias("community"), top.alias("parent"), "node"))
+
+
+_WORDS = "greatest(len(string_split_regex(text, '[^A-Za-z0-9]+')), 1)::bigint"
+
+
+@register("report_context", X.oracle_with(X.SQL_ORDER_REPORTS) + f""",
+seg as (select c, '0:' || split_part(c, ' in ', 2) as top from (select distinct source as c from order_edges)),
+base as (
+ select c, 1 as rk, 'entity' as kind, degree::double as w, node as text from order_nodes
+ union all select source, 2, 'relationship', 1.0, source || ' -> ' || target from order_edges),
+base_t as (select *, {_WORDS} as n_tokens from base),
+kid as (select c, sum(n_tokens)::bigint as raw, count(*) filter (where rk = 1)::bigint as size from base_t group by c),
+kid_r as (select kid.c, top, raw, kid.size, replace(summary, 'Community 0:', 'Community 1:') as text from kid join seg using (c) join order_reports r on r.title = kid.c),
+kid_t as (select *, {_WORDS} as n_tokens from kid_r),
+whole as (select top, sum(raw)::bigint as whole from kid_t group by top),
+saves as (select k.*, whole, raw - n_tokens as saves from kid_t k join whole using (top) where whole > 8000 and raw > n_tokens),
+run as (select *, coalesce(sum(saves) over (partition by top order by saves desc, '1:' || c rows between unbounded preceding and 1 preceding), 0) as saved from saves),
+chosen as (select * from run where saved < whole - 8000),
+remain as (select top, whole - coalesce((select sum(saves) from chosen x where x.top = whole.top), 0) as remain from whole),
+rows0 as (
+ select top, '1:' || b.c as child, rk, kind, w, text, n_tokens from base_t b join seg using (c) where b.c not in (select c from chosen)
+ union all select top, '1:' || c, 0, 'report', raw::double, text, n_tokens from chosen),
+run0 as (select r.*, remain, sum(n_tokens) over (partition by top order by rk, w desc, text rows between unbounded preceding and current row) as used
+         from rows0 r join remain using (top)),
+ctx0 as (select * from run0 where used <= case when remain > 8000 then 8000 - 12 else 8000 end),
+rest as (select c.top, 'and ' || count(*) || ' more communities of ' || sum(c.size) || ' entities' as text from chosen c
+         where not exists (select 1 from ctx0 x where x.top = c.top and x.child = '1:' || c.c and x.kind = 'report') group by c.top),
+rest_t as (select top, text, {_WORDS} as n_tokens, coalesce((select max(used) from ctx0 x where x.top = rest.top), 0) as used from rest),
+run1 as (select c, kind, text, n_tokens, sum(n_tokens) over (partition by c order by rk, w desc, text rows between unbounded preceding and current row) as used from base_t)
+select 0 as level, top as community, kind, child, text, n_tokens, used::bigint as used_tokens from ctx0
+union all select 0, top, 'rest', null, text, n_tokens, (used + n_tokens)::bigint from rest_t
+union all select 1, '1:' || c, kind, null, text, n_tokens, used::bigint from run1 where used <= 8000""")
+def q_report_context(spark, d):
+    m = cut_lineage(_segments(spark, d))
+    e = X.order_edges(spark, d)
+    return CM.nested_context(m, e, cut_lineage(CM.community_reports(m, e)), 8000)
+
+
 @register("text_embedding")
 def q_text_embedding(spark, d):
     return IX.text_embedding(X.table(spark, d, "documents"), num_features=256)
