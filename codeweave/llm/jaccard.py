@@ -40,8 +40,9 @@ edges of a spanning forest.  So no pairs are written, no link is lost to the
 components, and no task holds more than two blocks.  Only texts that are to be verified
 are shuffled.
 
-Signatures are flat rows ``(key, class)`` of 16 bytes; they are computed again
-where they are used twice, which costs less than to keep them.
+Signatures are flat rows ``(key, class)``, read twice.  They are written once (``keep``, 8
+bytes a row on disk, as a class repeats) or computed twice, which takes a third more time
+and no disk; the result is the same.
 
 Cases: null and wordless texts have an empty set and link with nothing; texts of
 fewer than ``k`` words have one shingle; rows of one id are judged apart, by the digest of their set; rows
@@ -188,9 +189,9 @@ def _class(u: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(u.tobytes()) - 2**63
 
 
-def sketch(u: np.ndarray) -> np.ndarray:
-    """Parities of the shingles by hash: ``SKETCH`` longs."""
-    bits = np.bincount((_mix(u * _M[1]) >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+def sketch(h: np.ndarray) -> np.ndarray:
+    """Parities of the shingles by hash (``h``): ``SKETCH`` longs."""
+    bits = np.bincount((h >> np.uint64(32)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -207,8 +208,9 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 n.append(len(u))
                 digest.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
                 cls.append(_class(u) if len(u) else None)
-                longs.append(sketch(u))
-                probe.append(u[_mix(u) % np.uint64(PROBE) == 0].view(np.int64))
+                h = _mix(u * _M[1])
+                longs.append(sketch(h))
+                probe.append(u[h & np.uint64(PROBE - 1) == 0].view(np.int64))
             s = np.array(longs).reshape(len(n), SKETCH)
             upto = np.concatenate([[0], np.cumsum([len(x) for x in probe])]).astype(np.int32)
             probes = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
@@ -312,9 +314,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
 
 # ------------------------------------------------------------------ the join
-def _shared(docs: DataFrame, k: int, num: int, den: int, share: float) -> DataFrame:
+def _shared(docs: DataFrame, k: int, num: int, den: int, share: float, keep: bool) -> DataFrame:
     """``(key, class)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
     rows = _keys(docs, k, num, den, share)
+    rows = materialise(rows) if keep else rows
     # a key and a number shuffle as ten bytes or so; copies, which count here too, go with distinct()
     often = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
     some = materialise(rows.join(often, "key").distinct())
@@ -469,14 +472,14 @@ def class_links(member: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     return components(links.unionByName(more))
 
 
-def _labelled(d: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> DataFrame:
     """``(id, n_shingles, digest, component)`` of every row of ``d(id, text)``."""
     sets = materialise(_sets(d, k))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
     classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class")
                           .agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
     reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
-    member = _shared(d.where("id is not null"), k, num, den, shared_share(sets))
+    member = _shared(d.where("id is not null"), k, num, den, shared_share(sets), keep)
     roots = class_links(member, reps, d, k, num, den)
     labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component"))
@@ -484,9 +487,10 @@ def _labelled(d: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return sets.join(of, "digest", "left").select("id", "n_shingles", "digest", F.coalesce("component", "id").alias("component"))
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
+                    keep: bool = True) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, n_shingles, component_id)``, the smallest id reachable by links."""
-    out = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den)
+    out = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den, keep)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
 
 

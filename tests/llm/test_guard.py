@@ -7,8 +7,9 @@ LLM = pathlib.Path(__file__).resolve().parents[2] / "codeweave" / "llm"
 COLLECTS = {
     "decontaminate.py": 2,  # kinds of shingles (SHINGLE at most); shingles up to IN_PLACE + 1
     "htmltext.py": 1,  # BROADCAST_BRANCHES + 1
-    "langid.py": 2,  # MAX_LANGUAGES; SLOTS
+    "langid.py": 2,  # a row a language; SLOTS for every BITS languages
     "licences.py": 1,  # words of the fixed vocabulary
+    "jaccard.py": 1,  # one bitmap of fixed size
     "lexical.py": 1,  # terms of a block of queries (BLOCK_TERMS)
     "tokenfiles.py": 1,  # one row a file
     "toxicity.py": 3,  # stems and words (CANDIDATES each); cells of powers of two
