@@ -9,11 +9,16 @@
    entropy(presentations) + GAMMA * entropy(contents)``, entropies to base ``m``;
    a branch is as important as its most important place.
 3. Places that say by tag or class what they hold have a fixed importance: 1 for
-   ``article``, ``main`` and the like, 0 for navigation, headers, footers, adverts,
-   notices, forms and comments.  Others lose the branch if it is below
-   ``LOW`` and the host has at least ``MIN_PAGES`` pages.
-4. Each page is parsed again without its low branches.  If a page marks its
-   article, only text inside counts.
+   ``article``, ``main`` and blocks of such names, 0 for navigation, headers, footers,
+   adverts, notices, forms and comments.  Words of noise decide first (``comment-content``
+   is a comment, ``<article class="comment">`` too); main names count only as whole names.
+   What lies in noise is noise, articles included, unless the noise element is never
+   closed.  Others lose the branch if it is below ``LOW`` and the host has at least
+   ``MIN_PAGES`` pages.
+4. Each page is parsed again without its low branches.  If a page marks its article by
+   tag, only text inside counts; a block that is main by name alone must hold at least
+   half of what is left.  A page that has no text but inside a form (some sites wrap
+   whole pages) gives that.
 
 Only branches that the statistics remove must reach the pages: they are
 broadcast while they are few, else joined by host.
@@ -59,7 +64,12 @@ NOISE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb b
                         "disqus footer form header login menu menus modal nav navbar navigation newsletter notice notices pager "
                         "pagination popup promo related respond share sharing sidebar signup skip social sponsor sponsored "
                         "subscribe tags toolbar widget widgets".split())
-MAIN_NAMES = frozenset("article content entry main maincontent post story articlebody postbody entrycontent".split())
+#: Whole names of classes, ids and roles, without their hyphens and underscores.
+MAIN_NAMES = frozenset("article content entry main maincontent post story articlebody articlecontent articletext postbody postcontent "
+                       "entrycontent storybody pagecontent".split())
+#: Names that begin so speak of something else on the page.
+_ABOUT = re.compile(r"(?:has|with|no|without)[-_]")
+PATH_MAX = 400  # characters of a path; deeper ones go on from a hash
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
@@ -67,26 +77,45 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 class _Open:
     """An open block element."""
-    __slots__ = ("tag", "path", "noise", "main", "children", "texts")
+    __slots__ = ("tag", "path", "noise", "main", "at", "children", "texts")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool) -> None:
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: str, noise: bool, main: int, at: int) -> None:
+        self.tag, self.path, self.noise, self.main, self.at = tag, path, noise, main, at
         self.children: list[str] = []
         self.texts: list[str] = []
 
 
-def _names(attrs: str) -> list[str]:
-    if "class" not in attrs.lower() and "id" not in attrs.lower() and "role" not in attrs.lower():
-        return []
-    return sorted({w for m in _NAMES.finditer(attrs) for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w and not w.isdigit()})
+def _names(attrs: str) -> tuple[list[str], bool, bool]:
+    """Words of the names of an element; whether one is main as a whole; whether one holds a word of noise."""
+    low = attrs.lower()
+    if "class" not in low and "id" not in low and "role" not in low:
+        return [], False, False
+    names = [w for m in _NAMES.finditer(low) for w in (m[1] or m[2] or m[3] or "").split()]
+    words = sorted({w for n in names for w in _SPLIT.split(n) if w and not w.isdigit()})
+    noise = any(w in NOISE_NAMES for n in names if not _ABOUT.match(n) for w in _SPLIT.split(n))
+    return words, any(n.replace("-", "").replace("_", "") in MAIN_NAMES for n in names), noise
 
 
-def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False):
+def _unclosed(page: str) -> set[int]:
+    """Where the start tags of elements without an end tag begin."""
+    open_: dict[str, list[int]] = {}
+    for m in _TAG.finditer(page):
+        tag = (m[2] or m[5] or "").lower()
+        if tag and (m[1] or m[4]):
+            if open_.get(tag):
+                open_[tag].pop()
+        elif tag:
+            open_.setdefault(tag, []).append(m.start())
+    return {x for at in open_.values() for x in at}
+
+
+def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False, forms: bool = False):
     """Main text of a page without the branches of ``low``; with ``stats`` its places instead:
-    ``(path, presentation, content)`` of every block element that isn't noise by name."""
-    stack = [_Open("", "", False, False)]
-    inside: list[str] = []  # blocks inside an article
-    outside: list[str] = []
+    ``(path, presentation, content)`` of every block element that isn't noise by name.
+    ``forms``: forms count."""
+    stack = [_Open("", "", False, 0, 0)]
+    blocks: list[tuple[int, str]] = []  # 2 inside an article by tag, 1 inside a block that is main by name, 0 elsewhere
+    left_open: set[int] | None = None
     buffer: list[str] = []
     places: list[tuple[str, str, str]] = []
     unclosed: set[str] = set()  # of SOFT_RAW, without an end tag from here on
@@ -100,7 +129,7 @@ def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False):
                 if stats:
                     top.texts.append(text)
                 elif not top.noise:
-                    (inside if top.main else outside).append(text)
+                    blocks.append((top.main, text))
 
     def close(n: int) -> None:
         while len(stack) > n:
@@ -151,25 +180,35 @@ def parse(page: str, low: frozenset[str] = frozenset(), stats: bool = False):
                 else:
                     at = len(page)
             continue
-        attrs = m[3] or m[6] or ""
-        names = _names(attrs)
-        if tag in MAIN_TAGS:  # an article isn't part of an advert that was never closed
+        words, main_name, noise_name = _names(m[3] or m[6] or "")
+        if tag in MAIN_TAGS and any(e.noise for e in stack):  # an article isn't part of an advert that was never closed
+            left_open = _unclosed(page) if left_open is None else left_open
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].noise and stack[i].tag not in ("nav", "aside"):
+                if stack[i].noise and stack[i].at in left_open and stack[i].tag not in ("nav", "aside"):
                     close(i)
         top = stack[-1]
         top.children.append(tag)
-        path = f"{top.path}/{'.'.join([tag, *names])}"
-        is_main = tag in MAIN_TAGS or any(n in MAIN_NAMES for n in names)
-        noise = top.noise or tag in NOISE_TAGS or not is_main and any(n in NOISE_NAMES for n in names) or path in low
+        path = f"{top.path}/{'.'.join([tag, *words])}"
+        if len(path) > PATH_MAX:
+            path = f"/~{xxhash.xxh64_hexdigest(path)}"
+        noise = top.noise or (tag in NOISE_TAGS and not (forms and tag == "form")) or noise_name or path in low
         if tag in ("html", "body"):
             noise = False
-        stack.append(_Open(tag, path, noise, (top.main or is_main) and not noise))
+        main = 0 if noise else max(top.main, 2 if tag in MAIN_TAGS else 1 if main_name else 0)
+        stack.append(_Open(tag, path, noise, main, m.start()))
     flush()
     if stats:
         close(1)
         return places
-    return " ".join(inside or outside)
+    by_tag = [t for kind, t in blocks if kind == 2]
+    by_name = [t for kind, t in blocks if kind]
+    if by_tag:
+        text = " ".join(by_tag)
+    elif 2 * sum(map(len, by_name)) >= sum(len(t) for _, t in blocks):
+        text = " ".join(by_name)
+    else:
+        text = " ".join(t for _, t in blocks)
+    return text or ("" if forms or "<form" not in page.lower() else parse(page, low, forms=True))
 
 
 def place_counts(pages: DataFrame) -> DataFrame:
@@ -210,10 +249,10 @@ def importance(counts: DataFrame) -> DataFrame:
 
 
 def low_branches(counts: DataFrame) -> DataFrame:
-    """``(host, path)`` of branches to remove; main content by name is never among them."""
-    named = "|".join(sorted(MAIN_TAGS | MAIN_NAMES))
+    """``(host, path)`` of branches to remove; what is in ``article`` or ``main`` is never among them."""
+    named = "|".join(sorted(MAIN_TAGS))
     return importance(counts).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW)) \
-        .where(~F.col("path").rlike(rf"[/.]({named})([/.]|$)") & ~F.col("path").rlike(r"/(html|body)$")).select("host", "path")
+        .where(~F.col("path").rlike(rf"/({named})([/.]|$)") & ~F.col("path").rlike(r"/(html|body)$")).select("host", "path")
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,15 +3,16 @@
 Each learned language owns one bit.  Its characteristic letter n-grams (those it
 uses at least ``SHARE`` times as often as the language that uses them most) go
 into a Bloom filter, and the filters of all languages are stored bit-sliced: a
-slot holds one mask with a bit per language, so the AND of an n-gram's ``HASHES``
-slots gives all languages that contain it at once.  A text's popcounts per
+slot holds masks with a bit per language (``BITS`` languages a mask, as many masks as it
+takes), so the AND of an n-gram's ``HASHES`` slots gives all languages that contain it at once.  A text's popcounts per
 language are corrected for the false positives expected from each filter's fill,
 ``(hits - n * fpr) / (1 - fpr)``, and the largest corrected count decides; the
 score is its share of the sum of all corrected counts.
 
-Fitting reads a sample of about ``SAMPLE`` labelled texts a language (a
-documented bound), taken by a hash of the text.  n-grams are counted in batches,
-summed by one shuffle, and reach the driver as at most ``SLOTS`` masks.
+Fitting reads a sample of about ``SAMPLE`` different labelled texts a language (a
+documented bound), taken by a hash of the text; a text that occurs many times counts
+once.  n-grams are counted in batches, summed by one shuffle, and reach the driver as at
+most ``SLOTS`` masks for every ``BITS`` languages.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; with no
 learned language everything is ``und``; if no filter knows any n-gram of a text,
@@ -40,7 +41,7 @@ HASHES = 2
 SAMPLE = 2000
 SHARE = 0.5
 MIN_COUNT = 3
-MAX_LANGUAGES = 63
+BITS = 63  # languages of a mask
 CHUNK_CHARS = 1_000_000
 UNKNOWN = "und"
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -100,11 +101,11 @@ def slots_of(h: np.ndarray) -> list[np.ndarray]:
 class Model:
     languages: tuple[str, ...]
     common: int  # index of the language with the most training texts
-    masks: np.ndarray  # a mask per slot
+    masks: np.ndarray  # masks by slot, a row for every ``BITS`` languages
 
     def rates(self) -> np.ndarray:
         """False-positive rate of each language's filter."""
-        return np.array([float(np.mean(self.masks >> i & 1)) ** HASHES for i in range(len(self.languages))])
+        return np.array([float(np.mean(self.masks[i // BITS] >> i % BITS & 1)) ** HASHES for i in range(len(self.languages))])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [], []
@@ -112,13 +113,13 @@ class Model:
         for _, part in chunks([t or "" for t in texts], CHUNK_CHARS):
             h, ends = grams(part)
             p = slots_of(h)
-            mask = self.masks[p[0]]
+            mask = self.masks[:, p[0]]
             for q in p[1:]:
-                mask = mask & self.masks[q]
+                mask = mask & self.masks[:, q]
             n = np.diff(ends)
             hits = np.empty((len(part), len(self.languages)))
             for i in range(len(self.languages)):
-                upto = np.concatenate([[0], np.cumsum(mask >> i & 1, dtype=np.int64)])
+                upto = np.concatenate([[0], np.cumsum(mask[i // BITS] >> i % BITS & 1, dtype=np.int64)])
                 hits[:, i] = upto[ends[1:]] - upto[ends[:-1]]
             c = np.maximum(0.0, (hits - n[:, None] * rates) / (1 - np.minimum(rates, 0.999)))
             total = c.sum(1)
@@ -135,17 +136,23 @@ def train_rows(docs: DataFrame) -> DataFrame:
     return docs.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
 
 
+def sample_limit(found: list, sample: int) -> float:
+    """Hashes at or above this are in no language's sample."""
+    return max(min(1.0, sample / max(r["texts"], 1)) for r in found) * 1_000_003
+
+
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Model of the rows' ``text`` and ``lang``; None if there is no language to learn."""
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-             .limit(MAX_LANGUAGES).collect()}
+    train = train.select("lang", "text", F.xxhash64("text").alias("h"))
+    found = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.02).alias("texts")).collect()  # a row a language
+    sizes = {r["lang"]: r["n"] for r in found}
     languages = tuple(sorted(sizes))
     if not languages:
         return None
-    share = F.lit(0.0)
-    for lang in languages:
-        share = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(share)
-    picked = train.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share * 1_000_003).select("lang", "text")
+    rates = train.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / max(r["texts"], 1))) for r in found], "lang string, share double")
+    picked = train.where(F.pmod("h", F.lit(1_000_003)) < sample_limit(found, sample)).join(F.broadcast(rates), "lang") \
+        .where(F.pmod("h", F.lit(1_000_003)) < F.col("share") * 1_000_003).dropDuplicates(["lang", "h"]).select("lang", "text")
+    place_of = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,33 +163,31 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
                 for _, part in chunks(texts, CHUNK_CHARS):
                     g, n = np.unique(grams(part)[0].view(np.int64), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(g), languages.index(lang), np.int32)), pa.array(g),
+                        [pa.array(np.full(len(g), place_of[lang], np.int32)), pa.array(g),
                          pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    per = [F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(len(languages))]
-    counts = materialise(picked.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("gram").agg(*per))
-    total = counts.agg(*[F.sum(f"n{i}") for i in range(len(languages))]).first()
-    rate = [F.col(f"n{i}") / F.lit(float(total[i] or 1)) for i in range(len(languages))]
-    most = F.greatest(*rate) if len(rate) > 1 else rate[0]
-    mask = F.lit(0).cast("bigint")
-    for i in range(len(languages)):
-        mask = mask.bitwiseOR(F.when((F.col(f"n{i}") >= MIN_COUNT) & (rate[i] >= SHARE * most), F.lit(1 << i))
-                              .otherwise(F.lit(0)).cast("bigint"))
+    counts = materialise(picked.mapInArrow(count, "lang int, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    few = counts.sparkSession.createDataFrame([(place_of[r["lang"]], min(MIN_COUNT, r["texts"])) for r in found], "lang int, least long")
+    totals = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total")).join(few, "lang"))  # a row a language
+    rate = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
+    most = rate.groupBy("gram").agg(F.max("rate").alias("most"))
+    own = rate.where(F.col("n") >= F.col("least")).join(most, "gram").where(F.col("rate") >= SHARE * F.col("most")) \
+        .select("gram", F.expr(f"lang div {BITS}").cast("int").alias("word"), F.expr(f"shiftleft(1L, lang % {BITS})").alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(0).to_numpy().view(np.uint64)
             for s in slots_of(h):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), b.column(1)], names=["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), b.column(1), b.column(2)], names=["slot", "word", "mask"])
 
-    rows = counts.select("gram", mask.alias("mask")).where("mask <> 0").mapInArrow(place, "slot int, mask bigint") \
-        .groupBy("slot").agg(F.bit_or("mask").alias("mask")).collect()  # at most SLOTS rows
-    masks = np.zeros(SLOTS, np.int64)
+    rows = own.groupBy("gram", "word").agg(F.bit_or("mask").alias("mask")).mapInArrow(place, "slot int, word int, mask bigint") \
+        .groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).collect()  # at most SLOTS rows for every BITS languages
+    masks = np.zeros((-(-len(languages) // BITS), SLOTS), np.int64)
     for r in rows:
-        masks[r[0]] = r[1]
+        masks[r[1], r[0]] = r[2]
     if len(languages) <= 8:
         masks = masks.astype(np.uint8)
-    return Model(languages, languages.index(max(sizes, key=lambda x: (sizes[x], x))), masks)
+    return Model(languages, place_of[max(sizes, key=lambda x: (sizes[x], x))], masks)
 
 
 def predict(spark: SparkSession, model: Model | None, text: str = "text") -> Column:

@@ -41,6 +41,49 @@ def test_pages_of_the_table(spark):
         assert got[r["page_id"]] == " ".join(filter(None, blocks))
 
 
+STORY = "<p>The story goes on for some time and says much.</p>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article>{STORY}</article><section class='comments'><article class='comment'><p>troll</p></article></section>", "story"),
+    (f"<article>{STORY}<div class='comment-content'><p>troll</p></div></article>", "story"),
+    (f"<article>{STORY}</article><footer><article><p>buy this</p></article></footer>", "story"),
+    (f"<div class='txt'>{STORY}</div><div class='sidebar-content'><p>side</p></div>", "story"),
+    (f"<div class='post-meta'><p>by me</p></div><div class='txt'>{STORY}</div>", "by me story"),
+    (f"<div class='content'><p>x</p></div><div class='txt'>{STORY}</div>", "x story"),
+    (f"<div class='entry-content has-sidebar'>{STORY}</div><div class=foo>else</div>", "story"),
+    (f"<form><div>{STORY}</div></form>", "story"),
+    (f"<form><input></form><div>{STORY}</div>", "story"),
+    (f"<form action=x><article>{STORY}</article><footer>f</footer></form>", "story"),
+    (f"<div class='ad'>buy<article>{STORY}</article>", "story"),
+    (f"<article><header><h1>Head</h1></header>{STORY}</article>", "story"),
+])
+def test_names_and_nesting(page, want):
+    assert htmltext.parse(f"<html><body>{page}</body></html>") == want.replace("story", "The story goes on for some time and says much.")
+
+
+def test_deep_nesting_keeps_paths_short():
+    page = "<div class=abc>" * 15_000 + "deep"
+    assert htmltext.parse(page) == "deep"
+    assert max(len(p) for p, _, _ in htmltext.parse(page, stats=True)) <= htmltext.PATH_MAX
+
+
+def test_entropy_decides_on_a_site_without_articles(spark):
+    """Pages rebuilt from what was put into them: what repeats over the site goes, whatever its place and unnamed tags."""
+    import random
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdefghij") * rng.randint(1, 6) for _ in range(n))
+    boiler, links = text(20), "".join(f"<div>{text(2)}</div>" for _ in range(6))
+    rows, want = [], {}
+    for i in range(30):
+        parts = [text(rng.randint(5, 40)) for _ in range(rng.randint(1, 5))]
+        rows.append((i, "http://big.org/a", f"<body><div class=top><p>{boiler}</p></div><div class=list>{links}</div><div class=txt>"
+                     + "".join(f"<p>{x}</p>" for x in parts) + f"</div><div class=end><span>{boiler[::-1]}</span></div></body>"))
+        want[i] = " ".join(parts)
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_style_tree_removes_what_repeats(spark, monkeypatch, few):
     monkeypatch.setattr(htmltext, "BROADCAST_BRANCHES", few)

@@ -134,6 +134,20 @@ def test_automaton_is_levenshtein():
         assert a.match(w) == want, w
 
 
+def test_more_languages_than_bits_and_many_copies(spark):
+    """70 languages take two masks a slot; a text copied a thousand times is one text of the sample."""
+    rng = random.Random(8)
+    word = lambda i: "".join(chr(0x4E00 + 60 * i + rng.randrange(60)) for _ in range(5))
+    rows = [(100 * i + j, " ".join(word(i) for _ in range(30)), f"l{i:02d}") for i in range(70) for j in range(12)]
+    copy = " ".join(word(3) for _ in range(30))
+    rows += [(10_000 + k, copy, "l05") for k in range(1000)]  # one text of another language's letters
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id < 10000 and held_out").collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len({r["lang_pred"] for r in got}) > 63
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) >= 0.97 * len(got)
+
+
+
 def test_quotation_and_abuse():
     f = toxicity.features(["You idiot, you stupid moron!", 'He said the word "idiot" loudly.', "a stuppid thing", None, "", "IDIOT!! CLOWN!!"])
     assert f == [(3, 0, 0, 0), (0, 0, 1, 0), (0, 1, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0), (2, 0, 0, 0)]
