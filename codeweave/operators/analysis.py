@@ -17,6 +17,8 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from codeweave.functions import versions as V
 from pyspark.sql.window import Window
 
 IMPORT_OR_DEPEND = "import|depend"
@@ -134,6 +136,36 @@ def library_inventory(md: DataFrame) -> DataFrame:
     return g.withColumn("version_conflict", F.col("n_versions") > 1)
 
 
+def library_versions(uses: DataFrame) -> DataFrame:
+    """Per library: newest version in use, outdated files, conflicts, deprecation (Q9).
+
+    ``uses`` has one row per (file, library) with ``file_path``, ``library_name``,
+    ``library_version`` and, if known, ``deprecated`` and ``requires`` (a range of versions).
+    ``newest`` is the greatest version by number, not by text; ``n_outdated`` the files that use
+    an older one; ``conflicting`` says that files use versions of different first numbers
+    or that no version meets all ranges.  Two aggregations, each with map-side combine;
+    no list of files or versions is gathered.
+    """
+    u = uses.select("file_path", "library_name", "library_version", V.version_key(F.col("library_version")).alias("key"),
+                    (F.col("deprecated") if "deprecated" in uses.columns else F.lit(False)).alias("deprecated"),
+                    (V.range_bounds(F.col("requires")) if "requires" in uses.columns else V.range_bounds(F.lit(None).cast("string"))).alias("r"))
+    low = F.struct(F.col("r.low").alias("key"), F.col("r.low_open").alias("open"))
+    high = F.struct(F.col("r.high").alias("key"), (~F.col("r.high_open")).alias("closed"))
+    # one row a library and version
+    per = u.groupBy("library_name", "key").agg(
+        F.max("library_version").alias("version"), F.countDistinct("file_path").alias("n_files"), F.bool_or(F.coalesce("deprecated", F.lit(False))).alias("deprecated"),
+        F.max(F.when(F.col("r.low").isNotNull(), low)).alias("low"), F.min(F.when(F.col("r.high").isNotNull(), high)).alias("high"))
+    lib = per.groupBy("library_name").agg(
+        F.max_by("version", "key").alias("newest"), F.max("key").alias("top"), F.countDistinct("key").alias("n_versions"), F.countDistinct("key.n0").alias("n_first"),
+        F.bool_or("deprecated").alias("deprecated"), F.max("low").alias("low"), F.min("high").alias("high"))
+    old = per.join(lib.select("library_name", "top"), "library_name").where(F.col("key") < F.col("top")) \
+        .groupBy("library_name").agg(F.sum("n_files").alias("n_outdated"))
+    met = V.have_common(F.col("low.key"), F.col("low.open"), F.col("high.key"), ~F.col("high.closed"))
+    return lib.join(old, "library_name", "left").select(
+        "library_name", "newest", F.col("n_versions").cast("bigint"), F.coalesce("n_outdated", F.lit(0)).alias("n_outdated"), "deprecated",
+        ((F.col("n_first") > 1) | ~met).alias("conflicting"))
+
+
 def call_graph(md: DataFrame, callee_is_caller: bool = True) -> DataFrame:
     """Method call edges from per-method callee lists, resolved against known methods.
 

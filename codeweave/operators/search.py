@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from codeweave.functions.ranks import running_sums
 from codeweave.operators import completion as C
 from codeweave.operators import report_index as RI
 from codeweave.session import cut_lineage
@@ -296,14 +297,14 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     return top.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
 
 
-def one_hop_context(hits: DataFrame, relationships: DataFrame, budget: int = CONTEXT_BUDGET) -> DataFrame:
-    """R6 on a graph: top entities, then the relationships touching them, under a token budget.
+def one_hop_context(hits: DataFrame, relationships: DataFrame, budget: int = CONTEXT_BUDGET, units: DataFrame | None = None) -> DataFrame:
+    """R6 on a graph: top entities, the relationships touching them, then their text units, under a token budget.
 
-    ``hits(query_id, id=title, score, rank)``; returns context rows
+    ``hits(query_id, id=title, score, rank)``, ``units(title, unit_id, text)``; returns context rows
     ``(query_id, kind, rank, text, n_tokens, used_tokens)`` -- entities first in
-    rank order, then each entity's relationships by weight.  Only the hit set
-    (k per query) is joined, so the 1-hop fan-out is bounded by k x degree and
-    combined per query with a running sum.
+    rank order, then each entity's relationships by weight, then its text units by id.  The running
+    token count is a distributed prefix sum, so a hub with any number of relationships
+    never lies in one task.
     """
     ent = hits.select("query_id", F.lit("entity").alias("kind"), "rank", F.lit(0.0).alias("w"),
                       F.col("id").cast("string").alias("text"))
@@ -315,17 +316,17 @@ def one_hop_context(hits: DataFrame, relationships: DataFrame, budget: int = CON
     r2 = relationships.join(dst, "target").select("query_id", "rank", F.col("weight").cast("double").alias("w"),
                                                     desc.alias("text"))
     rel = r1.unionByName(r2).distinct().withColumn("kind", F.lit("relationship"))
-    ctx = ent.unionByName(rel).withColumn("n_tokens", word_count("text").cast("bigint"))
-    w = Window.partitionBy("query_id").orderBy(F.col("kind").asc(), F.col("rank").asc(), F.col("w").desc(),
-                                               F.col("text").asc())
-    ctx = ctx.withColumn("used_tokens", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ctx.where(F.col("used_tokens") <= budget).drop("w")
+    ctx = ent.unionByName(rel)
+    if units is not None:
+        told = units.join(hits.select("query_id", "rank", F.col("id").alias("title")), "title")
+        ctx = ctx.unionByName(told.select("query_id", "rank", (-F.col("unit_id")).cast("double").alias("w"), "text", F.lit("text_unit").alias("kind")))
+    ctx = ctx.withColumns({"n_tokens": word_count("text").cast("bigint"), "order": -F.col("w")})
+    ctx = running_sums(ctx, ["query_id"], ["kind", "rank", "order", "text"], "n_tokens")
+    return ctx.withColumn("used_tokens", F.col("before") + F.col("n_tokens")).where(F.col("used_tokens") <= budget).drop("w", "order", "before")
 
 
 def local_search(hits: DataFrame, units: DataFrame, budget: int = CONTEXT_BUDGET,
                  unit_key: str = "doc_id", token_col: str = "n_tokens") -> DataFrame:
-    """Vector hits -> their text units -> running token budget per query."""
-    j = hits.join(units, hits["id"] == units[unit_key]).drop(unit_key)
-    w = Window.partitionBy("query_id").orderBy(F.col("rank").asc(), F.col("id").asc())
-    j = j.withColumn("used_tokens", F.sum(token_col).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return j.where(F.col("used_tokens") <= budget)
+    """Vector hits -> their text units -> running token budget per query (a distributed prefix sum)."""
+    j = running_sums(hits.join(units, hits["id"] == units[unit_key]).drop(unit_key), ["query_id"], ["rank", "id"], token_col)
+    return j.withColumn("used_tokens", F.col("before") + F.col(token_col)).where(F.col("used_tokens") <= budget).drop("before")

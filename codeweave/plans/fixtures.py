@@ -43,6 +43,26 @@ SQL_CODE_FILES = """code_files as (
  from documents)"""
 
 
+def python_files(spark, d) -> DataFrame:
+    """Python files that import one another by number, with imports in comments and strings that don't count; the text is a docstring."""
+    i = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    nl = F.lit("\n")
+    mod = lambda x: F.concat(F.lit("pkg"), s(x % 7), F.lit(".mod"), s(x))
+    code = F.concat(
+        F.lit('"""'), F.translate("text", '"\\', ""), F.lit('"""'), nl, F.lit("import "), mod(i * 3 + 1), F.lit(", os.path  # import "), mod(i + 1), nl,
+        F.lit("from "), mod(F.expr("doc_id div 2")), F.lit(" import x"), nl, F.lit("from .mod"), s(i + 7), F.lit(" import y"), nl,
+        F.lit("s = 'import "), F.col("lang"), F.lit("'"), nl, F.lit("# import "), F.col("source"), nl)
+    return table(spark, d, "documents").select(F.concat(F.lit("src/pkg"), s(i % 7), F.lit("/mod"), s(i), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), code.alias("code"))
+
+
+SQL_PYTHON_IMPORTS = """pf as (select 'src/pkg'||(doc_id%7)||'/mod'||doc_id||'.py' as path, 'pkg'||(doc_id%7)||'.mod'||doc_id as module, doc_id from documents),
+pi as (
+ select distinct path, name from (
+  select path, 'pkg'||((doc_id*3+1)%7)||'.mod'||(doc_id*3+1) as name from pf union all select path, 'os.path' from pf
+  union all select path, 'pkg'||((doc_id//2)%7)||'.mod'||(doc_id//2) from pf union all select path, '.mod'||(doc_id+7) from pf))"""
+
+
 # ------------------------------------------------------------ model answers
 def llm_text(spark, d) -> DataFrame:
     """Completion-like texts: JSON amid prose, bare, none, malformed, null."""
@@ -229,6 +249,28 @@ SQL_METADATA = """metadata as (
  from documents)"""
 
 
+def library_uses(spark, d) -> DataFrame:
+    """A library, its version and the range asked for, by file."""
+    i = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    tail = F.when(i % 5 == 0, F.concat(F.lit("-rc."), s(i % 13))).when(i % 7 == 0, "").otherwise(F.concat(F.lit("."), s(i % 4)))
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("f"), s(i), F.lit(".xml")).alias("file_path"), F.concat(F.lit("lib"), s(i % 37)).alias("library_name"),
+        F.concat(F.when(i % 37 < 20, F.lit("1")).otherwise(s(i % 3)), F.lit("."), s(i % 11), tail).alias("library_version"), (i % 101 == 0).alias("deprecated"),
+        F.concat(F.lit(">=0."), s(i % 9), F.lit(",<"), F.when(i % 37 == 5, F.lit("0.7")).otherwise(F.lit("9"))).alias("requires"))
+
+
+SQL_LIBRARY_USES = """library_uses as (
+ select 'f'||doc_id||'.xml' as file_path, 'lib'||(doc_id%37) as library_name, doc_id%101=0 as deprecated,
+  case when doc_id%37<20 then 1 else doc_id%3 end as v0, doc_id%11 as v1,
+  case when doc_id%5=0 then 0 when doc_id%7=0 then 0 else doc_id%4 end as v2, case when doc_id%5=0 then 0 else 1 end as rel,
+  case when doc_id%5=0 then doc_id%13 else 0 end as rc,
+  (case when doc_id%37<20 then 1 else doc_id%3 end)||'.'||(doc_id%11)
+   ||case when doc_id%5=0 then '-rc.'||(doc_id%13) when doc_id%7=0 then '' else '.'||(doc_id%4) end as version,
+  doc_id%9 as low, case when doc_id%37=5 then 7 else 9000 end as high
+ from documents)"""
+
+
 # ---------------------------------------------------------------- snapshots
 def snapshot_old(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")

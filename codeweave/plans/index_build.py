@@ -177,6 +177,9 @@ class Index:
     def library_inventory(self) -> DataFrame:
         return A.library_inventory(self.tables["libraries"])
 
+    def library_versions(self) -> DataFrame:
+        return A.library_versions(self.tables["libraries"])
+
     def call_graph(self, callee_is_caller: bool = True) -> DataFrame:
         return A.call_graph(self.tables["methods"], callee_is_caller)
 

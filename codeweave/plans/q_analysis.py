@@ -94,3 +94,15 @@ from ex left join known k on ex.other = k.m
 group by 1, 2""")
 def q_call_graph(spark, d):
     return A.call_graph(X.metadata(spark, d))
+
+
+@register("library_versions", X.oracle_with(X.SQL_LIBRARY_USES) + """,
+k as (select *, v0 * 1000000000 + v1 * 1000000 + v2 * 10000 + rel * 100 + rc as key from library_uses),
+t as (select library_name, max(key) as top, count(distinct key)::bigint as n_versions, count(distinct v0) as n_first, bool_or(deprecated) as deprecated,
+             max(low) as low, min(high) as high from k group by 1)
+select library_name, max(case when key = top then version end) as newest, any_value(n_versions) as n_versions,
+       (count(distinct file_path) filter (where key < top))::bigint as n_outdated, any_value(t.deprecated) as deprecated,
+       any_value(n_first > 1 or t.low >= t.high) as conflicting
+from k join t using (library_name) group by library_name""")
+def q_library_versions(spark, d):
+    return A.library_versions(X.library_uses(spark, d))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeweave.operators import communities as CM
 from codeweave.operators import delta_graph as DG
+from codeweave.operators import imports as IM
 from codeweave.operators import indexing as IX
 from codeweave.plans import fixtures as X
 from codeweave.plans.registry import register
@@ -86,6 +87,13 @@ def q_import_edges(spark, d):
     return IX.import_edges(docs)
 
 
+@register("import_resolution", X.oracle_with(X.SQL_PYTHON_IMPORTS) + """
+select pi.path as source, 'python' as language, pi.name, t.path as target from pi left join pf t
+ on case when pi.name like '.%' then t.path = regexp_replace(pi.path, '[^/]*$', '') || substr(pi.name, 2) || '.py' else t.module = pi.name end""")
+def q_import_resolution(spark, d):
+    return IM.resolve_imports(X.python_files(spark, d))
+
+
 @register("cooccurrence", """
 with p as (select doc_id, list_transform(regexp_extract_all(text, '[A-Z][a-z]+'), lambda x: lower(x)) as ph
            from documents),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeweave.operators import communities as CM
 from codeweave.operators import graph as G
@@ -191,3 +192,28 @@ def _report_questions_sql() -> str:
 @register("report_questions", _report_questions_sql())
 def q_report_questions(spark, d):
     return S.index_migration_report(_order_index(spark, d), _ORDER_QUESTIONS)
+
+
+# the largest customers as hits: entities, relationships and text units under a budget
+@register("local_context", X.oracle_with(X.SQL_ORDER_EDGES) + """,
+hit as (select source, row_number() over (order by count(*) desc, source) as rank from order_edges group by source qualify rank <= 3),
+units as (select c_name||' in '||lower(c_mktsegment) as title, o_orderkey as unit_id, 'order '||o_orderkey||' has '||count(l_orderkey)||' lines' as text
+          from orders join customer on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by 1, 2),
+ctx as (select rank % 2 as query_id, 'entity' as kind, rank, 0.0::double as w, source as text from hit
+        union all select distinct rank % 2, 'relationship', rank, 1.0, source||' PLACED '||target from order_edges join hit using (source)
+        union all select rank % 2, 'text_unit', rank, -unit_id::double, text from units join hit on title = source),
+t as (select *, len(list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda w: w <> ''))::bigint as n_tokens from ctx),
+r as (select *, sum(n_tokens) over (partition by query_id order by kind, rank, w desc, text rows between unbounded preceding and current row) as used from t)
+select query_id::int as query_id, kind, rank::int as rank, text, n_tokens, used::bigint as used_tokens from r where used <= 300""")
+def q_local_context(spark, d):
+    e = cut_lineage(X.order_edges(spark, d))
+    top = e.groupBy("source").agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "source").limit(3)
+    hits = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "source"))) \
+        .select((F.col("rank") % 2).alias("query_id"), F.col("source").alias("id"), "score", "rank")
+    lines = X.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("unit_id")).agg(F.count(F.lit(1)).alias("n"))
+    o = X.table(spark, d, "orders").join(X.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")) \
+        .select(F.concat("c_name", F.lit(" in "), F.lower("c_mktsegment")).alias("title"), F.col("o_orderkey").alias("unit_id"))
+    units = o.join(lines, "unit_id", "left").select("title", "unit_id", F.concat(
+        F.lit("order "), F.col("unit_id").cast("string"), F.lit(" has "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" lines")).alias("text"))
+    rel = e.select("source", "target", F.lit("PLACED").alias("type"), F.lit(1.0).alias("weight"))
+    return S.one_hop_context(hits, rel, 300, units).select("query_id", "kind", "rank", "text", "n_tokens", "used_tokens")
