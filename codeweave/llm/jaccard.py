@@ -29,7 +29,8 @@ passage stop meeting; near copies, which share nearly all, still do.
 *Verification.*  A class has a sketch of ``64 * SKETCH`` bits, the parities of its
 shingles by hash.  The sketches of two sets differ in at most as many bits as the sets in
 shingles, so candidates whose sizes or sketches are too far apart go at once and
-nothing is lost.  The others are verified exactly on the sets of the whole texts.
+nothing is lost; sets of more than ``WIDE`` shingles have a longer sketch besides, of two bits
+a shingle.  The others are verified exactly on the sets of the whole texts.
 First all members of a signature are compared with one of them, the one that
 shares most signatures with others, so a group of near copies costs a line, not
 all pairs.  Components follow.  Of signatures whose members are still in different
@@ -70,11 +71,12 @@ BLOCK_ROWS = 512
 COLUMNS = 4096  # shingles counted at a time
 BAND = 1.6  # largest size of a band over its smallest
 SKETCH = 8  # longs
+WIDE = 400  # shingles of sets that have a wide sketch besides
 PROBE = 1024
 SEGMENTS_OF = (1, 2, 3, 4, 6)  # sizes of segments that are looked at
 CANDIDATE = 20.0  # cost of a candidate over that of a signature
 MAP_BITS = 23  # of the bitmap of ids whose texts are needed
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -195,6 +197,20 @@ def sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(u: np.ndarray, h: np.ndarray) -> bytes | None:
+    """For sets of more than ``WIDE`` shingles, whose short sketches say little: a power of two of bits, two a shingle or more."""
+    if len(u) <= WIDE:
+        return None
+    bits = 1 << int(2 * len(u) - 1).bit_length()
+    return np.packbits((np.bincount((h >> np.uint64(16)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits: the upper half laid over the lower one."""
+    half = x.shape[-1] // 2
+    return x[..., :half] ^ x[..., half:]
+
+
 _LONGS = [f"s{i}" for i in range(SKETCH)]
 
 
@@ -202,7 +218,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """``(id, n_shingles, digest, class, s0, ..., probe)`` of every row; all but the first two are null for the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, cls, longs, probe = [], [], [], [], []
+            n, digest, cls, longs, probe, wide = [], [], [], [], [], []
             for t in b.column(1):
                 u = shingle_set(t.as_py(), k)
                 n.append(len(u))
@@ -210,17 +226,18 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 cls.append(_class(u) if len(u) else None)
                 h = _mix(u * _M[1])
                 longs.append(sketch(h))
+                wide.append(wide_sketch(u, h))
                 probe.append(u[h & np.uint64(PROBE - 1) == 0].view(np.int64))
             s = np.array(longs).reshape(len(n), SKETCH)
             upto = np.concatenate([[0], np.cumsum([len(x) for x in probe])]).astype(np.int32)
             probes = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64()),
-                                              *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)], probes],
-                                             names=["id", "n_shingles", "digest", "class", *_LONGS, "probe"])
+                                              *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)], pa.array(wide, pa.binary()), probes],
+                                             names=["id", "n_shingles", "digest", "class", *_LONGS, "wide", "probe"])
 
     kind = docs.schema["id"].dataType.simpleString()
     longs = ", ".join(f"{c} bigint" for c in _LONGS)
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint, {longs}, probe array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint, {longs}, wide binary, probe array<bigint>")
 
 
 def shared_share(sets: DataFrame) -> float:
@@ -264,6 +281,67 @@ def _near(num: int, den: int, a: str = "a", b: str = "b") -> Column:
     return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & (apart * (den + num) <= (na + nb) * (den - num))
 
 
+def _by_wide_sketch(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of ``pairs(a, b, ia, ib, n)`` (``n``: sum of sizes) that wide sketches ``wide(class, wide)`` don't rule out."""
+    w = pairs.join(wide.select(F.col("class").alias("a"), F.col("wide").alias("wa")), "a", "left") \
+        .join(wide.select(F.col("class").alias("b"), F.col("wide").alias("wb")), "b", "left").select("a", "b", "ia", "ib", "n", "wa", "wb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, x, y in zip(b.column(4).to_pylist(), b.column(5), b.column(6)):
+                if not x.is_valid or not y.is_valid:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                while len(x) > len(y):
+                    x = _folded(x)
+                while len(y) > len(x):
+                    y = _folded(y)
+                keep.append(int(np.bitwise_count(x ^ y).sum()) * (den + num) <= n * (den - num))
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names=["a", "b", "ia", "ib"]).filter(pa.array(keep, pa.bool_()))
+
+    ids = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return w.mapInArrow(run, f"a bigint, b bigint, ia {ids['ia']}, ib {ids['ib']}")
+
+
+def near_by_wide(members: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """``members(key, a, root, id, n)`` without those of more than ``WIDE`` shingles that wide sketches keep from all others of their key.
+
+    Sizes of a link differ by a factor of two at most, so sketches are equally long or one is
+    folded once.
+    """
+    assert 2 * num >= den
+    rows = _dealt(members.join(wide.select(F.col("class").alias("a"), "wide"), "a", "left")) \
+        .select("key", "i", "j", "a", "root", "n", "wide").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, group in _groups_of(batches):
+            a, root, n = (np.array([g[i] for g in group], np.int64) for i in range(3))
+            size = np.array([len(g[3]) if g[3] else 0 for g in group])
+            on = size == 0
+            for length in np.unique(size[size > 0]).tolist():
+                here, twice = np.flatnonzero(size == length), np.flatnonzero(size == 2 * length)
+                stack = [np.stack([np.frombuffer(group[i][3], np.uint64) for i in here])]
+                if len(twice):
+                    stack.append(_folded(np.stack([np.frombuffer(group[i][3], np.uint64) for i in twice])))
+                all_, at = np.concatenate(stack), np.concatenate([here, twice])
+                for k, i in enumerate(here.tolist()):
+                    other = (root[at] != root[i]) & (den * np.minimum(n[at], n[i]) >= num * np.maximum(n[at], n[i]))
+                    if other.any():
+                        o = np.flatnonzero(other)
+                        near = o[np.bitwise_count(all_[o] ^ all_[k]).sum(axis=1, dtype=np.int64) * (den + num) <= (n[at[o]] + n[i]) * (den - num)]
+                        on[at[near]] = True
+                        on[i] |= len(near) > 0
+            # short sets may be linked with somewhat longer ones
+            least = n[size == 0].max() if (size == 0).any() else 0
+            on |= num * n <= den * least
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), now[0], np.int64)), pa.array(a[on])], names=["key", "a"])
+
+    kept = rows.mapInArrow(run, "key bigint, a bigint").distinct()
+    return members.join(kept, ["key", "a"], "left_semi")
+
+
 def _prefixed(reps: DataFrame, p: str) -> DataFrame:
     return reps.select(F.col("class").alias(p), F.col("rep").alias(f"i{p}"), F.col("n_shingles").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in _LONGS])
 
@@ -447,17 +525,19 @@ def _groups(rest: DataFrame) -> DataFrame:
     return rest.join(choice, "key").select(F.col("group").alias("key"), "a", "root").distinct()
 
 
-def class_links(member: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def class_links(member: DataFrame, reps: DataFrame, wide: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(node, root)`` of the classes that are linked with another one.
 
-    ``member(key, class)`` are the shared signatures, ``reps(class, rep, n_shingles, s0, ...)`` a document of every class.
+    ``member(key, class)`` are the shared signatures, ``reps(class, rep, n_shingles, s0, ...)`` a document of every class,
+    ``wide(class, wide)`` the wide sketches.
     """
     member = member.withColumnRenamed("class", "a")
     n = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     weight = materialise(member.join(n, "key").groupBy("a").agg(F.sum("n").alias("w")))
     middle = member.join(weight, "a").groupBy("key").agg(F.max_by("a", F.struct("w", "a")).alias("b"))
     pairs = materialise(member.join(middle, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs = materialise(pairs.join(_prefixed(reps, "a"), "a").join(_prefixed(reps, "b"), "b").where(_near(num, den)).select("a", "b", "ia", "ib"))
+    pairs = materialise(pairs.join(_prefixed(reps, "a"), "a").join(_prefixed(reps, "b"), "b").where(_near(num, den)).select("a", "b", "ia", "ib", (F.col("a_n") + F.col("b_n")).alias("n")))
+    pairs = materialise(_by_wide_sketch(pairs, wide, num, den))
     texts = texts_of(docs, pairs.select(F.col("ia").alias("id")).unionByName(pairs.select(F.col("ib").alias("id"))))
     links = materialise(verify(pairs, texts, k, num, den))
     roots = components(links)
@@ -467,24 +547,28 @@ def class_links(member: DataFrame, reps: DataFrame, docs: DataFrame, k: int, num
     open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     rest = m.join(open_keys, "key").join(reps.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), *_LONGS), "a")
     rest = materialise(near_members(rest, num, den))
-    rest = materialise(_groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id")), "a"))
+    rest = materialise(_groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")), "a"))
+    if 2 * num >= den:
+        rest = materialise(near_by_wide(rest, wide, num, den))
+    rest = rest.drop("n")
     more = materialise(verify_within(rest, texts_of(docs, rest.select("id")), k, num, den))
     return components(links.unionByName(more))
 
 
 def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> DataFrame:
-    """``(id, n_shingles, digest, component)`` of every row of ``d(id, text)``."""
+    """``(id, n_shingles, digest, root, component)`` of every row of ``d(id, text)``; an id may be the least of several roots."""
     sets = materialise(_sets(d, k))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
     classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class")
                           .agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
     reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
+    wide = materialise(sets.where("wide is not null and id is not null").groupBy("class").agg(F.first("wide").alias("wide")))
     member = _shared(d.where("id is not null"), k, num, den, shared_share(sets), keep)
-    roots = class_links(member, reps, d, k, num, den)
+    roots = class_links(member, reps, wide, d, k, num, den)
     labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component"))
-    of = labels.join(least, "root").select("digest", "component")
-    return sets.join(of, "digest", "left").select("id", "n_shingles", "digest", F.coalesce("component", "id").alias("component"))
+    of = labels.join(least, "root").select("digest", "component", "root")
+    return sets.join(of, "digest", "left").select("id", "n_shingles", "digest", "root", F.coalesce("component", "id").alias("component"))
 
 
 def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
@@ -516,8 +600,7 @@ def keep_one(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col:
 
     digests.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     first = rows.join(twice, rows["id"] == twice[node], "left_semi").where("id = component") \
-        .groupBy("component", F.col("digest").isNull().alias("bare")).agg(F.min("id").alias("keep"), F.min("digest").alias("d"))
-    # near copies of one id: classes of one component have one least digest; sets of other components are first in theirs
+        .groupBy("root", F.when(F.col("root").isNull(), F.col("id")).alias("bare")).agg(F.min("id").alias("keep"), F.min("digest").alias("d"))
     first = materialise(first.select(F.col("keep").alias(node), F.coalesce("d", F.lit(b"")).alias("d")))
     some = docs.join(twice, docs[id_col] == twice[node], "left_semi") \
         .withColumn(mark, F.coalesce(F.pandas_udf(digests, "binary")(F.col(text_col)), F.lit(b"")))

@@ -83,13 +83,14 @@ STEM_RATIO = 3.0
 STEMS = 500
 FIT_ROWS = 10_000
 CANDIDATES = 5_000
+COUNTED = 200_000  # counts of a task before they are given on
 #: What a misspelled term counts towards abuse.
 FUZZY_SHARE = 0.75
 #: Prior of the weights: intercept, abuse, quoted, learned stems.
 PRIOR_MEAN = (-2.5, 3.0, 0.0, 0.5)
 PRIOR_SD = (3.0, 2.0, 1.0, 1.0)
 THRESHOLD = 0.3
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 NO_HIT, EXACT, FUZZY, STEMMED = 0, 1, 2, 3
 # bytes of ASCII other than letters and digits part words
 _BREAK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -313,18 +314,25 @@ def _truth(labels: DataFrame) -> DataFrame:
 def _word_counts(rows: DataFrame) -> DataFrame:
     """``(kind, word, toxic, n)`` of ``rows(text, toxic)``: rows that hold a beginning (kind 0) or a word one edit from a term (1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen(Terms())
+        seen, counts = _Seen(Terms()), Counter()
+
+        def flush() -> pa.RecordBatch:
+            kind, word, toxic = zip(*counts) if counts else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(word, pa.string()), pa.array(toxic, pa.int32()),
+                                              pa.array(counts.values(), pa.int64())], names=["kind", "word", "toxic", "n"])
+            counts.clear()
+            return out
+
         for b in batches:
-            counts: Counter = Counter()
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = set((text or "").encode("utf-8", "replace").lower().translate(_BREAK).split())
+            for text, toxic in zip(b.column(0), b.column(1).to_pylist()):  # one text at a time
+                words = set((text.as_py() or "").encode("utf-8", "replace").lower().translate(_BREAK).split())
                 near = {w for w in words if seen[w] == FUZZY}
                 forms = [w.decode("utf-8", "replace").lower() for w in words]
                 counts.update((0, s, toxic) for s in {w[:k] for w in forms for k in STEM if len(w) >= k})
                 counts.update((1, w.decode("utf-8", "replace").lower(), toxic) for w in near)
-            kind, word, toxic = zip(*counts) if counts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(word, pa.string()), pa.array(toxic, pa.int32()),
-                                              pa.array(counts.values(), pa.int64())], names=["kind", "word", "toxic", "n"])
+                if len(counts) >= COUNTED:
+                    yield flush()
+        yield flush()
 
     return rows.select("text", "toxic").mapInArrow(run, "kind int, word string, toxic int, n long") \
         .groupBy("kind", "word").agg(F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("a"),

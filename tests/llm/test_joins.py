@@ -108,6 +108,34 @@ def test_jaccard_brute(spark, monkeypatch, k, num, den, block):
     assert got == _components(docs, k, num, den)
 
 
+def test_keep_one_with_repeated_ids(spark):
+    """Rows are documents by id and set: a text of its own isn't lost because its id has another row."""
+    a, b, c = "one two three four five six", "something else that nobody copied at all", "third text with other words in it"
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, None), (4, ""), (5, a + " seven"), (5, a + " seven eight"), (None, a)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in jaccard.keep_one(df, 3, 90, 100).collect())
+    assert kept == sorted([("1", a), ("2", b), ("3", c), ("4", ""), ("5", a + " seven"), ("5", a + " seven eight"), ("None", a)])
+    near = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(100))), (7, " ".join(f"w{i}" for i in range(101))), (8, "z")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(near, 3, 90, 100).collect()) == [7, 8]
+
+
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (5, 300, 401, 900, 5000):
+        for _ in range(20):
+            u = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            v = np.unique(np.concatenate([u[rng.permutation(len(u))[rng.integers(0, n // 3 + 1):]], rng.integers(0, 2**63, rng.integers(0, n // 3 + 1), dtype=np.uint64)]))
+            apart = len(np.setxor1d(u, v))
+            hu, hv = (jaccard._mix(x * jaccard._M[1]) for x in (u, v))
+            assert np.bitwise_count((jaccard.sketch(hu) ^ jaccard.sketch(hv)).view(np.uint64)).sum() <= apart
+            x, y = jaccard.wide_sketch(u, hu), jaccard.wide_sketch(v, hv)
+            if x and y:
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(x) != len(y):
+                    x, y = (jaccard._folded(x), y) if len(x) > len(y) else (x, jaccard._folded(y))
+                assert np.bitwise_count(x ^ y).sum() <= apart
+
+
 def test_jaccard_signatures_always_meet():
     rng = np.random.default_rng(4)
     for num, den in ((90, 100), (80, 100), (50, 100)):

@@ -190,7 +190,7 @@ def test_learned_terms_brute(spark):
     assert dict(got.stems) == want and len(want) > 5
     auto = toxicity.Automaton()
     near = Counter((x, y) for w, y in rows for x in w if auto.match(x) == toxicity.FUZZY)
-    assert got.own == {x for x, y in near if not y and odds(near[x, 1], near[x, 0]) < math.log(3)}
+    assert got.own == {x for x, y in near if not y and odds(near[x, 1], near[x, 0]) < math.log(3) and x not in toxicity.NEIGHBOURS}
 
 
 def test_misspelled_abuse_counts_whole(spark):
