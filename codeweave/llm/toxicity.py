@@ -10,8 +10,9 @@ every hit a context window decides between abuse and quotation: quotation marks
 enclose it, or a word of reporting or naming shortly before it.
 
 *Learned stems.*  Beginnings of words (``STEM`` letters) that more toxic training rows hold
-than clean ones do, by the likelihood ratio of presence and label; of a beginning and
-its extensions the best one is kept.  A stem weighs its log-odds.  *Learned words of their
+than clean ones do, by the likelihood ratio of presence and label (``EVIDENCE`` at least); a row
+holds a beginning if ``REPEATS`` of its words have it, since single words of any kind turn
+up by chance.  Of a beginning and its extensions the best one is kept.  A stem weighs its log-odds.  *Learned words of their
 own*: words one edit from a term that clean training rows hold and toxic ones hardly.  Both
 come from at most about ``FIT_ROWS`` labelled training rows, taken by a hash of the id.
 
@@ -76,8 +77,11 @@ MAX_EDITS = 1
 FUZZY_MIN = 4
 WINDOW_WORDS = 6
 WINDOW_CHARS = 80
-#: Learned stems: letters, least toxic rows, least ratio of shares, number; rows to learn from; candidates looked at.
+#: Learned stems: letters, words that make a row hold one, least evidence, toxic rows and ratio of shares, number; rows to learn
+#: from; candidates looked at.
 STEM = range(3, 9)
+REPEATS = 2
+EVIDENCE = 12.0
 STEM_ROWS = 5
 STEM_RATIO = 3.0
 STEMS = 500
@@ -325,10 +329,15 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, toxic in zip(b.column(0), b.column(1).to_pylist()):  # one text at a time
-                words = set((text.as_py() or "").encode("utf-8", "replace").lower().translate(_BREAK).split())
+                words = Counter((text.as_py() or "").encode("utf-8", "replace").lower().translate(_BREAK).split())
                 near = {w for w in words if seen[w] == FUZZY}
-                forms = [w.decode("utf-8", "replace").lower() for w in words]
-                counts.update((0, s, toxic) for s in {w[:k] for w in forms for k in STEM if len(w) >= k})
+                begin: Counter = Counter()
+                for w, n in words.items():
+                    form = w.decode("utf-8", "replace").lower()
+                    for k in STEM:
+                        if len(form) >= k:
+                            begin[form[:k]] += n
+                counts.update((0, s, toxic) for s, n in begin.items() if n >= REPEATS)
                 counts.update((1, w.decode("utf-8", "replace").lower(), toxic) for w in near)
                 if len(counts) >= COUNTED:
                     yield flush()
@@ -372,7 +381,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> Terms:
 
     miss = F.lit(float(a_rows + b_rows)) - (a + b)
     ratio = part(a, a_rows, a + b) + part(b, b_rows, a + b) + part(a_rows - a, a_rows, miss) + part(b_rows - b, b_rows, miss)
-    stems = counts.where((F.col("kind") == 0) & (F.col("a") >= STEM_ROWS)).where(odds >= math.log(STEM_RATIO)) \
+    stems = counts.where((F.col("kind") == 0) & (F.col("a") >= STEM_ROWS)).where((odds >= math.log(STEM_RATIO)) & (ratio >= EVIDENCE)) \
         .orderBy(ratio.desc(), "word").limit(CANDIDATES).select("word", "a", "b").collect()
     own = counts.where((F.col("kind") == 1) & (F.col("b") >= 1)).where(odds < math.log(STEM_RATIO)) \
         .orderBy(F.desc("b"), "word").limit(CANDIDATES).select("word").collect()
