@@ -36,7 +36,7 @@ def range_bounds(text: Column) -> Column:
     tests = F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), lambda x: F.struct(
         F.regexp_extract(x, r"^\s*(>=|<=|==|=|>|<|~>)?", 1).alias("op"), version_key(F.regexp_replace(x, r"^\s*(>=|<=|==|=|>|<|~>)\s*", "")).alias("key")))
     lows = F.transform(F.filter(tests, lambda t: ~t["op"].isin("<", "<=")), lambda t: F.struct(t["key"].alias("key"), (t["op"] == ">").cast("int").alias("open")))
-    highs = F.transform(F.filter(tests, lambda t: t["op"].isin("<", "<=", "==", "=", "")), lambda t: F.struct(t["key"].alias("key"), -(t["op"] == "<").cast("int").alias("open")))
+    highs = F.transform(F.filter(tests, lambda t: t["op"].isin("<", "<=", "==", "=", "")), lambda t: F.struct(t["key"].alias("key"), (-(t["op"] == "<").cast("int")).alias("open")))
     low, high = F.array_max(lows), F.array_min(highs)
     return F.struct(low["key"].alias("low"), (low["open"] == 1).alias("low_open"), high["key"].alias("high"), (high["open"] == -1).alias("high_open"))
 

@@ -149,3 +149,18 @@ def test_layers_few_targets(spark):
     assert sorted(got["leaf_modules"]) == [(0, "a"), (1, "c"), (2, "b")]
     assert "intermediate_modules" not in got
     assert sorted(got["top_modules"]) == [(0, "a"), (1, "c"), (2, "b")]
+
+
+def test_versions_and_ranges(spark):
+    from codeweave.functions import versions as V
+    order = ["0.9", "1.0-alpha", "1.0-alpha.1", "1.0-alpha.2", "1.0-alpha.10", "1.0-beta", "1.0rc1", "v1.0.0", "1.0.1", "1.2", "1.10", "2", "10.0"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").withColumn("k", V.version_key(F.col("v")))
+    assert [r.v for r in rows.orderBy("k").collect()] == order
+    same = spark.createDataFrame([("1.2", "v1.2.0+build5"), ("1.2.0.0", "1.2")], "a string, b string").select((V.version_key(F.col("a")) == V.version_key(F.regexp_replace("b", r"\+.*", ""))).alias("e"))
+    assert [r.e for r in same.collect()] == [True, True]
+    assert rows.select(V.version_key(F.lit("latest")).alias("k")).first().k is None
+    for text, version, want in ((">=1.2,<2", "1.10", True), (">=1.2,<2", "2.0", False), ("1.4", "1.4.0", True), ("==1.4", "1.5", False), (">1.0", "1.0", False), ("<=3", "3.0", True), ("", "9", True)):
+        d = spark.range(1).select(V.range_bounds(F.lit(text)).alias("r"), V.version_key(F.lit(version)).alias("k"))
+        low = F.col("r.low").isNull() | (F.col("r.low") < F.col("k")) | ((F.col("r.low") == F.col("k")) & ~F.col("r.low_open"))
+        high = F.col("r.high").isNull() | (F.col("k") < F.col("r.high")) | ((F.col("r.high") == F.col("k")) & ~F.col("r.high_open"))
+        assert d.select((low & high).alias("x")).first().x is want, (text, version)
