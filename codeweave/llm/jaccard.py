@@ -76,7 +76,7 @@ PROBE = 1024
 SEGMENTS_OF = (1, 2, 3, 4, 6)  # sizes of segments that are looked at
 CANDIDATE = 20.0  # cost of a candidate over that of a signature
 MAP_BITS = 23  # of the bitmap of ids whose texts are needed
-CACHE_WORDS = 300_000
+CACHE_WORDS = 80_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 

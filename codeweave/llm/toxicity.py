@@ -87,14 +87,14 @@ STEM_RATIO = 3.0
 STEMS = 500
 FIT_ROWS = 10_000
 CANDIDATES = 5_000
-COUNTED = 200_000  # counts of a task before they are given on
+COUNTED = 40_000  # counts of a task before they are given on
 #: What a misspelled term counts towards abuse.
 FUZZY_SHARE = 0.75
 #: Prior of the weights: intercept, abuse, quoted, learned stems.
 PRIOR_MEAN = (-2.5, 3.0, 0.0, 0.5)
 PRIOR_SD = (3.0, 2.0, 1.0, 1.0)
 THRESHOLD = 0.3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 NO_HIT, EXACT, FUZZY, STEMMED = 0, 1, 2, 3
 # bytes of ASCII other than letters and digits part words
 _BREAK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
