@@ -42,8 +42,8 @@ from tokenizers import Tokenizer
 
 END = 0
 LONG = 1_000_000  # characters of a text encoded at once
-CHUNK = 6_000_000  # bytes of texts whose parts are looked up at once
-KNOWN = 500_000  # parts remembered
+CHUNK = 2_500_000  # bytes of texts whose parts are looked up at once
+KNOWN = 400_000  # parts remembered
 JOINED = 200
 ROW_GROUP = 16 << 20
 PAGE = 64 << 10
@@ -55,7 +55,7 @@ WRITER = {
     "parquet.page.row.count.limit": PAGE_ROWS,
     "parquet.enable.dictionary": "false",
     "parquet.enable.dictionary#ids.list.element": "true",
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 _BLANK = "\u0120"  # a blank at the start of a token, in byte-level alphabets
