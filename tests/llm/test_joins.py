@@ -381,3 +381,13 @@ def test_sha_of_items_is_of_sorted_strings(spark):
     b = spark.createDataFrame([(10, "a b"), (9, "c d")], "item_id long, text string")
     r = decontaminate.report(d, b).select(F.sha2(F.array_join("items", ",").cast("binary"), 256)).first()[0]
     assert r == hashlib.sha256(b"10,9").hexdigest()
+
+
+def test_long_mail_hosts(spark):
+    """A host of any number of labels neither ends the JVM nor loses what was a mention before."""
+    rows = [(1, "a@" + "b." * 20_000 + "com x"), (2, "a@" + "b." * 20_000 + "1 x"), (3, "me@mail.example.com, x@y.org. z@q.com1"), (4, "no@host, a@b..com, a@b.c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    assert got[1] != rows[0][1] and got[1].endswith(" x") and "b.b" not in got[1]
+    assert got[2].endswith(" x") and got[4] == rows[3][1]
+    assert not any(m in got[3] for m in ("me@mail.example.com", "x@y.org", "z@q.com")) and got[3].endswith("1")
