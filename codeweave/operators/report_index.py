@@ -43,11 +43,18 @@ def build(reports: DataFrame) -> dict[str, DataFrame]:
     r = reports.select("community", words_of(report_text(reports)).alias("words")).withColumn("len", F.size("words").cast("long"))
     corpus = r.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("words"))
     n, total = corpus.first()
-    tf = r.select("community", "len", F.explode("words").alias("term")).groupBy("term", "community", "len").agg(F.count(F.lit(1)).alias("tf"))
-    blocks = max(1, -(-n // BLOCK))
-    tf = tf.withColumn("block", F.pmod(F.xxhash64("community"), F.lit(blocks))).withColumn("impact", impact(n, total))
+    block = F.pmod(F.xxhash64("community"), F.lit(max(1, -(-n // BLOCK))))
+    if reports.groupBy("community").count().where("count > 1").isEmpty():
+        # a report is a row: its terms are counted in place, and it is shuffled once, whole, to its block
+        counted = F.expr("transform(array_distinct(words), t -> struct(t as term, cast(size(filter(words, x -> x = t)) as bigint) as tf))")
+        tf = r.withColumn("block", block).repartition("block").select("community", "len", "block", F.explode(counted).alias("t")).select("community", "len", "block", "t.*")
+        df = r.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        tf = r.select("community", "len", F.explode("words").alias("term")).groupBy("term", "community", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("block", block)
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = tf.withColumn("impact", impact(n, total))
     postings = tf.groupBy("term", "block").agg(F.max("impact").alias("best"), F.collect_list(F.struct("community", "impact")).alias("docs"))  # a block
-    return {"report_postings": postings, "report_terms": tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "report_corpus": corpus}
+    return {"report_postings": postings, "report_terms": df, "report_corpus": corpus}
 
 
 def impact(n: int, total: int) -> Column:
