@@ -192,22 +192,28 @@ def scored_reports(tables: dict[str, DataFrame], terms: list[str]) -> DataFrame:
     rep = tables["community_reports"]
     rep = rep.select("community", "level", "title", "summary", "full_content", word_count(RI.report_text(rep)).cast("bigint").alias("n_tokens"))
     parents = tables["communities"].select("community", "parent")
-    return RI.scores(tables, terms).join(rep, "community").join(parents, "community", "left")
+    return RI.scores(tables, terms).join(rep, "community").join(parents, "community", "left") \
+        .select("community", "level", "parent", "title", "summary", "full_content", "n_tokens", "score")
 
 
 def search_reports(tables: dict[str, DataFrame], question: str, dynamic: bool = True, budget: int = CONTEXT_BUDGET) -> DataFrame:
     """R1-R3 over community reports: BM25 scores, selection by level, the best ones within the token budget.
 
     ``(community, level, parent, title, summary, full_content, n_tokens, score, rank, used_tokens)``;
-    tokens are those of the reports' own texts.
+    tokens are those of the reports' own texts.  Scores are written once, without the texts,
+    which only the selected reports get back; a community and a level have one report.
     """
     terms = question_terms(question)
+    scored = cut_lineage(scored_reports(tables, terms).select("community", "level", "parent", "n_tokens", "score"))
     if dynamic:
-        sel = select_dynamic(scored_reports(tables, terms))
+        sel = select_dynamic(scored)
     else:  # the deepest reports up to the level, whatever their score; the score decides afterwards
         kept = select_static(tables["communities"].select("community", "level", "parent")).select("community")
-        sel = scored_reports(tables, terms).join(kept, "community", "left_semi")
-    return map_reduce(sel, budget)
+        sel = scored.join(kept, "community", "left_semi")
+    best = map_reduce(sel, budget).withColumnsRenamed({"community": "_community", "level": "_level"})  # at most ``budget`` rows
+    rep = tables["community_reports"].select("community", "level", "title", "summary", "full_content")
+    return rep.join(F.broadcast(best), F.col("community").eqNullSafe(F.col("_community")) & F.col("level").eqNullSafe(F.col("_level"))) \
+        .select("community", "level", "parent", "title", "summary", "full_content", "n_tokens", "score", "rank", "used_tokens").orderBy("rank")
 
 
 def answer_from_reports(found: DataFrame) -> DataFrame:

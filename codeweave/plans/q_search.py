@@ -139,7 +139,7 @@ def _order_index(spark, d) -> dict:
     members = cut_lineage(comp.select(F.lit(0).alias("level"), F.concat(F.lit("0:"), "component").alias("community"),
                                       F.lit(None).cast("string").alias("parent"), "node"))
     reports = cut_lineage(CM.community_reports(members, edges))
-    return {"community_reports": reports, "communities": CM.community_table(members),
+    return {"community_reports": reports, "communities": cut_lineage(CM.community_table(members)),
             **{name: cut_lineage(t) for name, t in RI.build(reports).items()}}
 
 

@@ -1,4 +1,6 @@
 """Report index, index publishing, running sums and the Index API against brute force."""
+import contextlib
+import io
 import json
 import math
 import os
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweave.functions.ranks import running_sums
+from codeweave.operators import communities as CM
 from codeweave.operators import report_index as RI
 from codeweave.operators import search as S
 from codeweave.plans import index_build as IB
@@ -129,3 +132,50 @@ def test_library_rows(spark):
     md = json.dumps({"methods": [{"library_name": "a", "library_version": "1", "deprecated": True, "vulnerabilities": ["CVE-2"]}, {"method_name": "f"}]})
     ann = spark.createDataFrame([("pom.xml", md)], "file_path string, t string").select("file_path", F.parse_json("t").alias("metadata"))
     assert [tuple(r) for r in IB.library_rows(ann).collect()] == [("pom.xml", "a", "1", True, ["CVE-2"])]
+
+
+def _exchanges(df):
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return len(re.findall(r"Exchange (?:hash|range)partitioning", out.getvalue()))
+
+
+def test_reports_are_shuffled_once_for_the_postings(spark):
+    rows = [("0:a", "x y x", None), ("0:b", "Y z", "z Z")]
+    df = spark.createDataFrame(rows, "community string, summary string, full_content string")
+    index = RI.build(df)
+    assert _exchanges(index["report_postings"]) == 1  # whole reports to their blocks, not a row a word
+    twice = RI.build(df.unionByName(df.limit(1)))  # a community given twice counts as one report of both, as before
+    for made in (index, twice):
+        assert {(r["term"], d["community"]) for r in made["report_postings"].collect() for d in r["docs"]} == {("x", "0:a"), ("y", "0:a"), ("y", "0:b"), ("z", "0:b")}
+    assert {r["term"]: r["df"] for r in index["report_terms"].collect()} == {"x": 1, "y": 2, "z": 1}
+    assert {r["term"]: r["df"] for r in twice["report_terms"].collect()} == {"x": 1, "y": 2, "z": 1}
+
+
+def test_reports_of_large_and_small_communities(spark, monkeypatch):
+    """Degrees, inner edges both ways, loops, repeated members; salted or not, the members are the same."""
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "a", 1.0), ("a", "a", 5.0), ("a", "b", None), ("c", "a", 1.0), ("d", "e", 1.0), (None, "a", 1.0)],
+                                  "source string, target string, weight double")
+    member = spark.createDataFrame([(0, "0:x", None, n) for n in "abcc"] + [(0, "0:y", None, n) for n in "def"] + [(1, "1:x", "0:x", "a"), (1, "1:x", "0:x", "b")],
+                                   "level int, community string, parent string, node string")
+    seen = []
+    for limit in (100_000, 3):
+        monkeypatch.setattr(CM, "ONE_TASK", limit)
+        seen.append({r["community"]: (r["title"], r["size"], r["n_edges"], r["rank"], r["full_content"].split("\n")[3:]) for r in CM.community_reports(member, edges, 2).collect()})
+    assert seen[0] == seen[1] == {
+        "0:x": ("a", 4, 5, 11.0, ["a (degree 2)", "b (degree 1)"]), "0:y": ("d", 3, 1, 2.0, ["d (degree 1)", "e (degree 1)"]), "1:x": ("a", 2, 3, 9.0, ["a (degree 2)", "b (degree 1)"])}
+    reports = spark.createDataFrame([], "community string, summary string")
+    told = {(r["community"], r["text"]): (r["child"], r["used_tokens"]) for r in CM.nested_context(member.distinct(), edges, reports).where("kind = 'relationship'").collect()}
+    assert set(told) == {("0:x", "a -> b"), ("0:x", "b -> a"), ("0:x", "c -> a"), ("0:y", "d -> e"), ("1:x", "a -> b"), ("1:x", "b -> a")}
+    assert told[("0:x", "a -> b")][0] == "1:x" and told[("0:x", "c -> a")][0] is None
+
+
+def test_search_keeps_the_documented_columns(spark):
+    reports = spark.createDataFrame([("0:a", 0, "a", "auth here", "auth"), ("1:b", 1, "b", "auth auth", "more auth"), ("0:c", 0, "c", "nothing", "none")],
+                                    "community string, level int, title string, summary string, full_content string")
+    comm = spark.createDataFrame([("0:a", 0, None), ("1:b", 1, "0:a"), ("0:c", 0, None)], "community string, level int, parent string")
+    tables = {"community_reports": reports, "communities": comm, **RI.build(reports)}
+    found = S.search_reports(tables, "auth")
+    assert found.columns == ["community", "level", "parent", "title", "summary", "full_content", "n_tokens", "score", "rank", "used_tokens"]
+    assert [(r["community"], r["parent"], r["full_content"], r["rank"]) for r in found.collect()] == [("1:b", "0:a", "more auth", 1)]
