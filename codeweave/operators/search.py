@@ -65,8 +65,19 @@ def term_hits(text: str | Column, terms: list[str]) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     if not terms:
         return F.lit(0).cast("bigint")
-    pat = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
-    return F.regexp_count(F.lower(t), F.lit(pat)).cast("bigint")
+    return F.regexp_count(F.lower(t), F.lit(_any_of(terms))).cast("bigint")
+
+
+def _any_of(terms: list[str]) -> str:
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(terms, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+
+
+def term_words(text: str | Column, terms: list[str]) -> Column:
+    """The words of ``text`` that are among ``terms``, as often as they occur (null for a null text): the few hits alone."""
+    t = F.col(text) if isinstance(text, str) else text
+    if not terms:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.lower(t), F.lit(_any_of(terms)), F.lit(0))
 
 
 def word_count(text: str | Column) -> Column:
@@ -154,14 +165,18 @@ def global_search(docs: DataFrame, question: str, dynamic: bool = True) -> DataF
 def migration_report(docs: DataFrame, questions: list[str] = MIGRATION_QUESTIONS) -> DataFrame:
     """One row per question -- ``(question_no, section)`` with the '### Question' format.
 
-    All questions are scored in one pass over the documents (one hit column per
-    question); each question then selects and reduces over the small report
+    All questions are scored in one pass over the documents (one pattern of all
+    terms, one hit column per question); each question then selects and reduces over the small report
     table.  An empty answer is an error in the original; here it is the text
     'No relevant reports.' so the batch always returns all sections.
     """
     term_sets = [question_terms(q) for q in questions]
-    per_doc = docs.select("source", "lang", word_count("text").alias("words"),
-                          *[term_hits("text", t).alias(f"h{i}") for i, t in enumerate(term_sets)])
+
+    def hits(terms: list[str]) -> Column:
+        return F.when(F.col("found").isNotNull(), F.size(F.filter("found", lambda w: w.isin(terms)))).cast("bigint")
+
+    per_doc = docs.select("source", "lang", word_count("text").alias("words"), term_words("text", sorted(set().union(*term_sets))).alias("found")) \
+        .select("source", "lang", "words", *[hits(t).alias(f"h{i}") for i, t in enumerate(term_sets)])
     sums = [F.sum(f"h{i}").alias(f"h{i}") for i in range(len(questions))]
     l1 = per_doc.groupBy("source", "lang").agg(F.sum("words").alias("w"), *sums)
     l0 = l1.groupBy("source").agg(F.sum("w").alias("w"), *[F.sum(f"h{i}").alias(f"h{i}") for i in range(len(questions))])
