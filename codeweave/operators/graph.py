@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from codeweave.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
+ROWS_A_TASK = 2_000_000  # edges that a task sorts to join them with the names
 
 
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
@@ -45,6 +46,14 @@ def nodes_of(e: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
 
 
+def join_spread(rows: DataFrame, names: DataFrame, on: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``names``; as many rows need more than the usual number of tasks, about ``ROWS_A_TASK`` in one."""
+    tasks = n_rows // ROWS_A_TASK + 1
+    if tasks <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return rows.join(names, on)
+    return rows.repartition(tasks, on).join(names.repartition(tasks, on), on)
+
+
 def encode_nodes(edges: DataFrame):
     """Distinct edges and nodes on ``long`` ids, with the dictionary back to names.
 
@@ -57,8 +66,9 @@ def encode_nodes(edges: DataFrame):
     e = _persist(simple_edges(edges))
     nodes = nodes_of(e)
     dic = _persist(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("nid")))
-    ids = _persist(e.join(dic.select(F.col("node").alias("src"), F.col("nid").alias("s")), "src")
-                   .join(dic.select(F.col("node").alias("dst"), F.col("nid").alias("d")), "dst")
+    n = e.count()
+    ids = _persist(join_spread(join_spread(e, dic.select(F.col("node").alias("src"), F.col("nid").alias("s")), "src", n),
+                               dic.select(F.col("node").alias("dst"), F.col("nid").alias("d")), "dst", n)
                    .select(F.col("s").alias("src"), F.col("d").alias("dst")))
     return ids, dic.select(F.col("nid").alias("node")), dic
 
@@ -395,13 +405,16 @@ def risk_rank(edges: DataFrame, k: int = 20, ascending: bool = False) -> DataFra
     ``risk_score = (fan_in + 1) * (fan_out + 1) * scc_size``; top ``k`` by score
     (``ascending=True`` gives the least risky first).
     """
-    w = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    e = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()) \
-        .select(F.col("source").alias("src"), F.col("target").alias("dst"), w.alias("w"))
-    fo = e.groupBy(F.col("src").alias("module")).agg(F.countDistinct("dst").alias("fan_out"), F.sum("w").alias("ow"))
-    fi = e.groupBy(F.col("dst").alias("module")).agg(F.countDistinct("src").alias("fan_in"), F.sum("w").alias("iw"))
-    scc = strongly_connected_components(edges).select(F.col("node").alias("module"), "scc_size")
-    m = (scc.join(fo, "module", "left").join(fi, "module", "left")
+    edges = _persist(edges.select("source", "target", *[c for c in ("weight",) if c in edges.columns]))
+    ids, nodes, dic = encode_nodes(edges)  # distinct pairs: a count of them counts distinct neighbours
+    fo = ids.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("fan_out"))
+    fi = ids.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("fan_in"))
+    fans = _scc_ids(ids, nodes).select("node", "scc_size").join(fo, "node", "left").join(fi, "node", "left")
+    w, none = (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)), F.lit(None).cast("double")
+    side = lambda end, ow, iw: F.struct(F.col(end).alias("module"), ow.alias("ow"), iw.alias("iw"))
+    strength = edges.where(F.col("source").isNotNull() & F.col("target").isNotNull()) \
+        .select(F.inline(F.array(side("source", w, none), side("target", none, w)))).groupBy("module").agg(F.sum("ow").alias("ow"), F.sum("iw").alias("iw"))
+    m = (fans.join(dic.select(F.col("nid").alias("node"), F.col("node").alias("module")), "node").join(strength, "module", "left")
          .select("module",
                  F.coalesce("fan_in", F.lit(0)).cast("bigint").alias("fan_in"),
                  F.coalesce("fan_out", F.lit(0)).cast("bigint").alias("fan_out"),

@@ -305,3 +305,16 @@ def test_invariants_of_broken_hierarchies(spark):
     crossed = top + [(1, "1:a", "0:a", n) for n in "ab"] + [(1, "1:q", "0:a", "f"), (1, "1:q", "0:x", "x")]
     got = counts(crossed)
     assert got["ambiguous_parents"] == 1 and "disconnected_communities" not in got
+
+
+def test_risk_rank_counts_pairs_once(spark, monkeypatch):
+    rows = [("a", "b", 2.0), ("a", "b", 3.0), ("b", "a", None), ("a", "c", 1.5), ("c", "c", 1.0), ("d", "a", None), (None, "a", 9.0), ("a", None, 9.0)]
+    df = spark.createDataFrame(rows, "source string, target string, weight double")
+    want = [("a", 2, 2, 6.5, 2, 18), ("b", 1, 1, 5.0, 2, 8), ("c", 2, 1, 3.5, 1, 6), ("d", 0, 1, 0.0, 1, 2)]
+    got = G.risk_rank(df, 9)
+    assert [tuple(r) for r in got.collect()] == want
+    # no table of all pairs of names in a task for distinct counts
+    assert "distinct" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    monkeypatch.setattr(G, "ROWS_A_TASK", 1)
+    assert [tuple(r) for r in G.risk_rank(df, 9).collect()] == want
+    assert [r["module"] for r in G.risk_rank(df.drop("weight"), 2, ascending=True).collect()] == ["d", "c"]
