@@ -33,9 +33,12 @@ nothing is lost; sets of more than ``WIDE`` shingles have a longer sketch beside
 a shingle.  The others are verified exactly on the sets of the whole texts.
 First all members of a signature are compared with one of them, the one that
 shares most signatures with others, so a group of near copies costs a line, not
-all pairs.  Components follow.  Of signatures whose members are still in different
-components, those members stay that are near one of another component by size and
-sketch; they are dealt into blocks of ``BLOCK_ROWS``, each pair of blocks a group of its
+all pairs.  Components follow.  Signatures whose members are still in different
+components remain.  Of those of at most ``HOT`` members, the members stay that are near one of
+another component by size and sketch.  Texts that share a passage make larger ones, which
+grow with the table, so there no pairs are looked at first: a set stays only if few enough of
+its shingles are its own (``supported``), which takes a row a shingle.  What stays is compared by sketch,
+dealt into blocks of ``BLOCK_ROWS``, each pair of blocks a group of its
 own that counts all common shingles at once by matrix products and gives only the
 edges of a spanning forest.  So no pairs are written, no link is lost to the
 components, and no task holds more than two blocks.  Only texts that are to be verified
@@ -61,7 +64,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeweave.llm.common import components, free_name, materialise
@@ -214,14 +217,20 @@ def _folded(x: np.ndarray) -> np.ndarray:
 _LONGS = [f"s{i}" for i in range(SKETCH)]
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(id, n_shingles, digest, class, s0, ..., probe)`` of every row; all but the first two are null for the empty set."""
+def _in_part(u: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which shingles are in the part of the universe that is looked at first: twice the share in which linked sets may differ."""
+    return (_mix(u * _M[2]) >> np.uint64(44)) * np.uint64(den) < np.uint64(2 * (den - num) << 20)
+
+
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(id, n_shingles, part, digest, class, s0, ..., probe)`` of every row; the digest and what follows are null for the empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, cls, longs, probe, wide = [], [], [], [], [], []
+            n, part, digest, cls, longs, probe, wide = [], [], [], [], [], [], []
             for t in b.column(1):
                 u = shingle_set(t.as_py(), k)
                 n.append(len(u))
+                part.append(int(_in_part(u, num, den).sum()))
                 digest.append(xxhash.xxh3_128_digest(u.tobytes()) if len(u) else None)
                 cls.append(_class(u) if len(u) else None)
                 h = _mix(u * _M[1])
@@ -231,13 +240,13 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
             s = np.array(longs).reshape(len(n), SKETCH)
             upto = np.concatenate([[0], np.cumsum([len(x) for x in probe])]).astype(np.int32)
             probes = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.concatenate([np.empty(0, np.int64), *probe])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64()),
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(part, pa.int64()), pa.array(digest, pa.binary()), pa.array(cls, pa.int64()),
                                               *[pa.array(np.ascontiguousarray(s[:, i])) for i in range(SKETCH)], pa.array(wide, pa.binary()), probes],
-                                             names=["id", "n_shingles", "digest", "class", *_LONGS, "wide", "probe"])
+                                             names=["id", "n_shingles", "part", "digest", "class", *_LONGS, "wide", "probe"])
 
     kind = docs.schema["id"].dataType.simpleString()
     longs = ", ".join(f"{c} bigint" for c in _LONGS)
-    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, digest binary, class bigint, {longs}, wide binary, probe array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n_shingles bigint, part bigint, digest binary, class bigint, {longs}, wide binary, probe array<bigint>")
 
 
 def shared_share(sets: DataFrame) -> float:
@@ -346,12 +355,8 @@ def _prefixed(reps: DataFrame, p: str) -> DataFrame:
     return reps.select(F.col("class").alias(p), F.col("rep").alias(f"i{p}"), F.col("n_shingles").alias(f"{p}_n"), *[F.col(c).alias(f"{p}_{c}") for c in _LONGS])
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, text)`` of the rows of ``docs`` whose id is in ``wanted(id)``, written once.
-
-    A bitmap of fixed size over hashes of the ids keeps most other texts out of the shuffle.
-    """
-    wanted = materialise(wanted.distinct())
+def _maybe(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, text)`` of the rows of ``docs`` whose id is in ``wanted(id)``, and few others, by a bitmap of fixed size over hashes of the ids."""
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - MAP_BITS)
     words = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), {64 - MAP_BITS}) & 63 as int))")).alias("bits"))
     bitmap = np.zeros(1 << (MAP_BITS - 6), np.uint64)
@@ -364,8 +369,13 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.Series((bitmap[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
     held.__annotations__ = {"places": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    some = docs.where("id is not null").select("id", "text").where(F.pandas_udf(held, "boolean")(place))
-    return materialise(some.join(wanted, "id", "left_semi"))
+    return docs.where("id is not null").select("id", "text").where(F.pandas_udf(held, "boolean")(place))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(id, text)`` of the rows of ``docs`` whose id is in ``wanted(id)``, written once; ``_maybe`` keeps most other texts out of the shuffle."""
+    wanted = materialise(wanted.distinct())
+    return materialise(_maybe(docs, wanted).join(wanted, "id", "left_semi"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -468,6 +478,67 @@ def _groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[
         yield now, group
 
 
+def _shingle_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(shingle, a)`` of the texts of ``docs``, of the part of the universe that ``_in_part`` names, once a class and Arrow batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: set[int] = set()
+            shingles, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+            for t in b.column(0):
+                u = shingle_set(t.as_py(), k)
+                c = _class(u)
+                if not len(u) or c in seen:
+                    continue
+                seen.add(c)
+                u = u[_in_part(u, num, den)]
+                shingles.append(u)
+                cls.append(np.full(len(u), c))
+                size += len(u)
+                if size >= 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(cls))], names=["shingle", "a"])
+                    shingles, cls, size = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(cls))], names=["shingle", "a"])
+
+    return docs.select("text").mapInArrow(run, "shingle bigint, a bigint")
+
+
+def _held(rows: DataFrame, by: str) -> DataFrame:
+    """``(a, held)``: how many shingles of ``a`` in ``rows(shingle, a, ...)`` have another value of ``by`` too; a repeated row counts once."""
+    of = Window.partitionBy("shingle")
+    v = rows.withColumn("before", F.lag("a").over(of.orderBy("a"))).withColumns({"lo": F.min(by).over(of), "hi": F.max(by).over(of)})
+    return v.where((F.col("lo") < F.col("hi")) & ~F.col("before").eqNullSafe(F.col("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+
+
+def supported(some: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(a)`` of those sets of ``some(a, root, id, n, part)`` that can be linked with one of another root among them.
+
+    A set of ``n`` shingles has at most ``n * (den - num) / den`` that a set linked with it lacks.
+    Texts that share no more than a passage have more than that which no other set holds.  Most
+    show it in a part of the universe (``part`` of their shingles), the others in all of it,
+    where only shingles of other roots count.  A row a shingle is shuffled, none a pair.
+    """
+    def left(of: DataFrame, held: DataFrame, size: str) -> DataFrame:
+        lacks = F.col(size) - F.coalesce("held", F.lit(0))
+        return of.join(held, "a", "left").where(lacks * den <= F.col("n") * (den - num)).drop("held")
+
+    first = _held(_shingle_rows(_maybe(docs, some.select("id").distinct()), k, num, den), "a")
+    some = materialise(left(some, first, "part"))
+    rows = some.select("a", "root", "id").join(texts_of(docs, some.select("id")), "id")
+    return materialise(left(some, _held(_root_rows(rows, k), "root"), "n").select("a"))
+
+
+def _root_rows(texts: DataFrame, k: int) -> DataFrame:
+    """``(shingle, a, root)`` of all shingles of the sets of ``texts(a, root, text)``; a text of another set counts for none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, root, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                u = shingle_set(t.as_py(), k)
+                if _class(u) == a:
+                    yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), a)), pa.array(np.full(len(u), root))], names=["shingle", "a", "root"])
+
+    return texts.select("a", "root", "text").mapInArrow(run, "shingle bigint, a bigint, root bigint")
+
+
 def near_members(members: DataFrame, num: int, den: int) -> DataFrame:
     """``(key, a, root)`` of ``members(key, a, root, n, s0, ...)`` that are near one of another root in their key by size and sketch."""
     rows = _dealt(members).select("key", "i", "j", "a", "root", "block", "n", *_LONGS).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
@@ -528,7 +599,7 @@ def _groups(rest: DataFrame) -> DataFrame:
 def class_links(member: DataFrame, reps: DataFrame, wide: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(node, root)`` of the classes that are linked with another one.
 
-    ``member(key, class)`` are the shared signatures, ``reps(class, rep, n_shingles, s0, ...)`` a document of every class,
+    ``member(key, class)`` are the shared signatures, ``reps(class, rep, n_shingles, part, s0, ...)`` a document of every class,
     ``wide(class, wide)`` the wide sketches.
     """
     member = member.withColumnRenamed("class", "a")
@@ -544,10 +615,15 @@ def class_links(member: DataFrame, reps: DataFrame, wide: DataFrame, docs: DataF
     m = member.join(roots.withColumnsRenamed({"node": "a", "root": "r"}), "a", "left").select("key", "a", F.coalesce("r", "a").alias("root"))
     # the one in the middle has been compared with all others
     m = materialise(m.join(middle.withColumnRenamed("b", "a"), ["key", "a"], "left_anti"))
-    open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = m.join(open_keys, "key").join(reps.select(F.col("class").alias("a"), F.col("n_shingles").alias("n"), *_LONGS), "a")
-    rest = materialise(near_members(rest, num, den))
-    rest = materialise(_groups(rest).join(reps.select(F.col("class").alias("a"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")), "a"))
+    open_keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    rest = materialise(m.join(open_keys, "key"))
+    of = reps.select(F.col("class").alias("a"), F.col("rep").alias("id"), F.col("n_shingles").alias("n"), "part", *_LONGS)
+    # members of small keys are compared at once, those of large ones if they can be linked at all
+    few = near_members(rest.where(F.col("size") <= HOT).join(of, "a"), num, den)
+    rest = materialise(few.unionByName(rest.where(F.col("size") > HOT).select("key", "a", "root")))
+    some = materialise(rest.select("a", "root").distinct().join(of, "a").select("a", "root", "id", "n", "part"))
+    rest = materialise(_groups(materialise(rest.join(supported(some, docs, k, num, den), "a", "left_semi"))).join(of, "a"))
+    rest = materialise(near_members(rest, num, den).join(of.select("a", "id", "n"), "a"))
     if 2 * num >= den:
         rest = materialise(near_by_wide(rest, wide, num, den))
     rest = rest.drop("n")
@@ -557,11 +633,11 @@ def class_links(member: DataFrame, reps: DataFrame, wide: DataFrame, docs: DataF
 
 def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> DataFrame:
     """``(id, n_shingles, digest, root, component)`` of every row of ``d(id, text)``; an id may be the least of several roots."""
-    sets = materialise(_sets(d, k))
+    sets = materialise(_sets(d, k, num, den))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
     classes = materialise(sets.where("digest is not null and id is not null").groupBy("digest", "class")
-                          .agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
-    reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), F.max("n_shingles").alias("n_shingles"), *[F.max(c).alias(c) for c in _LONGS]))
+                          .agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ("n_shingles", "part", *_LONGS)]))
+    reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), *[F.max(c).alias(c) for c in ("n_shingles", "part", *_LONGS)]))
     wide = materialise(sets.where("wide is not null and id is not null").groupBy("class").agg(F.first("wide").alias("wide")))
     member = _shared(d.where("id is not null"), k, num, den, shared_share(sets), keep)
     roots = class_links(member, reps, wide, d, k, num, den)

@@ -162,6 +162,30 @@ def test_jaccard_hot_passage_and_copies(spark, monkeypatch):
     assert got == _components(docs, 3, 90, 100)
 
 
+def test_jaccard_passage_brings_no_pairs(spark, monkeypatch):
+    """Texts that share a passage and no more go by their own shingles: rows that are dealt don't grow with the square of their number."""
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
+    made, dealt = [], jaccard._dealt
+
+    def counted(members):
+        out = dealt(members)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "_dealt", counted)
+    for n in (60, 240):
+        rng = random.Random(n)
+        passage = " ".join(f"p{i}" for i in range(60))
+        docs = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(40))) for i in range(n)]
+        docs += [(1000 + i, f"{t} more of it") for i, t in docs[:n // 6]]
+        made.append(0)
+        df = spark.createDataFrame(docs + docs[:n // 4], "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(df, 5, 80, 100).collect()}
+        assert got == _components(docs, 5, 80, 100)
+    assert made[1] <= 5 * made[0] + 50
+
+
 def test_jaccard_edges(spark):
     rows = [(None, "a b c d"), (7, "a b c d"), (8, "A  B c\td"), (None, "alone at last"), (9, "one"), (9, "one"), (9, "two"), (5, None)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, dropped int")
