@@ -44,9 +44,8 @@ edges of a spanning forest.  So no pairs are written, no link is lost to the
 components, and no task holds more than two blocks.  Only texts that are to be verified
 are shuffled.
 
-Signatures are flat rows ``(key, class)``, read twice.  They are written once (``keep``, 8
-bytes a row on disk, as a class repeats) or computed twice, which takes a third more time
-and no disk; the result is the same.
+Signatures are flat rows ``(key, class)``, computed and shuffled once; keys of one class
+go after that shuffle, where they stand side by side.
 
 Cases: null and wordless texts have an empty set and link with nothing; texts of
 fewer than ``k`` words have one shingle; rows of one id are judged apart, by the digest of their set; rows
@@ -402,15 +401,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> Da
 
 
 # ------------------------------------------------------------------ the join
-def _shared(docs: DataFrame, k: int, num: int, den: int, share: float, keep: bool) -> DataFrame:
+def _shared(docs: DataFrame, k: int, num: int, den: int, share: float) -> DataFrame:
     """``(key, class)``: signatures of two classes or more, without the hot ones that slack allows to leave out."""
-    rows = _keys(docs, k, num, den, share)
-    rows = materialise(rows) if keep else rows
-    # a key and a number shuffle as ten bytes or so; copies, which count here too, go with distinct()
-    often = rows.groupBy("key").count().where(F.col("count") > 1).select("key")
-    some = materialise(rows.join(often, "key").distinct())
-    both = some.groupBy("key").count().where(F.col("count") > 1).select("key")
-    shared = materialise(some.join(both, "key"))
+    shared = materialise(_of_two(_keys(docs, k, num, den, share), "key", "class").select("key", "class"))
     hot = shared.groupBy("key").count().where(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
     rules = docs.sparkSession.createDataFrame(
         [(j, 2 if s.twos else 1, s.slack) for j, s in enumerate(schemes(num, den, share))], "scheme int, cost int, slack long")
@@ -502,11 +495,16 @@ def _shingle_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "shingle bigint, a bigint")
 
 
+def _of_two(rows: DataFrame, key: str, of: str, by: str | None = None) -> DataFrame:
+    """``rows(key, of, ...)`` whose key has several values of ``by`` (``of``, if not given), once each: one shuffle, no aggregate."""
+    w = Window.partitionBy(key)
+    v = rows.withColumn("before", F.lag(of).over(w.orderBy(of))).withColumns({"lo": F.min(by or of).over(w), "hi": F.max(by or of).over(w)})
+    return v.where((F.col("lo") < F.col("hi")) & ~F.col("before").eqNullSafe(F.col(of)))
+
+
 def _held(rows: DataFrame, by: str) -> DataFrame:
     """``(a, held)``: how many shingles of ``a`` in ``rows(shingle, a, ...)`` have another value of ``by`` too; a repeated row counts once."""
-    of = Window.partitionBy("shingle")
-    v = rows.withColumn("before", F.lag("a").over(of.orderBy("a"))).withColumns({"lo": F.min(by).over(of), "hi": F.max(by).over(of)})
-    return v.where((F.col("lo") < F.col("hi")) & ~F.col("before").eqNullSafe(F.col("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    return _of_two(rows, "shingle", "a", by).groupBy("a").agg(F.count(F.lit(1)).alias("held"))
 
 
 def supported(some: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -631,7 +629,7 @@ def class_links(member: DataFrame, reps: DataFrame, wide: DataFrame, docs: DataF
     return components(links.unionByName(more))
 
 
-def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> DataFrame:
+def _labelled(d: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``(id, n_shingles, digest, root, component)`` of every row of ``d(id, text)``; an id may be the least of several roots."""
     sets = materialise(_sets(d, k, num, den))
     # a class is a digest; its 64-bit number stands for it in keys and pairs
@@ -639,7 +637,7 @@ def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> D
                           .agg(F.min("id").alias("rep"), *[F.max(c).alias(c) for c in ("n_shingles", "part", *_LONGS)]))
     reps = materialise(classes.groupBy("class").agg(F.min("rep").alias("rep"), *[F.max(c).alias(c) for c in ("n_shingles", "part", *_LONGS)]))
     wide = materialise(sets.where("wide is not null and id is not null").groupBy("class").agg(F.first("wide").alias("wide")))
-    member = _shared(d.where("id is not null"), k, num, den, shared_share(sets), keep)
+    member = _shared(d.where("id is not null"), k, num, den, shared_share(sets))
     roots = class_links(member, reps, wide, d, k, num, den)
     labels = classes.join(roots, classes["class"] == roots["node"], "left").select("digest", "rep", F.coalesce("root", "class").alias("root"))
     least = labels.groupBy("root").agg(F.min("rep").alias("component"))
@@ -647,10 +645,9 @@ def _labelled(d: DataFrame, k: int, num: int, den: int, keep: bool = False) -> D
     return sets.join(of, "digest", "left").select("id", "n_shingles", "digest", "root", F.coalesce("component", "id").alias("component"))
 
 
-def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text",
-                    keep: bool = True) -> DataFrame:
+def join_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``(id_col, n_shingles, component_id)``, the smallest id reachable by links."""
-    out = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den, keep)
+    out = _labelled(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, num, den)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
 
 
