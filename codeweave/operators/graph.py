@@ -25,6 +25,7 @@ from codeweave.session import cut_lineage
 
 BROADCAST_ROWS = 200_000
 ROWS_A_TASK = 2_000_000  # edges that a task sorts to join them with the names
+NAMES_A_TASK = 1_000_000  # names that a task keeps in a hash table
 
 
 def _maybe_broadcast(df: DataFrame, n_rows: int) -> DataFrame:
@@ -54,6 +55,12 @@ def join_spread(rows: DataFrame, names: DataFrame, on: str, n_rows: int) -> Data
     return rows.repartition(tasks, on).join(names.repartition(tasks, on), on)
 
 
+def join_hashed(rows: DataFrame, names: DataFrame, on: str, n_names: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``n_names`` names, without a sort of the rows while a task's share of the names is small enough to hash."""
+    small = n_names <= NAMES_A_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.join(names.hint("shuffle_hash") if small else names, on, how)
+
+
 def encode_nodes(edges: DataFrame):
     """Distinct edges and nodes on ``long`` ids, with the dictionary back to names.
 

@@ -87,9 +87,9 @@ def module_edges(spark, d) -> DataFrame:
     a cyclic core; the rest hang off it.  Grows linearly with lineitem.
     """
     li = table(spark, d, "lineitem")
-    return (li.groupBy(F.concat(F.lit("mod."), F.col("l_partkey").cast("string")).alias("source"),
-                       F.concat(F.lit("mod."), F.col("l_suppkey").cast("string")).alias("target"))
-            .agg(F.count(F.lit(1)).alias("weight")))
+    return (li.groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("weight"))   # names are made of groups, not of rows
+            .select(F.concat(F.lit("mod."), F.col("l_partkey").cast("string")).alias("source"),
+                    F.concat(F.lit("mod."), F.col("l_suppkey").cast("string")).alias("target"), "weight"))
 
 
 SQL_MODULE_EDGES = """module_edges as (

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from codeweave.operators import graph as G
 from codeweave.operators import communities as CM
+from codeweave.operators import dense as D
 
 
 def reach_sets(nodes, edges):
@@ -318,3 +319,52 @@ def test_risk_rank_counts_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(G, "ROWS_A_TASK", 1)
     assert [tuple(r) for r in G.risk_rank(df, 9).collect()] == want
     assert [r["module"] for r in G.risk_rank(df.drop("weight"), 2, ascending=True).collect()] == ["d", "c"]
+
+
+def test_dense_labels_match_blocks(spark, monkeypatch):
+    """Communities and invariants with all labels broadcast: the same as by blocks and joins, without a table or a shuffle a round."""
+    rows = _random_edges(120, 3) + [("lone", "lone", 2.0), ("p", "q", None), (None, "q", 1.0), ("n1", "n2", 1.0), ("n2", "n1", 1.0)]
+    df = spark.createDataFrame(rows, "source string, target string, weight double")
+    written, calls = CM.cut_lineage, []
+    for module in (CM, D):
+        monkeypatch.setattr(module, "cut_lineage", lambda x: calls.append(1) or written(x))
+    monkeypatch.setattr(D, "BLOCK_ARCS", 50)
+    graph = CM.graph_of(df)
+    got = CM.hierarchical_communities(df, 4, graph)
+    assert graph.dense is not None and len(calls) < 12
+    counts = sorted(map(tuple, CM.community_invariants(got, df, 4, graph).collect()))
+    # a part of the leaves joined with others of their parent
+    rows = got.collect()
+    deep = max(r["level"] for r in rows)
+    first = {}
+    merged = spark.createDataFrame([(r["level"], first.setdefault(r["parent"], r["community"]) if r["level"] == deep else r["community"], r["parent"], r["node"]) for r in rows], got.schema)
+    broken = sorted(map(tuple, CM.community_invariants(merged, df, 4, graph).collect()))
+    assert dict(broken)["oversized_leaves"] > 0
+    # too many nodes, or a node of too many arcs
+    for module, name in ((D, "DENSE_NODES"), (CM, "HUB_ARCS")):
+        with monkeypatch.context() as m:
+            m.setattr(module, name, 20)
+            assert CM.graph_of(df).dense is None
+    joined = CM.Graph(graph.edges, graph.arcs, graph.names, None)
+    assert sorted(map(str, CM.hierarchical_communities(df, 4, joined).collect())) == sorted(map(str, rows))
+    assert sorted(map(tuple, CM.community_invariants(got, df, 4, joined).collect())) == counts
+    assert sorted(map(tuple, CM.community_invariants(merged, df, 4, joined).collect())) == broken
+
+
+def test_dense_hash_and_order(spark):
+    import numpy as np
+    ids = np.array([0, 1, (3 << 33) + 7, -4, 2 ** 62])
+    for number in (0, 23):
+        assert [r[0] for r in spark.createDataFrame([(int(i),) for i in ids], "n long").selectExpr(f"xxhash64(n, {number})").collect()] == D.xxhash64(ids, number).tolist()
+    # a cluster admits the best moves while there is room, of equal ones the smallest node
+    moves = {"node": np.array([5, 2, 3, 4]), "better": np.array([1.0, 2.0, 1.0, 9.0]), "to": np.array([0, 0, 0, 1])}
+    got = D.admitted(moves, np.array([0, 0, 1, 3, 4, 5]), 4)
+    assert sorted(got["node"].tolist()) == [2, 3, 4]
+
+
+def test_levels_leave_out_equal_and_small(spark):
+    import numpy as np
+    paths = [np.array(x, np.int32) for x in ([0, 0, 0, 0, 4, 4], [0, 0, 0, 0, 4, 4], [0, 0, 2, 2, 4, 4], [0, 1, 2, 3, 4, 5])]
+    got = D.levels(paths, 2)
+    assert [t["level"].tolist() for t in got] == [[0] * 6, [-1] * 6, [1, 1, 1, 1, -1, -1], [-1] * 6]
+    assert got[2]["least"].tolist()[:4] == [0, 0, 2, 2] and got[2]["above"].tolist()[:4] == [0, 0, 0, 0]
