@@ -183,7 +183,9 @@ union all select 'communities_at_level_0', count(distinct component)::bigint fro
 union all select unnest(['oversized_leaves', 'disconnected_communities', 'leaves_without_common_neighbour', 'ambiguous_parents', 'orphans',
   'nodes_twice_at_a_level', 'singletons_over_a_fifth', 'modularity_not_above_label_propagation']), 0::bigint""")
 def q_community_invariants(spark, d):
-    return CM.community_invariants(_membership(spark, d), X.module_edges(spark, d))
+    edges = X.module_edges(spark, d)
+    graph = CM.graph_of(edges)
+    return CM.community_invariants(CM.hierarchical_communities(edges, 10, graph), edges, graph=graph)
 
 
 @register("reports")
