@@ -310,10 +310,25 @@ def levels(paths: list[np.ndarray], max_size: int) -> list[dict[str, np.ndarray]
     return out
 
 
+def _place_maps(ids: np.ndarray) -> tuple[Callable, Callable]:
+    """From ``nid`` to place and back; they run on within a partition of the names."""
+    starts = np.flatnonzero(np.diff(ids >> 33, prepend=-1))
+    first = ids[starts]
+
+    def places(nid: np.ndarray) -> np.ndarray:
+        part = np.searchsorted(first, nid, "right") - 1
+        return starts[part] + nid - first[part]
+
+    def nids(place: np.ndarray) -> np.ndarray:
+        part = np.searchsorted(starts, place, "right") - 1
+        return first[part] + place - starts[part]
+
+    return places, nids
+
+
 def rows_of(g: Dense, names: DataFrame, told: list[dict[str, np.ndarray]]) -> DataFrame:
     """``(node, level, least, above)`` by name and ``nid``, a row a node and kept level."""
-    starts = np.flatnonzero(np.diff(g.ids >> 33, prepend=-1))   # of the partitions of names
-    first = g.ids[starts]
+    places, nids = _place_maps(g.ids)
     out = None
     for t in told:
         shared = names.sparkSession.sparkContext.broadcast(t)
@@ -322,15 +337,13 @@ def rows_of(g: Dense, names: DataFrame, told: list[dict[str, np.ndarray]]) -> Da
             t = shared.value
             for batch in batches:
                 ids = batch.column("nid").to_numpy()
-                part = np.searchsorted(first, ids, "right") - 1
-                at = starts[part] + ids - first[part]
+                at = places(ids)
                 kept = t["level"][at] >= 0
                 at = at[kept]
                 least, above = t["least"][at], t["above"][at]
-                nid = lambda x: first[np.searchsorted(starts, x, "right") - 1] + x - starts[np.searchsorted(starts, x, "right") - 1]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("node").filter(pa.array(kept)), pa.array(t["level"][at].astype(np.int32)), pa.array(nid(least)),
-                    pa.array(nid(np.maximum(above, 0)), mask=above < 0)], names=["node", "level", "least", "above"])
+                    batch.column("node").filter(pa.array(kept)), pa.array(t["level"][at].astype(np.int32)), pa.array(nids(least)),
+                    pa.array(nids(np.maximum(above, 0)), mask=above < 0)], names=["node", "level", "least", "above"])
 
         rows = names.select("node", "nid").mapInArrow(one, "node string, level int, least long, above long")
         out = rows if out is None else out.unionByName(rows)
@@ -385,3 +398,55 @@ def inner_ways(g: Dense, cid: np.ndarray) -> np.ndarray:
     t = g.collected({"cid": cid}, pick, "node int, n double", "ways")
     out[t["node"]] = t["n"]
     return out
+
+
+def report_numbers(g: Dense, cids: list[np.ndarray], hashes: list[np.ndarray], looped: np.ndarray, communities: DataFrame) -> DataFrame:
+    """``communities(level, community, size)`` with ``h``, the edges inside and the strength (``rank``) of each."""
+    told = {}
+    for level, (cid, h) in enumerate(zip(cids, hashes)):
+        on = cid >= 0
+        ways = inner_ways(g, cid)[on] / 2 + looped[on]   # an edge between two nodes is seen from both
+        told[level] = (h, np.bincount(cid[on], ways, len(h)).astype(np.int64), np.bincount(cid[on], g.k[on], len(h)))
+    shared = communities.sparkSession.sparkContext.broadcast(told)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, h = (batch.column(c).to_numpy() for c in ("level", "h"))
+            n_edges, rank = np.zeros(len(h), np.int64), np.zeros(len(h))
+            for x in np.unique(level):
+                found, n, k = shared.value[int(x)]
+                here = level == x
+                at = np.searchsorted(found, h[here])
+                n_edges[here], rank[here] = n[at], k[at]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_edges), pa.array(rank)], names=[*batch.schema.names, "n_edges", "rank"])
+
+    rows = communities.select("level", "community", "size", F.xxhash64("level", "community").alias("h"))
+    return rows.mapInArrow(one, f"level {dict(rows.dtypes)['level']}, community string, size long, h long, n_edges long, rank double")
+
+
+def top_members(g: Dense, names: DataFrame, cids: list[np.ndarray], hashes: list[np.ndarray], top_k: int) -> DataFrame:
+    """``(level, h, place, node, degree)`` of the ``top_k`` members of most arcs of every community, by name where they are equal."""
+    places, _ = _place_maps(g.ids)
+    out = None
+    for level, (cid, h) in enumerate(zip(cids, hashes)):
+        on = np.flatnonzero(cid >= 0)
+        most = int(g.degree.max(initial=0))
+        order = on[np.argsort(cid[on].astype(np.int64) * (most + 1) + most - g.degree[on], kind="stable")]
+        place = np.zeros(len(cid), np.int32)
+        place[order] = _ranks(cid[order]) + 1
+        shared = names.sparkSession.sparkContext.broadcast((cid, place, h, g.degree))
+
+        def one(batches: Iterator[pa.RecordBatch], shared=shared, level=level) -> Iterator[pa.RecordBatch]:
+            cid, place, h, degree = shared.value
+            for batch in batches:
+                ids = batch.column("nid").to_numpy()
+                at = places(ids)
+                kept = (place[at] > 0) & (place[at] <= top_k)
+                at = at[kept]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(at), level, np.int32)), pa.array(h[cid[at]]), pa.array(place[at]),
+                    batch.column("node").filter(pa.array(kept)), pa.array(degree[at].astype(np.int64))], names=["level", "h", "place", "node", "degree"])
+
+        rows = names.select("node", "nid").mapInArrow(one, "level int, h long, place int, node string, degree long")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -190,7 +190,9 @@ def q_community_invariants(spark, d):
 
 @register("reports")
 def q_reports(spark, d):
-    return CM.community_reports(_membership(spark, d), X.module_edges(spark, d))
+    edges = X.module_edges(spark, d)
+    graph = CM.graph_of(edges)
+    return CM.community_reports(CM.hierarchical_communities(edges, 10, graph), edges, graph=graph)
 
 
 # the index's graph after a batch of edits, kept up by signed counts, against a full rebuild

@@ -368,3 +368,21 @@ def test_levels_leave_out_equal_and_small(spark):
     got = D.levels(paths, 2)
     assert [t["level"].tolist() for t in got] == [[0] * 6, [-1] * 6, [1, 1, 1, 1, -1, -1], [-1] * 6]
     assert got[2]["least"].tolist()[:4] == [0, 0, 2, 2] and got[2]["above"].tolist()[:4] == [0, 0, 0, 0]
+
+
+def test_dense_reports_match_joins(spark, monkeypatch):
+    rows = _random_edges(80, 4) + [("lone", "lone", 2.0), ("n1", "n1", 1.0), ("n1", "n2", 1.0), ("n2", "n1", None), ("n2", "n1", 3.0)]
+    df = spark.createDataFrame(rows, "source string, target string, weight double")
+    monkeypatch.setattr(D, "BLOCK_ARCS", 60)
+    graph = CM.graph_of(df)
+    m = CM.hierarchical_communities(df, 4, graph)
+    pairs, calls = CM._end_pairs, []
+    monkeypatch.setattr(CM, "_end_pairs", lambda e: calls.append(1) or pairs(e))
+    got = CM.community_reports(m, df, 3, graph)
+    assert not calls   # no join of edges with communities
+    exp = CM.community_reports(m, df, 3)
+    assert got.schema == exp.schema and sorted(map(str, got.collect())) == sorted(map(str, exp.collect())) and calls
+    # a node outside the graph or twice at a level goes by joins
+    for more in ([(0, "0:x", None, "outside")], [(0, "0:x", None, "n1")]):
+        other = m.unionByName(spark.createDataFrame(more, m.schema))
+        assert sorted(map(str, CM.community_reports(other, df, 3, graph).collect())) == sorted(map(str, CM.community_reports(other, df, 3).collect()))
