@@ -9,11 +9,12 @@ and nodes of more arcs than a block holds, go by ``communities.Blocks``, with th
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweave.session import cut_lineage
@@ -78,10 +79,30 @@ class Dense:
         return {c: t.column(c).to_numpy() for c in t.column_names}
 
 
+@contextmanager
+def _whole_batches(spark: SparkSession) -> Iterator[None]:
+    """Without a look at a batch's bytes for every row sent to Python, four times the work of sending it; for rows of a few numbers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(2 ** 31 - 1))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def both_ways(a: str, b: str) -> Column:
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    return F.array(way(a, b), way(b, a))
+
+
 def _packed(rows: DataFrame, total: int, place: Callable, strength: np.ndarray | None) -> DataFrame:
-    """``rows(src, dst, w[, ways])``, ``total`` at most, as blocks; weights of equal ends are added.
+    """``rows(src, dst, w[, way])`` of a table, ``total`` at most, as blocks; weights of equal ends are added.
 
-    ``ways`` is 2 where edges go both ways; the arcs between clusters have none.
+    ``way`` is 1 or 2 by the direction of the edge, and ``ways`` of an arc 2 where edges go both ways; the arcs between clusters have none.
     """
     known = None if strength is None else rows.sparkSession.sparkContext.broadcast(strength)
 
@@ -101,13 +122,17 @@ def _packed(rows: DataFrame, total: int, place: Callable, strength: np.ndarray |
         start = np.flatnonzero(np.diff(src, prepend=-1))
         nodes, counts = src[start], np.diff(start, append=len(src))
         k = np.add.reduceat(w, start) if known is None else known.value[nodes]
-        ways = t.column("ways").to_numpy()[order][first].astype(np.int8).tobytes() if "ways" in t.column_names else None
+        ways = None
+        if "way" in t.column_names:
+            way = np.bitwise_or.reduceat(t.column("way").to_numpy()[order], first)
+            ways = ((way & 1) + (way >> 1)).astype(np.int8).tobytes()
         yield pa.RecordBatch.from_pylist([{
             "nodes": nodes.astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(), "k": k.tobytes(),
             "dst": dst.astype(np.int32).tobytes(), "w": w.tobytes(), "ways": ways, "n_arcs": len(dst), "sum_w": float(w.sum())}], schema=pa.schema(
             [*[(c, pa.binary()) for c in ("nodes", "counts", "k", "dst", "w", "ways")], ("n_arcs", pa.int64()), ("sum_w", pa.float64())]))
 
-    return cut_lineage(rows.repartition(total // BLOCK_ARCS + 1, "src").mapInArrow(pack, _PACKED))
+    with _whole_batches(rows.sparkSession):
+        return cut_lineage(rows.repartition(total // BLOCK_ARCS + 1, "src").mapInArrow(pack, _PACKED))
 
 
 def _totals(packed: DataFrame) -> tuple[int, float]:
@@ -115,21 +140,24 @@ def _totals(packed: DataFrame) -> tuple[int, float]:
     return n or 0, w or 0.0
 
 
-def dense(arcs: DataFrame, names: DataFrame, hub_arcs: int) -> Dense | None:
-    """The graph of ``arcs(src, dst, w)`` between the ``nid`` of ``names``, None if it has too many nodes or hubs.
+def dense(ends: DataFrame, names: DataFrame, hub_arcs: int) -> Dense | None:
+    """The graph of ``ends(s, t, w)``, each the ``nid`` of ``names``; None if it has too many nodes or hubs.
 
     A ``nid`` is a partition and a row in it, so its place follows from the rows of the partitions before it.
     """
     rows = dict(names.groupBy(F.shiftright("nid", 33).alias("part")).count().collect())
     n = sum(rows.values())
-    if n > DENSE_NODES or n > hub_arcs and not arcs.groupBy("src").count().where(F.col("count") > hub_arcs).isEmpty():
+    if n > DENSE_NODES:
+        return None
+    arcs = ends.select(F.explode(both_ways("s", "t")).alias("x"), "w", F.when(F.col("s") < F.col("t"), 1).otherwise(2).alias("way")).select("x.src", "x.dst", "w", "way")
+    if n > hub_arcs and not arcs.groupBy("src").count().where(F.col("count") > hub_arcs).isEmpty():
         return None
     base = np.zeros(max(rows, default=0) + 2, np.int64)
     for part, size in rows.items():
         base[part + 1] = size
     base = np.cumsum(base)
     ids = np.concatenate([np.zeros(0, np.int64), *[(part << 33) + np.arange(rows[part]) for part in sorted(rows)]])
-    packed = _packed(arcs, arcs.count(), lambda x: base[x >> 33] + (x & ((1 << 33) - 1)), None)
+    packed = _packed(arcs, 2 * ends.count(), lambda x: base[x >> 33] + (x & ((1 << 33) - 1)), None)
     k, degree = np.zeros(n), np.zeros(n, np.int32)
     t = Dense(ids, k, None, packed, 0, 0.0).collected(
         {}, lambda nodes, k, src, *rest: pa.table({"node": nodes, "k": k, "degree": np.bincount(src, minlength=len(nodes))}), "node int, k double, degree long")
@@ -252,7 +280,8 @@ def contracted(g: Dense, of: np.ndarray) -> tuple[Dense, np.ndarray]:
         return pa.table({"src": key[first] >> 32, "dst": key[first] & 0xFFFFFFFF, "w": np.add.reduceat(w[out][order], first) if len(first) else w[:0]})
 
     k = np.bincount(place, g.k, len(labels))
-    packed = _packed(g.sums({"place": place}, pick, "src long, dst long, w double"), g.n_arcs, lambda x: x, k)
+    between = cut_lineage(g.sums({"place": place}, pick, "src long, dst long, w double"))
+    packed = _packed(between, g.n_arcs, lambda x: x, k)
     return Dense(g.ids[labels], k, None, packed, *_totals(packed)), place
 
 

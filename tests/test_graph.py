@@ -345,7 +345,7 @@ def test_dense_labels_match_blocks(spark, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(module, name, 20)
             assert CM.graph_of(df).dense is None
-    joined = CM.Graph(graph.edges, graph.arcs, graph.names, None)
+    joined = CM.Graph(graph.edges, graph.ends, graph.names, None)
     assert sorted(map(str, CM.hierarchical_communities(df, 4, joined).collect())) == sorted(map(str, rows))
     assert sorted(map(tuple, CM.community_invariants(got, df, 4, joined).collect())) == counts
     assert sorted(map(tuple, CM.community_invariants(merged, df, 4, joined).collect())) == broken
