@@ -145,7 +145,8 @@ def dense(ends: DataFrame, names: DataFrame, hub_arcs: int) -> Dense | None:
 
     A ``nid`` is a partition and a row in it, so its place follows from the rows of the partitions before it.
     """
-    rows = dict(names.groupBy(F.shiftright("nid", 33).alias("part")).count().collect())
+    parts = names.groupBy(F.shiftright("nid", 33).alias("part")).count().toArrow()   # a row a partition
+    rows = dict(zip(parts.column("part").to_pylist(), parts.column("count").to_pylist()))
     n = sum(rows.values())
     if n > DENSE_NODES:
         return None
